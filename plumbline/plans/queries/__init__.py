@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-AREAS = ("metrics", "validation")
+AREAS = ("metrics", "validation", "cleaning")
 
 
 def query(name: str, sql: str | None = None):
