@@ -51,13 +51,25 @@ NOISE_TOKENS = (
 
 
 def strip(c: Column) -> Column:
-    """Remove Unicode whitespace at both ends."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Remove Unicode whitespace at both ends.
+
+    The cheap test comes first: most cells begin and end with a printable
+    ASCII character and are returned as they are.
+    """
+    return F.when(c.rlike(r"\A[^!-~]|[^!-~]\z"), F.btrim(c, F.lit(WHITESPACE))).otherwise(c)
 
 
 def collapse(c: Column) -> Column:
     """Replace every whitespace run with one space."""
-    return F.regexp_replace(c, "[" + WHITESPACE + "]+", " ")
+    return F.when(F.contains(c, F.lit("  ")) | c.rlike("[^ -~]"),
+                  F.regexp_replace(c, "[" + WHITESPACE + "]+", " ")).otherwise(c)
+
+
+def tidy(c: Column) -> Column:
+    """``collapse(strip(c))`` behind one test; text without any whitespace or
+    non-ASCII character is returned as it is."""
+    return F.when(c.rlike("[^!-~]"), F.regexp_replace(
+        F.btrim(c, F.lit(WHITESPACE)), "[" + WHITESPACE + "]+", " ")).otherwise(c)
 
 
 def is_sentinel(c: Column, vocabulary: str = "profile") -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,13 +170,21 @@ def _normal_stages(df: DataFrame, columns: Sequence[str], trim: bool = True,
     ``_r_``, ``_s_`` and ``_t_`` columns hold the raw, trimmed and collapsed
     text for the counters; a reader that does not use them never computes them.
     """
+    words = ", ".join("'" + w + "'" for w in X.POLICY_SENTINELS)
+
+    def present(name: str) -> str:
+        return (f"CASE WHEN lower(`{name}`) NOT IN ({words}) THEN `{name}` END"
+                if sentinels else f"`{name}`")
+
     out = df.withColumns({"_r_" + c: _q(c) for c in columns})
     out = out.withColumns({"_s_" + c: X.strip(_q(c)) if trim else _q(c) for c in columns})
-    out = out.withColumns({"_t_" + c: X.collapse(_q("_s_" + c)) if collapse else _q("_s_" + c)
-                           for c in columns})
-    return out.withColumns({
-        c: F.when(~F.lower(_q("_t_" + c)).isin(*X.POLICY_SENTINELS), _q("_t_" + c))
-        if sentinels else _q("_t_" + c) for c in columns})
+    if trim and collapse:
+        out = out.withColumns({c: X.tidy(_q(c)) for c in columns})
+    else:
+        out = out.withColumns({c: X.collapse(_q("_s_" + c)) if collapse else _q("_s_" + c)
+                               for c in columns})
+    return out.withColumns({"_t_" + c: _q(c) for c in columns}).withColumns(
+        {c: F.expr(present("_t_" + c)) for c in columns})
 
 
 def _normal_counters(c: str) -> list[Column]:
@@ -418,7 +426,13 @@ def quarantine_cells(df: DataFrame, policy: Policy) -> DataFrame:
 
 
 def rejected_cells(quarantined: DataFrame) -> DataFrame:
-    return quarantined.select(F.explode("_rejects").alias("r")).select("r.*")
+    """One row per quarantined cell.
+
+    The outer form keeps the optimiser from pushing a size test below the
+    typing stages, which would evaluate every coercion twice.
+    """
+    cells = quarantined.select(F.explode_outer("_rejects").alias("r"))
+    return cells.filter(F.col("r").isNotNull()).select("r.*")
 
 
 # --- missing values ---------------------------------------------------------
@@ -509,12 +523,31 @@ def order_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- the whole policy -------------------------------------------------------
 
-@dataclass(frozen=True)
 class Cleaned:
-    clean: DataFrame
-    rejects: DataFrame
-    actions: DataFrame
-    warnings: DataFrame
+    """The results of a policy, each planned when first asked for."""
+
+    def __init__(self, source: DataFrame, policy: Policy, encoding: str | None = None):
+        self.source, self.policy, self.encoding = source, policy, encoding
+
+    @cached_property
+    def quarantined(self) -> DataFrame:
+        return quarantined_table(self.source, self.policy)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return finish(self.quarantined, self.policy)
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        return rejected_cells(self.quarantined)
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        return cleaning_actions(self.source, self.policy)
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return check_source(self.source, self.policy, self.encoding)
 
 
 def check_source(df: DataFrame, policy: Policy, encoding: str | None = None) -> DataFrame:
@@ -540,39 +573,41 @@ def check_source(df: DataFrame, policy: Policy, encoding: str | None = None) ->
         lambda s: s.isNotNull()).alias("w")).selectExpr("inline(w)")
 
 
-def _prepare(df: DataFrame, policy: Policy) -> tuple[DataFrame, list[Column], list[str]]:
-    """The row-wise steps before de-duplication, their counters, and the
-    columns they leave."""
+def _prepare(df: DataFrame, policy: Policy,
+             audit: bool = True) -> tuple[DataFrame, list[Column], list[str]]:
+    """The row-wise steps before de-duplication, the columns they leave, and
+    with ``audit`` the counters of what they changed."""
     columns = df.columns
     resolve = lambda n: policy.source_of(n, columns)
     texts = [c for c in _texts(df) if c not in policy.order]
     out = _normal_stages(df, texts, policy.setting("trim_whitespace"),
                          policy.setting("collapse_internal_spaces"),
                          policy.setting("sentinel_nulls_to_null"))
-    # The last text stage is what the sentinel counter compares with, before
-    # any later step replaces the column.
-    out = out.withColumns({"_z_" + c: _q("_t_" + c).isNotNull() & _q(c).isNull() for c in texts})
-    counters = [_counter("rows_in", "<table>", F.count(F.lit(1)))]
-    for c in texts:
-        trim, collapse, _ = _normal_counters(c)
-        counters += [trim, collapse, _counter("sentinel_null", c, F.count_if(_q("_z_" + c)))]
-    marks = 0
-
-    def mark(step: str, target: str, test: Column) -> str:
-        nonlocal out, marks
-        name = f"_m_{marks}"
-        marks += 1
-        out = out.withColumn(name, F.coalesce(test, F.lit(False)))
-        counters.append(_counter(step, target, F.count_if(_q(name))))
-        return name
-
-    for fix in policy.row_fixes:
+    counters = []
+    if audit:
+        # Taken here, before any later step replaces the column.
+        out = out.withColumns({"_z_" + c: _q("_t_" + c).isNotNull() & _q(c).isNull()
+                               for c in texts})
+        counters.append(_counter("rows_in", "<table>", F.count(F.lit(1))))
+        for c in texts:
+            trim, collapse, _ = _normal_counters(c)
+            counters += [trim, collapse,
+                         _counter("sentinel_null", c, F.count_if(_q("_z_" + c)))]
+
+    def mark(step: str, target: str, test: Column) -> None:
+        nonlocal out
+        if audit:
+            name = f"_m_{len(counters)}"
+            out = out.withColumn(name, F.coalesce(test, F.lit(False)))
+            counters.append(_counter(step, target, F.count_if(_q(name))))
+
+    for i, fix in enumerate(policy.row_fixes):
         if fix.do != "shift_right":
             raise ValueError(f"unsupported row_fix action {fix.do!r}")
         names = [resolve(c) for c in fix.columns]
-        hit = mark("row_fix:" + fix.id, ", ".join(names),
-                   condition(fix.where, lambda n: _q(resolve(n))))
-        out = _shift(out, hit, names)
+        out = out.withColumn(f"_hit_{i}", condition(fix.where, lambda n: _q(resolve(n))))
+        mark("row_fix:" + fix.id, ", ".join(names), _q(f"_hit_{i}"))
+        out = _shift(out, f"_hit_{i}", names)
     for target, mapping in policy.value_maps.items():
         base, _, driver = target.rpartition("_by_")
         if base:
@@ -588,14 +623,14 @@ def _prepare(df: DataFrame, policy: Policy) -> tuple[DataFrame, list[Column], li
                 mark("value_map:" + str(old), c, _q(c).isin(*hits) if hits else F.lit(False))
                 reached |= {k: str(new) for k in hits}
             out = map_values(out, c, mapping)
-    for c in policy.drop:
-        if c in columns:
-            counters.append(_counter("drop_column", c, F.max(F.lit(1))))
+    if audit:
+        counters += [_counter("drop_column", c, F.max(F.lit(1)))
+                     for c in policy.drop if c in columns]
     return out, counters, [c for c in columns if c not in policy.drop]
 
 
 def _prepared(df: DataFrame, policy: Policy) -> DataFrame:
-    out, _, kept = _prepare(df, policy)
+    out, _, kept = _prepare(df, policy, audit=False)
     return _dedupe(out.select(*[_q(c) for c in kept]), policy)
 
 
@@ -662,8 +697,6 @@ def finish(quarantined: DataFrame, policy: Policy) -> DataFrame:
 
 
 def clean_table(df: DataFrame, policy: Policy, encoding: str | None = None) -> Cleaned:
-    """The whole policy as lazy frames.  A job that needs more than one of
-    them should write ``quarantined_table`` once and read it back."""
-    quarantined = quarantined_table(df, policy)
-    return Cleaned(finish(quarantined, policy), rejected_cells(quarantined),
-                   cleaning_actions(df, policy), check_source(df, policy, encoding))
+    """The whole policy as lazy frames.  A job that needs both the clean table
+    and the rejects should write ``quarantined`` once and read it back."""
+    return Cleaned(df, policy, encoding)

@@ -40,10 +40,12 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     beside the count ``n``.  Nulls and NaNs are left out."""
     by = list(by)
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    weight = F.sum(freq) if freq else F.count(F.lit(1))
-    vc = (df.select(*by, v.alias("_v"), *([freq] if freq else []))
-          .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-          .groupBy(*by, "_v").agg(weight.alias("_n")))
+    # Missing values weigh nothing instead of being filtered: a filter would be
+    # pushed into whatever computes the value and evaluate it twice.
+    part = F.when(F.col("_v").isNotNull(), F.col(freq) if freq else F.lit(1)).otherwise(0)
+    vc = (df.select(*by, F.nanvl(v, F.lit(None).cast("double")).alias("_v"),
+                    *([freq] if freq else []))
+          .groupBy(*by, "_v").agg(F.sum(part.cast("bigint")).alias("_n")))
     ends = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("_e")
     if by:
         spans = vc.groupBy(*by).agg(ends).select(*[F.col(k).alias("_s" + k) for k in by], "_e")

@@ -8,7 +8,8 @@ from plumbline.operators import cleaning as CL
 from plumbline.operators import upload as U
 from plumbline.plans import stage
 from plumbline.plans.queries import query
-from plumbline.plans.queries.common import rounded
+from plumbline.plans.queries.common import rounded, select_list
+from plumbline.session import spread
 
 # The same damage in both dialects; every cell is text.
 MESSY = """
@@ -33,6 +34,7 @@ MESSY_SPARK = (MESSY.replace("VARCHAR", "STRING")
                .replace("strftime(l_shipdate, '%m/%d/%Y %H:%M')",
                         "date_format(l_shipdate, 'MM/dd/yyyy HH:mm')")
                .replace("strftime(l_shipdate, '%Y-%m-%d')", "date_format(l_shipdate, 'yyyy-MM-dd')"))
+MESSY_LIST = select_list(MESSY_SPARK)
 COLS = "rid flag qty price shipped zip status city region area promo note".split()
 NULLS = ("'', '-', '--', 'n/a', 'na', 'n.a.', 'nan', 'null', 'none', 'nil', 'unknown', "
          "'unspecified', 'not available', 'not applicable', '?', '#n/a'")
@@ -48,8 +50,7 @@ NORMAL = WITH + ", norm AS (SELECT " + ", ".join(_norm(c) for c in COLS) + " FRO
 
 
 def messy(spark, sf):
-    stage.table(spark, sf, "lineitem").createOrReplaceTempView("_plumbline_lineitem")
-    return spark.sql(f"SELECT {MESSY_SPARK} FROM _plumbline_lineitem")
+    return spread(stage.table(spark, sf, "lineitem")).selectExpr(*MESSY_LIST)
 
 
 def normal(spark, sf):
@@ -398,8 +399,8 @@ UWITH = f"WITH up AS (SELECT {UPLOAD} FROM lineitem)"
 
 
 def uploaded(spark, sf):
-    stage.table(spark, sf, "lineitem").createOrReplaceTempView("_plumbline_lineitem")
-    return spark.sql(f"SELECT {UPLOAD.replace('VARCHAR', 'STRING')} FROM _plumbline_lineitem")
+    text = UPLOAD.replace("VARCHAR", "STRING")
+    return spread(stage.table(spark, sf, "lineitem")).selectExpr(*select_list(text))
 
 
 @query("ucl_01_trim_cells", UWITH + """

@@ -60,3 +60,16 @@ def rounded(df: DataFrame, places: int = 4, **per_column: int) -> DataFrame:
 
 def fold_sql(expr: str) -> str:
     return f"trim(regexp_replace(lower({expr}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def select_list(text: str) -> list[str]:
+    """The top-level items of a comma-separated select list."""
+    items, depth, start, quoted = [], 0, 0, False
+    for i, ch in enumerate(text):
+        quoted ^= ch == "'"
+        if not quoted:
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 0:
+                items.append(text[start:i].strip())
+                start = i + 1
+    return [*items, text[start:].strip()]
