@@ -68,9 +68,13 @@ def to_number(c: Column) -> Column:
     return F.when(negative, -number).otherwise(number)
 
 
-def classify_value(c: Column) -> Column:
-    """One type tag per text value; the first pattern that fits wins."""
+def classify_value(c: Column, date_test: Column | None = None) -> Column:
+    """One type tag per text value; the first pattern that fits wins.
+
+    ``date_test`` lets a caller that has already parsed dates pass the answer.
+    """
     v = strip(c)
+    is_date = dates.is_date(v) if date_test is None else date_test
     return (
         F.when(v == "", "blank")
         .when(v.rlike(UUID), "uuid")
@@ -78,7 +82,7 @@ def classify_value(c: Column) -> Column:
         .when(v.rlike(URL), "url")
         .when(v.rlike(PERCENT), "percent")
         .when(v.rlike(CURRENCY) | v.rlike(PAREN_NEGATIVE), "currency")
-        .when(dates.is_date(v), "date")
+        .when(is_date, "date")
         .when(v.rlike(SCIENTIFIC), "decimal")
         .when(v.rlike(INT) | v.rlike(INT_GROUPED), "integer")
         .when(v.rlike(DECIMAL), "decimal")

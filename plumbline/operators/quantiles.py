@@ -7,31 +7,20 @@ says which buckets hold the wanted ranks, and only those buckets are ordered.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LINEAR = 4096
-_LOG = 64
-_HUGE = 1e300
+# Two monotone bucket numbers; together they split both narrow ranges far from
+# zero and long tails.
+_LOG_BUCKET = ("CASE WHEN _v = 0 THEN 0 ELSE CAST(signum(_v) * (floor(ln(least(abs(_v), 1e300D))"
+               " * 64) + 100000) AS BIGINT) END AS _b1")
+_LINEAR_BUCKET = ("CAST(CASE WHEN abs(_lo) < 1e300D AND abs(_hi) < 1e300D AND _hi > _lo"
+                  " THEN floor(try_divide(_v - _lo, _hi - _lo) * 4096) ELSE 0 END AS BIGINT) AS _b2")
 
 
-def _buckets(v: Column, lo: Column, hi: Column) -> list[Column]:
-    """Two monotone bucket numbers; together they split both narrow ranges
-    far from zero and long tails."""
-    mag = F.least(F.abs(v), F.lit(_HUGE))
-    log = F.when(v == 0, 0).otherwise(
-        F.signum(v) * (F.floor(F.log(mag) * _LOG) + 100 * 1000)).cast("bigint")
-    span = hi - lo
-    plain = (F.abs(hi) < _HUGE) & (F.abs(lo) < _HUGE) & (span > 0)
-    linear = F.when(plain, F.floor(F.try_divide(v - lo, span) * _LINEAR)).otherwise(0)
-    return [log.alias("_b1"), linear.cast("bigint").alias("_b2")]
-
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
-    return reduce(lambda a, b: a & b,
-                  [left[k].eqNullSafe(right[prefix + k]) for k in keys], F.lit(True))
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
@@ -39,62 +28,53 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     """Linearly interpolated quantiles per group as columns ``q0, q1, ...``
     beside the count ``n``.  Nulls and NaNs are left out."""
     by = list(by)
+    keys = [_q(k) for k in by]
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     # Missing values weigh nothing instead of being filtered: a filter would be
     # pushed into whatever computes the value and evaluate it twice.
-    part = F.when(F.col("_v").isNotNull(), F.col(freq) if freq else F.lit(1)).otherwise(0)
+    weight = _q(freq) if freq else "1"
     vc = (df.select(*by, F.nanvl(v, F.lit(None).cast("double")).alias("_v"),
                     *([freq] if freq else []))
-          .groupBy(*by, "_v").agg(F.sum(part.cast("bigint")).alias("_n")))
-    ends = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi")).alias("_e")
+          .groupBy(*by, "_v").agg(F.expr(
+              f"sum(CAST(CASE WHEN _v IS NOT NULL THEN {weight} ELSE 0 END AS BIGINT)) AS _n")))
+
+    def matched(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+        tagged = right.selectExpr(*[f"{_q(k)} AS {_q('_k_' + k)}" for k in on],
+                                  *[c for c in right.columns if c not in on])
+        test = " AND ".join(f"{_q(k)} <=> {_q('_k_' + k)}" for k in on)
+        return left.join(tagged, F.expr(test)).drop(*["_k_" + k for k in on])
+
     if by:
-        spans = vc.groupBy(*by).agg(ends).select(*[F.col(k).alias("_s" + k) for k in by], "_e")
-        ranged = vc.join(spans, _same(vc, spans, by, "_s")).select(*vc.columns, "_e")
-        lo, hi = F.col("_e.lo"), F.col("_e.hi")
+        ends = vc.groupBy(*by).agg(F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
+        ranged = matched(vc, ends, by)
     else:
-        span = vc.agg(ends).scalar()
-        ranged, lo, hi = vc, span["lo"], span["hi"]
-    placed = ranged.select(*by, "_v", "_n", *_buckets(F.col("_v"), lo, hi))
+        span = vc.agg(F.expr("struct(min(_v) AS lo, max(_v) AS hi)")).scalar()
+        ranged = vc.select("*", span["lo"].alias("_lo"), span["hi"].alias("_hi"))
+    placed = ranged.selectExpr(*keys, "_v", "_n", _LOG_BUCKET, _LINEAR_BUCKET)
 
     # One row per bucket and group: small whatever the data size.
-    hist = placed.groupBy(*by, "_b1", "_b2").agg(F.sum("_n").alias("_bn"))
-    group = Window.partitionBy(*(by or [F.lit(0)]))
-    run = F.sum("_bn").over(group.orderBy("_b1", "_b2").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow))
-    hist = hist.select("*", (run - F.col("_bn")).alias("_start"),
-                       F.sum("_bn").over(group).alias("_total"))
-
-    def rank(p: float, up: bool) -> Column:
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        return (F.ceil(pos) if up else F.floor(pos)).cast("bigint")
-
-    inside = [(F.col("_start") <= rank(p, up)) & (rank(p, up) < F.col("_start") + F.col("_bn"))
-              for p in probs for up in (False, True)]
-    wanted = hist.filter(reduce(lambda a, b: a | b, inside)).select(
-        *[F.col(k).alias("_w" + k) for k in by], F.col("_b1").alias("_w_b1"),
-        F.col("_b2").alias("_w_b2"), "_start", "_total")
-    near = placed.join(wanted, _same(placed, wanted, [*by, "_b1", "_b2"], "_w"))
-    cell = Window.partitionBy(*by, "_b1", "_b2").orderBy("_v")
-    upto = F.col("_start") + F.sum("_n").over(
-        cell.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    near = near.select(*by, "_v", "_total", (upto - F.col("_n")).alias("_from"), upto.alias("_to"))
-
-    def at(p: float, up: bool) -> Column:
-        r = rank(p, up)
-        return F.max(F.when((F.col("_from") <= r) & (r < F.col("_to")), F.col("_v")))
-
+    part = "PARTITION BY " + ", ".join(keys or ["1"])
+    hist = (placed.groupBy(*by, "_b1", "_b2").agg(F.expr("sum(_n) AS _bn"))
+            .selectExpr("*", f"sum(_bn) OVER ({part} ORDER BY _b1, _b2 ROWS BETWEEN UNBOUNDED "
+                        "PRECEDING AND CURRENT ROW) - _bn AS _start",
+                        f"sum(_bn) OVER ({part}) AS _total"))
+    ranks = [(f"_{i}{side}", f"CAST({fn}({float(p)!r}D * (_total - 1)) AS BIGINT)")
+             for i, p in enumerate(probs) for side, fn in (("l", "floor"), ("h", "ceil"))]
+    wanted = hist.filter(" OR ".join(f"({r} >= _start AND {r} < _start + _bn)" for _, r in ranks))
+    near = matched(placed, wanted.select(*by, "_b1", "_b2", "_start", "_total"),
+                   [*by, "_b1", "_b2"])
+    cell = ", ".join([*keys, "_b1", "_b2"])
+    near = near.selectExpr(
+        *keys, "_v", "_n", "_total",
+        f"_start + sum(_n) OVER (PARTITION BY {cell} ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING "
+        "AND CURRENT ROW) AS _to")
     picked = near.groupBy(*by).agg(
-        F.max("_total").alias("_total"),
-        *[at(p, up).alias(f"_{i}{'h' if up else 'l'}")
-          for i, p in enumerate(probs) for up in (False, True)])
-
-    def interpolated(i: int, p: float) -> Column:
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        low, high = F.col(f"_{i}l"), F.col(f"_{i}h")
-        return (low + (high - low) * (pos - F.floor(pos))).alias(f"q{i}")
-
-    return picked.select(*by, *[interpolated(i, p) for i, p in enumerate(probs)],
-                         F.col("_total").alias("n"))
+        F.expr("max(_total) AS n"),
+        *[F.expr(f"max(CASE WHEN _to - _n <= {r} AND {r} < _to THEN _v END) AS {name}")
+          for name, r in ranks])
+    return picked.selectExpr(
+        *keys, *[f"_{i}l + (_{i}h - _{i}l) * ({float(p)!r}D * (n - 1) - floor({float(p)!r}D * (n - 1)))"
+                 f" AS q{i}" for i, p in enumerate(probs)], "n")
 
 
 def median(df: DataFrame, value: str | Column, by: Sequence[str] = ()) -> DataFrame:
