@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-AREAS = ("metrics", "validation", "cleaning", "insights", "profiling")
+AREAS = ("metrics", "validation", "cleaning", "insights", "profiling", "schema", "text")
 
 
 def query(name: str, sql: str | None = None):
