@@ -155,10 +155,10 @@ def _types(spark):
 
 @query("sch_08_match_columns", """
 WITH s AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer)
-SELECT 'places.Country_Name' AS "left", 'people.country' AS "right", CAST(0.75 AS DOUBLE) AS name_score,
+SELECT 'places.Country_Name' AS "left", 'people.country' AS "right", CAST(1 AS DOUBLE) AS name_score,
   TRUE AS type_agreement, round(n / least(n, (SELECT count(*) FROM nation)), 3) AS overlap,
   'joinable' AS verdict FROM s
-UNION ALL SELECT 'places.region_code', 'people.region', 0.75, FALSE, 0.0, 'not joinable' FROM s""")
+UNION ALL SELECT 'places.region_code', 'people.region', 1, FALSE, 0.0, 'not joinable' FROM s""")
 def sch_08(spark, sf):
     m = SC.match_columns(_two(spark, sf), _types(spark))
     return m.select("left", "right", "name_score", "type_agreement", "overlap", "verdict")
@@ -179,10 +179,14 @@ s AS (SELECT count(*) AS n FROM (SELECT o_custkey FROM orders INTERSECT SELECT c
 SELECT 'orders' AS left_table, 'customer_id' AS left_column, 'customers' AS right_table,
   'customer_id' AS right_column, TRUE AS is_exact, round(s.n / least(o.n, c.n), 2) AS overlap,
   CAST(1.0 AS DOUBLE) AS confidence FROM o, c, s
-UNION ALL SELECT 'orders', 'nation_id', 'nations', 'id', FALSE,
+UNION ALL SELECT 'orders', k, 'nations', 'id', FALSE,
   round((SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders
          WHERE o_custkey IN (SELECT n_nationkey FROM nation)))
-        / least((SELECT n FROM o), (SELECT count(*) FROM nation)), 2), 0.8""")
+        / least((SELECT n FROM o), (SELECT count(*) FROM nation)), 2), 0.8
+  FROM (VALUES ('nation_id'), ('customer_id')) AS v(k)
+UNION ALL SELECT 'customers', 'customer_id', 'nations', 'id', FALSE,
+  round((SELECT count(*) FROM customer WHERE c_custkey IN (SELECT n_nationkey FROM nation))
+        / least((SELECT n FROM c), (SELECT count(*) FROM nation)), 2), 0.8""")
 def sch_10(spark, sf):
     t = _t(spark, sf, "orders", "customer", "nation")
     orders = t["orders"].select(F.col("o_custkey").alias("customer_id"),
