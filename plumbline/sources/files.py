@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ STAMP = "%Y%m%dT%H%M%S"
 MANIFEST = "_manifest"
 # --- end of fixed values ----------------------------------------------------
 
+# What a reader raises for a file it cannot read.
+UNREADABLE = (PySparkException, Py4JJavaError, ValueError)
+
+
+def _reason(exc: Exception) -> str:
+    java = getattr(exc, "java_exception", None)
+    return (str(java) if java is not None else str(exc)).splitlines()[0][:300]
+
+
 # Bytes with no character in code page 1252.
 _CP1252_HOLES = ("81", "8D", "8F", "90", "9D")
 
@@ -69,14 +79,14 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
 
     Works on lines, so one large file is checked by many tasks.
     """
-    lines = spark.read.format("text").option("encoding", "ISO-8859-1").load(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("path"),
-                         F.encode("value", "ISO-8859-1").alias("bytes"))
+    # The text source keeps the bytes of a line as they are.
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value",
+                                         F.col("value").cast("binary").alias("bytes"))
     holes = F.lit(False)
     for h in _CP1252_HOLES:
         holes = holes | F.contains("bytes", F.unhex(F.lit(h)))
     return lines.groupBy("path").agg(
-        F.min(F.expr("is_valid_utf8(cast(bytes AS string))")).alias("utf8"),
+        F.min(F.is_valid_utf8("value")).alias("utf8"),
         F.max(holes).alias("holes")).select(
         "path", F.when(F.col("utf8"), "utf-8").when(~F.col("holes"), "cp1252")
         .otherwise("latin-1").alias("encoding"))
@@ -197,8 +207,8 @@ def load_all(spark: SparkSession, directory: str) -> Loaded:
     for row in discover_sources(spark, directory).select("path", "stem", "file").collect():
         try:
             tables[row["stem"]] = read_source(spark, row["path"])
-        except (PySparkException, ValueError) as exc:
-            problems.append(("failed", row["file"], str(exc).splitlines()[0][:300]))
+        except UNREADABLE as exc:
+            problems.append(("failed", row["file"], _reason(exc)))
     return Loaded(tables, _problems(spark, problems))
 
 
@@ -220,8 +230,8 @@ def load_configured(spark: SparkSession, directory: str, policies: Mapping[str,
         else:
             try:
                 tables[policy.table] = read_source(spark, row["path"], policy.encoding)
-            except (PySparkException, ValueError) as exc:
-                problems.append(("failed", row["file"], str(exc).splitlines()[0][:300]))
+            except UNREADABLE as exc:
+                problems.append(("failed", row["file"], _reason(exc)))
     return Loaded(tables, _problems(spark, problems))
 
 
