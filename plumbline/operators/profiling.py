@@ -8,7 +8,7 @@ partial count per task.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -322,21 +322,37 @@ def empty_rows(df: DataFrame) -> DataFrame:
 class Profile:
     """The column and table frames of one table.
 
-    The counted cells are kept in memory or on disk between them; call
-    ``unpersist`` when done.
+    Each stage is planned when first used and kept in memory or on disk for
+    the ones after it; call ``unpersist`` when done.
     """
 
     def __init__(self, df: DataFrame, name: str = "table"):
         self.name, self.df = name, df
-        self.cells = cells(df).persist()
-        self.values = classified(value_counts(self.cells)).persist()
-        self.types = infer_type(self.values).persist()
-        self.numbers = numbers(self.values, self.types).persist()
-        self.summary = numeric_summary(self.numbers).persist()
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return cells(self.df).persist()
+
+    @cached_property
+    def values(self) -> DataFrame:
+        return classified(value_counts(self.cells)).persist()
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return infer_type(self.values).persist()
+
+    @cached_property
+    def numbers(self) -> DataFrame:
+        return numbers(self.values, self.types).persist()
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return numeric_summary(self.numbers).persist()
 
     def unpersist(self) -> None:
-        for kept in (self.summary, self.numbers, self.types, self.values, self.cells):
-            kept.unpersist()
+        for stage in ("summary", "numbers", "types", "values", "cells"):
+            if stage in self.__dict__:
+                self.__dict__.pop(stage).unpersist()
 
     def columns(self) -> DataFrame:
         """One row per column with every measurement."""

@@ -102,13 +102,14 @@ numstat AS (SELECT col, count(*) AS n_numbers, min(x) AS mn, max(x) AS mx, avg(x
 """
 
 
-def tagged(spark, sf):
-    return P.classified(P.value_counts(P.cells(untidy(spark, sf))))
+def profiled(spark, sf):
+    """Stages shared by the queries below; equal plans share what is kept."""
+    return P.profile_table(untidy(spark, sf), "orders")
 
 
 @query("prf_01_value_counts", WITH + 'SELECT col AS "column", value, CAST(n AS BIGINT) AS n FROM vc')
 def prf_01(spark, sf):
-    return P.value_counts(P.cells(untidy(spark, sf)))
+    return P.value_counts(profiled(spark, sf).cells)
 
 
 @query("prf_02_missing_profile", WITH + """
@@ -120,7 +121,7 @@ SELECT col AS "column", CAST(sum(n) AS BIGINT) AS n_rows,
   coalesce(string_agg(txt || '=' || n, '|' ORDER BY txt) FILTER (WHERE kind = 'sentinel'), '')
     AS sentinel_forms FROM cells GROUP BY 1""")
 def prf_02(spark, sf):
-    out = P.missing_profile(P.cells(untidy(spark, sf)))
+    out = P.missing_profile(profiled(spark, sf).cells)
     forms = F.array_join(F.transform(F.map_entries("sentinel_forms"), lambda e: F.concat_ws(
         "=", e["key"], e["value"].cast("string"))), "|")
     return out.select("column", "n_rows", "n_blank", "n_sentinel", "n_present", "missing_pct",
@@ -133,21 +134,21 @@ SELECT col AS "column", (SELECT count(*) FROM orders) AS n_rows, n_present, n_di
   n_distinct = n_present AS is_unique,
   n_distinct = n_present AND n_present = (SELECT count(*) FROM orders) AS candidate_key FROM per""")
 def prf_03(spark, sf):
-    return P.distinct_profile(P.cells(untidy(spark, sf)))
+    return P.distinct_profile(profiled(spark, sf).cells)
 
 
 @query("prf_04_top_values", WITH + """
 SELECT col AS "column", value, CAST(n AS BIGINT) AS n, rank FROM (SELECT *, row_number() OVER
   (PARTITION BY col ORDER BY n DESC, value) AS rank FROM vc) WHERE rank <= 10""")
 def prf_04(spark, sf):
-    return P.top_values(P.value_counts(P.cells(untidy(spark, sf))))
+    return P.top_values(P.value_counts(profiled(spark, sf).cells))
 
 
 @query("prf_05_distinct_sample", WITH + """
 SELECT col AS "column", string_agg(value, '|' ORDER BY value) AS vocabulary FROM vc
 GROUP BY 1 HAVING count(*) <= 200""")
 def prf_05(spark, sf):
-    out = P.distinct_sample(P.value_counts(P.cells(untidy(spark, sf))))
+    out = P.distinct_sample(P.value_counts(profiled(spark, sf).cells))
     return out.select("column", F.array_join("distinct_sample", "|").alias("vocabulary"))
 
 
@@ -155,7 +156,7 @@ def prf_05(spark, sf):
 SELECT col AS "column", tag, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_values
 FROM tagged GROUP BY ALL""")
 def prf_06(spark, sf):
-    return tagged(spark, sf).groupBy("column", "tag").agg(
+    return profiled(spark, sf).values.groupBy("column", "tag").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_values"))
 
 
@@ -163,7 +164,7 @@ def prf_06(spark, sf):
 SELECT value, list_aggregate(formats, 'string_agg', '|') AS formats FROM tagged
 WHERE len(formats) > 0""")
 def prf_07(spark, sf):
-    return tagged(spark, sf).filter(F.size("formats") > 0).select(
+    return profiled(spark, sf).values.filter(F.size("formats") > 0).select(
         "value", F.array_join("formats", "|").alias("formats"))
 
 
@@ -171,7 +172,7 @@ def prf_07(spark, sf):
 SELECT col AS "column", n_present, n_distinct, base_type, inferred_type, conf AS type_confidence
 FROM types""")
 def prf_08(spark, sf):
-    return P.infer_type(tagged(spark, sf)).select(
+    return profiled(spark, sf).types.select(
         "column", "n_present", "n_distinct", "base_type", "inferred_type", "type_confidence")
 
 
@@ -190,7 +191,7 @@ SELECT col AS "column", n_us_only, n_eu_only, n_both,
   (n_us_only > 0 AND n_eu_only > 0) OR (n_both > 0 AND n_us_only = 0 AND n_eu_only = 0)
     AS order_ambiguous FROM dc""")
 def prf_09(spark, sf):
-    return P.date_order_profile(tagged(spark, sf)).drop("date_formats")
+    return P.date_order_profile(profiled(spark, sf).values).drop("date_formats")
 
 
 @query("prf_10_currency_notations", WITH + """
@@ -198,8 +199,8 @@ SELECT col AS "column", regexp_extract(value, '([$€]|\\b(USD|EUR)\\b)', 1) AS
   CAST(sum(n) AS BIGINT) AS n FROM tagged JOIN types USING (col)
 WHERE base_type = 'currency' AND regexp_matches(value, '[$€]|\\b(USD|EUR)\\b') GROUP BY ALL""")
 def prf_10(spark, sf):
-    t = tagged(spark, sf)
-    return P.currency_notations(t, P.infer_type(t))
+    p = profiled(spark, sf)
+    return P.currency_notations(p.values, p.types)
 
 
 @query("prf_11_percent_scale_mixed", WITH + """
@@ -208,15 +209,15 @@ SELECT col AS "column", CAST(sum(n) FILTER (WHERE tag = 'percent') AS BIGINT) AS
   coalesce(sum(n) FILTER (WHERE tag IN ('decimal', 'integer')), 0) > 0 AS percent_scale_mixed
 FROM tagged JOIN types USING (col) WHERE base_type = 'percent' GROUP BY 1""")
 def prf_11(spark, sf):
-    return P.percent_scale_mixed(P.infer_type(tagged(spark, sf)))
+    return P.percent_scale_mixed(profiled(spark, sf).types)
 
 
 @query("prf_12_to_number", WITH + """
 SELECT col AS "column", count(*) AS n_values, count(x) AS n_numbers, round(sum(x * n), 2) AS total
 FROM nums GROUP BY 1""")
 def prf_12(spark, sf):
-    t = tagged(spark, sf)
-    numeric = P.infer_type(t).filter(F.col("base_type").isin(*P.NUMERIC_TYPES)).select("column")
+    p = profiled(spark, sf)
+    t, numeric = p.values, p.types.filter(F.col("base_type").isin(*P.NUMERIC_TYPES)).select("column")
     x = N.to_number(F.col("value"))
     return rounded(t.join(numeric, "column", "left_semi").groupBy("column").agg(
         F.count(F.lit(1)).alias("n_values"), F.count(x).alias("n_numbers"),
@@ -228,8 +229,9 @@ SELECT col AS "column", n_numbers, round(mn, 4) AS "min", round(mx, 4) AS "max",
   round(mean, 4) AS mean, round(std, 4) AS std, round(p01, 4) AS p01, round(q1, 4) AS q1,
   round(med, 4) AS median, round(q3, 4) AS q3, round(p99, 4) AS p99, n_zero, n_negative FROM numstat""")
 def prf_13(spark, sf):
-    t = tagged(spark, sf)
-    return rounded(P.numeric_summary(P.numbers(t, P.infer_type(t))))
+    return rounded(profiled(spark, sf).summary.select(
+        "column", "n_numbers", "min", "max", "mean", "std", "p01", "q1", "median", "q3", "p99",
+        "n_zero", "n_negative"))
 
 
 @query("prf_14_iqr_outliers", WITH + """,
@@ -240,9 +242,8 @@ SELECT col AS "column", n_numbers, round(lo, 4) AS lower_bound, round(hi, 4) AS
   count(*) FILTER (WHERE x < lo OR x > hi) > 0.10 * n_numbers AS is_skewed
 FROM numrows JOIN o USING (col) GROUP BY col, n_numbers, lo, hi""")
 def prf_14(spark, sf):
-    t = tagged(spark, sf)
-    nums = P.numbers(t, P.infer_type(t))
-    return rounded(P.iqr_outliers(nums, P.numeric_summary(nums)).drop("outlier_examples"))
+    p = profiled(spark, sf)
+    return rounded(P.iqr_outliers(p.numbers, p.summary).drop("outlier_examples"))
 
 
 MISMATCH_SQL = WITH + """,
@@ -258,8 +259,8 @@ SELECT col AS "column", CAST(sum(n) AS BIGINT) AS n_mismatch,
   (SELECT string_agg(value, '|' ORDER BY value) FROM (SELECT value FROM bad b2
      WHERE b2.col = bad.col ORDER BY value LIMIT 8)) AS mismatch_examples FROM bad GROUP BY 1""")
 def prf_15(spark, sf):
-    t = tagged(spark, sf)
-    return P.type_mismatches(t, P.infer_type(t)).withColumn(
+    p = profiled(spark, sf)
+    return P.type_mismatches(p.values, p.types).withColumn(
         "mismatch_examples", F.array_join("mismatch_examples", "|"))
 
 
@@ -268,8 +269,8 @@ SELECT col AS "column", {FOLDED} AS folded, string_agg(value, '|' ORDER BY value
 FROM vc JOIN types USING (col) WHERE inferred_type IN ('categorical', 'text') AND n_distinct <= 500
 GROUP BY ALL HAVING count(*) > 1""")
 def prf_16(spark, sf):
-    t = tagged(spark, sf)
-    return P.label_variants(t, P.infer_type(t)).withColumn(
+    p = profiled(spark, sf)
+    return P.label_variants(p.values, p.types).withColumn(
         "variants", F.array_join("variants", "|"))
 
 
@@ -278,7 +279,7 @@ SELECT col AS "column", CAST(sum(n) AS BIGINT) AS n_mojibake,
   string_agg(v, '|' ORDER BY v) AS mojibake_examples
 FROM cells WHERE kind = 'present' AND regexp_matches(v, 'Ã|Â|â|�|ï»¿') GROUP BY 1""")
 def prf_17(spark, sf):
-    return P.mojibake_cells(P.cells(untidy(spark, sf))).withColumn(
+    return P.mojibake_cells(profiled(spark, sf).cells).withColumn(
         "mojibake_examples", F.array_join("mojibake_examples", "|"))
 
 
@@ -286,7 +287,7 @@ def prf_17(spark, sf):
 SELECT col AS "column", CAST(coalesce(sum(n) FILTER (WHERE kind = 'present' AND v <> txt), 0) AS BIGINT)
   AS n_untidy FROM cells GROUP BY 1""")
 def prf_18(spark, sf):
-    return P.untidy_whitespace(P.cells(untidy(spark, sf)))
+    return P.untidy_whitespace(profiled(spark, sf).cells)
 
 
 @query("prf_19_near_unique_key", WITH + """
@@ -295,8 +296,8 @@ SELECT col AS "column", round(100.0 * n_distinct / n_present, 2) AS distinct_pct
 WHERE round(100.0 * n_distinct / n_present, 2) >= 90 AND n_distinct < n_present
   AND inferred_type IN ('text', 'categorical', 'uuid')""")
 def prf_19(spark, sf):
-    c = P.cells(untidy(spark, sf))
-    return P.near_unique_key(P.distinct_profile(c), P.infer_type(P.classified(P.value_counts(c))))
+    p = profiled(spark, sf)
+    return P.near_unique_key(P.distinct_profile(p.cells), p.types)
 
 
 @query("prf_20_duplicate_rows", WITH + """,
@@ -332,7 +333,7 @@ SELECT 'orders' AS "table", col AS "column", finding, CAST(n AS BIGINT) AS n FRO
 def prf_22(spark, sf):
     shown = ["over half missing", "some missing", "nulls stored as text", "untidy whitespace",
              "type mismatch", "constant column", "boolean spellings", "near-unique key"]
-    cols = P.profile_table(untidy(spark, sf), "orders").columns()
+    cols = profiled(spark, sf).columns()
     return P.column_findings(cols).filter(F.col("finding").isin(*shown))
 
 
@@ -345,7 +346,7 @@ SELECT 'orders' AS "table", col AS "column", inferred_type, conf AS type_confide
     AS n_mismatch, round(med, 4) AS median, round(mean, 4) AS mean
 FROM types JOIN m USING (col) LEFT JOIN numstat USING (col)""")
 def prf_23(spark, sf):
-    return rounded(P.profile_table(untidy(spark, sf), "orders").columns().select(
+    return rounded(profiled(spark, sf).columns().select(
         "table", "column", "inferred_type", "type_confidence", "n_blank", "n_sentinel", "n_present",
         "n_distinct", "n_mismatch", "median", "mean"))
 
@@ -377,7 +378,7 @@ UNION ALL SELECT 'BLOCKER', 'amount', 'mixed currencies'
 UNION ALL SELECT 'BLOCKER', 'ordered', 'day/month order unknown'
 UNION ALL SELECT 'LOW', 'fixed', 'constant column')""")
 def prf_24(spark, sf):
-    p = P.profile_table(untidy(spark, sf), "orders")
+    p = profiled(spark, sf)
     shown = ["mostly missing", "partly missing", "nulls stored as text", "untidy whitespace",
              "over a fifth does not fit the type", "values do not fit the type",
              "mixed percent scale", "mixed currencies", "day/month order unknown",
@@ -392,7 +393,7 @@ def prf_24(spark, sf):
 SELECT col AS "column", v AS value, lower(trim(v)) IN ({_lit(X.PROFILE_SENTINELS)}) AS is_sentinel,
   CAST(n AS BIGINT) AS n FROM cells""")
 def fn_02(spark, sf):
-    c = P.cells(untidy(spark, sf))
+    c = profiled(spark, sf).cells
     return c.select("column", "value", X.is_sentinel(F.col("value")).alias("is_sentinel"), "n")
 
 
@@ -401,7 +402,7 @@ SELECT col AS "column", count(*) AS n_values, count(*) FILTER (WHERE {_re('value
   OR regexp_full_match(regexp_replace(value, '[$€%, ]', '', 'g'), '[+-]?([0-9]+|[0-9]+\\.[0-9]*|\\.[0-9]+)'))
   AS n_numeric FROM vc GROUP BY 1""")
 def fn_03(spark, sf):
-    vc = P.value_counts(P.cells(untidy(spark, sf)))
+    vc = P.value_counts(profiled(spark, sf).cells)
     return vc.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"), F.count_if(
         N.looks_numeric(F.col("value"))).alias("n_numeric"))
 

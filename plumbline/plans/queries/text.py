@@ -100,21 +100,22 @@ def txt_04(spark, sf):
 
 
 @query("txt_05_foreign_labels", """
-SELECT market AS id, lower(r_name) AS label, 1 AS n_mentions FROM
- (SELECT r_name AS market, lead(r_name) OVER (ORDER BY r_name) AS other FROM region) a
- JOIN region ON r_name = other""")
+SELECT c_custkey AS id, r_name AS label, 1 AS n_mentions FROM customer
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE n_name <> r_name""")
 def txt_05(spark, sf):
-    """Each region's sentence also names the next region, which its own result
-    does not hold."""
-    region = stage.table(spark, sf, "region")
-    nxt = region.select(F.col("r_name").alias("o"))
-    pairs = region.join(nxt, F.col("o") > F.col("r_name")).groupBy("r_name").agg(F.min("o").alias("o"))
-    texts = region.join(pairs, "r_name", "left").select("r_name", F.concat(
-        F.col("r_name"), F.lit(" leads, ahead of "), F.coalesce("o", F.lit("nobody")), F.lit("."))
-        .alias("sentence"))
-    own = region.select(F.col("r_name").alias("id"), F.col("r_name").alias("label"))
-    known = region.select(F.lower("r_name").alias("label"))
-    return CM.foreign_labels(texts, "r_name", "sentence", own, known)
+    """Each customer's sentence names its country, which its result holds, and
+    its region, which it does not."""
+    nation, region = (stage.table(spark, sf, t) for t in ("nation", "region"))
+    places = (stage.table(spark, sf, "customer")
+              .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+              .join(region, F.col("n_regionkey") == F.col("r_regionkey")))
+    texts = places.select("c_custkey", F.concat(
+        "n_name", F.lit(" leads, ahead of the rest of "), "r_name", F.lit(".")).alias("sentence"))
+    own = places.select(F.col("c_custkey").alias("id"), F.col("n_name").alias("label"))
+    known = region.select(F.col("r_name").alias("label")).unionByName(
+        nation.select(F.col("n_name").alias("label")))
+    return CM.foreign_labels(texts, "c_custkey", "sentence", own, known)
 
 
 @query("txt_06_match_registry")
