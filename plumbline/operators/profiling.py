@@ -17,6 +17,7 @@ from plumbline.functions import dates as D
 from plumbline.functions import numbers as N
 from plumbline.functions import text as X
 from plumbline.operators.quantiles import quantiles
+from plumbline.session import materialise
 
 # --- fixed values -----------------------------------------------------------
 BOOLEAN_WORDS = ("true", "t", "yes", "y", "1", "on", "false", "f", "no", "n", "0", "off")
@@ -339,7 +340,8 @@ class Profile:
 
     @cached_property
     def types(self) -> DataFrame:
-        return infer_type(self.values).persist()
+        # One row per column: written once, which keeps later plans short.
+        return materialise(infer_type(self.values))
 
     @cached_property
     def numbers(self) -> DataFrame:
@@ -347,10 +349,10 @@ class Profile:
 
     @cached_property
     def summary(self) -> DataFrame:
-        return numeric_summary(self.numbers).persist()
+        return materialise(numeric_summary(self.numbers))
 
     def unpersist(self) -> None:
-        for stage in ("summary", "numbers", "types", "values", "cells"):
+        for stage in ("numbers", "values", "cells"):
             if stage in self.__dict__:
                 self.__dict__.pop(stage).unpersist()
 
