@@ -177,7 +177,12 @@ def overlap_of_pairs(values: DataFrame, pairs: DataFrame, examples: int = 8) ->
         wanted = pairs.select(*ids, *_split_ref(side))
         sides.append(wanted.join(values, ["table", "column"]).select(
             *ids, "folded", "value", F.lit(side).alias("side")))
-    per = sides[0].unionByName(sides[1]).groupBy(*ids, "folded").agg(
+    return _overlap(sides[0].unionByName(sides[1]), ids, examples)
+
+
+def _overlap(sides: DataFrame, ids: Sequence[str], examples: int) -> DataFrame:
+    """Overlap figures per ``ids`` from labels marked left or right."""
+    per = sides.groupBy(*ids, "folded").agg(
         F.max(F.when(F.col("side") == "left", F.col("value"))).alias("l"),
         F.max(F.when(F.col("side") == "right", F.col("value"))).alias("r"))
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
@@ -190,8 +195,11 @@ def overlap_of_pairs(values: DataFrame, pairs: DataFrame, examples: int = 8) ->
     few = alone.withColumn("k", rank).filter(F.col("k") <= examples).groupBy(*ids).agg(*[
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.col("value")))), "|")
         .alias("only_" + s) for s in ("left", "right")])
+    stacked = counts.unionByName(few, allowMissingColumns=True)
+    beside = stacked.groupBy(*ids).agg(*[F.first(c, ignorenulls=True).alias(c)
+                                         for c in stacked.columns if c not in ids])
     share = F.round(F.try_divide(F.col("n_shared").cast("double"), F.least("n_left", "n_right")), 3)
-    return counts.join(few, ids, "left").select(
+    return beside.select(
         *ids, "n_shared", "n_left", "n_right", share.alias("overlap"),
         F.coalesce("only_left", F.lit("")).alias("only_left"),
         F.coalesce("only_right", F.lit("")).alias("only_right"))
@@ -199,12 +207,8 @@ def overlap_of_pairs(values: DataFrame, pairs: DataFrame, examples: int = 8) ->
 
 def value_overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str, examples: int = 8) -> DataFrame:
     """Shared folded labels of two columns over the smaller vocabulary."""
-    values = folded_values({"a": a.select(a_col), "b": b.select(b_col)})
-    pair = a.sparkSession.range(1).select(
-        F.lit("a").alias("left_table"), F.lit(a_col).alias("left_column"),
-        F.lit("b").alias("right_table"), F.lit(b_col).alias("right_column"))
-    return overlap_of_pairs(values, pair, examples).drop(
-        "left_table", "left_column", "right_table", "right_column")
+    values = folded_values({"left": a.select(a_col), "right": b.select(b_col)})
+    return _overlap(values.select(F.col("table").alias("side"), "folded", "value"), [], examples)
 
 
 def column_names(tables: Mapping[str, Sequence[str]], spark) -> DataFrame:
