@@ -12,7 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-AREAS = ("metrics", "validation", "cleaning", "insights", "profiling", "schema", "text")
+AREAS = ("metrics", "validation", "cleaning", "insights", "profiling", "schema", "text",
+         "sources")
 
 
 def query(name: str, sql: str | None = None):

@@ -157,13 +157,20 @@ def _as_text(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _one_record_per_line(spark: SparkSession, path: str) -> bool:
+    """Whether a ``.json`` file really holds one object on each line; read as
+    one document it would lose every record after the first."""
+    head = [r[0].strip() for r in spark.read.text(path).filter("trim(value) <> ''").take(2)]
+    return len(head) == 2 and all(h.startswith("{") and h.endswith("}") for h in head)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Records as text with nested objects flattened to ``a.b``.
 
     A ``.json`` object whose values include lists holds its records in the
     longest of them.
     """
-    lines = _suffix(path) in (".jsonl", ".ndjson")
+    lines = _suffix(path) in (".jsonl", ".ndjson") or _one_record_per_line(spark, path)
     df = spark.read.option("multiLine", str(not lines).lower()).option(
         "primitivesAsString", "true").json(path)
     lists = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)
