@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, url_filters
+from plumbline.llm import exact_dedup, mixing, quality_rules, toxicity, url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_suffix_array_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op3_sainte_lague_mix")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 @query("op6_exact_dedup", r"""
 with t as (
   select row_number() over () as rid, doc_id, length(coalesce(text, '')) as chars,
@@ -45,6 +56,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+@query("op7_convolutional_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1)
+        .alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        "cut", "rejected")
+
+
 # The tables hold no canonical or refresh elements, so classes are spellings here;
 # tests/llm compares linked pages with a brute-force search.
 @query("op8_url_redirect_classes", r"""
