@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, mixing, quality_rules, toxicity, url_filters
+from plumbline.llm import (
+    exact_dedup, mixing, quality_rules, substring_dedup, toxicity, url_filters,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +43,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op4_recompression", r"""
+with w as (
+  select row_number() over () as rid, doc_id,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from documents),
+g as (select rid, doc_id, ws, unnest(range(1, len(ws) - 48)) as p from w where len(ws) >= 50),
+k as (select rid, doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as h from g),
+m as (select h, min(doc_id) as lo from k group by h),
+hit as (select distinct rid, unnest(range(p, p + 50)) as p from k join m using (h) where doc_id > lo),
+gone as (select rid, list(p) as ps from hit group by rid)
+select doc_id, len(ws) as n_words, coalesce(len(ps), 0) as n_removed,
+       sha256(case when ps is null then array_to_string(ws, ' ') else array_to_string(
+         [ws[i] for i in range(1, len(ws) + 1) if not list_contains(ps, i)], ' ') end) as kept_sha256
+from w left join gone using (rid)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 @query("op6_exact_dedup", r"""
 with t as (
   select row_number() over () as rid, doc_id, length(coalesce(text, '')) as chars,
