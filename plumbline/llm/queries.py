@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact_dedup, mixing, quality_rules, substring_dedup, toxicity, url_filters,
+    exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup, toxicity, url_filters,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,28 @@ from named left join stance using (page)
 """)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
+
+
+@query("op9_multi_order_join", r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (
+  select distinct doc_id, md5(array_to_string(ws[p:p + 3], ' ')) as h
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as p from w
+        where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as i
+      from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b
+      where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+m as (select a as doc_id, min(b) as least from r group by a)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) as component_id
+from w left join n using (doc_id) left join m using (doc_id)
+""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = jaccard_join.join(table(spark, sf_dir, "documents"), size=4, percent=85)
+    return found.drop("class_id")
