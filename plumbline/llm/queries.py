@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact_dedup, jaccard_join, mixing, quality_rules, substring_dedup, toxicity, url_filters,
+    exact_dedup, jaccard_join, mixing, quality_rules, recurrent_lm,
+    substring_dedup, toxicity, url_filters,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +144,8 @@ from w left join n using (doc_id) left join m using (doc_id)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = jaccard_join.join(table(spark, sf_dir, "documents"), size=4, percent=85)
     return found.drop("class_id")
+
+
+@query("op10_recurrent_language_model")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.score(table(spark, sf_dir, "documents"))
