@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact_dedup, jaccard_join, mixing, quality_rules, recurrent_lm,
+    exact_dedup, jaccard_join, mixing, personal_data, quality_rules, recurrent_lm,
     substring_dedup, toxicity, url_filters,
 )
 
@@ -63,6 +63,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+@query("op5_skip_chain_pii")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal_data.find(docs, personal_data.fit(docs))
+
+
 @query("op6_exact_dedup", r"""
 with t as (
   select row_number() over () as rid, doc_id, length(coalesce(text, '')) as chars,
