@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.session import materialise
@@ -65,3 +65,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id", (-F.col("best.early")).alias("keep_id"), "group_size",
         (F.col("row") == -F.col("best.turn")).alias("kept"), "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"))
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns."""
+    stay = dedup(docs, id_col, text_col).where("kept").select(
+        F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same = F.sha2(F.regexp_replace(text, SPACE, ""), 256)
+    turn = Window.partitionBy(id_col, "stay_text").orderBy(F.length(text).desc())
+    met = docs.join(stay, F.col(id_col).eqNullSafe(F.col("stay_id")) & (same == F.col("stay_text")))
+    return met.withColumn("turn_of_id", F.row_number().over(turn)).where(
+        "turn_of_id = 1").select(*docs.columns)

@@ -90,7 +90,10 @@ def apportion(parties: DataFrame, votes: str, seats: Column, cap: str, by: list[
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
         repeats: int = 2, block: int = 64, shard_rows: int = 128, seed: int = 17,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, size, source, source_size, target, taken`` for every row.
+    """``doc_id, size, source, source_size, target, taken`` for every row, and its draw.
+
+    ``draw`` has the whole passes and what fixes the words drawn besides (see
+    ``drawn_text``).
 
     Each source is dealt by a seeded hash into shards of about ``shard_rows``
     rows, so a source with a third of all rows is many small tasks.  A shard's
@@ -155,7 +158,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         "doc_id", "size", "source", "source_size", "target",
         F.when(F.col("size") > 0, F.col("passes") * F.col("size")
                + _drawn("`to`") - _drawn("`from`")).otherwise(F.lit(0)).cast("long")
-        .alias("taken"))
+        .alias("taken"),
+        F.struct("passes", "from", "shard_size", "blocks", "rest", "offset").alias("draw"))
 
 
 def _drawn(at: str) -> Column:
@@ -172,3 +176,42 @@ def _drawn(at: str) -> Column:
     here = f"((({b} + 1) * rest + offset) div blocks - {before})"
     part = f"({at} * blocks % shard_size)"
     return F.expr(f"({before} * shard_size + {part} * {here}) div blocks")
+
+
+def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
+    """The mixed rows, with the columns of ``docs`` (``doc_id, text, source, n_chars`` among them).
+
+    A row comes out once for every whole pass, unchanged, and once more with
+    the words of the blocks drawn besides, if any (the text itself when all
+    are drawn, else those words joined by one space, with ``n_chars``
+    counted anew).  Decisions meet rows on doc_id; rows that share an id take
+    theirs in the order of source and size.
+    """
+    columns = docs.columns
+    made = mix(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
+        "source", "size", "draw"))).alias("draws")).withColumnRenamed("doc_id", "drawn_id")
+    turn = Window.partitionBy("doc_id").orderBy(
+        F.col("source").asc_nulls_first(), F.regexp_count(
+            F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
+    met = docs.join(made, F.col("doc_id").eqNullSafe(F.col("drawn_id"))).withColumn(
+        "draw", F.element_at("draws", F.row_number().over(turn))["draw"])
+    rest = met.withColumn("part", drawn_text(F.col("text"), F.col("draw")))
+    copies = F.concat(
+        F.when(F.col("draw.passes") > 0, F.array_repeat("text", F.col("draw.passes").cast("int")))
+        .otherwise(F.array().cast("array<string>")),
+        F.when(F.length("part") > 0, F.array("part")).otherwise(F.array().cast("array<string>")))
+    return rest.withColumn("copy", F.explode(copies)).select(*[
+        F.col("copy").alias("text") if c == "text"
+        else F.length("copy").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(c) for c in columns])
+
+
+def drawn_text(text: Column, draw: Column) -> Column:
+    """The words of a row that its shard's extra draw takes: those in drawn blocks."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    block = lambda i: F.floor((draw["from"] + i) * draw["blocks"] / draw["shard_size"])
+    step = lambda b: F.floor((b * draw["rest"] + draw["offset"]) / draw["blocks"])
+    taken = F.filter(words, lambda w, i: step(block(i) + 1) > step(block(i)))
+    return (F.when((draw["blocks"] == 0) | (draw["rest"] == 0) | text.isNull(), "")
+            .otherwise(F.when(F.size(taken) == F.size(words), text)
+                       .otherwise(F.array_join(taken, " "))))

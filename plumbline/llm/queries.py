@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact_dedup, jaccard_join, mixing, personal_data, quality_rules, recurrent_lm,
+    exact_dedup, jaccard_join, mixing, personal_data, pieces, quality_rules, recurrent_lm,
     substring_dedup, toxicity, url_filters,
 )
 
@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_piece_lattice")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.vocabulary()).drop("ids")
+
+
 @query("op2_suffix_array_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
@@ -41,7 +46,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_sainte_lague_mix")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("draw")
 
 
 @query("op4_recompression", r"""

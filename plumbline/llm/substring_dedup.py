@@ -34,8 +34,8 @@ class Symbols:
                                            self.high)))
 
 
-def _runs(t: Symbols, salt: int) -> Symbols:
-    """Name every maximal run of one symbol after the symbol and its length."""
+def _runs(t: Symbols, salt: int) -> tuple[Symbols, np.ndarray]:
+    """Name every maximal run of one symbol after it and its length; also each one's new place."""
     n = len(t.name)
     head = np.ones(n, bool)
     head[1:] = (t.name[1:] != t.name[:-1]) | (t.row[1:] != t.row[:-1])
@@ -47,19 +47,18 @@ def _runs(t: Symbols, salt: int) -> Symbols:
     left, right = np.maximum(a - 1, 0), np.minimum(b + 1, n - 1)
     low = np.where((a > 0) & (t.row[left] == t.row[a]), np.minimum(low, t.low[left]), -FAR)
     high = np.where((b < n - 1) & (t.row[right] == t.row[a]), np.maximum(high, t.high[right]), FAR)
-    return Symbols(name, t.row[a], t.start[a], t.end[b], low, high)
+    return Symbols(name, t.row[a], t.start[a], t.end[b], low, high), np.cumsum(head) - 1
 
 
-def _pairs(t: Symbols, salt: int, size: int) -> Symbols:
+def _pairs(t: Symbols, salt: int) -> tuple[Symbols, np.ndarray]:
     """Name every pair of a left symbol and a right one; a coin by name tells them apart.
 
-    Symbols that span ``size`` words or more take no part.  Whether a symbol
-    stays single hangs on one neighbour, the one it could have joined.
+    Whether a symbol stays single hangs on one neighbour, the one it could
+    have joined.  Also each symbol's new place.
     """
     n = len(t.name)
     coin = (salted(t.name, 2 * salt) >> np.uint64(63)).astype(bool)
-    small = t.end - t.start < size
-    left, right = small & coin, small & ~coin
+    left, right = coin, ~coin
     together = np.zeros(n, bool)
     same = t.row[1:] == t.row[:-1]
     together[:-1] = left[:-1] & right[1:] & same
@@ -79,29 +78,36 @@ def _pairs(t: Symbols, salt: int, size: int) -> Symbols:
     high[i] = np.maximum(t.high[i], t.high[i + 1])
     name[i] = salted(t.name[i] * _ODD + salted(t.name[i + 1], 1), 2 * salt)
     end[i] = t.end[i + 1]
-    return Symbols(name, t.row, t.start, end, low, high).take(~second)
+    return Symbols(name, t.row, t.start, end, low, high).take(~second), np.cumsum(~second) - 1
 
 
-def parse(row: np.ndarray, h: np.ndarray, size: int, low_rounds: int,
-          rounds: int) -> tuple[Symbols, Symbols]:
-    """Symbols after ``low_rounds`` rounds, and the first ones that span ``size`` words.
+def parse(row: np.ndarray, h: np.ndarray, low_rounds: int,
+          rounds: int) -> tuple[Symbols, list[tuple[Symbols, np.ndarray]]]:
+    """Symbols after ``low_rounds`` rounds, and each later level with their places in it.
 
     Names are functions of the words spanned, so equal names are equal words
     everywhere, and a symbol whose name hangs on words inside a passage comes
-    out the same wherever that passage stands.
+    out the same wherever that passage stands.  Rounds go on until every row
+    is one symbol.
     """
     at = np.arange(len(h), dtype=np.int64)
-    t = Symbols(h, row, at, at + 1, at, at + 1)
-    low = t
+    t, low, above, up = Symbols(h, row, at, at + 1, at, at + 1), None, [], at
+    if not len(h):
+        return t, above
     for r in range(rounds):
-        if len(t.name) == 0:
-            break
+        if r == low_rounds:
+            low, up = t, np.arange(len(t.name))
+            above.append((t, up))
         if r % 8 == 0:
-            t = _runs(t, r)
-        t = _pairs(t, r, size)
-        if r + 1 == low_rounds:
-            low = t
-    return low, t.take(t.end - t.start >= size) if len(t.name) else t
+            t, to = _runs(t, r)
+            up = to[up]
+        t, to = _pairs(t, r)
+        up = to[up]
+        if low is not None:
+            above.append((t, up))
+            if t.row[0] != t.row[-1] and not (t.row[1:] == t.row[:-1]).any() or len(t.name) == 1:
+                break
+    return low, above
 
 
 def _marks(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -134,42 +140,66 @@ class Settings:
 
 def _regions(w: Words, h: np.ndarray, doc_id: np.ndarray, shared: pa.Array,
              s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Words that a long symbol removes, and the windows that remain to be compared.
-
-    A window that holds the whole context of an unshared symbol occurs in one
-    document only.  One inside a long symbol that a smaller document has is
-    settled, and the smallest document of a window never settles it so.
+    """Words that long symbols remove, and the windows that remain to be compared.
+
+    A window that holds the whole context of a symbol seen in one document
+    occurs in that one; a window inside a run may hold no context at all.
+    One inside a long symbol that a smaller document has is settled, and the
+    smallest document of a window never settles it so.  One inside a long
+    symbol X that holds the context of a short symbol of X, seen as often as
+    X, is closed: wherever the window stands, that short symbol stands, hence
+    X around it, which settles the window or makes that document its smallest.
     """
-    row, (name, least) = _flat(shared)
+    row, (name, least, often) = _flat(shared)
     key = _keyed(row, name.astype(np.int64).view(np.uint64))
     order = np.argsort(key)
-    key, least = key[order], least[order]
+    key, least, often = key[order], least[order], often[order]
 
-    def found(t: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    def seen(t: Symbols) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of each symbol (1 when not shared) and its least document."""
+        if not len(key):
+            return np.ones(len(t.name), np.int64), doc_id[t.row]
         mine = _keyed(t.row, t.name)
-        at = np.minimum(np.searchsorted(key, mine), max(len(key) - 1, 0))
-        hit = key[at] == mine if len(key) else np.zeros(len(mine), bool)
-        return hit, np.where(hit, least[at], 0) if len(key) else np.zeros(len(mine), np.int64)
+        at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+        hit = key[at] == mine
+        return np.where(hit, often[at], 1), np.where(hit, least[at], doc_id[t.row])
 
-    low, long = parse(w.doc, h, s.size, s.low_rounds, s.rounds)
     n = len(h)
-    lone = low.take(~found(low)[0] & (low.low > -FAR) & (low.high < FAR))
-    single = _marks(n, lone.high - s.size, lone.low + 1)
-    hit, first = found(long)
-    long = long.take(hit & (first < doc_id[long.row]))
-    removed = _marks(n, long.start, long.end)
-    settled = _marks(n, long.start, long.end - s.size + 1)
+    low, levels = parse(w.doc, h, s.low_rounds, s.rounds)
+    whole = (low.low > -FAR) & (low.high < FAR)
+    times, _ = seen(low)
+    lone = low.take(whole & (times == 1))
+    out = _marks(n, lone.high - s.size, lone.low + 1)
+    removed = np.zeros(n, bool)
+    from_, to = np.zeros(len(low.name), np.int64), np.zeros(len(low.name), np.int64)
+    for t, up in levels:
+        big = np.flatnonzero(t.end - t.start >= s.size)
+        if not len(big):
+            continue
+        x = t.take(big)
+        count, first = seen(x)
+        took = x.take(first < doc_id[x.row])
+        removed |= _marks(n, took.start, took.end)
+        out |= _marks(n, took.start, took.end - s.size + 1)
+        place = np.full(len(t.name), -1)
+        place[big] = np.arange(len(big))
+        mine = place[up]
+        same = (mine >= 0) & whole & (times > 1)
+        same &= count[mine] == times
+        from_[same], to[same] = x.start[mine[same]], x.end[mine[same]]
+    out |= _marks(n, np.maximum(low.high - s.size, from_),
+                  np.where(to > from_, np.minimum(low.low, to - s.size) + 1, 0))
     at = starts_of_windows(w, s.size)
-    return removed, at[~single[at] & ~settled[at]]
+    return removed, at[~out[at]]
 
 
-def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 20,
+def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for every row.
 
     A word goes when a window of ``size`` words that covers it also starts in
     a document with a smaller id.  Rounds name runs and pairs of words, then
-    of symbols, until symbols are long; the names go through one shuffle with
+    of symbols, until a text is one symbol; the names go through one shuffle with
     a partial minimum, so a passage in a third of all documents costs its
     occurrences and no pairs.  Names seen in one document rule windows out,
     long names settle the inside of repeats, and the windows left, mostly at
@@ -190,18 +220,24 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 20
             for part in slices(batch):
                 w = split_words(part.column("text"))
                 ids = np.asarray(part.column("doc_id"))
-                low, long = parse(w.doc, w.hashes(), s.size, s.low_rounds, s.rounds)
-                row = np.concatenate([low.row, long.row])
-                name = np.concatenate([low.name, long.name])
+                low, levels = parse(w.doc, w.hashes(), s.low_rounds, s.rounds)
+                long = [t.take(t.end - t.start >= s.size) for t, _ in levels]
+                row = np.concatenate([low.row, *(t.row for t in long)])
+                name = np.concatenate([low.name, *(t.name for t in long)])
+                start = np.concatenate([low.start, *(t.start for t in long)])
                 enough = w.counts()[row] >= s.size
-                row, name = row[enough], name[enough]
-                order = np.lexsort((name, row))
-                row, name = row[order], name[order]
+                row, name, start = row[enough], name[enough], start[enough]
+                order = np.lexsort((start, name, row))
+                row, name, start = row[order], name[order], start[order]
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+                other = new.copy()  # a symbol that stays is one occurrence on all its levels
+                other[1:] |= start[1:] != start[:-1]
+                heads = np.flatnonzero(new)
+                times = np.add.reduceat(other, heads, dtype=np.int32) if len(heads) else heads
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[new].view(np.int64)), pa.array(ids[row[new]])],
-                    names=["name", "doc_id"])
+                    [pa.array(name[new].view(np.int64)), pa.array(ids[row[new]]),
+                     pa.array(times, pa.int32())], names=["name", "doc_id", "times"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,13 +254,15 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 20
             for part in slices(batch):
                 yield _cut(part, s)
 
-    named = texts.where("doc_id is not null").mapInArrow(name_all, "name bigint, doc_id bigint")
-    common = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("m")) \
-        .where("least < m").select("name", "least")
-    shared = named.join(common, "name").groupBy("doc_id").agg(
-        F.collect_list(F.struct("name", "least")).alias("shared"))
+    named = texts.where("doc_id is not null").mapInArrow(
+        name_all, "name bigint, doc_id bigint, times int")
+    common = named.groupBy("name").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("m"), F.sum("times").alias("times")
+    ).where("least < m").select("name", "least", "times")
+    shared = named.select("name", "doc_id").join(common, "name").groupBy("doc_id").agg(
+        F.collect_list(F.struct("name", "least", "times")).alias("shared"))
     marked = texts.join(shared, "doc_id", "left")
-    open_ = marked.where("shared is not null").mapInArrow(
+    open_ = marked.where("doc_id is not null").mapInArrow(
         windows, "a bigint, b bigint, doc_id bigint")
     again = open_.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("m")) \
         .where("least < m").select("a", "b", "least")
@@ -238,7 +276,7 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 20
 def _cut(part: pa.RecordBatch, s: Settings) -> pa.RecordBatch:
     w = split_words(part.column("text"))
     gone = np.zeros(len(w.start), bool)
-    if part.column("shared").null_count < part.num_rows:
+    if min(part.column(c).null_count for c in ("shared", "repeats")) < part.num_rows:
         h = w.hashes()
         ids = np.asarray(part.column("doc_id").fill_null(0))
         gone, at = _regions(w, h, ids, part.column("shared"), s)
