@@ -8,13 +8,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import ship
 from plumbline.llm.words import Words, salted, slices, split_words, starts_of_windows, window_hashes
 
-FAR = np.int64(1) << 60
+FAR = np.int32(1 << 30)
 _ODD = np.uint64(0xD1342543DE82EF95)
 
 
@@ -82,7 +83,7 @@ def _pairs(t: Symbols, salt: int) -> tuple[Symbols, np.ndarray]:
 
 
 def parse(row: np.ndarray, h: np.ndarray, low_rounds: int,
-          rounds: int) -> tuple[Symbols, list[tuple[Symbols, np.ndarray]]]:
+          rounds: int, places: bool = True) -> tuple[Symbols, list[tuple[Symbols, np.ndarray]]]:
     """Symbols after ``low_rounds`` rounds, and each later level with their places in it.
 
     Names are functions of the words spanned, so equal names are equal words
@@ -90,8 +91,9 @@ def parse(row: np.ndarray, h: np.ndarray, low_rounds: int,
     out the same wherever that passage stands.  Rounds go on until every row
     is one symbol.
     """
-    at = np.arange(len(h), dtype=np.int64)
-    t, low, above, up = Symbols(h, row, at, at + 1, at, at + 1), None, [], at
+    at = np.arange(len(h), dtype=np.int32)
+    t, low, above = Symbols(h, row.astype(np.int32), at, at + 1, at, at + 1), None, []
+    up = at[:0]
     if not len(h):
         return t, above
     for r in range(rounds):
@@ -100,9 +102,9 @@ def parse(row: np.ndarray, h: np.ndarray, low_rounds: int,
             above.append((t, up))
         if r % 8 == 0:
             t, to = _runs(t, r)
-            up = to[up]
+            up = to[up] if places else up
         t, to = _pairs(t, r)
-        up = to[up]
+        up = to[up] if places else up
         if low is not None:
             above.append((t, up))
             if t.row[0] != t.row[-1] and not (t.row[1:] == t.row[:-1]).any() or len(t.name) == 1:
@@ -165,7 +167,7 @@ def _regions(w: Words, h: np.ndarray, doc_id: np.ndarray, shared: pa.Array,
         return np.where(hit, often[at], 1), np.where(hit, least[at], doc_id[t.row])
 
     n = len(h)
-    low, levels = parse(w.doc, h, s.low_rounds, s.rounds)
+    low, levels = parse(w.doc, h, s.low_rounds, s.rounds if len(key) else s.low_rounds + 1)
     whole = (low.low > -FAR) & (low.high < FAR)
     times, _ = seen(low)
     lone = low.take(whole & (times == 1))
@@ -220,7 +222,7 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
             for part in slices(batch):
                 w = split_words(part.column("text"))
                 ids = np.asarray(part.column("doc_id"))
-                low, levels = parse(w.doc, w.hashes(), s.low_rounds, s.rounds)
+                low, levels = parse(w.doc, w.hashes(), s.low_rounds, s.rounds, False)
                 long = [t.take(t.end - t.start >= s.size) for t, _ in levels]
                 row = np.concatenate([low.row, *(t.row for t in long)])
                 name = np.concatenate([low.name, *(t.name for t in long)])
@@ -242,17 +244,24 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                w = split_words(part.column("text"))
-                h, ids = w.hashes(), np.asarray(part.column("doc_id"))
-                _, at = _regions(w, h, ids, part.column("shared"), s)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(window_hashes(h, s.size, k)[at].view(np.int64)) for k in (5, 6)),
-                     pa.array(ids[w.doc[at]])], names=["a", "b", "doc_id"])
+                part = part.filter(part.column("doc_id").is_valid())
+                known = part.column("shared").is_valid()
+                for some in (part.filter(known), part.filter(pc.invert(known))):
+                    w = split_words(some.column("text"))
+                    h, ids = w.hashes(), np.asarray(some.column("doc_id"))
+                    _, at = _regions(w, h, ids, some.column("shared"), s)
+                    a, b = (window_hashes(h, s.size, k)[at] for k in (5, 6))
+                    _, first = np.unique(_keyed(w.doc[at], a), return_index=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)),
+                         pa.array(ids[w.doc[at[first]]])], names=["a", "b", "doc_id"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield _cut(part, s)
+                known = pc.or_(part.column("shared").is_valid(), part.column("repeats").is_valid())
+                yield _cut(part.filter(known), s)
+                yield _cut(part.filter(pc.invert(known)), s)
 
     named = texts.where("doc_id is not null").mapInArrow(
         name_all, "name bigint, doc_id bigint, times int")
@@ -262,7 +271,7 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
     shared = named.select("name", "doc_id").join(common, "name").groupBy("doc_id").agg(
         F.collect_list(F.struct("name", "least", "times")).alias("shared"))
     marked = texts.join(shared, "doc_id", "left")
-    open_ = marked.where("doc_id is not null").mapInArrow(
+    open_ = marked.mapInArrow(
         windows, "a bigint, b bigint, doc_id bigint")
     again = open_.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("m")) \
         .where("least < m").select("a", "b", "least")
