@@ -18,8 +18,8 @@ from plumbline.llm.words import (
 from plumbline.session import materialise
 
 _ODD = np.uint64(0xD1342543DE82EF95)
-#: Hashes that order tokens, for the long prefix and for the parts.
-FIRST_ORDER, PART_ORDERS = 11, (12, 13, 14)
+#: Hashes that order tokens in parts; bits of a token; bits of a sketch per token.
+PART_ORDERS, TOKEN_BITS, SKETCH_BITS = (12, 13, 14), 48, 8
 
 
 @dataclass
@@ -51,9 +51,10 @@ class Rule:
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every distinct n-gram, ordered by row and then hash.
+    """Row and 48-bit hash of every distinct n-gram, ordered by row and then hash.
 
-    A row with fewer words than ``size`` has its whole sequence as one.
+    A row with fewer words than ``size`` has its whole sequence as one.  At
+    most 65,536 rows at a time, so that row and hash sort as one number.
     """
     h = w.hashes()
     at = starts_of_windows(w, size)
@@ -64,11 +65,38 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(few):
             row = np.concatenate([row, few])
             token = np.concatenate([token, salted(window_hashes(h, k)[w.first[few]], 100 + k)])
-    order = np.lexsort((token, row))
-    row, token = row[order], token[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (token[1:] != token[:-1])
-    return row[new], token[new]
+    bits = np.uint64(TOKEN_BITS)
+    key = np.unique((row.astype(np.uint64) << bits) | (token >> (np.uint64(64) - bits)))
+    return (key >> bits).astype(np.int64), key & np.uint64((1 << TOKEN_BITS) - 1)
+
+
+def packed(token: np.ndarray) -> bytes:
+    return token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BITS // 8].tobytes()
+
+
+def unpacked(code: bytes) -> np.ndarray:
+    width = TOKEN_BITS // 8
+    out = np.zeros((len(code) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(code, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def sketch(token: np.ndarray) -> bytes:
+    """A bit for every token, in a power of two of bits: sets differ at least where bits do."""
+    bits = max(64, 1 << int(len(token) * SKETCH_BITS - 1).bit_length())
+    marks = np.zeros(bits, np.uint8)
+    marks[(token % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(marks).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] | a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] | b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
@@ -113,15 +141,36 @@ def part_keys(token: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link, by exact intersection."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").where(
-        100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-
-
-def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 10,
+    """The pairs ``a, b`` whose sets link: sketches rule most others out, whole sets decide."""
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
+            most = n * (100 - percent) // (100 + percent)
+            apart = np.array([differing(x, y) for x, y in zip(
+                batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)],
+                np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(),
+                            strict=True):
+                u, v = unpacked(x), unpacked(y)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                kept.append(100 * both >= percent * (len(u) + len(v) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    for column, check in (("sketch", close), ("tokens", exact)):
+        left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("m"),
+                           F.col(column).alias("x"))
+        right = sets.select(F.col("doc_id").alias("b"), "n", F.col(column).alias("y"))
+        pairs = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
+            check, "a bigint, b bigint")
+    return pairs.distinct()
+
+
+def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, few: int = 50,
          id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``doc_id, n_shingles, class_id, component_id`` for every row, and verified links.
 
@@ -130,13 +179,16 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 10,
     2. Under one token order, linked sets share ``shared`` tokens among the
        first n - ceil(n * percent / 100) + ``shared`` of each.  A token seen
        in one class links nothing; a set with fewer seen in more is done.
-    3. The sets left meet in ``part_keys``.  Each is compared with the set it
-       meets most among the least of its keys; these links already join large
-       groups.  Then all pairs that share a key and are not yet in one
-       component are compared, so that no link between components is missed
-       and none inside one has to be enumerated.
-
-    Links compare whole sets of 64-bit token hashes.  Null and empty texts
+    3. Sets meet in shared prefix tokens seen at most ``few`` times.  Two
+       linked sets that share no such token have ``shared`` frequent ones
+       each, and sets with so many also meet in ``part_keys``, whose several
+       orders tell apart what only has a passage in common.
+    4. Each set is compared with the one it meets most among the least of its
+       keys; these links already join large groups.  Then all pairs that meet
+       and are not yet in one component are compared, so that no link between
+       components is missed and none inside one has to be enumerated.
+
+    Links compare whole sets of 48-bit token hashes.  Null and empty texts
     have an empty set and link with nothing; a row with a null id takes no
     part and has a null component; rows with one id are one node.  Repeated
     rows get repeated results; extra columns are ignored; no rows, no rows.
@@ -147,62 +199,93 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 10,
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                         F.col(text_col).alias("text"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for part in slices(batch):
-                row, token = shingles(split_words(part.column("text"), lower=True), rule.size)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"),
-                     *(pa.array(x) for x in signatures(row, token, part.num_rows))],
-                    names=["doc_id", "n", "s", "t"])
+                for at in range(0, part.num_rows, 1 << 16):
+                    some = part.slice(at, 1 << 16)
+                    yield some, *shingles(split_words(some.column("text"), lower=True), rule.size)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, token in read(batches):
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"),
+                 *(pa.array(x) for x in signatures(row, token, part.num_rows))],
+                names=["doc_id", "n", "s", "t"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, token in read(batches):
+            n, s, _ = signatures(row, token, part.num_rows)
+            first = np.concatenate([[0], np.cumsum(n)])
+            rank = np.arange(len(row)) - first[row]
+            least = rule.least(n)
+            keep = rank < (n - least + np.minimum(rule.shared, least))[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[keep].view(np.int64)), pa.array(s[row[keep]])],
+                names=["token", "s"])
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
-            for part in slices(batch):
-                row, token = shingles(split_words(part.column("text"), lower=True), rule.size)
-                n, s, _ = signatures(row, token, part.num_rows)
-                place = salted(token, FIRST_ORDER)
-                order = np.lexsort((place, row))
-                first = np.concatenate([[0], np.cumsum(n)])
-                rank = np.arange(len(row)) - first[row]
-                keep = rank < (n - rule.least(n) + np.minimum(rule.shared, rule.least(n)))[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(place[order][keep].view(np.int64)), pa.array(s[row[keep]])],
-                    names=["token", "s"])
+            raw = [(x or "").encode() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()),
+                 pa.array([codec.compress(x, asbytes=True) for x in raw], pa.binary())],
+                names=["doc_id", "size", "code"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                row, token = shingles(split_words(part.column("text"), lower=True), rule.size)
-                first = np.searchsorted(row, np.arange(part.num_rows + 1))
-                keys = [part_keys(token[a:b], rule)
-                        for a, b in zip(first[:-1], first[1:], strict=True)]
-                at = np.repeat(np.arange(part.num_rows), [len(k) for k in keys])
-                flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        codec = pa.Codec("zstd")
+
+        def opened() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                raw = [codec.decompress(c, n, asbytes=True) for c, n in zip(
+                    batch.column("code").to_pylist(), batch.column("size").to_pylist(),
+                    strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"),
-                     lists_by_row(token.view(np.int64), row, part.num_rows, pa.int64()),
-                     lists_by_row(flat.view(np.int64), at, part.num_rows, pa.int64())],
-                    names=["doc_id", "tokens", "keys"])
+                    [batch.column("doc_id"), batch.column("frequent"),
+                     pa.array(raw, pa.binary()).cast(pa.string())],
+                    names=["doc_id", "frequent", "text"])
+
+        for part, row, token in read(opened()):
+            first = np.searchsorted(row, np.arange(part.num_rows + 1))
+            sets = [token[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            keys = [part_keys(t, rule) if f else token[:0] for t, f in zip(
+                sets, part.column("frequent").to_pylist(), strict=True)]
+            at = np.repeat(np.arange(part.num_rows), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()),
+                 pa.array([packed(t) for t in sets], pa.binary()),
+                 pa.array([sketch(t) for t in sets], pa.binary()),
+                 lists_by_row(np.concatenate(keys).view(np.int64), at, part.num_rows, pa.int64())],
+                names=["doc_id", "n", "tokens", "sketch", "keys"])
 
     signed = materialise(texts.mapInArrow(sign, "doc_id bigint, n bigint, s bigint, t bigint"))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "s", "t").agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
 
     tokens = texts.where("doc_id is not null").mapInArrow(prefixes, "token bigint, s bigint")
-    common = tokens.groupBy("token").agg(F.min("s").alias("m"), F.max("s").alias("x")).where(
-        "m <> x").select("token")
-    met = tokens.join(common, "token").groupBy("s").agg(F.count(F.lit(1)).alias("hits"))
-    need = F.least(F.lit(rule.shared), F.ceil(F.col("n") * percent / 100))
-    left = classes.join(met, "s").where(F.col("hits") >= need * F.col("copies")).select(
-        F.col("class_id").alias("doc_id"))
-    sets = materialise(texts.join(left.distinct(), "doc_id").distinct().mapInArrow(
-        whole, "doc_id bigint, tokens array<bigint>, keys array<bigint>"))
-
-    keyed = sets.select("doc_id", F.size("tokens").alias("n"), F.explode("keys").alias("key"))
+    common = tokens.groupBy("token").agg(
+        F.min("s").alias("m"), F.max("s").alias("x"), F.count(F.lit(1)).alias("seen")).where(
+        "m <> x").select("token", "seen")
+    met = materialise(tokens.join(common, "token"))
+    hits = met.groupBy("s").agg(F.count(F.lit(1)).alias("hits"), F.sum(
+        F.when(F.col("seen") > few, 1).otherwise(0)).alias("frequent"))
+    need = F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)) * F.col("copies")
+    left = materialise(classes.join(hits, "s").where(F.col("hits") >= need).select(
+        F.col("class_id").alias("doc_id"), "s", "n", (F.col("frequent") >= need).alias("frequent")))
+    flags = left.groupBy("doc_id").agg(F.max("frequent").alias("frequent"))
+    coded = texts.mapInArrow(squeeze, "doc_id bigint, size bigint, code binary")
+    sets = materialise(coded.join(flags, "doc_id").mapInArrow(
+        whole, "doc_id bigint, n bigint, tokens binary, sketch binary, keys array<bigint>"))
+
+    by_token = met.where(F.col("seen") <= few).join(left.select("s", "doc_id", "n"), "s").select(
+        F.col("token").alias("key"), "doc_id", "n").distinct()
+    by_part = sets.select(F.explode("keys").alias("key"), "doc_id", "n")
+    keyed = by_token.unionByName(by_part)
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("m")).where(
         "hub < m").select("key", "hub")
-    votes = keyed.join(hubs, "key").where("doc_id > hub").groupBy("doc_id", "hub").count()
+    keyed = materialise(keyed.join(hubs, "key"))
+    votes = keyed.where("doc_id > hub").groupBy("doc_id", "hub").count()
     chosen = votes.groupBy("doc_id").agg(
         F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("v")).select(
         F.col("doc_id").alias("a"), (-F.col("v.h")).alias("b"))
@@ -219,7 +302,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 10,
         f"l.key = r.key and l.doc_id < r.doc_id and l.c <> r.c "
         f"and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)")).select(
         F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-    links = materialise(links.unionByName(_verified(pairs, sets, percent)))
+    links = materialise(links.unionByName(_verified(pairs, sets, percent)).distinct())
     final = components(links, "a", "b")
 
     found = signed.join(classes, ["n", "s", "t"], "left").join(
