@@ -52,6 +52,7 @@ def main() -> None:
     for label, name in HEADLINE.items():
         fn, took = registry.QUERIES[name], []
         for _ in range(3):
+            spark.catalog.clearCache()  # no run reads what another has kept
             start = time.perf_counter()
             fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
             took.append(time.perf_counter() - start)

@@ -103,7 +103,7 @@ def parse_first(c: Column, formats: list[str] | tuple[str, ...]) -> Column:
 
 def could_be_date(v: Column) -> Column:
     """Cheap pre-check that keeps non-dates away from the parsers."""
-    return (F.length(v) <= 40) & (v != "") & (v.rlike(r"[-/. ]") | v.rlike(r"\A\d{8}\z"))
+    return (v != "") & (v.rlike(r"[-/. ]") | v.rlike(r"\A\d{8}\z"))
 
 
 def matching_formats(c: Column) -> Column:

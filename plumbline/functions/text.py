@@ -86,13 +86,13 @@ def fold_key(c: Column) -> Column:
 def _accent_rules() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """Derive the accent fold from Unicode decompositions."""
     source, target, multi = [], [], []
-    for point in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
+    for point in range(0x80, sys.maxunicode + 1):
         ch = chr(point)
         folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
         if len(folded) == 1:
             source.append(ch)
             target.append(folded)
-        elif len(folded) > 1 and (point <= 0x24F or 0xFB00 <= point <= 0xFB06):
+        elif len(folded) > 1:
             multi.append((ch, folded))
     return "".join(source), "".join(target), tuple(multi)
 
@@ -100,9 +100,12 @@ def _accent_rules() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def ascii_fold(c: Column) -> Column:
     """Drop accents and every character with no ASCII form."""
     source, target, multi = _accent_rules()
-    folded = F.translate(c, source, target)
-    for ch, repl in multi:
-        folded = F.replace(folded, F.lit(ch), F.lit(repl))
+    # forms of several letters are rare, so texts without one skip the look-up
+    longer = F.create_map(*[F.lit(x) for pair in multi for x in pair])
+    spelt = F.concat_ws("", F.transform(
+        F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(longer, ch), ch)))
+    some = "[" + "".join(ch for ch, _ in multi) + "]"
+    folded = F.translate(F.when(c.rlike(some), spelt).otherwise(c), source, target)
     folded = F.regexp_replace(folded, r"[^\x00-\x7F]", "")
     return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 

@@ -51,9 +51,7 @@ ALLOWED = {
     "integer": ("count", "shape"),
     "": ("money", "percent", "days", "count", "shape"),
 }
-PAIR_ROWS = 30
 SMALL = 100
-MIN_LABEL = 3
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -98,74 +96,110 @@ def extract_claims(df: DataFrame, key: str, text: str) -> DataFrame:
         kind.alias("kind"), "is_signed", "is_top_n")
 
 
-def claim_candidates(results: DataFrame, key: str, kinds: Mapping[str, str],
-                     order: Sequence[str]) -> DataFrame:
-    """Every number a true sentence about a result could hold.
-
-    Values, sum, mean and range come from all rows.  Running sums, shares and
-    pairwise readings use the first thirty rows, which are held as one array.
-    """
+def claim_values(results: DataFrame, key: str, kinds: Mapping[str, str],
+                 order: Sequence[str]) -> DataFrame:
+    """The present numbers of a result: (id, row, column, kind, v)."""
     rows = F.row_number().over(Window.partitionBy(key).orderBy(
         *[F.desc_nulls_last(o[1:]) if o.startswith("-") else F.asc_nulls_last(o) for o in order]))
-    long = results.select(F.col(key).alias("id"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"),
-                 F.col(c).cast("double").alias("v")) for c, k in kinds.items()])).alias("e")
-    ).select("id", "e.*").filter("v IS NOT NULL")
-    totals = long.groupBy("id", "column", "kind").agg(
-        F.sum("v").alias("s"), F.avg("v").alias("m"), (F.max("v") - F.min("v")).alias("r"))
-    wide = totals.select("id", "kind", F.explode(F.array("s", "m", "r")).alias("candidate"))
-    first = results.withColumn("_i", rows).filter(F.col("_i") <= PAIR_ROWS).select(
-        F.col(key).alias("id"), "_i", F.explode(F.array(*[
+    return results.withColumn("_row", rows).select(
+        F.col(key).alias("id"), F.col("_row").alias("row"), F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.lit(k).alias("kind"),
                      F.col(c).cast("double").alias("v")) for c, k in kinds.items()])).alias("e")
-    ).select("id", "_i", "e.*").filter("v IS NOT NULL")
-    packed = first.groupBy("id", "column", "kind").agg(F.transform(
-        F.sort_array(F.collect_list(F.struct("_i", "v"))), lambda s: s["v"]).alias("vs"))
-    running = F.transform(F.sequence(F.lit(1), F.size("vs")), lambda n: F.aggregate(
-        F.slice("vs", F.lit(1), n), F.lit(0.0), lambda a, b: a + b))
-    total = F.aggregate("vs", F.lit(0.0), lambda a, b: a + b)
-    shares = F.transform("vs", lambda v: F.try_divide(100.0 * v, total))
-    pairs = F.flatten(F.transform("vs", lambda a, i: F.transform(
-        F.slice("vs", i + 2, F.size("vs")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    held = packed.withColumns({"running": running, "shares": shares, "pairs": pairs})
-    diffs = F.transform("pairs", lambda p: F.abs(p["a"] - p["b"]))
-    ratios = F.flatten(F.transform("pairs", lambda p: F.array(
-        F.try_divide(100.0 * p["a"], p["b"]), 100.0 * (F.try_divide(p["a"], p["b"]) - 1.0),
-        F.try_divide(100.0 * p["b"], p["a"]), 100.0 * (F.try_divide(p["b"], p["a"]) - 1.0))))
-    near = held.select("id", "kind", F.explode(F.concat("running", diffs)).alias("candidate"))
-    pct = held.select("id", F.lit("percent").alias("kind"),
-                      F.explode(F.concat("shares", ratios)).alias("candidate"))
+    ).select("id", "row", "e.*").filter("v IS NOT NULL")
+
+
+def claim_candidates(results: DataFrame, key: str, kinds: Mapping[str, str],
+                     order: Sequence[str]) -> DataFrame:
+    """Every number that a true sentence could take from single rows or totals.
+
+    Values, running sums, shares of the total, sum, mean and range come from
+    all rows.  What two rows say together (differences, ratios, changes) is
+    looked up by ``verify_claims`` instead of being listed.
+    """
+    values = claim_values(results, key, kinds, order)
+    whole = Window.partitionBy("id", "column")
+    read = values.withColumns({
+        "running": F.sum("v").over(whole.orderBy("row").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)),
+        "share": F.try_divide(100.0 * F.col("v"), F.sum("v").over(whole))})
+    each = read.select("id", F.explode(F.array(
+        F.struct("kind", F.col("v").alias("candidate")),
+        F.struct("kind", F.col("running").alias("candidate")),
+        F.struct(F.lit("percent").alias("kind"), F.col("share").alias("candidate")))).alias("c"))
+    totals = values.groupBy("id", "column", "kind").agg(
+        F.array(F.sum("v"), F.avg("v"), F.max("v") - F.min("v")).alias("t"))
     shape = results.groupBy(F.col(key).alias("id")).agg(
         F.count(F.lit(1)).cast("double").alias("candidate")).select(
         "id", F.lit("shape").alias("kind"), "candidate")
-    parts = [long.select("id", "kind", F.col("v").alias("candidate")), wide, near, pct, shape]
+    parts = [each.select("id", "c.*"), shape,
+             totals.select("id", "kind", F.explode("t").alias("candidate"))]
     return reduce(DataFrame.unionByName, parts).filter("candidate IS NOT NULL").distinct()
 
 
-def verify_claims(claims: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Whether each claim lies within its tolerance of an allowed candidate.
-
-    Claims and candidates meet on a value bucket as wide as the claim's
-    tolerance, so only near neighbours are compared, however large a result.
-    """
-    level = F.round(F.log10(F.col("tolerance") * 2)).cast("int")
-    width = 2.0 * F.pow(F.lit(10.0), F.col("level"))
+def _probes(claims: DataFrame) -> DataFrame:
+    """Each claim once for every kind it may be and every sign it may have."""
     allowed = F.create_map(*[x for k, v in ALLOWED.items()
                              for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))])
-    probes = claims.withColumn("level", level).select(
-        "id", "claim_no", "tolerance", "level", F.explode(allowed[F.col("kind")]).alias("kind"),
+    return claims.select(
+        "id", "claim_no", "tolerance", F.explode(allowed[F.col("kind")]).alias("kind"),
         F.when(F.col("is_signed"), F.array("value")).otherwise(
-            F.array(F.col("value"), -F.col("value"))).alias("targets"))
-    probes = probes.withColumn("target", F.explode("targets")).withColumn("bucket", F.explode(
-        F.array_distinct(F.array(
-            F.floor((F.col("target") - F.col("tolerance")) / width),
-            F.floor((F.col("target") + F.col("tolerance")) / width))))).drop("targets")
-    levels = probes.groupBy("id").agg(F.collect_set("level").alias("levels"))
-    placed = (candidates.join(levels, "id").withColumn("level", F.explode("levels"))
-              .withColumn("bucket", F.floor(F.col("candidate") / width)).drop("levels"))
-    near = (probes.join(placed, ["id", "kind", "level", "bucket"])
-            .filter(F.abs(F.col("target") - F.col("candidate")) <= F.col("tolerance"))
-            .select("id", "claim_no").distinct().withColumn("_near", F.lit(True)))
+            F.array(F.col("value"), -F.col("value"))).alias("targets")).withColumn(
+        "target", F.explode("targets")).drop("targets")
+
+
+def _meets(wanted: DataFrame, held: DataFrame, on: Sequence[str], value: str) -> DataFrame:
+    """Rows of ``wanted`` (low, high) with the ``held`` rows whose value lies between.
+
+    Both sides meet on a bucket about as wide as the interval, so only near
+    neighbours are compared, however large a result is.
+    """
+    level = F.ceil(F.log10(F.greatest(F.col("high") - F.col("low"), F.lit(1e-12)))).cast("int")
+    width = F.pow(F.lit(10.0), F.col("level"))
+    asked = wanted.withColumn("level", level).withColumn("bucket", F.explode(F.array_distinct(
+        F.array(F.floor(F.col("low") / width), F.floor(F.col("high") / width)))))
+    levels = asked.select(*on, "level").distinct()
+    placed = held.join(levels, list(on)).withColumn("bucket", F.floor(F.col(value) / width))
+    return asked.join(placed, [*on, "level", "bucket"]).filter(
+        (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")))
+
+
+def _said_by_two(probes: DataFrame, values: DataFrame) -> DataFrame:
+    """Claims that a difference, a ratio or a change between two rows supports.
+
+    For every claim and row, the other row's value is known up to the claim's
+    tolerance, so it is looked up: work grows with claims times rows, not with
+    pairs of rows.
+    """
+    of_kind = probes.join(values.withColumnRenamed("row", "other"), ["id", "kind"]).select(
+        "id", "claim_no", "column", "other", (F.col("v") + F.col("target")).alias("x"),
+        F.col("tolerance").alias("t"))
+    share = F.col("target") / 100.0
+    percent = probes.filter("kind = 'percent'").drop("kind").join(
+        values.withColumnRenamed("row", "other"), "id").filter("v <> 0").select(
+        "id", "claim_no", "column", "other",
+        F.explode(F.array(F.col("v") * share, F.col("v") * (share + 1.0))).alias("x"),
+        (F.abs("v") * F.col("tolerance") / 100.0).alias("t"))
+    wanted = of_kind.unionByName(percent).withColumns(
+        {"low": F.col("x") - F.col("t"), "high": F.col("x") + F.col("t")})
+    return _meets(wanted, values.select("id", "column", "row", "v"), ["id", "column"], "v").filter(
+        "row <> other").select("id", "claim_no")
+
+
+def verify_claims(claims: DataFrame, candidates: DataFrame,
+                  values: DataFrame | None = None) -> DataFrame:
+    """Whether each claim lies within its tolerance of an allowed candidate.
+
+    With ``values`` (see ``claim_values``), a claim also holds when two rows
+    of a column say it together.
+    """
+    probes = _probes(claims)
+    wanted = probes.withColumns({"low": F.col("target") - F.col("tolerance"),
+                                 "high": F.col("target") + F.col("tolerance")})
+    near = _meets(wanted, candidates, ["id", "kind"], "candidate").select("id", "claim_no")
+    if values is not None:
+        near = near.unionByName(_said_by_two(
+            probes.join(near.distinct(), ["id", "claim_no"], "left_anti"), values))
+    near = near.distinct().withColumn("_near", F.lit(True))
     shape = candidates.filter("kind = 'shape'").groupBy("id").agg(F.max("candidate").alias("_rows"))
     top = F.col("is_top_n") & (F.col("value") == F.floor("value")) & (F.col("value") > 0) & (
         F.col("value") <= F.col("_rows"))
@@ -206,8 +240,7 @@ def foreign_labels(texts: DataFrame, key: str, text: str, own: DataFrame,
     folded word runs, and a name inside one the result holds is no mention.
     """
     def folded(df: DataFrame) -> DataFrame:
-        return df.filter(F.length("label") >= MIN_LABEL).withColumn(
-            "gram", fold_key(F.col("label"))).filter("gram <> ''")
+        return df.withColumn("gram", fold_key(F.col("label"))).filter("gram <> ''")
 
     known, own = folded(known.select("label").distinct()), folded(own.select("id", "label").distinct())
     grams = _ngrams(texts, key, text, max(_longest(known), _longest(own)))
@@ -221,26 +254,49 @@ def foreign_labels(texts: DataFrame, key: str, text: str, own: DataFrame,
             .groupBy("id", "label").agg(F.count(F.lit(1)).alias("n_mentions")))
 
 
-def registry_phrases(keys: Mapping[str, str]) -> list[tuple[str, str]]:
-    """(phrase, key) for each registry key and its label, with plural forms."""
+# --- fixed values -----------------------------------------------------------
+# Words that stand for the prefix of a key, before the rest of the key.
+PREFIX_WORDS = {
+    "sum_": ("sum", "total"),
+    "avg_": ("avg", "average"),
+    "min_": ("min", "minimum"),
+    "max_": ("max", "maximum"),
+}
+# --- end of fixed values ----------------------------------------------------
+
+
+def phrase_rules(keys: Mapping[str, str],
+                 synonyms: Mapping[str, Sequence[str]]) -> list[tuple[str, str]]:
+    """(template, argument) pairs: how a phrase is made, and from what, per key."""
+    rules = [("{}", label) for label in keys.values()] + [("{}", key) for key in keys]
+    for key in keys:
+        for prefix in (p for p in PREFIX_WORDS if key.startswith(p)):
+            rest = key.removeprefix(prefix)
+            rules += [(t, rest) for t in ("{}", *(w + " {}" for w in PREFIX_WORDS[prefix]))]
+        rules += [("{}", s) for s in synonyms.get(key, ())]
+    return rules
+
+
+def registry_phrases(keys: Mapping[str, str],
+                     synonyms: Mapping[str, Sequence[str]] | None = None) -> list[tuple[str, str]]:
+    """(phrase, key): every spelling of a registry key, its label and its synonyms.
+
+    Words are joined by spaces; a final y also has its plural.
+    """
     out = set()
-    for key, label in keys.items():
-        spellings = {key, key.replace("_", " "), label.lower(), label.lower().replace(" ", "_")}
-        for prefix, words in (("sum_", ("sum", "total")), ("avg_", ("avg", "average")),
-                              ("min_", ("min", "minimum")), ("max_", ("max", "maximum"))):
-            if key.startswith(prefix):
-                base = key[len(prefix):].replace("_", " ")
-                spellings |= {base, *[f"{w} {base}" for w in words]}
-        spellings |= {p[:-1] + "ies" for p in list(spellings) if p.endswith("y")}
-        out |= {(p, key) for p in spellings}
+    for key in keys:
+        for template, argument in phrase_rules({key: keys[key]}, synonyms or {}):
+            phrase = " ".join(template.format(argument).lower().replace("_", " ").split())
+            out |= {(phrase, key)} | ({(phrase[:-1] + "ies", key)} if phrase.endswith("y") else set())
     return sorted(out)
 
 
-def match_registry(texts: DataFrame, key: str, text: str, keys: Mapping[str, str]) -> DataFrame:
+def match_registry(texts: DataFrame, key: str, text: str, keys: Mapping[str, str],
+                   synonyms: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Registry keys each text names, by position; a phrase inside a longer
     one does not count."""
     spark = texts.sparkSession
-    rows = registry_phrases(keys)
+    rows = registry_phrases(keys, synonyms)
     phrases = spark.range(1).select(F.explode(F.array(*[
         F.struct(F.lit(p).alias("phrase"), F.lit(k).alias("key")) for p, k in rows])).alias("r")
     ).select(fold_key(F.col("r.phrase")).alias("gram"), F.col("r.key").alias("key")).distinct()

@@ -37,7 +37,7 @@ def _rate(orders: Column, views: Column) -> Column:
 
 
 def funnel(log: DataFrame, facts: DataFrame, by: str = "product",
-           limit: int | None = 200, log_at: str = "viewed_at",
+           limit: int | None = None, log_at: str = "viewed_at",
            fact_at: str = "order_date", order_id: str = "order_id",
            value: str = "sales", gate: str = "is_revenue_recognised") -> DataFrame:
     """Views, orders, lines, revenue and rate per label over the log's window."""

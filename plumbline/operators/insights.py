@@ -171,15 +171,16 @@ def benchmark_vs_parent(df: DataFrame, catalog: Catalog, metric: str, child: str
 
 
 def loss_makers(df: DataFrame, catalog: Catalog, by: str = "product",
-                filters: Filters | None = None, limit: int = 20, min_lines: int = 0) -> DataFrame:
+                filters: Filters | None = None, limit: int | None = None, min_lines: int = 0) -> DataFrame:
     """Groups with a negative gated profit, deepest first."""
     rows = aggregate(df, catalog, ["profit", "revenue", "margin_pct", "units"], [by], filters,
                      min_lines=min_lines)
-    return rows.filter(F.col("profit") < 0).orderBy(F.asc("profit"), F.asc(by)).limit(limit)
+    out = rows.filter(F.col("profit") < 0).orderBy(F.asc("profit"), F.asc(by))
+    return out.limit(limit) if limit else out
 
 
 def movers(df: DataFrame, catalog: Catalog, metric: str, by: str, filters: Filters,
-           limit: int = 10, min_lines: int = 0) -> DataFrame:
+           limit: int | None = None, min_lines: int = 0) -> DataFrame:
     """Change per value between a window and the one before, largest first.
 
     Both windows come from one aggregation, so a value seen in only one of
@@ -199,13 +200,14 @@ def movers(df: DataFrame, catalog: Catalog, metric: str, by: str, filters: Filte
         return (F.coalesce(v, F.lit(0)) if additive else v).cast("double")
 
     delta = F.col(metric) - F.col(metric + "_prior")
-    return (out.filter((F.col("_n_now") >= floor) | (F.col("_n_was") >= floor))
+    moved = (out.filter((F.col("_n_now") >= floor) | (F.col("_n_was") >= floor))
             .select(by, side("_now", "_n_now").alias(metric),
                     side("_was", "_n_was").alias(metric + "_prior"))
             .withColumn("delta", delta)
             .withColumn("delta_pct", F.try_divide(100.0 * F.col("delta"),
                                                   F.abs(metric + "_prior")))
-            .orderBy(F.abs("delta").desc_nulls_last(), F.asc(by)).limit(limit))
+            .orderBy(F.abs("delta").desc_nulls_last(), F.asc(by)))
+    return moved.limit(limit) if limit else moved
 
 
 def composition_shift(df: DataFrame, catalog: Catalog, metric: str = "lines_per_order",

@@ -33,8 +33,6 @@ COMPATIBLE = {
     "boolean": ("boolean", "integer", "text"),
     "categorical": ("text", "categorical", "integer"),
 }
-MAX_DISTINCT_SAMPLE = 200
-MAX_VARIANT_LABELS = 500
 MIN_VALUES_FOR_OUTLIERS = 20
 # --- end of fixed values ----------------------------------------------------
 
@@ -136,8 +134,8 @@ def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
     return vc.select("column", "value", "n").withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def distinct_sample(vc: DataFrame, most: int = MAX_DISTINCT_SAMPLE) -> DataFrame:
-    """The whole sorted vocabulary of columns with few values."""
+def distinct_sample(vc: DataFrame, most: int) -> DataFrame:
+    """The whole sorted vocabulary of columns with at most ``most`` values."""
     small = vc.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= most)
     return (vc.join(small.select("column"), "column", "left_semi").groupBy("column")
             .agg(F.sort_array(F.collect_set("value")).alias("distinct_sample")))
@@ -245,9 +243,8 @@ def iqr_outliers(nums: DataFrame, summary: DataFrame, examples: int = 5) -> Data
 
 
 def label_variants(vc: DataFrame, types: DataFrame) -> DataFrame:
-    """Spellings that share one folded label, in columns of few labels."""
-    cols = types.filter(F.col("inferred_type").isin("categorical", "text")
-                        & (F.col("n_distinct") <= MAX_VARIANT_LABELS)).select("column")
+    """Spellings that share one folded label."""
+    cols = types.filter(F.col("inferred_type").isin("categorical", "text")).select("column")
     return (vc.join(cols, "column", "left_semi")
             .groupBy("column", X.normalise_category(F.col("value")).alias("folded"))
             .agg(F.sort_array(F.collect_set("value")).alias("variants"))
@@ -327,8 +324,8 @@ class Profile:
     the ones after it; call ``unpersist`` when done.
     """
 
-    def __init__(self, df: DataFrame, name: str = "table"):
-        self.name, self.df = name, df
+    def __init__(self, df: DataFrame, name: str = "table", vocabulary: int = 200):
+        self.name, self.df, self.vocabulary = name, df, vocabulary
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -370,7 +367,7 @@ class Profile:
             missing_profile(self.cells), distinct, types,
             type_mismatches(self.values, self.types), summary.drop("n_numbers"),
             iqr_outliers(nums, summary).drop("n_numbers"), date_order_profile(self.values),
-            marks, variants, mojibake_cells(self.cells), distinct_sample(self.values)])
+            marks, variants, mojibake_cells(self.cells), distinct_sample(self.values, self.vocabulary)])
         return out.withColumns({
             "table": F.lit(self.name),
             "inferred_type": F.coalesce("inferred_type", F.lit("empty")),
@@ -396,8 +393,9 @@ class Profile:
             keys.alias("candidate_keys"))
 
 
-def profile_table(df: DataFrame, name: str = "table") -> Profile:
-    return Profile(df, name)
+def profile_table(df: DataFrame, name: str = "table", vocabulary: int = 200) -> Profile:
+    """``vocabulary``: columns with at most so many values list them all."""
+    return Profile(df, name, vocabulary)
 
 
 def _findings(rows: Sequence[tuple]) -> Column:

@@ -236,12 +236,13 @@ def date_bounds(df: DataFrame, catalog: Catalog) -> DataFrame:
 
 
 def dimension_values(df: DataFrame, catalog: Catalog, key: str,
-                     limit: int = 200) -> DataFrame:
+                     limit: int | None = None) -> DataFrame:
     """Distinct present values as text, most frequent first."""
     v = catalog.dimension(key).column().cast("string")
-    return (df.select(v.alias("value")).filter(F.col("value").isNotNull())
-            .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), F.asc("value")).limit(limit))
+    out = (df.select(v.alias("value")).filter(F.col("value").isNotNull())
+           .groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+           .orderBy(F.desc("n"), F.asc("value")))
+    return out.limit(limit) if limit else out
 
 
 def drill(catalog: Catalog, filters: Filters, path: str, level: str,
@@ -273,36 +274,35 @@ def canonical_values(df: DataFrame, catalog: Catalog, key: str,
                      values: Sequence[str], near: int = 3) -> DataFrame:
     """Each asked value with its stored spelling, or the nearest spellings.
 
-    One pass over the distinct values; the asked list is a literal, so no join
-    with the data is needed.
+    Values meet on their lower case first.  Only those that no stored value
+    equals are compared by edit distance, and only with stored values whose
+    length that distance allows.
     """
     spark = df.sparkSession
     asked = list(dict.fromkeys(str(v) for v in values))
     stored = (df.select(catalog.dimension(key).column().cast("string").alias("stored"))
               .filter(F.col("stored").isNotNull())
-              .groupBy("stored").agg(F.count(F.lit(1)).alias("n")))
-    probe = F.array(*[F.lit(a) for a in asked])
-    folded = F.lower("stored")
-    scored = (
-        stored.select("stored", "n", F.explode(probe).alias("asked"))
-        .withColumn("same", folded == F.lower("asked"))
-        .withColumn("distance", F.levenshtein(folded, F.lower("asked")))
-        .filter(F.col("same")
-                | (F.col("distance") <= 0.4 * F.greatest(F.length("stored"), F.length("asked"))))
-    )
-    exact = (scored.filter("same").groupBy("asked")
+              .groupBy("stored").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("folded", F.lower("stored")))
+    questions = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a in asked])).alias("asked"))
+    folded = questions.withColumn("folded", F.lower("asked"))
+    exact = (folded.join(stored, "folded").groupBy("asked")
              .agg(F.max_by("stored", F.struct("n", "stored")).alias("canonical")))
+    size = F.length("asked")
+    open_ = folded.join(exact, "asked", "left_anti").withColumnRenamed("folded", "low").select(
+        "asked", "low", F.explode(F.sequence(F.ceil(size * 0.6 - 1e-9),
+                                             F.floor(size / 0.6 + 1e-9))).alias("size"))
+    close = (open_.join(stored.withColumn("size", F.length("stored").cast("bigint")), "size")
+             .withColumn("distance", F.levenshtein("folded", "low"))
+             .filter(F.col("distance") <= 0.4 * F.greatest(F.length("stored"), size)))
     rank = F.row_number().over(
         Window.partitionBy("asked").orderBy(F.asc("distance"), F.asc("stored")))
-    nearest = (scored.filter(~F.col("same")).withColumn("r", rank).filter(F.col("r") <= near)
-               .groupBy("asked")
+    nearest = (close.withColumn("r", rank).filter(F.col("r") <= near).groupBy("asked")
                .agg(F.array_join(F.transform(
                    F.sort_array(F.collect_list(F.struct("r", "stored"))),
                    lambda s: s["stored"]), ", ").alias("nearest")))
-    questions = spark.range(1).select(F.explode(probe).alias("asked"))
     return (questions.join(exact, "asked", "left").join(nearest, "asked", "left")
-            .select("asked", "canonical", F.col("canonical").isNotNull().alias("known"),
-                    F.when(F.col("canonical").isNull(), F.col("nearest")).alias("nearest")))
+            .select("asked", "canonical", F.col("canonical").isNotNull().alias("known"), "nearest"))
 
 
 def empty_result(frame: DataFrame, filters: Filters | None = None,

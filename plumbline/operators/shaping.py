@@ -124,8 +124,8 @@ def display_frame(df: DataFrame, catalog: Catalog) -> DataFrame:
 
 # --- browsing ---------------------------------------------------------------
 
-def search_rows(df: DataFrame, term: str, first_n: int = 12) -> DataFrame:
-    """Rows holding the term, any case, in one of the first columns."""
+def search_rows(df: DataFrame, term: str, first_n: int | None = None) -> DataFrame:
+    """Rows holding the term, any case, in any column, or one of the first ``first_n``."""
     needle = F.lit(term.lower())
     tests = [F.contains(F.lower(F.col(f"`{c}`").cast("string")), needle)
              for c in df.columns[:first_n]]
@@ -135,7 +135,9 @@ def search_rows(df: DataFrame, term: str, first_n: int = 12) -> DataFrame:
 def page_rows(df: DataFrame, sort: str | None = None, descending: bool = False, page: int = 1,
               size: int = 50, ties: Sequence[str] = ()) -> DataFrame:
     """One page, nulls last, with the total rows and pages on every row."""
-    size, page = min(max(size, 1), 500), max(page, 1)
+    size, page = max(size, 1), max(page, 1)
+    if not (sort or ties):
+        raise ValueError("pages need a sort column or ties that order the rows")
     total = df.agg(F.count(F.lit(1))).scalar()
     out = ordered(df, ("-" if descending else "") + sort if sort else None, *ties)
     return out.offset((page - 1) * size).limit(size).select(
@@ -146,7 +148,7 @@ def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 
 
-def measure_summary(df: DataFrame, measures: Sequence[str], first_n: int = 8) -> DataFrame:
+def measure_summary(df: DataFrame, measures: Sequence[str], first_n: int | None = None) -> DataFrame:
     """Sum, average, minimum and maximum per measure."""
     rows = [F.struct(F.lit(m).alias("measure"), F.sum(m).cast("double").alias("sum"),
                      F.avg(m).alias("avg"), F.min(m).cast("double").alias("min"),
@@ -154,7 +156,7 @@ def measure_summary(df: DataFrame, measures: Sequence[str], first_n: int = 8) ->
     return df.agg(F.array(*rows).alias("a")).selectExpr("inline(a)")
 
 
-def dimension_summary(df: DataFrame, dimensions: Sequence[str], first_n: int = 8,
+def dimension_summary(df: DataFrame, dimensions: Sequence[str], first_n: int | None = None,
                       top: int = 3) -> DataFrame:
     """Cardinality and most frequent values per dimension."""
     dims = list(dimensions)[:first_n]

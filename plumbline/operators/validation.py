@@ -13,11 +13,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import materialise
+
 SEVERITIES = ("error", "warn")
 ROW_TYPES = ("not_null", "range", "allowed_values", "regex", "identity", "expression", "min_rows")
 SET_TYPES = ("unique", "consistency", "referential", "no_duplicate_rows")
@@ -312,12 +315,23 @@ _ORDER = ("rule_id", "table", "type", "severity", "n_checked", "n_violations", "
           "status", "detail", "samples", "error")
 
 
+def _why(exc: Exception) -> str:
+    java = getattr(exc, "java_exception", None)
+    told = str(java) if java is not None else f"{type(exc).__name__}: {exc}"
+    return told.splitlines()[0][:200]
+
+
 def validate_table(df: DataFrame, table: str, rules: Sequence[Rule],
                    tables: Mapping[str, DataFrame] | None = None,
                    samples: bool = True) -> DataFrame:
-    """One row per rule.  A rule that cannot be planned is reported, not raised."""
+    """One row per rule.  A rule that cannot be planned, or that fails while it
+    runs, is reported and stops no other.
+
+    All rules run as one job, whose few result rows are checkpointed; only when
+    that job fails do they run one by one, to find the rule that failed.
+    """
     spark = df.sparkSession
-    row_rules, frames = [], []
+    row_rules, alone, frames = [], [], []
     for rule in rules:
         named = rule.columns + rule.dependents + (
             [rule.spec["determinant"]] if "determinant" in rule.spec else [])
@@ -333,29 +347,44 @@ def validate_table(df: DataFrame, table: str, rules: Sequence[Rule],
             else:
                 one = check_set(df, table, rule, tables or {}, samples)
                 one.schema
-                frames.append(one)
+                alone.append((rule, one))
         except (PySparkException, ValueError, KeyError) as exc:
-            frames.append(_cannot_run(spark, rule, table, f"{type(exc).__name__}: "
-                                      + str(exc).splitlines()[0][:200]))
+            frames.append(_cannot_run(spark, rule, table, _why(exc)))
+    running = [one for _, one in alone]
     if row_rules:
-        frames.insert(0, check_rows(df, table, row_rules, samples))
-    if not frames:
+        running.insert(0, check_rows(df, table, row_rules, samples))
+    if not running and not frames:
         return spark.createDataFrame([], T.StructType.fromDDL(RESULT))
-    return reduce(DataFrame.unionByName, [f.select(*_ORDER) for f in frames])
+
+    def stacked(parts: Sequence[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [f.select(*_ORDER) for f in parts])
+
+    try:
+        return materialise(stacked([*running, *frames]))
+    except (PySparkException, Py4JJavaError):
+        apart = [(r, check_rows(df, table, [r], samples)) for r in row_rules] + alone
+    for rule, one in apart:
+        try:
+            frames.append(materialise(one.select(*_ORDER)))
+        except (PySparkException, Py4JJavaError) as exc:
+            frames.append(_cannot_run(spark, rule, table, _why(exc)))
+    return stacked(frames)
 
 
 def validate(tables: Mapping[str, DataFrame], config: Mapping[str, Mapping[str, Any]],
              samples: bool = True) -> DataFrame:
     """Every configured rule of every table; an absent table is a failure."""
-    parsed = {t: parse_rules(cfg) for t, cfg in config.items()}
-    frames = []
-    for name, rules in parsed.items():
-        if name in tables:
-            frames.append(validate_table(tables[name], name, rules, tables, samples))
-        elif tables:
-            spark = next(iter(tables.values())).sparkSession
-            frames.append(_cannot_run(spark, Rule("missing_table", "min_rows"), name,
-                                      "expected table absent").select(*_ORDER))
+    spark = (next(iter(tables.values())).sparkSession if tables
+             else SparkSession.getActiveSession())
+    if spark is None:
+        raise ValueError("without tables, validation needs an active session")
+    frames = [spark.createDataFrame([], T.StructType.fromDDL(RESULT)).select(*_ORDER)]
+    for name, cfg in config.items():
+        rules = parse_rules(cfg)
+        frames.append(validate_table(tables[name], name, rules, tables, samples)
+                      if name in tables else
+                      _cannot_run(spark, Rule("missing_table", "min_rows"), name,
+                                  "expected table absent").select(*_ORDER))
     return reduce(DataFrame.unionByName, frames)
 
 

@@ -35,7 +35,8 @@ def content_hash(df: DataFrame) -> Column:
     Rows have no order in Spark, so row hashes are added up, which still
     counts repeated rows; two independent sums and the row count are combined.
     """
-    cols = [_q(c) for c in df.columns]
+    # hashes pass over nulls, so each column brings a flag that says where they are
+    cols = [x for c in df.columns for x in (_q(c).isNull(), _q(c))]
     first = F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))
     second = F.sum(F.xxhash64(F.lit("second"), *cols).cast("decimal(38,0)"))
     return F.left(F.sha2(F.concat_ws("|", F.lit(_schema_text(df)), F.count(F.lit(1)).cast("string"),

@@ -133,7 +133,7 @@ g AS (SELECT product_name AS product, sum(profit) {G} AS profit, sum(sales) {G}
       CAST(sum(quantity) {G} AS BIGINT) AS units, count(*) AS n_lines FROM items GROUP BY 1)
 SELECT product, round(profit, 4) AS profit, round(revenue, 4) AS revenue,
        round(100.0 * profit / nullif(revenue, 0), 4) AS margin_pct, units, n_lines
-FROM g WHERE profit < 0 ORDER BY g.profit, product LIMIT 20""")
+FROM g WHERE profit < 0""")
 def ins_08(spark, sf):
     return rounded(I.loss_makers(stage.items(spark, sf, "product"), C))
 
@@ -145,7 +145,7 @@ m AS (SELECT coalesce(a.product, b.product) AS product, coalesce(a.v, 0) AS x, c
       FROM a FULL OUTER JOIN b ON a.product = b.product)
 SELECT product, round(x, 4) AS revenue, round(y, 4) AS revenue_prior, round(x - y, 4) AS delta,
        round(100.0 * (x - y) / nullif(abs(y), 0), 4) AS delta_pct
-FROM m ORDER BY abs(x - y) DESC, product LIMIT 10""")
+FROM m""")
 def ins_09(spark, sf):
     return rounded(I.movers(stage.items(spark, sf, "product"), C, "revenue", "product", WIN))
 

@@ -164,7 +164,7 @@ def met_13(spark, sf):
 
 @query("met_14_dimension_values", WITH_ITEMS + """
 SELECT product_name AS value, count(*) AS n FROM items WHERE product_name IS NOT NULL
-GROUP BY 1 ORDER BY n DESC, value LIMIT 200""")
+GROUP BY 1""")
 def met_14(spark, sf):
     return S.dimension_values(stage.items(spark, sf, "product"), C, "product")
 
@@ -246,7 +246,7 @@ def jn_03(spark, sf):
     return FN.event_window(stage.page_views(spark, sf))
 
 
-def _funnel_sql(by: str, limit: int) -> str:
+def _funnel_sql(by: str, limit: int | None = None) -> str:
     return WITH_BOTH + f""",
 win AS (SELECT CAST(min(viewed_at) AS DATE) AS lo, CAST(max(viewed_at) AS DATE) AS hi
         FROM page_views),
@@ -261,10 +261,10 @@ SELECT coalesce(fact_label, log_label, k) AS {by}, k AS {by}_key,
        CASE WHEN coalesce(views, 0) > 0
             THEN round(100.0 * coalesce(orders, 0) / views, 4) END AS view_to_order_pct
 FROM v FULL OUTER JOIN o USING (k)
-ORDER BY views DESC, orders DESC, {by}_key LIMIT {limit}"""
+ORDER BY views DESC, orders DESC, {by}_key""" + (f" LIMIT {limit}" if limit else "")
 
 
-@query("jn_04_funnel_product", _funnel_sql("product", 200))
+@query("jn_04_funnel_product", _funnel_sql("product"))
 def jn_04(spark, sf):
     return rounded(FN.funnel(stage.page_views(spark, sf), stage.items(spark, sf, "product")))
 
@@ -301,14 +301,14 @@ def jn_06(spark, sf):
 
 
 @query("jn_07_viewed_never_ordered",
-       f"SELECT * FROM ({_funnel_sql('product', 100000)}) WHERE views > 0 AND orders = 0")
+       f"SELECT * FROM ({_funnel_sql('product')}) WHERE views > 0 AND orders = 0")
 def jn_07a(spark, sf):
     return rounded(FN.viewed_never_ordered(FN.funnel(
         stage.page_views(spark, sf), stage.items(spark, sf, "product"), limit=None)))
 
 
 @query("jn_07_ordered_never_viewed",
-       f"SELECT * FROM ({_funnel_sql('product', 100000)}) WHERE orders > 0 AND views = 0")
+       f"SELECT * FROM ({_funnel_sql('product')}) WHERE orders > 0 AND views = 0")
 def jn_07b(spark, sf):
     return rounded(FN.ordered_never_viewed(FN.funnel(
         stage.page_views(spark, sf), stage.items(spark, sf, "product"), limit=None)))

@@ -63,7 +63,8 @@ TAG = f"""CASE WHEN {_re('value', N.UUID)} THEN 'uuid' WHEN {_re('value', N.EMAI
   ELSE 'text' END"""
 NUMBER = """CASE WHEN value LIKE '(%' THEN -1 ELSE 1 END * TRY_CAST(regexp_replace(regexp_replace(
   value, '[$€%, ()]', '', 'g'), '(?i)(USD|EUR|GBP)$', '') AS DOUBLE)"""
-FOLDED = "regexp_replace(trim(lower(strip_accents(value))), '[\\s_\\-.]+', '', 'g')"
+FOLDED = ("regexp_replace(trim(lower(regexp_replace(strip_accents(value), '[^\\x00-\\x7F]', '', 'g'))), "
+          "'[\\s_\\-.]+', '', 'g')")
 PREF = "CASE tag " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(N.TYPE_TAGS)) + " END"
 
 WITH = f"""WITH src AS (SELECT {UNTIDY} FROM orders),
@@ -148,7 +149,7 @@ def prf_04(spark, sf):
 SELECT col AS "column", string_agg(value, '|' ORDER BY value) AS vocabulary FROM vc
 GROUP BY 1 HAVING count(*) <= 200""")
 def prf_05(spark, sf):
-    out = P.distinct_sample(P.value_counts(profiled(spark, sf).cells))
+    out = P.distinct_sample(P.value_counts(profiled(spark, sf).cells), 200)
     return out.select("column", F.array_join("distinct_sample", "|").alias("vocabulary"))
 
 
@@ -266,7 +267,7 @@ def prf_15(spark, sf):
 
 @query("prf_16_label_variants", WITH + f"""
 SELECT col AS "column", {FOLDED} AS folded, string_agg(value, '|' ORDER BY value) AS variants
-FROM vc JOIN types USING (col) WHERE inferred_type IN ('categorical', 'text') AND n_distinct <= 500
+FROM vc JOIN types USING (col) WHERE inferred_type IN ('categorical', 'text')
 GROUP BY ALL HAVING count(*) > 1""")
 def prf_16(spark, sf):
     p = profiled(spark, sf)
@@ -409,11 +410,10 @@ def fn_03(spark, sf):
 
 @query("fn_04_normalise_category", f"""
 WITH w AS (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^a-zA-ZÀ-ÿ.\\-_ ]', ' ', 'g'), ' ')) AS value
-           FROM documents WHERE lang <> 'xx')
-SELECT value, {FOLDED} AS folded FROM w WHERE value <> 'ß'
-  AND NOT regexp_matches(value, '[ßÆØÐÞæøðþ]')""")
+           FROM documents)
+SELECT value, {FOLDED} AS folded FROM w""")
 def fn_04(spark, sf):
-    w = stage.table(spark, sf, "documents").filter("lang <> 'xx'").select(F.explode(F.split(
+    w = stage.table(spark, sf, "documents").select(F.explode(F.split(
         F.regexp_replace("text", r"[^a-zA-ZÀ-ÿ.\-_ ]", " "), " ")).alias("value")).distinct()
-    return w.filter(~F.col("value").rlike("[ßÆØÐÞæøðþ]")).select(
+    return w.select(
         "value", X.normalise_category(F.col("value")).alias("folded"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from plumbline.plans.queries.cleaning import POLICY, WITH as MESSY_WITH, messy
 from plumbline.plans.queries.common import WITH_BOTH, WITH_ITEMS, rounded
 from plumbline.plans.queries.metrics import G, MARGIN, REVENUE, _funnel_sql
 from plumbline.plans.queries.validation import SUITE_SQL, suite
+from plumbline.session import shared_folder
 from plumbline.sources import files as FI
 
 C = stage.CATALOG
@@ -416,11 +417,7 @@ RULES = {"lines": {"min_rows": 10, "rules": [
 
 def _work(spark) -> str:
     """A new folder in the shared checkpoint directory, or locally in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-        return f"{shared.rstrip('/')}/publish-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{shared_folder(spark)}/publish-{uuid.uuid4().hex}"
 
 
 @query("pip_01_publish", """
@@ -481,7 +478,7 @@ def met_17(spark, sf):
     return rounded(spec.run_spec(raw, C, stage.items(spark, sf, "geo", "product"))[0])
 
 
-@query("met_17_run_spec_funnel", f"SELECT * EXCLUDE (category_key) FROM ({_funnel_sql('category', 200)})")
+@query("met_17_run_spec_funnel", f"SELECT * EXCLUDE (category_key) FROM ({_funnel_sql('category')})")
 def met_17f(spark, sf):
     raw = {"metrics": ["views", "orders"], "by": ["category"]}
     return rounded(spec.run_spec(raw, C, stage.items(spark, sf, "product"),

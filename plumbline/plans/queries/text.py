@@ -41,23 +41,26 @@ def result(spark, sf):
     return aggregate(stage.items(spark, sf, "geo"), C, ["revenue", "orders"], ["market", "country"])
 
 
-CANDIDATES_SQL = RESULT_SQL + """,
+LONG_SQL = RESULT_SQL + """,
 l AS (SELECT market AS id, country, 'money' AS kind, revenue AS v FROM r
       UNION ALL SELECT market, country, 'count', CAST(orders AS DOUBLE) FROM r),
 o AS (SELECT *, sum(v) OVER (PARTITION BY id, kind ORDER BY country ROWS UNBOUNDED PRECEDING) AS run,
-      sum(v) OVER (PARTITION BY id, kind) AS tot FROM l WHERE v IS NOT NULL),
-p AS (SELECT a.id, a.kind, a.v AS a, b.v AS b FROM o a JOIN o b
-      ON a.id = b.id AND a.kind = b.kind AND a.country < b.country),
-c AS (SELECT id, kind, v AS x FROM o
+      sum(v) OVER (PARTITION BY id, kind) AS tot FROM l WHERE v IS NOT NULL)"""
+SINGLE = """SELECT id, kind, v AS x FROM o
 UNION ALL SELECT id, kind, sum(v) FROM o GROUP BY 1, 2 UNION ALL SELECT id, kind, avg(v) FROM o GROUP BY 1, 2
 UNION ALL SELECT id, kind, max(v) - min(v) FROM o GROUP BY 1, 2 UNION ALL SELECT id, kind, run FROM o
 UNION ALL SELECT id, 'percent', 100.0 * v / tot FROM o WHERE tot <> 0
+UNION ALL SELECT market, 'shape', count(*)::DOUBLE FROM r GROUP BY 1"""
+SINGLE_SQL = LONG_SQL + ", c AS (" + SINGLE + ")"
+CANDIDATES_SQL = LONG_SQL + """,
+p AS (SELECT a.id, a.kind, a.v AS a, b.v AS b FROM o a JOIN o b
+      ON a.id = b.id AND a.kind = b.kind AND a.country < b.country),
+c AS (""" + SINGLE + """
 UNION ALL SELECT id, kind, abs(a - b) FROM p
 UNION ALL SELECT id, 'percent', 100.0 * a / b FROM p WHERE b <> 0
 UNION ALL SELECT id, 'percent', 100.0 * (a / b - 1) FROM p WHERE b <> 0
 UNION ALL SELECT id, 'percent', 100.0 * b / a FROM p WHERE a <> 0
-UNION ALL SELECT id, 'percent', 100.0 * (b / a - 1) FROM p WHERE a <> 0
-UNION ALL SELECT market, 'shape', count(*)::DOUBLE FROM r GROUP BY 1)"""
+UNION ALL SELECT id, 'percent', 100.0 * (b / a - 1) FROM p WHERE a <> 0)"""
 
 
 def candidates(spark, sf):
@@ -65,7 +68,7 @@ def candidates(spark, sf):
                                ["country"])
 
 
-@query("txt_03_claim_candidates", CANDIDATES_SQL
+@query("txt_03_claim_candidates", SINGLE_SQL
        + " SELECT DISTINCT id, kind, round(x, 2) AS candidate FROM c")
 def txt_03(spark, sf):
     return rounded(candidates(spark, sf), 2).distinct()
@@ -96,7 +99,10 @@ ok AS (SELECT DISTINCT cl.id, claim_no FROM cl JOIN c ON cl.id = c.id AND abs(cl
 SELECT cl.id, cl.claim_no, ok.id IS NOT NULL AS holds FROM cl LEFT JOIN ok USING (id, claim_no)
 UNION ALL SELECT market, country || '#0', count(*) OVER (PARTITION BY market) >= 3 FROM r""")
 def txt_04(spark, sf):
-    return CM.verify_claims(claims(spark, sf), candidates(spark, sf)).select("id", "claim_no", "holds")
+    values = CM.claim_values(result(spark, sf), "market", {"revenue": "money", "orders": "count"},
+                             ["country"])
+    return CM.verify_claims(claims(spark, sf), candidates(spark, sf), values).select(
+        "id", "claim_no", "holds")
 
 
 @query("txt_05_foreign_labels", """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,23 +27,30 @@ def build_session(app: str = "plumbline", master: str | None = None,
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
+
+    Without that setting a cluster has no folder that all executors share, so
+    this raises; a temporary folder stands in for it only on a local master,
+    where driver and executors are one process.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the cluster's checkpoint folder and read it back.
 
-    Used only where one computed value must be identical in two branches of a
-    plan.  The folder is the one named by ``spark.checkpoint.dir``; a
-    temporary folder stands in for it only on a local master.
+    Used where one computed value must be identical in two branches of a
+    plan, or where a plan must be run once.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError(
-                    "set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -63,9 +64,15 @@ def dedupe_headers(columns: Sequence[str]) -> list[str]:
 
 
 def discover_sources(spark: SparkSession, directory: str) -> DataFrame:
-    """Readable files below a directory: path, file, stem, suffix, size."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(directory).select("path", "length"))
+    """Readable files below a directory, empty ones too: path, file, stem, suffix, length.
+
+    The scan passes over empty files, so they come from the file index.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    listed = [(re.sub("^file:/+", "file:/", unquote(p)),) for p in found.inputFiles()]
+    files = (spark.createDataFrame(listed, "path string")
+             .join(found.select("path", "length"), "path", "left")
+             .withColumn("length", F.coalesce("length", F.lit(0))))
     name = F.element_at(F.split("path", "/"), -1)
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     return (files.withColumns({"file": name, "suffix": suffix})
@@ -116,7 +123,9 @@ def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
     The header is taken as it is written, so repeated names are suffixed
     rather than renumbered.
     """
-    encoding = encoding or detect_encoding(spark, path).first()["encoding"]
+    if encoding is None:
+        found = detect_encoding(spark, path).first()
+        encoding = found["encoding"] if found else "utf-8"
     # The JVM's name for the code page.
     charset = {"cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}.get(
         encoding.lower(), encoding)
@@ -124,7 +133,11 @@ def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if sep is None:
         sep = sniff_delimiter(spark.read.text(path), _suffix(path)).first()["delimiter"]
-    reader = (spark.read.option("sep", sep).option("encoding", charset).option("multiLine", "true")
+    # a file is split between tasks unless some line leaves a quote open
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    breaks = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    reader = (spark.read.option("sep", sep).option("encoding", charset)
+              .option("multiLine", str(breaks).lower())
               .option("quote", '"').option("escape", '"').option("inferSchema", "false"))
     first = reader.option("header", "false").csv(path).first()
     if first is None:
@@ -209,11 +222,21 @@ def _problems(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFram
 
 
 def load_all(spark: SparkSession, directory: str) -> Loaded:
-    """Every source below a directory; a bad file becomes a problem row."""
+    """Every source below a directory; a bad or empty file becomes a problem row.
+
+    A second file of one stem becomes a table of its own, ``stem_2``, by path.
+    """
     tables, problems = {}, []
-    for row in discover_sources(spark, directory).select("path", "stem", "file").collect():
+    for row in discover_sources(spark, directory).select(
+            "path", "stem", "file", "length").collect():
+        if row["length"] == 0:
+            problems.append(("failed", row["file"], "empty file"))
+            continue
+        name, n = row["stem"], 2
+        while name in tables:
+            name, n = f"{row['stem']}_{n}", n + 1
         try:
-            tables[row["stem"]] = read_source(spark, row["path"])
+            tables[name] = read_source(spark, row["path"])
         except UNREADABLE as exc:
             problems.append(("failed", row["file"], _reason(exc)))
     return Loaded(tables, _problems(spark, problems))
@@ -221,19 +244,24 @@ def load_all(spark: SparkSession, directory: str) -> Loaded:
 
 def load_configured(spark: SparkSession, directory: str, policies: Mapping[str, Policy],
                     skip: Mapping[str, str] | None = None) -> Loaded:
-    """Only sources a policy names; skipped, unconfigured and failed files are
-    three kinds of problem."""
+    """Only sources a policy names; skipped, unconfigured, failed and repeated
+    files are four kinds of problem."""
     tables, problems = {}, []
     skipped = {k.lower(): v for k, v in (skip or {}).items()}
     by_stem = {k.lower(): p for k, p in policies.items()}
     by_stem |= {p.table.lower(): p for p in policies.values()}
-    for row in discover_sources(spark, directory).select("path", "stem", "file").collect():
+    for row in discover_sources(spark, directory).select(
+            "path", "stem", "file", "length").collect():
         stem = row["stem"].lower()
         policy = by_stem.get(stem)
         if stem in skipped:
             problems.append(("skipped", row["file"], skipped[stem]))
         elif policy is None:
             problems.append(("unconfigured", row["file"], "no policy"))
+        elif row["length"] == 0:
+            problems.append(("failed", row["file"], "empty file"))
+        elif policy.table in tables:
+            problems.append(("repeated", row["path"], f"{policy.table} is loaded already"))
         else:
             try:
                 tables[policy.table] = read_source(spark, row["path"], policy.encoding)

@@ -15,6 +15,7 @@ from plumbline.operators import upload as U
 from plumbline.operators import validation as V
 from plumbline.operators import versions as VE
 from plumbline.plans import spec
+from plumbline.sources import files as FI
 
 
 def rows(df):
@@ -75,15 +76,18 @@ def test_spec_corrections_and_refusals(facts):
     s = spec.check_spec({"metrics": ["Revenue"], "by": ["month", "Market"], "date_from": "2017-03-01",
                          "date_to": "2017-01-01", "limit": 900}, CAT, facts)
     assert (s.grain, s.by, s.limit, s.date_from, s.date_to) == (
-        "month", ["market"], 200, "2017-01-05", "2017-02-04")
+        "month", ["market"], 900, "2017-01-05", "2017-02-04")
     assert spec.check_spec({"metrics": ["raw"], "where": {"market": ["eu"]}}, CAT, facts).where == {
         "market": ["EU"]}
     for bad, code in [({"metrics": ["nope"]}, "unknown_metric"),
                       ({"metrics": ["raw"], "where": {"market": ["Mars"]}}, "unknown_value"),
-                      ({"metrics": ["raw"], "date_from": "2030-01-01"}, "out_of_window")]:
+                      ({"metrics": ["raw"], "date_from": "2030-01-01"}, "out_of_window"),
+                      ({"metrics": ["raw"], "notes": ["x"]}, "unknown_field"),
+                      ({"metrics": ["raw"], "limit": "ten"}, "unparseable")]:
         with pytest.raises(spec.SpecError) as exc:
             spec.check_spec(bad, CAT, facts)
         assert exc.value.code == code
+    assert spec.check_spec({"metrics": "raw", "limit": "10"}, CAT).limit == 10
 
 
 def test_funnel_keeps_both_sides(spark):
@@ -349,6 +353,57 @@ def test_claims_are_read_and_checked(spark):
     assert held[1, "$35.2k"] and held[1, "Top 3"] and not held[2, "$99.00"] and not held[1, "1,234"]
 
 
+def test_claims_about_long_results_and_pairs_of_rows(spark):
+    """Sixty rows: shares are of the true total, and any two rows may be compared."""
+    result = spark.createDataFrame([(1, k, float(1000 + 37 * k * k)) for k in range(60)],
+                                   "id int, k int, revenue double")
+    v = [1000.0 + 37 * k * k for k in range(60)]
+    said = [(f"share {100 * v[55] / sum(v):.3f}%", True), (f"gap ${v[58] - v[41]:,.2f}", True),
+            (f"ratio {100 * v[57] / v[50]:.3f}%", True),
+            (f"change {100 * (v[59] / v[44] - 1):.3f}%", True), ("gap $1.55", False),
+            (f"head {100 * v[3] / sum(v[:30]):.6f}%", False)]
+    texts = spark.createDataFrame([(1, t) for t, _ in said], "id int, t string")
+    numbered = texts.withColumn("key", F.struct("id", "t"))
+    claims = CM.extract_claims(numbered, "key", "t").withColumns(
+        {"claim_no": F.col("id.t"), "id": F.col("id.id")})
+    order = ["k"]
+    cands = CM.claim_candidates(result, "id", {"revenue": "money"}, order)
+    values = CM.claim_values(result, "id", {"revenue": "money"}, order)
+    held = {r["claim_no"]: r["holds"] for r in rows(CM.verify_claims(claims, cands, values))}
+    assert held == dict(said)
+
+
+def test_hash_tells_where_nulls_are(spark):
+    a = spark.createDataFrame([(1, None), (2, 5)], "x int, y int")
+    b = spark.createDataFrame([(None, 1), (2, 5)], "x int, y int")
+    h = lambda df: df.agg(VE.content_hash(df)).first()[0]
+    assert h(a) != h(b) and h(a) == h(a.orderBy("x", ascending=False))
+
+
+def test_a_failing_rule_stops_no_other(spark):
+    df = spark.createDataFrame([(1, 2.0, 0.0), (2, 4.0, 2.0)], "id int, a double, b double")
+    rules = [V.Rule("ok", "range", spec={"column": "a", "max": 3}),
+             V.Rule("ratio", "expression", spec={"expr": "a / b > 0"}),
+             V.Rule("key", "unique", spec={"column": "id"})]
+    got = {r["rule_id"]: r for r in rows(V.validate_table(df, "t", rules))}
+    assert "DIVIDE_BY_ZERO" in got["ratio"]["error"] and got["ratio"]["status"] == "FAIL"
+    assert got["ok"]["n_violations"] == 1 and got["key"]["status"] == "pass"
+    missing = rows(V.validate({}, {"t": {"min_rows": 1}}))
+    assert [(r["rule_id"], r["status"]) for r in missing] == [("missing_table", "FAIL")]
+
+
+def test_every_file_is_loaded_or_reported(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "sub" / "x.csv").write_text('a,b\n3,"4\n5"\n6,7\n')
+    (tmp_path / "empty one.csv").write_text("")
+    loaded = FI.load_all(spark, str(tmp_path))
+    assert sorted(loaded.tables) == ["x", "x_2"]
+    assert sorted(t.count() for t in loaded.tables.values()) == [1, 2]
+    assert [(r["file"], r["detail"]) for r in rows(loaded.problems)] == [
+        ("empty one.csv", "empty file")]
+
+
 def test_foreign_labels_allow_names_inside_own_names(spark):
     texts = spark.createDataFrame([(1, "Women's Apparel leads; Africa trails")], "id int, t string")
     own = spark.createDataFrame([(1, "Women's Apparel")], "id int, label string")
