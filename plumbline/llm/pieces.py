@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import ship
@@ -19,7 +18,7 @@ from plumbline.llm.words import Words, slices, texts_of
 
 #: The mark of a space, and the longest stretch a 64-bit state can hold.
 SPACE_MARK, LONGEST_STATE = "▁", 60
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass
@@ -32,10 +31,6 @@ class Vocabulary:
     unknown: int
     merges: bool
 
-    @property
-    def longest(self) -> int:
-        return max(len(p) for p, _, _ in self.pieces)
-
 
 def vocabulary(path: str | None = None) -> Vocabulary:
     """Read a model file; the default is the public 32,000-piece BPE model of this machine."""
@@ -74,7 +69,7 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 @dataclass
 class Block:
-    """Distinct segments of a run of rows, by hash, and the rows as places among them."""
+    """Distinct segments of a run of rows, most frequent first, and the run's name."""
 
     hashes: np.ndarray
     segments: list[bytes]
@@ -126,15 +121,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
     size = 0
 
     def block():
-        h = np.concatenate(hashes)
-        every, places = np.unique(h, return_inverse=True)
         known = np.concatenate([a for a, _ in words])
         names = [s for _, b in words for s in b]
-        _, at = np.unique(known, return_index=True)
+        every, at = np.unique(known, return_index=True)
+        places = [np.searchsorted(every, h).astype(np.uint32) for h in hashes]
+        often = np.zeros(len(every), np.int64)
+        for p in places:
+            often += np.bincount(p, minlength=len(every))
+        order = np.argsort(-often, kind="stable")   # frequent segments get small places
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         name = int.from_bytes(hashlib.blake2b(
             every.tobytes() + b"".join(digests), digest_size=8).digest(), "big", signed=True)
-        return (Block(every, [names[k] for k in at], name), places.astype(np.int32),
-                np.concatenate(counts), [pa.concat_arrays(kept[c]) for c in columns], digests)
+        return (Block(every[order], [names[k] for k in at[order]], name),
+                rank[np.concatenate(places)] if places else rank, np.concatenate(counts),
+                [pa.concat_arrays(kept[c]) for c in columns], digests)
 
     for batch in batches:
         for part in slices(batch):
@@ -160,34 +161,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
 
 # ---------------------------------------------------------------- the lattice
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """``seg, tokens``: the tokens of two characters or more of every distinct segment.
 
-    Substrings of 2 to ``longest`` characters meet the piece table (as many
-    rows as the vocabulary, a fixed bound, so it is broadcast).  The edges of
-    a segment come together without a shuffle, since segments are already
-    dealt by name, and are ordered by score and place.
+    Every place of a segment meets, by its first two and three characters, the
+    lengths that pieces with that beginning have; the substrings of those
+    lengths meet the piece table.  Both tables have at most as many rows as
+    the vocabulary, a fixed bound, and are broadcast.  The edges of a segment
+    come together without a shuffle, since segments are already dealt by
+    name, and are ordered by score and place.  A token is
+    id * 4096 + start * 64 + length.
     """
-    text = F.col("seg")
-    size = F.length(text)
-    spans = F.flatten(F.transform(
-        F.sequence(F.lit(1), size - 1),
-        lambda s: F.transform(
-            F.sequence(F.lit(2), F.least(F.lit(longest), size - s + 1)),
-            lambda n: F.struct(s.alias("s"), F.substring(text, s, n).alias("piece")))))
+    long = pieces.where(F.length("piece") > 1)
+    heads = long.select(F.substring("piece", 1, 3).alias("head"), F.length("piece").alias("n")) \
+        .groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    text, size = F.col("seg"), F.length("seg")
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda s: F.transform(
+        F.sequence(F.lit(2), F.least(F.lit(3), size - s + 1)),
+        lambda n: F.struct(s.alias("s"), F.substring(text, s, n).alias("head")))))
     short = words.where(size.between(2, LONGEST_STATE))
-    edges = short.select("seg", F.explode(spans).alias("x")).select(
-        "seg", F.col("x.s").alias("s"), F.col("x.piece").alias("piece"))
-    met = edges.join(F.broadcast(pieces), "piece")
-    width = F.length("piece")
+    places = short.select("seg", F.explode(starts).alias("x")).select("seg", "x.s", "x.head")
+    spans = places.join(F.broadcast(heads), "head").select(
+        "seg", "s", F.explode("lengths").alias("n")).where("s + n - 1 <= length(seg)").select(
+        "seg", "s", F.expr("substring(seg, s, n)").alias("piece"))
+    met = spans.join(F.broadcast(long), "piece")
     inner = F.expr("shiftleft(shiftleft(1L, length(piece) - 1) - 1L, s)")
     ends = F.expr("shiftleft(1L, s - 1) | shiftleft(1L, s - 1 + length(piece))")
+    code = F.expr("id * 4096L + s * 64 + length(piece)")
     grouped = met.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "s", "id", ends.alias("ends"), inner.alias("inner"), width.alias("n")))).alias("e"))
+        "rank", "s", ends.alias("ends"), inner.alias("inner"), code.alias("code")))).alias("e"))
     return grouped.select("seg", fold("seg", "e").alias("tokens"))
 
 
-def fold(seg: str, edges: str) -> F.Column:
+def fold(seg: str, edges: str) -> Column:
     """The tokens that merging in score order leaves, as a fold over the lattice.
 
     The state has a bit for every boundary still standing.  An edge can be
@@ -201,7 +207,7 @@ def fold(seg: str, edges: str) -> F.Column:
              f"get(transform(slice({best}, 1, 1), e -> st & ~e.inner), 0), st))")
     return F.expr(
         f"transform(array({state}), st -> transform(filter({edges}, "
-        f"e -> (st & e.inner) = 0 and (st & e.ends) = e.ends), e -> struct(e.s as s, e.n as n, e.id as id)))[0]")
+        f"e -> (st & e.inner) = 0 and (st & e.ends) = e.ends), e -> e.code))[0]")
 
 
 def merge_long(text: str, known: dict[str, tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -233,26 +239,78 @@ def merge_long(text: str, known: dict[str, tuple[int, int]]) -> list[tuple[int,
             for a in range(n) if alive[a] and end[a] - a > 1]
 
 
-def _spell(seg: str, tokens: list | None, known: dict[str, tuple[int, int]],
-           vocab_bytes: list[int]) -> list[int]:
-    """All ids of a segment: its tokens, and single characters or their bytes between them."""
-    if len(seg) > LONGEST_STATE:
-        tokens = [{"s": s, "n": n, "id": k} for s, n, k in merge_long(seg, known)]
-    at = {t["s"] - 1: t for t in tokens or ()}
-    out, k = [], 0
-    while k < len(seg):
-        t = at.get(k)
-        if t:
-            out.append(t["id"])
-            k += t["n"]
+@dataclass
+class Speller:
+    """All ids of segments: their tokens, and single characters or bytes between them."""
+
+    known: dict[str, tuple[int, int]]
+    bytes_at: list[int]
+
+    def __post_init__(self) -> None:
+        single = sorted((ord(p), k) for p, (_, k) in self.known.items() if len(p) == 1)
+        self.points = np.array([c for c, _ in single], np.uint32)
+        self.ids = np.array([k for _, k in single], np.int64)
+
+    def slow(self, seg: str, tokens: list[int]) -> list[int]:
+        """One segment: of any length, and with characters the model does not know."""
+        if len(seg) > LONGEST_STATE:
+            at = {s - 1: (n, k) for s, n, k in merge_long(seg, self.known)}
         else:
-            hit = known.get(seg[k])
-            if hit:
-                out.append(hit[1])
+            at = {(t >> 6 & 63) - 1: (t & 63, t >> 12) for t in tokens}
+        out, k = [], 0
+        while k < len(seg):
+            if k in at:
+                out.append(at[k][1])
+                k += at[k][0]
             else:
-                out += [vocab_bytes[b] for b in seg[k].encode()]
-            k += 1
-    return out
+                hit = self.known.get(seg[k])
+                out += [hit[1]] if hit else [self.bytes_at[b] for b in seg[k].encode()]
+                k += 1
+        return out
+
+    def codes(self, segs: list[str], tokens: pa.Array) -> list[bytes]:
+        """The ids of every segment as two-byte numbers."""
+        size = np.array([len(s) for s in segs], np.int64)
+        off = np.concatenate([[0], np.cumsum(size)])
+        points = np.frombuffer("".join(segs).encode("utf-32-le"), "<u4")
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        ids = np.where(self.points[at] == points, self.ids[at], -1)
+        flat = np.asarray(tokens.flatten())
+        row = np.repeat(np.arange(len(segs)), np.asarray(tokens.value_lengths().fill_null(0)))
+        start, n = off[row] + (flat >> 6 & 63) - 1, flat & 63
+        ids[start] = flat >> 12
+        edge = np.zeros(len(points) + 1, np.int64)
+        np.add.at(edge, start + 1, 1)
+        np.add.at(edge, start + n, -1)
+        keep = np.cumsum(edge[:-1]) == 0
+        odd = np.flatnonzero(np.logical_or.reduceat(keep & (ids < 0), off[:-1])
+                             | (size > LONGEST_STATE))
+        raw = ids[keep].astype("<u2").tobytes()
+        ends = 2 * np.concatenate([[0], np.cumsum(keep)])[off]
+        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for k in odd:
+            mine = tokens[int(k)].as_py() or []
+            out[k] = np.array(self.slow(segs[k], mine), "<u2").tobytes()
+        return out
+
+
+def squeeze(values: np.ndarray | bytes) -> bytes:
+    """Compressed bytes behind their length."""
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unsqueeze(code: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(code[8:], int.from_bytes(code[:8], "little"), asbytes=True)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first, which compress better."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(4, len(raw) // 4).T.copy().view("<u4").ravel().astype(np.int64)
 
 
 # ---------------------------------------------------------------- whole documents
@@ -280,20 +338,18 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                         F.col(text_col).alias("text"))
     known = {p: (r, k) for p, k, r in vocab.pieces}
-    fallback = vocab.bytes_at
-    ids_of = spark.sparkContext.broadcast((known, fallback, vocab.outputs))
+    ids_of = spark.sparkContext.broadcast((known, vocab.bytes_at, vocab.outputs))
 
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *_ in _blocks(batches, block_bytes, []):
-            text = pa.array([s.replace(b" ", b"\xe2\x96\x81") for s in block.segments],
+            text = pa.array([s.replace(b" ", b"\xe2\x96\x81") for s in sorted(block.segments)],
                             pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [text, pa.array(np.full(len(text), block.name))], names=["seg", "block"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, places, counts, (doc_id,), digests in _blocks(batches, block_bytes, ["doc_id"]):
-            whole = [zlib.compress(x, 1) for x in (
-                places.tobytes(), counts.tobytes(), block.hashes.tobytes())]
+            whole = [squeeze(x) for x in (planes(places), planes(counts), block.hashes)]
             ids = pa.RecordBatch.from_arrays([doc_id], names=["doc_id"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, ids.schema) as out:
@@ -304,12 +360,12 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
                 names=["block", "places", "counts", "hashes", "ids", "digests"])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_piece, by_byte, _ = ids_of.value
+        speller = Speller(*ids_of.value[:2])
         for batch in batches:
-            out = [np.array(_spell(s, t, by_piece, by_byte), "<u2").tobytes() for s, t in zip(
-                batch.column("seg").to_pylist(), batch.column("tokens").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("seg"), pa.array(out, pa.binary())], names=["seg", "code"])
+            if batch.num_rows:
+                out = speller.codes(batch.column("seg").to_pylist(), batch.column("tokens"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("seg"), pa.array(out, pa.binary())], names=["seg", "code"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, hashes, sizes, codes = [], [], [], []
@@ -333,9 +389,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         for a, b in zip(edges, np.append(edges[1:], len(block)), strict=True):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[a:a + 1]), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())
-                                             for x in (h[a:b], size[a:b].astype(np.uint16),
-                                                       code[_ranges(start[a:b], size[a:b])]))],
+                [pa.array(block[a:a + 1]), *(pa.array([squeeze(x)], pa.binary()) for x in (
+                    h[a:b], size[a:b].astype(np.uint32), code[_ranges(start[a:b], size[a:b])]))],
                 names=["block", "h", "size", "code"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -343,8 +398,9 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
 
     used = texts.mapInArrow(uses, "seg string, block bigint").repartition("seg")
     table = spark.createDataFrame(vocab.pieces, "piece string, id int, rank int")
-    words = used.select("seg").distinct()
-    coded = words.join(lattice(words, table, vocab.longest), "seg", "left").mapInArrow(
+    # a use of each, too, so that this and the join below read one exchange
+    words = used.groupBy("seg").agg(F.max("block").alias("block")).select("seg")
+    coded = words.join(lattice(words, table), "seg", "left").mapInArrow(
         spell, "seg string, code binary")
     packed = used.join(coded, "seg").select("seg", "block", "code").mapInArrow(
         pack, "block bigint, h binary, size binary, code binary")
@@ -375,10 +431,10 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _spelled(left: pa.Table, right: pa.Table, outputs: list[bytes]) -> pa.Table:
     """Rows of one block with their ids, from its places and its segments' codes."""
     def unpacked(table: pa.Table, name: str, kind: str) -> np.ndarray:
-        parts = [np.frombuffer(zlib.decompress(x), kind) for x in table[name].to_pylist()]
+        parts = [np.frombuffer(unsqueeze(x), kind) for x in table[name].to_pylist()]
         return np.concatenate(parts) if parts else np.zeros(0, kind)
 
-    h, size = unpacked(right, "h", "<u8"), unpacked(right, "size", "<u2").astype(np.int64) // 2
+    h, size = unpacked(right, "h", "<u8"), unpacked(right, "size", "<u4").astype(np.int64) // 2
     code = unpacked(right, "code", "<u2")
     start = np.cumsum(size) - size
     by = np.argsort(h)
@@ -396,7 +452,7 @@ def _spelled(left: pa.Table, right: pa.Table, outputs: list[bytes]) -> pa.Table:
         place = np.searchsorted(h, want)
         if len(want) and (len(h) == 0 or (h[np.minimum(place, len(h) - 1)] != want).any()):
             raise RuntimeError("a block's segments changed between two reads of the input")
-        places, counts = unpacked(row, "places", "<i4"), unpacked(row, "counts", "<i8")
+        places, counts = (unplanes(unsqueeze(row[c][0].as_py())) for c in ("places", "counts"))
         doc_id = pa.ipc.open_stream(row["ids"][0].as_py()).read_all()["doc_id"]
         digests = row["digests"][0].as_py()
         first = np.concatenate([[0], np.cumsum(counts)])
