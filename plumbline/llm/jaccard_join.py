@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import ship
@@ -18,8 +18,8 @@ from plumbline.llm.words import (
 from plumbline.session import materialise
 
 _ODD = np.uint64(0xD1342543DE82EF95)
-#: Hashes that order tokens in parts; bits of a token; bits of a sketch per token.
-PART_ORDERS, TOKEN_BITS, SKETCH_BITS = (12, 13, 14), 48, 8
+#: Hashes that order tokens in parts; bits of a token; numbers of parity bits.
+PART_ORDERS, TOKEN_BITS, PARITIES = (12, 13, 14), 48, 8
 
 
 @dataclass
@@ -81,22 +81,15 @@ def unpacked(code: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def sketch(token: np.ndarray) -> bytes:
-    """A bit for every token, in a power of two of bits: sets differ at least where bits do."""
-    bits = max(64, 1 << int(len(token) * SKETCH_BITS - 1).bit_length())
-    marks = np.zeros(bits, np.uint8)
-    marks[(token % np.uint64(bits)).astype(np.int64)] = 1
-    return np.packbits(marks).tobytes()
+def parities(token: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls in each of 512 classes, as eight numbers.
 
-
-def differing(x: bytes, y: bytes) -> int:
-    """Bits in which two sketches differ, the longer one folded to the shorter."""
-    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(a) > len(b):
-        a = a[:len(a) // 2] | a[len(a) // 2:]
-    while len(b) > len(a):
-        b = b[:len(b) // 2] | b[len(b) // 2:]
-    return int(np.bitwise_count(a ^ b).sum())
+    Every token in which two sets differ changes one bit, so two sets differ
+    in at least as many tokens as their parities differ in bits.
+    """
+    odd = np.bincount((token % np.uint64(64 * PARITIES)).astype(np.int64),
+                      minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
@@ -141,16 +134,7 @@ def part_keys(token: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link: sketches rule most others out, whole sets decide."""
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.asarray(batch.column("m")) + np.asarray(batch.column("n"))
-            most = n * (100 - percent) // (100 + percent)
-            apart = np.array([differing(x, y) for x, y in zip(
-                batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)],
-                np.int64)
-            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
-
+    """The pairs ``a, b`` whose whole sets link."""
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -161,13 +145,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    for column, check in (("sketch", close), ("tokens", exact)):
-        left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("m"),
-                           F.col(column).alias("x"))
-        right = sets.select(F.col("doc_id").alias("b"), "n", F.col(column).alias("y"))
-        pairs = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
-            check, "a bigint, b bigint")
-    return pairs.distinct()
+    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
+        exact, "a bigint, b bigint").distinct()
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, few: int = 50,
@@ -179,14 +160,18 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
     2. Under one token order, linked sets share ``shared`` tokens among the
        first n - ceil(n * percent / 100) + ``shared`` of each.  A token seen
        in one class links nothing; a set with fewer seen in more is done.
-    3. Sets meet in shared prefix tokens seen at most ``few`` times.  Two
-       linked sets that share no such token have ``shared`` frequent ones
-       each, and sets with so many also meet in ``part_keys``, whose several
-       orders tell apart what only has a passage in common.
+    3. Under a second order, by falling frequency, each set forgets the first
+       ``shared`` - 1 of these tokens: the rarest one that two linked sets
+       share comes later in both.  Sets meet in what is left and seen at most
+       ``few`` times.  Where the rarest shared token is more frequent, both
+       sets have ``shared`` frequent ones, and sets with so many also meet in
+       ``part_keys``, whose several orders tell apart what only has a passage
+       in common.
     4. Each set is compared with the one it meets most among the least of its
-       keys; these links already join large groups.  Then all pairs that meet
-       and are not yet in one component are compared, so that no link between
-       components is missed and none inside one has to be enumerated.
+       keys; these links already join large groups.  Then all pairs that meet,
+       are not yet in one component and differ in few enough parities are
+       compared, so that no link between components is missed and none inside
+       one has to be enumerated.
 
     Links compare whole sets of 48-bit token hashes.  Null and empty texts
     have an empty set and link with nothing; a row with a null id takes no
@@ -255,32 +240,39 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()),
                  pa.array([packed(t) for t in sets], pa.binary()),
-                 pa.array([sketch(t) for t in sets], pa.binary()),
+                 *(pa.array(p) for p in np.stack([parities(t) for t in sets], axis=1)),
                  lists_by_row(np.concatenate(keys).view(np.int64), at, part.num_rows, pa.int64())],
-                names=["doc_id", "n", "tokens", "sketch", "keys"])
+                names=["doc_id", "n", "tokens", *odd, "keys"])
 
+    odd = [f"p{k}" for k in range(PARITIES)]
     signed = materialise(texts.mapInArrow(sign, "doc_id bigint, n bigint, s bigint, t bigint"))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "s", "t").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+        F.min("doc_id").alias("class_id"))
 
     tokens = texts.where("doc_id is not null").mapInArrow(prefixes, "token bigint, s bigint")
     common = tokens.groupBy("token").agg(
         F.min("s").alias("m"), F.max("s").alias("x"), F.count(F.lit(1)).alias("seen")).where(
         "m <> x").select("token", "seen")
-    met = materialise(tokens.join(common, "token"))
+    met = materialise(tokens.join(common, "token").groupBy("s", "token").agg(
+        F.max("seen").alias("seen")))
     hits = met.groupBy("s").agg(F.count(F.lit(1)).alias("hits"), F.sum(
         F.when(F.col("seen") > few, 1).otherwise(0)).alias("frequent"))
-    need = F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)) * F.col("copies")
+    need = F.least(F.lit(shared), F.ceil(F.col("n") * percent / 100)).cast("int")
     left = materialise(classes.join(hits, "s").where(F.col("hits") >= need).select(
-        F.col("class_id").alias("doc_id"), "s", "n", (F.col("frequent") >= need).alias("frequent")))
+        F.col("class_id").alias("doc_id"), "s", "n", need.alias("need"),
+        (F.col("frequent") >= need).alias("frequent")))
     flags = left.groupBy("doc_id").agg(F.max("frequent").alias("frequent"))
     coded = texts.mapInArrow(squeeze, "doc_id bigint, size bigint, code binary")
     sets = materialise(coded.join(flags, "doc_id").mapInArrow(
-        whole, "doc_id bigint, n bigint, tokens binary, sketch binary, keys array<bigint>"))
-
-    by_token = met.where(F.col("seen") <= few).join(left.select("s", "doc_id", "n"), "s").select(
-        F.col("token").alias("key"), "doc_id", "n").distinct()
-    by_part = sets.select(F.explode("keys").alias("key"), "doc_id", "n")
+        whole, "doc_id bigint, n bigint, tokens binary, " + "".join(f"{p} bigint, " for p in odd)
+        + "keys array<bigint>"))
+
+    falling = Window.partitionBy("s").orderBy(F.desc("seen"), "token")
+    by_token = met.join(left.select("s", "doc_id", "need"), "s").withColumn(
+        "place", F.row_number().over(falling)).where(
+        (F.col("place") >= F.col("need")) & (F.col("seen") <= few)).select(
+        F.col("token").alias("key"), "doc_id")
+    by_part = sets.select(F.explode("keys").alias("key"), "doc_id")
     keyed = by_token.unionByName(by_part)
     hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("m")).where(
         "hub < m").select("key", "hub")
@@ -292,22 +284,26 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
     links = materialise(_verified(chosen, sets, percent))
     label = components(links, "a", "b")
 
-    grouped = keyed.join(label, keyed.doc_id == label.node, "left").select(
-        "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    known = sets.select("doc_id", "n", *odd).join(label, F.col("doc_id") == F.col("node"), "left")
+    grouped = keyed.select("key", "doc_id").join(known.select(
+        "doc_id", "n", *odd, F.coalesce("component", "doc_id").alias("c")), "doc_id")
     open_ = grouped.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).where(
         "m <> x").select("key")
-    rest = materialise(grouped.join(open_, "key"))
+    rest = grouped.join(open_, "key")
     l, r = rest.alias("l"), rest.alias("r")
+    apart = " + ".join(f"bit_count(l.{p} ^ r.{p})" for p in odd)
     pairs = l.join(r, F.expr(
         f"l.key = r.key and l.doc_id < r.doc_id and l.c <> r.c "
-        f"and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n)")).select(
+        f"and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
+        f"and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)")).select(
         F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     links = materialise(links.unionByName(_verified(pairs, sets, percent)).distinct())
     final = components(links, "a", "b")
 
+    named = F.col("doc_id").isNotNull()
     found = signed.join(classes, ["n", "s", "t"], "left").join(
         final, F.col("class_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+        F.when(named, F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.when(named, F.coalesce("component", "class_id", "doc_id")).alias("component_id"))
     return found, links

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD1342543DE82EF95
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
