@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         exact, "a bigint, b bigint").distinct()
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, few: int = 50,
+def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, few: int = 200,
          id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``doc_id, n_shingles, class_id, component_id`` for every row, and verified links.
 
@@ -263,7 +263,8 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
         (F.col("frequent") >= need).alias("frequent")))
     flags = left.groupBy("doc_id").agg(F.max("frequent").alias("frequent"))
     coded = texts.mapInArrow(squeeze, "doc_id bigint, size bigint, code binary")
-    sets = materialise(coded.join(flags, "doc_id").mapInArrow(
+    # one plan at every size: the flags grow with the table, so they are never broadcast
+    sets = materialise(coded.join(flags.hint("merge"), "doc_id").mapInArrow(
         whole, "doc_id bigint, n bigint, tokens binary, " + "".join(f"{p} bigint, " for p in odd)
         + "keys array<bigint>"))
 
@@ -281,21 +282,23 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
     chosen = votes.groupBy("doc_id").agg(
         F.max(F.struct("count", (-F.col("hub")).alias("h"))).alias("v")).select(
         F.col("doc_id").alias("a"), (-F.col("v.h")).alias("b"))
-    links = materialise(_verified(chosen, sets, percent))
+    apart = " + ".join(f"bit_count(l.{p} ^ r.{p})" for p in odd)
+    near = (f"100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
+            f"and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)")
+    figures = sets.select("doc_id", "n", *odd)
+    likely = chosen.join(figures.alias("l"), F.col("a") == F.col("l.doc_id")).join(
+        figures.alias("r"), (F.col("b") == F.col("r.doc_id")) & F.expr(near)).select("a", "b")
+    links = materialise(_verified(likely, sets, percent))
     label = components(links, "a", "b")
 
-    known = sets.select("doc_id", "n", *odd).join(label, F.col("doc_id") == F.col("node"), "left")
-    grouped = keyed.select("key", "doc_id").join(known.select(
-        "doc_id", "n", *odd, F.coalesce("component", "doc_id").alias("c")), "doc_id")
+    grouped = keyed.join(label, F.col("doc_id") == F.col("node"), "left").select(
+        "key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     open_ = grouped.groupBy("key").agg(F.min("c").alias("m"), F.max("c").alias("x")).where(
         "m <> x").select("key")
-    rest = grouped.join(open_, "key")
+    rest = grouped.join(open_, "key").join(figures, "doc_id")
     l, r = rest.alias("l"), rest.alias("r")
-    apart = " + ".join(f"bit_count(l.{p} ^ r.{p})" for p in odd)
     pairs = l.join(r, F.expr(
-        f"l.key = r.key and l.doc_id < r.doc_id and l.c <> r.c "
-        f"and 100 * least(l.n, r.n) >= {percent} * greatest(l.n, r.n) "
-        f"and {100 + percent} * ({apart}) <= {100 - percent} * (l.n + r.n)")).select(
+        f"l.key = r.key and l.doc_id < r.doc_id and l.c <> r.c and {near}")).select(
         F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     links = materialise(links.unionByName(_verified(pairs, sets, percent)).distinct())
     final = components(links, "a", "b")
