@@ -81,15 +81,34 @@ def unpacked(code: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def parities(token: np.ndarray) -> np.ndarray:
-    """Whether an odd number of tokens falls in each of 512 classes, as eight numbers.
+def parities(token: np.ndarray, bits: int = 64 * PARITIES) -> np.ndarray:
+    """Whether an odd number of tokens falls in each of so many classes, as bytes.
 
     Every token in which two sets differ changes one bit, so two sets differ
     in at least as many tokens as their parities differ in bits.
     """
-    odd = np.bincount((token % np.uint64(64 * PARITIES)).astype(np.int64),
-                      minlength=64 * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    odd = np.bincount((token % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def wide(token: np.ndarray) -> bytes:
+    """Parities in a power of two of classes, two or more for each token."""
+    return parities(token, max(64, 1 << (2 * len(token) - 1).bit_length())).tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two wide parities differ, the longer one folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = _folded(a)
+    while len(b) > len(a):
+        b = _folded(b)
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _folded(a: np.ndarray) -> np.ndarray:
+    """Classes of the half number: class k and class k + half fall together."""
+    return a[:len(a) // 2] ^ a[len(a) // 2:]
 
 
 def signatures(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
@@ -134,7 +153,16 @@ def part_keys(token: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets link."""
+    """The pairs ``a, b`` whose sets link: wide parities rule most others out, whole sets decide."""
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = (np.asarray(batch.column("m")) + np.asarray(batch.column("n"))) * (
+                100 - percent) // (100 + percent)
+            apart = np.array([differing(x, y) for x, y in zip(
+                batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)],
+                np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(apart <= most))
+
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = []
@@ -145,13 +173,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append(100 * both >= percent * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
-        exact, "a bigint, b bigint").distinct()
+    for column, check in (("wide", close), ("tokens", exact)):
+        left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("m"),
+                           F.col(column).alias("x"))
+        right = sets.select(F.col("doc_id").alias("b"), "n", F.col(column).alias("y"))
+        pairs = pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(
+            check, "a bigint, b bigint")
+    return pairs.distinct()
 
 
-def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, few: int = 200,
+def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 32, few: int = 200,
          id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``doc_id, n_shingles, class_id, component_id`` for every row, and verified links.
 
@@ -240,9 +271,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()),
                  pa.array([packed(t) for t in sets], pa.binary()),
-                 *(pa.array(p) for p in np.stack([parities(t) for t in sets], axis=1)),
+                 pa.array([wide(t) for t in sets], pa.binary()),
+                 *(pa.array(p) for p in np.stack(
+                     [parities(t).view(np.int64) for t in sets], axis=1)),
                  lists_by_row(np.concatenate(keys).view(np.int64), at, part.num_rows, pa.int64())],
-                names=["doc_id", "n", "tokens", *odd, "keys"])
+                names=["doc_id", "n", "tokens", "wide", *odd, "keys"])
 
     odd = [f"p{k}" for k in range(PARITIES)]
     signed = materialise(texts.mapInArrow(sign, "doc_id bigint, n bigint, s bigint, t bigint"))
@@ -265,7 +298,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, shared: int = 20, fe
     coded = texts.mapInArrow(squeeze, "doc_id bigint, size bigint, code binary")
     # one plan at every size: the flags grow with the table, so they are never broadcast
     sets = materialise(coded.join(flags.hint("merge"), "doc_id").mapInArrow(
-        whole, "doc_id bigint, n bigint, tokens binary, " + "".join(f"{p} bigint, " for p in odd)
+        whole, "doc_id bigint, n bigint, tokens binary, wide binary, " + "".join(f"{p} bigint, " for p in odd)
         + "keys array<bigint>"))
 
     falling = Window.partitionBy("s").orderBy(F.desc("seen"), "token")
