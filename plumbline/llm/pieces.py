@@ -18,7 +18,7 @@ from plumbline.llm.words import Words, slices, texts_of
 
 #: The mark of a space, and the longest stretch a 64-bit state can hold.
 SPACE_MARK, LONGEST_STATE = "▁", 60
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, SLICE = 8 << 20, 1 << 19
 
 
 @dataclass
@@ -138,7 +138,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
                 [pa.concat_arrays(kept[c]) for c in columns], digests)
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, limit=SLICE):
             w = segments(part.column("text"))
             h = w.hashes()
             every, at = np.unique(h, return_index=True)
@@ -162,7 +162,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
 # ---------------------------------------------------------------- the lattice
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``seg, tokens``: the tokens of two characters or more of every distinct segment.
+    """``seg, tokens, uses``: the tokens of two characters or more of every distinct segment.
 
     Every place of a segment meets, by its first two and three characters, the
     lengths that pieces with that beginning have; the substrings of those
@@ -180,17 +180,20 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
         F.sequence(F.lit(2), F.least(F.lit(3), size - s + 1)),
         lambda n: F.struct(s.alias("s"), F.substring(text, s, n).alias("head")))))
     short = words.where(size.between(2, LONGEST_STATE))
-    places = short.select("seg", F.explode(starts).alias("x")).select("seg", "x.s", "x.head")
+    places = short.select("seg", "uses", F.explode(starts).alias("x")).select(
+        "seg", "uses", "x.s", "x.head")
     spans = places.join(F.broadcast(heads), "head").select(
-        "seg", "s", F.explode("lengths").alias("n")).where("s + n - 1 <= length(seg)").select(
-        "seg", "s", F.expr("substring(seg, s, n)").alias("piece"))
+        "seg", "uses", "s", F.explode("lengths").alias("n")).where(
+        "s + n - 1 <= length(seg)").select(
+        "seg", "uses", "s", F.expr("substring(seg, s, n)").alias("piece"))
     met = spans.join(F.broadcast(long), "piece")
     inner = F.expr("shiftleft(shiftleft(1L, length(piece) - 1) - 1L, s)")
     ends = F.expr("shiftleft(1L, s - 1) | shiftleft(1L, s - 1 + length(piece))")
     code = F.expr("id * 4096L + s * 64 + length(piece)")
     grouped = met.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "s", ends.alias("ends"), inner.alias("inner"), code.alias("code")))).alias("e"))
-    return grouped.select("seg", fold("seg", "e").alias("tokens"))
+        "rank", "s", ends.alias("ends"), inner.alias("inner"), code.alias("code")))).alias("e"),
+        F.max("uses").alias("uses"))
+    return grouped.select("seg", fold("seg", "e").alias("tokens"), "uses")
 
 
 def fold(seg: str, edges: str) -> Column:
@@ -359,31 +362,30 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
                     *whole, sink.getvalue().to_pybytes(), b"".join(digests)))],
                 names=["block", "places", "counts", "hashes", "ids", "digests"])
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*ids_of.value[:2])
-        for batch in batches:
-            if batch.num_rows:
-                out = speller.codes(batch.column("seg").to_pylist(), batch.column("tokens"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("seg"), pa.array(out, pa.binary())], names=["seg", "code"])
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, hashes, sizes, codes = [], [], [], []
+        speller = Speller(*ids_of.value[:2])
+        blocks, hashes, sizes, starts, codes, done = [], [], [], [], [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            text = pc.replace_substring(batch.column("seg"), SPACE_MARK, " ")
-            raw, off = texts_of(text)
-            hashes.append(Words(len(text), raw, off, off[:-1], off[1:], off, off).hashes())
+            raw, off = texts_of(pc.replace_substring(batch.column("seg"), SPACE_MARK, " "))
+            h = Words(len(off) - 1, raw, off, off[:-1], off[1:], off, off).hashes()
+            new = np.append(True, h[1:] != h[:-1])      # uses of a segment are neighbours
+            once = pa.array(np.flatnonzero(new))
+            spelt = speller.codes(batch.column("seg").take(once).to_pylist(),
+                                  batch.column("tokens").take(once))
+            size = np.array([len(x) for x in spelt], np.int64)
+            which = np.cumsum(new) - 1
             blocks.append(np.asarray(batch.column("block")))
-            code, at = texts_of_binary(batch.column("code"))
-            sizes.append(np.diff(at))
-            codes.append(code)
+            hashes.append(h)
+            sizes.append(size[which])
+            starts.append(done + (np.cumsum(size) - size)[which])
+            codes += spelt
+            done += int(size.sum())
         if not blocks:
             return
-        block, h, size = (np.concatenate(x) for x in (blocks, hashes, sizes))
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        code = np.concatenate(codes)
+        block, h, size, start = (np.concatenate(x) for x in (blocks, hashes, sizes, starts))
+        code = np.frombuffer(b"".join(codes), np.uint8)
         order = np.lexsort((h, block))
         block, h, size, start = block[order], h[order], size[order], start[order]
         edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -398,11 +400,10 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
 
     used = texts.mapInArrow(uses, "seg string, block bigint").repartition("seg")
     table = spark.createDataFrame(vocab.pieces, "piece string, id int, rank int")
-    # a use of each, too, so that this and the join below read one exchange
-    words = used.groupBy("seg").agg(F.max("block").alias("block")).select("seg")
-    coded = words.join(lattice(words, table), "seg", "left").mapInArrow(
-        spell, "seg string, code binary")
-    packed = used.join(coded, "seg").select("seg", "block", "code").mapInArrow(
+    # counting uses keeps both columns, so that words and uses read one exchange
+    words = used.groupBy("seg").agg(F.count("block").alias("uses"))
+    packed = used.join(lattice(words, table), "seg", "left").select(
+        "seg", "block", "tokens", "uses").mapInArrow(
         pack, "block bigint, h binary, size binary, code binary")
     lines = texts.mapInArrow(rows, "block bigint, places binary, counts binary, hashes binary, "
                                    "ids binary, digests binary")
@@ -411,16 +412,6 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
                 "ids_sha256 string, round_trip boolean")
 
 
-def texts_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a binary column without nulls."""
-    column = column.cast(pa.large_binary())
-    _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
-    raw = np.frombuffer(data, np.uint8)[off[0]:off[-1]] if data is not None else np.zeros(
-        0, np.uint8)
-    return raw, off - off[0]
-
-
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All positions of the ranges ``[start, start + size)``, one after another."""
     ends = np.cumsum(size)
@@ -456,7 +447,7 @@ def _spelled(left: pa.Table, right: pa.Table, outputs: list[bytes]) -> pa.Table:
         doc_id = pa.ipc.open_stream(row["ids"][0].as_py()).read_all()["doc_id"]
         digests = row["digests"][0].as_py()
         first = np.concatenate([[0], np.cumsum(counts)])
-        step = 512
+        step = 128
         for a in range(0, len(counts), step):
             b = min(a + step, len(counts))
             mine = place[places[first[a]:first[b]]]

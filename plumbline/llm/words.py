@@ -17,7 +17,7 @@ import pyarrow as pa
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _ODD = 0xD1342543DE82EF95
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -45,7 +45,7 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
+        size = n + (n >> 2)
         for k, base in enumerate((_ODD, pow(_ODD, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
