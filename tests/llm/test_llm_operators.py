@@ -289,7 +289,7 @@ def test_toxicity(spark):
     assert got[1000].score == got[1001].score and 0 <= got[1000].score < 0.7
     swapped = docs.selectExpr("-doc_id as doc_id", "text", "'xx' as lang")
     for r in toxicity.score(swapped, model).collect():
-        assert r.score == got[-r.doc_id].score
+        assert abs(r.score - got[-r.doc_id].score) < 1e-5
     clean = toxicity.clean(docs, model)
     assert clean.columns == docs.columns
     assert {r.doc_id for r in clean.collect()} == {k for k, r in got.items() if not r.rejected}
@@ -339,7 +339,8 @@ def test_url_filters(spark):
     # 3 and 4 reach a.net/x; 7 joins b.net with an allowed address, which wins for 5, 6 and 7
     assert allowed(3) == allowed(4) == ["block"]
     assert allowed(5) == allowed(6) == allowed(7) == ["allow"]
-    assert allowed(11) == allowed(12) == allowed(13) == allowed(14) == allowed(15) == ["allow"]
+    assert allowed(11) == ["block"]  # its closing slash leads to the blocked page 10
+    assert allowed(12) == allowed(13) == allowed(14) == allowed(15) == ["allow"]
     assert allowed(16) == allowed(17) == ["block"]
     assert url_filters.judge(df.limit(0), RULES).count() == 0
 
@@ -471,7 +472,7 @@ def test_long_merges_agree_with_the_fold(spark):
     rng = random.Random(2)
     segs = ["▁" * rng.randint(0, 3) + "".join(rng.choice("aeinrsth") for _ in range(
         rng.randint(2, 50))) for _ in range(200)]
-    words_ = spark.createDataFrame([(s,) for s in sorted(set(segs))], "seg string")
+    words_ = spark.createDataFrame([(s, 1) for s in sorted(set(segs))], "seg string, uses bigint")
     table = spark.createDataFrame(vocab.pieces, "piece string, id int, rank int")
     for r in pieces.lattice(words_, table).collect():
         got = sorted((t >> 6 & 63, t & 63, t >> 12) for t in r.tokens)
