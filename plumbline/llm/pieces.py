@@ -155,6 +155,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
                 yield block()
                 hashes, counts, words, digests, size = [], [], [], [], 0
                 kept = {c: [] for c in columns}
+                pa.default_memory_pool().release_unused()
     if counts:
         yield block()
 
@@ -179,7 +180,8 @@ def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     starts = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda s: F.transform(
         F.sequence(F.lit(2), F.least(F.lit(3), size - s + 1)),
         lambda n: F.struct(s.alias("s"), F.substring(text, s, n).alias("head")))))
-    short = words.where(size.between(2, LONGEST_STATE))
+    # a condition on the count stays above the exchange, which then serves words and uses
+    short = words.where(F.when(F.col("uses") > 0, size.between(2, LONGEST_STATE)))
     places = short.select("seg", "uses", F.explode(starts).alias("x")).select(
         "seg", "uses", "x.s", "x.head")
     spans = places.join(F.broadcast(heads), "head").select(
