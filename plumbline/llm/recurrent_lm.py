@@ -280,7 +280,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(count)], names=["h", "c"])
 
 
-def score(docs: DataFrame, frequent: int = 300_000, one_in: int = 16, rounds: int = 2,
+def score(docs: DataFrame, frequent: int = 300_000, one_in: int = 1, rounds: int = 2,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Unigram and network log10 probabilities of every text.
 
@@ -290,7 +290,7 @@ def score(docs: DataFrame, frequent: int = 300_000, one_in: int = 16, rounds: in
     frequent words (a fixed bound of a few MB) travel with the tasks; every
     other word of a text meets its count in a join on words, none of which is
     then frequent.  The network knows the first 2,046 words; it learns from
-    one in ``one_in`` training texts, so from more in a larger table: every
+    every training text, unless the caller asks for one in ``one_in``: every
     task trains on its texts by truncated backpropagation from shared
     weights, and the weights are averaged over tasks, ``rounds`` times.  A
     word it does not know has the probability of the unknown token times its

@@ -433,6 +433,15 @@ def test_language_model_learns_order(spark):
         assert r.score > 0.7 * r.base_score
 
 
+def test_language_model_learns_from_every_training_text(spark, monkeypatch):
+    taught, average = [], recurrent_lm._averaged
+    monkeypatch.setattr(recurrent_lm, "_averaged", lambda net, lessons, *rest: (
+        taught.append(lessons.count()), average(net, lessons, *rest))[1])
+    df = spark.createDataFrame([(k, f"a b c{k}") for k in range(40)], "doc_id bigint, text string")
+    kept = recurrent_lm.score(df.repartition(3)).where("not held_out").count()
+    assert len(taught) == 2 and set(taught) == {kept}
+
+
 def test_states_are_carried_through_blocks():
     import numpy as np
     rng = np.random.default_rng(1)
