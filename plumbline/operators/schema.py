@@ -65,20 +65,24 @@ def column_facts(df: DataFrame) -> DataFrame:
          & (F.count("value") <= 2)).alias("is_boolean"))
 
 
-def is_time(df: DataFrame, sample: int = 20) -> DataFrame:
-    """Timestamps and dates, or a date-like name whose first values all parse."""
-    rows = []
+def is_time(df: DataFrame) -> DataFrame:
+    """Timestamps and dates, or a date-like name whose present values all parse.
+
+    One aggregate over all rows decides every column.
+    """
+    found = []
     for f in df.schema:
+        v = _q(f.name)
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            rows.append(df.limit(1).agg(F.lit(f.name).alias("column"), F.lit(True).alias("is_time")))
+            ok = F.lit(True)
         elif re.search(DATE_HINT, f.name, re.IGNORECASE) and isinstance(f.dataType, T.StringType):
-            head = df.select(_q(f.name).alias("v")).filter(F.col("v").isNotNull()).limit(sample)
-            ok = F.count(F.lit(1)) == F.count_if(D.is_date(F.col("v")))
-            rows.append(head.agg(F.lit(f.name).alias("column"),
-                                 (ok & (F.count(F.lit(1)) > 0)).alias("is_time")))
-    if not rows:
+            ok = (F.count(v) > 0) & (F.count(v) == F.count_if(v.isNotNull() & D.is_date(v)))
+        else:
+            continue
+        found.append(F.struct(F.lit(f.name).alias("column"), ok.alias("is_time")))
+    if not found:
         return df.sparkSession.createDataFrame([], "column string, is_time boolean")
-    return reduce(DataFrame.unionByName, rows)
+    return df.agg(F.array(*found).alias("a")).selectExpr("inline(a)")
 
 
 def column_roles(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,14 +99,13 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
         .otherwise("latin-1").alias("encoding"))
 
 
-def sniff_delimiter(lines: DataFrame, suffix: str = ".csv", sample: int = 1000) -> DataFrame:
-    """The delimiter that splits the sampled lines most evenly, with a fallback
-    by file suffix."""
-    head = lines.limit(sample)
+def sniff_delimiter(lines: DataFrame, suffix: str = ".csv") -> DataFrame:
+    """The delimiter that splits the lines most evenly, with a fallback by file
+    suffix."""
     counts = [F.struct(F.lit(d).alias("delimiter"), F.avg(_count(d)).alias("mean"),
                        F.stddev_pop(_count(d)).alias("spread")) for d in DELIMITERS]
     fallback = {".tsv": "\t", ".psv": "|"}.get(suffix, ",")
-    good = head.agg(F.array(*counts).alias("a")).selectExpr("inline(a)").filter("mean >= 1")
+    good = lines.agg(F.array(*counts).alias("a")).selectExpr("inline(a)").filter("mean >= 1")
     best = good.agg(F.min_by("delimiter", F.struct(
         F.col("spread") / F.col("mean"), -F.col("mean"))).alias("d"))
     return best.select(F.coalesce("d", F.lit(fallback)).alias("delimiter"))
@@ -116,36 +115,50 @@ def _count(delimiter: str) -> Column:
     return F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit("")))
 
 
+def _as_path(url: str) -> str:
+    """A path of the file index as a reader takes it, without patterns."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(url))
+
+
 def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
                    sep: str | None = None) -> DataFrame:
     """Every column as text; empty cells stay empty strings and 'NA' stays 'NA'.
 
     The header is taken as it is written, so repeated names are suffixed
-    rather than renumbered.
+    rather than renumbered.  Each file of a folder is decoded by its own encoding.
     """
+    files: dict[str, list[str]] = {encoding: [path]} if encoding else {}
     if encoding is None:
-        found = detect_encoding(spark, path).first()
-        encoding = found["encoding"] if found else "utf-8"
-    # The JVM's name for the code page.
-    charset = {"cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}.get(
-        encoding.lower(), encoding)
-    if charset == "windows-1252":
+        for r in detect_encoding(spark, path).orderBy("path").collect():
+            files.setdefault(r["encoding"], []).append(_as_path(r["path"]))
+        if len(files) < 2:
+            files = {next(iter(files), "utf-8"): [path]}
+    # The JVM's names for the code pages.
+    charsets = {e: {"cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}.get(
+        e.lower(), e) for e in files}
+    if "windows-1252" in charsets.values():
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     if sep is None:
         sep = sniff_delimiter(spark.read.text(path), _suffix(path)).first()["delimiter"]
     # a file is split between tasks unless some line leaves a quote open
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     breaks = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
-    reader = (spark.read.option("sep", sep).option("encoding", charset)
-              .option("multiLine", str(breaks).lower())
-              .option("quote", '"').option("escape", '"').option("inferSchema", "false"))
-    first = reader.option("header", "false").csv(path).first()
+
+    def reader(charset: str) -> DataFrameReader:
+        return (spark.read.option("sep", sep).option("encoding", charset)
+                .option("multiLine", str(breaks).lower())
+                .option("quote", '"').option("escape", '"').option("inferSchema", "false"))
+
+    lead = next(iter(files))
+    first = reader(charsets[lead]).option("header", "false").csv(files[lead][0]).first()
     if first is None:
         return spark.createDataFrame([], T.StructType([]))
     names = dedupe_headers([(v or "").lstrip(chr(0xFEFF)) or f"column_{i}"
                             for i, v in enumerate(first, 1)])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = reader.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path)
+    body = reduce(DataFrame.unionByName, [
+        reader(charsets[e]).option("header", "true").option("enforceSchema", "true")
+        .schema(schema).csv(paths) for e, paths in files.items()])
     return body.select(*[F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit("")).alias(n)
                          for n in names])
 
@@ -172,9 +185,14 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 def _one_record_per_line(spark: SparkSession, path: str) -> bool:
     """Whether a ``.json`` file really holds one object on each line; read as
-    one document it would lose every record after the first."""
-    head = [r[0].strip() for r in spark.read.text(path).filter("trim(value) <> ''").take(2)]
-    return len(head) == 2 and all(h.startswith("{") and h.endswith("}") for h in head)
+    one document it would lose every record after the first.
+
+    All lines decide, so that a few broken ones do not make a document of them.
+    """
+    v = F.trim("value")
+    n, whole = spark.read.text(path).filter(v != "").agg(
+        F.count(F.lit(1)), F.count_if(v.startswith("{") & v.endswith("}"))).first()
+    return n > 1 and 2 * whole > n
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -50,6 +50,26 @@ def test_encoding_and_delimiter(spark, raw_dir):
     assert FI.sniff_delimiter(lines.limit(0), ".psv").first()["delimiter"] == "|"
 
 
+def test_all_lines_decide_delimiter_and_json_mode(spark, tmp_path):
+    lines = spark.createDataFrame([("x,y",)] * 1000 + [("a;b;c",)] * 9000, "value string").coalesce(1)
+    assert FI.sniff_delimiter(lines).first()["delimiter"] == ";"
+    path = tmp_path / "a.json"
+    path.write_text('{"a": 1\n' + '{"a": 2}\n' * 10)
+    assert FI._one_record_per_line(spark, str(path))
+    path.write_text('{"a": 1}\n{"a": 2}\n' + "{\n}\n" * 10)
+    assert not FI._one_record_per_line(spark, str(path))
+
+
+def test_each_file_of_a_folder_has_its_own_encoding(spark, tmp_path):
+    where = tmp_path / "in [1]"
+    where.mkdir()
+    (where / "a b.csv").write_bytes("k,v\n1,café\n".encode("cp1252"))
+    (where / "b.csv").write_bytes("k,v\n2,größe\n".encode())
+    (where / "c.csv").write_bytes(b"k,v\n3,\x81\xe9\n")
+    got = {r["k"]: r["v"] for r in FI.read_delimited(spark, str(tmp_path / "in*")).collect()}
+    assert got == {"1": "café", "2": "größe", "3": "\x81é"}
+
+
 def test_configured_sources_have_three_problem_kinds(spark, raw_dir):
     policy = CL.Policy("orders", (CL.ColumnRule("id", "id"),))
     broken = CL.Policy("broken", (CL.ColumnRule("id", "id"),))

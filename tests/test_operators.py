@@ -249,6 +249,15 @@ def test_profile_finds_the_defects_and_nothing_else(spark):
     p.unpersist()
 
 
+def test_all_rows_decide_which_text_is_time(spark):
+    days = [(f"2024-01-{k % 28 + 1:02d}", None if k else "2024-01-01", None) for k in range(40)]
+    df = spark.createDataFrame([*days, ("junk", None, None)],
+                               "day string, due_date string, end_date string").coalesce(1)
+    got = {r["column"]: r["is_time"] for r in SC.is_time(df).collect()}
+    assert got == {"day": False, "due_date": True, "end_date": False}
+
+
+
 def test_name_pairs_share_meaning(spark):
     names = SC.column_names({"a": ["Region_Name", "country", "qty"],
                              "b": ["region", "Country_Code", "owner"]}, spark)
