@@ -76,8 +76,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
 
     ``rules`` are (host, path prefix, ``allow`` or ``block``); the longest that
     fits decides.  Other pages take the decision of their class: addresses
-    joined by redirects (plain spellings, ``meta refresh``) and canonical
-    links.  A class that holds an allowed address is allowed, else one that
+    joined by redirects (plain spellings, every ``meta refresh``) and all
+    canonical links.  A class that holds an allowed address is allowed, else one that
     holds a blocked address is blocked, else it is allowed.  Addresses that
     are only linked to count as members.  A null url, or one without ``://``,
     has an empty host and path and is allowed with no component unless the
@@ -88,13 +88,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str =
     book = spark.createDataFrame(
         [(h, p, v) for h, p, v in rules], "rule_host string, rule_path string, rule_verdict string")
     html = F.coalesce(F.col(html_col), F.lit(""))
+
+    def targets(element: str, part: str) -> Column:
+        return F.transform(F.regexp_extract_all(html, F.lit(element), F.lit(0)), lambda e: resolved(
+            F.regexp_extract(e, part, 1), F.col(url_col)))
+
     read = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"),
-        F.array_compact(F.array(
-            resolved(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-                     F.col(url_col)),
-            resolved(F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1),
-                     F.col(url_col)))).alias("to"))
+        F.array_compact(F.concat(targets(CANONICAL, HREF), targets(REFRESH, TARGET))).alias("to"))
     linked = read.where("contains(url, '://') and size(to) > 0").select(
         "url", F.explode("to").alias("target"))
     addresses = (read.where("contains(url, '://')").select("url")

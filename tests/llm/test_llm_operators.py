@@ -308,6 +308,17 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
          ("org", "/fr/", "allow"))
 
 
+def test_every_link_of_a_page_joins_classes(spark):
+    html = "".join(f"<link rel='canonical' href='http://c{k}.com/'>"
+                   f"<meta http-equiv='refresh' content='0; url=http://r{k}.com/'>" for k in (1, 2))
+    pages = [(0, "http://a.com/", html), *((k, f"http://{h}.com/", "") for k, h in
+                                           enumerate(("c1", "c2", "r1", "r2"), 1))]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = url_filters.judge(df, [("a.com", "/", "block")]).collect()
+    assert len(got) == 5 and len({r.component for r in got}) == 1
+    assert {r.verdict for r in got} == {"block"}
+
+
 def test_url_filters(spark):
     link = '<link href="{}" rel="alternate"><LINK rel=canonical href="{}">'
     refresh = "<meta content='0; URL={}' http-equiv='refresh'>"
