@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    exact_dedup, jaccard_join, mixing, personal_data, pieces, quality_rules, recurrent_lm,
-    substring_dedup, toxicity, url_filters,
+    conversation_trie, exact_dedup, jaccard_join, mixing, packing, personal_data, pieces,
+    quality_rules, recurrent_lm, spelling, substring_dedup, toxicity, url_filters,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,3 +160,102 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_recurrent_language_model")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_linear_grouping_pack")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pieces_of = packing.tokenise(table(spark, sf_dir, "documents"),
+                                 public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces_of.select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+#: CRC-32 in SQL: the table from its rule, then one step per byte.
+CRC_SQL = """
+crc_table as (
+  select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1
+              then xor(c >> 1, 3988292384) else c >> 1 end, b) order by b) as tab
+  from range(256) as t(b))"""
+
+
+def crc_sql(data: str) -> str:
+    """The unsigned CRC-32 of a list of bytes, beside ``tab`` of ``crc_table``."""
+    return (f"xor(list_reduce({data}, lambda c, b: "
+            "xor(tab[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)")
+
+
+@query("op12_permuterm_variants", f"""
+with recursive {CRC_SQL},
+r as (
+  select doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+d as (select doc_id, run, count(*) as n from r group by all),
+b as (select run, n, coalesce(cast(doc_id as varchar), '') || ':' || run as s from d),
+h as (
+  select run, n, {crc_sql("""flatten(list_transform(string_split(s, ''), lambda ch:
+      case when unicode(ch) < 128 then [unicode(ch)::bigint]
+           else [195::bigint, unicode(ch)::bigint - 64] end))""")} as h
+  from b, crc_table),
+k as (select n, case when h % 199 = 0 then left(run, h % length(run)) ||
+             substr(run, h % length(run) + 2) else run end as word from h),
+w as (select word, sum(n)::bigint as n from k where length(word) >= 6 group by word having sum(n) >= 5),
+c as (select word, n, unnest(range(1, length(word) + 1)) as p from w),
+m as (select word, n, left(word, p - 1) || '*' || substr(word, p + 1) as mask,
+             left(word, p - 1) || substr(word, p + 1) as gone from c),
+pairs as (
+  select a.word as a, b.word as b from m a join m b on a.mask = b.mask and a.word <> b.word
+  union select m.word, w.word from m join w on m.gone = w.word
+  union select w.word, m.word from m join w on m.gone = w.word),
+e as (
+  select x.word, x.n, count(p.b) as n_near,
+         first(y.word order by y.n desc, y.word) as best, max(y.n) as best_n
+  from w x left join pairs p on p.a = x.word left join w y on y.word = p.b group by all),
+f as (select word, n, n_near, case when best_n >= 5 * n then best end as form,
+             case when best_n >= 5 * n then best_n end as form_n from e),
+walk(word, root) as (
+  select word, word from f
+  union all select walk.word, f.form from walk join f on f.word = walk.root where f.form is not null)
+select f.word, form, walk.root, n, n_near, form_n from f join walk on walk.word = f.word
+where not exists (select 1 from f g where g.word = walk.root and g.form is not null)
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+@query("op13_collapsed_trie", f"""
+with {CRC_SQL},
+t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first,
+                                     coalesce(role, ''), coalesce(text, '')) as p,
+         {{'r': coalesce(role, ''), 't': coalesce(text, '')}} as turn
+  from conversations where conv_id is not null),
+o as (select conv_id, list(turn order by p) as turns from t group by conv_id),
+h as (
+  select conv_id, turns, {crc_sql("""list_transform(string_split(conv_id::varchar, ''),
+      lambda ch: unicode(ch)::bigint)""")} % 9 as h from o, crc_table),
+s as (
+  select c.conv_id, list_concat(coalesce(b.turns, [])[:c.h], c.turns[c.h + 1:]) as turns
+  from h c left join o b on b.conv_id = c.conv_id - c.conv_id % 5),
+x as (select conv_id, turns, unnest(range(0, len(turns) + 1)) as depth from s),
+m as (select conv_id, depth, turns[:depth] as node, depth = len(turns) as done from x),
+n as (
+  select node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id)
+                         filter (where done), '')) as ends_sha256
+  from m group by node, depth),
+g as (select node[:depth - 1] as node, count(*) as n_children from n where depth > 0 group by 1),
+q as (
+  select n.*, coalesce(g.n_children, 0) as n_children,
+         case when n.depth = 0 then 0 else (n_convs - 1) * strlen(n.node[n.depth].t) end as value
+  from n left join g on g.node = n.node),
+up as (select node, unnest(range(0, depth + 1)) as a, value, n_children from q),
+sub as (select node[:a] as node, sum(value)::bigint as saved_tokens,
+               count(*) filter (where n_children = 0) as n_leaves from up group by 1)
+select q.conv_id, q.depth, f.conv_id as parent_conv_id, q.n_convs, q.n_children, sub.n_leaves,
+       sub.saved_tokens, q.ends_sha256
+from q join sub on sub.node = q.node
+left join q f on q.depth > 0 and f.node = q.node[:q.depth - 1]
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
