@@ -24,12 +24,21 @@ def event_window(log: DataFrame, at: str = "viewed_at") -> DataFrame:
     return log.agg(F.to_date(F.min(at)).alias("lo"), F.to_date(F.max(at)).alias("hi"))
 
 
-def _in_window(df: DataFrame, at: str, log: DataFrame, log_at: str) -> DataFrame:
-    # One scalar subquery; its value is a constant by the time the scan runs.
-    span = log.agg(F.struct(F.to_date(F.min(log_at)).cast("timestamp_ntz").alias("lo"),
-                            F.date_add(F.to_date(F.max(log_at)), 1)
-                            .cast("timestamp_ntz").alias("hi")).alias("s")).scalar()
-    return df.filter((F.col(at) >= span["lo"]) & (F.col(at) < span["hi"]))
+def _daily(log: DataFrame, at: str, *labels: str) -> DataFrame:
+    """Views per day (and label): what both the window and the counts are read from."""
+    return log.groupBy(*labels, F.to_date(at).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _span(daily: DataFrame) -> Column:
+    """Count, first and last day as one scalar; it shares the exchange of ``daily``, so the
+    log is scanned once, and is a constant by the time the facts are scanned."""
+    return daily.agg(F.struct(F.sum("_n").alias("n"), F.min("_day").alias("lo"),
+                              F.max("_day").alias("hi")).alias("s")).scalar()
+
+
+def _in_window(df: DataFrame, at: str, span: Column) -> DataFrame:
+    return df.filter((F.col(at) >= span["lo"].cast("timestamp_ntz"))
+                     & (F.col(at) < F.date_add(span["hi"], 1).cast("timestamp_ntz")))
 
 
 def _rate(orders: Column, views: Column) -> Column:
@@ -45,14 +54,15 @@ def funnel(log: DataFrame, facts: DataFrame, by: str = "product",
         raise KeyError("the funnel groups by " + ", ".join(FUNNEL_DIMS))
     label = by + "_name"
     # Count raw labels first: the fold then runs once per distinct label.
-    views = (log.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    daily = _daily(log, log_at, label)
+    views = (daily.groupBy(label).agg(F.sum("_n").alias("n"))
              .groupBy(fold_key(F.col(label)).alias("k"))
              .agg(F.sum("n").alias("views"), F.min(label).alias("log_label")))
     # Orders are distinct per key, so they are first reduced to one row per
     # label and order: that spreads a hot label over its orders.
     gated = F.expr(gate)
     sold = (
-        _in_window(facts, fact_at, log, log_at)
+        _in_window(facts, fact_at, _span(daily))
         .groupBy(label, order_id)
         .agg(F.count(F.when(gated, 1)).alias("lines"),
              F.sum(F.when(gated, F.col(value))).alias("revenue"))
@@ -79,16 +89,15 @@ def funnel_totals(log: DataFrame, facts: DataFrame, log_at: str = "viewed_at",
                   value: str = "sales", gate: str = "is_revenue_recognised") -> DataFrame:
     """The window's own totals; orders are distinct over the whole window."""
     gated = F.expr(gate)
-    views = log.agg(F.struct(F.count(F.lit(1)).alias("n"),
-                             F.to_date(F.min(log_at)).alias("lo"),
-                             F.to_date(F.max(log_at)).alias("hi")).alias("s")).scalar()
-    return _in_window(facts, fact_at, log, log_at).agg(
+    span = _span(_daily(log, log_at))
+    views = F.coalesce(span["n"], F.lit(0).cast("long"))
+    return _in_window(facts, fact_at, span).agg(
         F.count_distinct(F.when(gated, F.col(order_id))).alias("orders"),
         F.count(F.when(gated, 1)).alias("lines"),
         F.sum(F.when(gated, F.col(value))).alias("revenue"),
-    ).select(views["n"].alias("views"), "orders", "lines", "revenue",
-             _rate(F.col("orders"), views["n"]).alias("view_to_order_pct"),
-             views["lo"].alias("window_from"), views["hi"].alias("window_to"))
+    ).select(views.alias("views"), "orders", "lines", "revenue",
+             _rate(F.col("orders"), views).alias("view_to_order_pct"),
+             span["lo"].alias("window_from"), span["hi"].alias("window_to"))
 
 
 def unmatched_keys(log: DataFrame, facts: DataFrame, by: str = "product") -> DataFrame:

@@ -1,7 +1,10 @@
 """Exact quantiles that never hold a whole group in one task.
 
 Values are first counted, then placed in value buckets.  A small histogram
-says which buckets hold the wanted ranks, and only those buckets are ordered.
+says which buckets hold the wanted ranks; these are cut into cells between their
+own least and greatest value, by the same histogram, twice over.  A bucket spans
+less than 2**47 doubles and each cut parts it by 2**16, so what is ordered in the
+end holds some ten thousand distinct values at most, wherever the values lie.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ _LOG_BUCKET = ("CASE WHEN _v = 0 THEN 0 ELSE CAST(signum(_v) * (floor(ln(least(a
                " * 64) + 100000) AS BIGINT) END AS _b1")
 _LINEAR_BUCKET = ("CAST(CASE WHEN abs(_lo) < 1e300D AND abs(_hi) < 1e300D AND _hi > _lo"
                   " THEN floor(try_divide(_v - _lo, _hi - _lo) * 4096) ELSE 0 END AS BIGINT) AS _b2")
+# How often, and into how many cells, the buckets that hold a rank are cut.
+REFINEMENTS, CELLS = 2, 65536
 
 
 def _q(name: str) -> str:
@@ -52,22 +57,37 @@ def quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         ranged = vc.select("*", span["lo"].alias("_lo"), span["hi"].alias("_hi"))
     placed = ranged.selectExpr(*keys, "_v", "_n", _LOG_BUCKET, _LINEAR_BUCKET)
 
+    ranks = [(f"_{i}{side}", f"CAST({fn}({float(p)!r}D * (_total - 1)) AS BIGINT)")
+             for i, p in enumerate(probs) for side, fn in (("l", "floor"), ("h", "ceil"))]
+    holds = " OR ".join(f"({r} >= _start AND {r} < _start + _bn)" for _, r in ranks)
+    sums = [F.expr("sum(_n) AS _bn"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi")]
+
     # One row per bucket and group: small whatever the data size.
     part = "PARTITION BY " + ", ".join(keys or ["1"])
-    hist = (placed.groupBy(*by, "_b1", "_b2").agg(F.expr("sum(_n) AS _bn"))
+    hist = (placed.groupBy(*by, "_b1", "_b2").agg(*sums)
             .selectExpr("*", f"sum(_bn) OVER ({part} ORDER BY _b1, _b2 ROWS BETWEEN UNBOUNDED "
                         "PRECEDING AND CURRENT ROW) - _bn AS _start",
                         f"sum(_bn) OVER ({part}) AS _total"))
-    ranks = [(f"_{i}{side}", f"CAST({fn}({float(p)!r}D * (_total - 1)) AS BIGINT)")
-             for i, p in enumerate(probs) for side, fn in (("l", "floor"), ("h", "ceil"))]
-    wanted = hist.filter(" OR ".join(f"({r} >= _start AND {r} < _start + _bn)" for _, r in ranks))
-    near = matched(placed, wanted.select(*by, "_b1", "_b2", "_start", "_total"),
-                   [*by, "_b1", "_b2"])
-    cell = ", ".join([*keys, "_b1", "_b2"])
+    cell, found = ["_b1", "_b2"], ["_lo", "_hi", "_start", "_total"]
+    near = matched(placed, hist.filter(holds).select(*by, *cell, *found), [*by, *cell])
+    for level in range(REFINEMENTS):
+        own = f"_c{level}"
+        cut = near.selectExpr(
+            *keys, *cell, "_v", "_n", "_start AS _before", "_total",
+            "CAST(CASE WHEN abs(_lo) < 1e300D AND abs(_hi) < 1e300D AND _hi > _lo THEN "
+            f"floor(try_divide(_v - _lo, _hi - _lo) * {CELLS - 1}) ELSE 0 END AS BIGINT) AS {own}")
+        inside = ", ".join([*keys, *cell])
+        hist = (cut.groupBy(*by, *cell, own).agg(
+                    *sums, F.expr("max(_before) AS _before"), F.expr("max(_total) AS _total"))
+                .selectExpr("*", f"_before + sum(_bn) OVER (PARTITION BY {inside} ORDER BY {own} ROWS "
+                            "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - _bn AS _start"))
+        cell.append(own)
+        near = matched(cut.select(*by, *cell, "_v", "_n"),
+                       hist.filter(holds).select(*by, *cell, *found), [*by, *cell])
     near = near.selectExpr(
         *keys, "_v", "_n", "_total",
-        f"_start + sum(_n) OVER (PARTITION BY {cell} ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING "
-        "AND CURRENT ROW) AS _to")
+        f"_start + sum(_n) OVER (PARTITION BY {', '.join([*keys, *cell])} ORDER BY _v ROWS BETWEEN "
+        "UNBOUNDED PRECEDING AND CURRENT ROW) AS _to")
     picked = near.groupBy(*by).agg(
         F.expr("max(_total) AS n"),
         *[F.expr(f"max(CASE WHEN _to - _n <= {r} AND {r} < _to THEN _v END) AS {name}")

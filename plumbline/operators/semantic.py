@@ -215,10 +215,72 @@ def aggregate(df: DataFrame, catalog: Catalog, metrics: Iterable[str] = (),
     return out.limit(limit) if limit else out
 
 
+def _leaves(catalog: Catalog, keys: Iterable[str]) -> dict[str, Metric]:
+    """The single aggregates that metrics and ratios are made of."""
+    out: dict[str, Metric] = {}
+    for key in keys:
+        m = catalog.metric(key)
+        if isinstance(m, Measure):
+            raise KeyError(f"{key!r} comes from a purpose-built query and cannot be grouped")
+        out |= _leaves(catalog, [m.num, m.den]) if isinstance(m, Ratio) else {key: m}
+    return out
+
+
+def _reduced(df: DataFrame, catalog: Catalog, metrics: Sequence[str],
+             dims: Sequence[Column]) -> tuple[DataFrame, list[Column]]:
+    """One row per group and counted identity, with sums that merge, and the figures over them.
+
+    What a distinct count counts becomes a grouping column, so every other figure is a
+    sum, least or greatest of partial ones, and any coarser grouping reads these rows.
+    """
+    leaves = _leaves(catalog, metrics)
+    name = {key: f"_m{i}" for i, key in enumerate(leaves)}
+    parts: list[Column] = []
+    counted: dict[tuple[str, str | None], str] = {}
+    for key, m in leaves.items():
+        value = F.lit(1) if m.of == "*" else F.expr(m.of)
+        gated = F.when(F.expr(m.gate), value) if m.gate else value
+        if m.agg == "count_distinct":
+            name[key] = counted.setdefault((m.of, m.gate), name[key])
+        elif m.agg == "avg":
+            parts += [F.sum(gated).alias(name[key]), F.count(gated).alias(name[key] + "n"),
+                      F.avg(gated).alias(name[key] + "t")]
+        else:
+            parts.append(_AGGREGATES[m.agg](gated).alias(name[key]))
+    keys = [F.when(F.expr(gate), F.expr(of)).alias(n) if gate else F.expr(of).alias(n)
+            for (of, gate), n in counted.items()]
+    rows = df.groupBy(*dims, *keys).agg(*parts, F.count(F.lit(1)).alias("_lines"))
+
+    def figure(key: str) -> Column:
+        m = catalog.metric(key)
+        if isinstance(m, Ratio):
+            ratio = F.try_divide(figure(m.num).cast("double"), figure(m.den).cast("double"))
+            return ratio if m.scale == 1.0 else F.lit(m.scale) * ratio
+        at = name[key]
+        if m.agg == "avg":
+            return F.try_divide(F.sum(at), F.sum(at + "n")).cast(rows.schema[at + "t"].dataType)
+        if m.agg == "count":
+            return F.coalesce(F.sum(at), F.lit(0).cast("long"))
+        return _AGGREGATES[m.agg](F.col(at))
+
+    return rows, [*[figure(k).alias(k) for k in metrics],
+                  F.coalesce(F.sum("_lines"), F.lit(0).cast("long")).alias("n_lines")]
+
+
 def totals(df: DataFrame, catalog: Catalog, metrics: Iterable[str],
            filters: Filters | None = None) -> DataFrame:
-    """One row over everything; computed on its own, never summed from groups."""
-    return aggregate(df, catalog, metrics, filters=filters)
+    """One row over everything; computed on its own, never summed from groups.
+
+    Several distinct counts would each expand the rows; they are counted over rows that
+    are reduced once instead.
+    """
+    metrics = list(metrics)
+    several = {(m.of, m.gate) for m in _leaves(catalog, metrics).values()
+               if m.agg == "count_distinct"}
+    if len(several) < 2:
+        return aggregate(df, catalog, metrics, filters=filters)
+    rows, figures = _reduced((filters or Filters()).apply(df, catalog), catalog, metrics, [])
+    return rows.agg(*figures)
 
 
 def timeseries(df: DataFrame, catalog: Catalog, metrics: Iterable[str],
@@ -259,14 +321,16 @@ def rollup(df: DataFrame, catalog: Catalog, path: Sequence[str],
     """The same figures at every level of a path in one scan.
 
     ``level`` is 0 for the grand total and ``len(path)`` for the finest rows.
-    Ratios and distinct counts are computed per level, not summed upwards.
+    Ratios and distinct counts are computed per level, not summed upwards.  Facts are
+    first reduced to one row per finest group and counted identity, so only these rows
+    are expanded to the levels.
     """
     metrics = list(metrics)
-    dims = [catalog.dimension(k).column().alias(k) for k in path]
     base = (filters or Filters()).apply(df, catalog)
-    return base.rollup(*dims).agg(
-        *[catalog.column(k).alias(k) for k in metrics],
-        F.count(F.lit(1)).alias("n_lines"),
+    rows, figures = _reduced(base, catalog, metrics,
+                             [catalog.dimension(k).column().alias(k) for k in path])
+    return rows.rollup(*path).agg(
+        *figures,
         (F.lit(len(path)) - F.bit_count(F.grouping_id())).cast("int").alias("level"))
 
 

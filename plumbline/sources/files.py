@@ -12,12 +12,13 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.cleaning import Cleaned, Policy, finish, rejected_cells
 from plumbline.operators.versions import describe
+from plumbline.sources.records import records, text_lines
 
 # --- fixed values -----------------------------------------------------------
 TEXT_SUFFIXES = (".csv", ".tsv", ".psv", ".txt")
@@ -120,47 +121,128 @@ def _as_path(url: str) -> str:
     return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(url))
 
 
+@dataclass(frozen=True)
+class _Shape:
+    """What files must share to be read as one: how they are split, decoded and named."""
+
+    encoding: str
+    sep: str
+    header: str
+    spans: bool
+
+
+def _decoded(encoding: str) -> Column:
+    """The text of a line; the text source keeps its bytes."""
+    if encoding == "utf-8":
+        return F.col("value")
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    if encoding == "latin-1":
+        return latin
+    low = [chr(c) for c in range(0x80, 0xA0) if f"{c:02X}" not in _CP1252_HOLES]
+    return F.translate(latin, "".join(low), "".join(c.encode("latin-1").decode("cp1252")
+                                                    for c in low))
+
+
+def _shapes(spark: SparkSession, path: str, encoding: str | None,
+            sep: str | None) -> dict[_Shape, list[str]]:
+    """Files by shape, in the order of their paths, from one pass over all lines."""
+    lines = text_lines(spark, path)
+    found = {r["path"]: r["encoding"] for r in detect_encoding(spark, path).collect()}
+    stats = [F.struct(F.avg(_count(d)).alias("mean"), F.stddev_pop(_count(d)).alias("spread"))
+             .alias(f"d{k}") for k, d in enumerate(DELIMITERS)]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    files = lines.groupBy("path").agg(
+        F.min_by("value", F.struct("block", "line")).alias("head"),
+        (F.max(quotes % 2) == 1).alias("spans"), *stats).orderBy("path").collect()
+    shapes: dict[_Shape, list[str]] = {}
+    for r in files:
+        good = [(r[f"d{k}"]["spread"] / r[f"d{k}"]["mean"], -r[f"d{k}"]["mean"], d)
+                for k, d in enumerate(DELIMITERS) if r[f"d{k}"]["mean"] >= 1]
+        fallback = {".tsv": "\t", ".psv": "|"}.get(_suffix(r["path"]), ",")
+        own = sep or (min(good)[2] if good else fallback)
+        name, head = encoding or found[r["path"]], r["head"]
+        at = [_as_path(r["path"])]
+        if r["spans"] and head.count('"') % 2:
+            first = records(text_lines(spark, at), own)
+            head = first.where(F.startswith("value", F.lit(head))).agg(F.min("value")).first()[0]
+        shapes.setdefault(_Shape(name, own, head, bool(r["spans"])), []).extend(at)
+    return shapes
+
+
+def _read_shape(spark: SparkSession, shape: _Shape, paths: list[str]) -> DataFrame:
+    options = {"sep": shape.sep, "quote": '"', "escape": '"'}
+    lines = text_lines(spark, paths)
+    rows = records(lines, shape.sep) if shape.spans else lines.select("path", "value")
+    # The first record of a file names its columns; rows equal to it are counted, less one.
+    heads = rows.where(F.col("value") == shape.header).groupBy("path", "value").agg(
+        F.count(F.lit(1)).alias("n"))
+    again = heads.select("path", F.explode(F.array_repeat("value", (F.col("n") - 1).cast("int")))
+                         .alias("value"))
+    body = rows.where(F.col("value") != shape.header).unionByName(again)
+    wide = max(1, shape.header.count(shape.sep) + 1)
+    one = ", ".join(f"c{k} string" for k in range(wide))
+    head = spark.range(1).select(F.lit(shape.header).alias("value")).select(
+        F.from_csv(_decoded(shape.encoding), one, options).alias("r")).select("r.*").first()
+    cells = list(head)
+    while len(cells) > 1 and cells[-1] is None and len(cells) > _fields(shape):
+        cells.pop()
+    names = dedupe_headers([(v or "").lstrip(chr(0xFEFF)) or f"column_{i}"
+                            for i, v in enumerate(cells, 1)])
+    schema = ", ".join(f"c{k} string" for k in range(len(names)))
+    parsed = body.select(F.from_csv(_decoded(shape.encoding), schema, options).alias("r"))
+    return parsed.select(*[F.coalesce(F.col(f"r.c{k}"), F.lit("")).alias(n)
+                           for k, n in enumerate(names)])
+
+
+def _fields(shape: _Shape) -> int:
+    """How many cells a header has: separators outside quoted cells, and one."""
+    return len(re.findall(re.escape(shape.sep), re.sub(r'"[^"]*"', "", shape.header))) + 1
+
+
 def read_delimited(spark: SparkSession, path: str, encoding: str | None = None,
                    sep: str | None = None) -> DataFrame:
     """Every column as text; empty cells stay empty strings and 'NA' stays 'NA'.
 
-    The header is taken as it is written, so repeated names are suffixed
-    rather than renumbered.  Each file of a folder is decoded by its own encoding.
+    Each file of a folder has its own encoding, delimiter and header: columns meet by
+    name, in the order in which files by path bring them, and are empty where a file
+    lacks them.  Repeated names are suffixed rather than renumbered.  Blank lines are
+    rows of empty cells.  Quoted cells may span lines (joined by a line feed); a file
+    with such cells is still read by many tasks.  A file without a line is passed over.
     """
-    files: dict[str, list[str]] = {encoding: [path]} if encoding else {}
-    if encoding is None:
-        for r in detect_encoding(spark, path).orderBy("path").collect():
-            files.setdefault(r["encoding"], []).append(_as_path(r["path"]))
-        if len(files) < 2:
-            files = {next(iter(files), "utf-8"): [path]}
-    # The JVM's names for the code pages.
-    charsets = {e: {"cp1252": "windows-1252", "latin-1": "ISO-8859-1", "utf-8": "UTF-8"}.get(
-        e.lower(), e) for e in files}
-    if "windows-1252" in charsets.values():
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    if sep is None:
-        sep = sniff_delimiter(spark.read.text(path), _suffix(path)).first()["delimiter"]
-    # a file is split between tasks unless some line leaves a quote open
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    breaks = not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    if encoding and encoding.lower() not in _CHARSETS:
+        return _read_charset(spark, path, encoding, sep)
+    shapes = _shapes(spark, path, encoding and _CHARSETS[encoding.lower()], sep)
+    if not shapes:
+        return spark.createDataFrame([], T.StructType([]))
+    parts = [_read_shape(spark, shape, paths) for shape, paths in shapes.items()]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if len(parts) == 1:
+        return every
+    return every.select(*[F.coalesce(_named(c), F.lit("")).alias(c) for c in every.columns])
+
+
+_CHARSETS = {"utf-8": "utf-8", "utf8": "utf-8", "ascii": "utf-8", "cp1252": "cp1252",
+             "windows-1252": "cp1252", "latin-1": "latin-1", "latin1": "latin-1",
+             "iso-8859-1": "latin-1"}
+
+
+def _named(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
 
-    def reader(charset: str) -> DataFrameReader:
-        return (spark.read.option("sep", sep).option("encoding", charset)
-                .option("multiLine", str(breaks).lower())
-                .option("quote", '"').option("escape", '"').option("inferSchema", "false"))
 
-    lead = next(iter(files))
-    first = reader(charsets[lead]).option("header", "false").csv(files[lead][0]).first()
+def _read_charset(spark: SparkSession, path: str, encoding: str, sep: str | None) -> DataFrame:
+    """Other encodings go through the CSV source, each file in one task."""
+    reader = (spark.read.option("sep", sep or ",").option("encoding", encoding)
+              .option("multiLine", "true").option("quote", '"').option("escape", '"')
+              .option("inferSchema", "false"))
+    first = reader.option("header", "false").csv(path).first()
     if first is None:
         return spark.createDataFrame([], T.StructType([]))
     names = dedupe_headers([(v or "").lstrip(chr(0xFEFF)) or f"column_{i}"
                             for i, v in enumerate(first, 1)])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    body = reduce(DataFrame.unionByName, [
-        reader(charsets[e]).option("header", "true").option("enforceSchema", "true")
-        .schema(schema).csv(paths) for e, paths in files.items()])
-    return body.select(*[F.coalesce(F.col("`" + n.replace("`", "``") + "`"), F.lit("")).alias(n)
-                         for n in names])
+    body = reader.option("header", "true").option("enforceSchema", "true").schema(schema).csv(path)
+    return body.select(*[F.coalesce(_named(n), F.lit("")).alias(n) for n in names])
 
 
 def _flattened(schema: T.StructType, prefix: str = "") -> list[tuple[str, str]]:

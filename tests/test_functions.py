@@ -105,3 +105,15 @@ def test_quantiles_match_numpy(spark):
     whole = [v for vs in sets.values() for v in vs]
     assert median(df, "v").first()["median"] == pytest.approx(np.median(whole))
     assert median(df.limit(0), "v").first()["median"] is None
+
+
+def test_quantiles_of_values_in_one_narrow_range(spark):
+    rng = np.random.default_rng(9)
+    near = 1000 + rng.random(20_000) * 1e-7
+    values = np.concatenate([near, rng.random(200) * 1e9, 1000 + rng.random(50) * 10, [-5.0, 0.0]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.98, 1.0]
+    got = quantiles(df, "v", probs).first()
+    assert [got[f"q{i}"] for i in range(len(probs))] == pytest.approx(
+        list(np.quantile(values, probs)), rel=1e-15)
+    assert got["n"] == len(values)
