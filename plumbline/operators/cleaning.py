@@ -325,11 +325,16 @@ def surrogate_key(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
 
     Rows are range-partitioned and numbered inside their partition; the
     partition sizes give the offsets.  The numbered rows are written once,
-    since both steps must see the same partitioning.
+    since both steps must see the same partitioning.  Rows that tie in the
+    order are ranged by a hash of all they hold, and equal rows by their place
+    in the input, so one value that many rows share fills many partitions.
     """
-    keys = [F.asc_nulls_last(c) for c in order]
+    everything = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    keys = [*[F.asc_nulls_last(c) for c in order], everything, F.monotonically_increasing_id()]
     numbered = materialise(
-        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        df.withColumns({"_tie": keys[-2], "_place": keys[-1]})
+        .repartitionByRange(*keys[:-2], "_tie", "_place")
+        .sortWithinPartitions(*keys[:-2], "_tie", "_place").drop("_tie", "_place")
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id()
                     - F.shiftleft(F.col("_pid").cast("bigint"), 33)))

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.quantiles import median
-from plumbline.operators.semantic import Catalog, Filters, Measure, Ratio, aggregate, ordered
+from plumbline.operators.semantic import (
+    Catalog, Filters, Measure, Ratio, aggregate, group_sets, ordered,
+)
 
 # --- fixed values -----------------------------------------------------------
 Z_THRESHOLD = 3.5
@@ -157,14 +159,16 @@ def benchmark_vs_parent(df: DataFrame, catalog: Catalog, metric: str, child: str
                         parent: str = "department", filters: Filters | None = None,
                         min_lines: int = 0) -> DataFrame:
     """Each child beside its own parent's figure, which is recomputed over the
-    same rows rather than averaged from the children."""
+    same rows rather than averaged from the children, in the same scan."""
     up = catalog.metric(metric).higher_is_better
-    rows = aggregate(df, catalog, [metric], [parent, child], filters, min_lines=min_lines)
-    parents = aggregate(df, catalog, [metric], [parent], filters).select(
-        F.col(parent).alias("_p"), F.col(metric).alias("parent_value"))
+    both = group_sets(df, catalog, [metric], {"child": [parent, child], "parent": [parent]},
+                      filters, reduce_first=True)
+    family = Window.partitionBy(parent)
     gap = F.col(metric) - F.col("parent_value")
-    out = (rows.join(parents, rows[parent].eqNullSafe(parents["_p"]), "left").drop("_p")
-           .withColumn("gap", gap)
+    rows = (both.withColumn("parent_value", F.max(F.when(F.col("frame") == "parent", F.col(metric)))
+                            .over(family))
+            .where((F.col("frame") == "child") & (F.col("n_lines") >= min_lines)))
+    out = (rows.select(parent, child, metric, "n_lines", "parent_value").withColumn("gap", gap)
            .withColumn("beats_parent", F.coalesce(
                F.col("gap") >= 0 if up else F.col("gap") <= 0, F.lit(False))))
     return ordered(out, "-gap" if up else "gap", parent, child)

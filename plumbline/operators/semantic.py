@@ -7,7 +7,7 @@ rows of the query, so gated and ungated figures share one scan.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
@@ -334,6 +334,41 @@ def rollup(df: DataFrame, catalog: Catalog, path: Sequence[str],
         (F.lit(len(path)) - F.bit_count(F.grouping_id())).cast("int").alias("level"))
 
 
+def group_sets(df: DataFrame, catalog: Catalog, metrics: Iterable[str],
+               sets: Mapping[str, Sequence[str]], filters: Filters | None = None,
+               reduce_first: bool = False) -> DataFrame:
+    """Several groupings of one scan: ``frame`` names the set a row belongs to.
+
+    Columns are ``frame``, every dimension of any set (null where a set lacks it), the
+    metrics and ``n_lines``.  ``reduce_first`` pays where the finest grouping of all
+    dimensions is much smaller than the facts, as along a path.  No two sets may be
+    equal; groups whose value is null are told from sets without the dimension.
+    """
+    metrics = list(metrics)
+    dims = list(dict.fromkeys(d for by in sets.values() for d in by))
+    base = (filters or Filters()).apply(df, catalog)
+    own = {k: f"_d{i}" for i, k in enumerate(dims)}
+    if reduce_first:
+        rows, figures = _reduced(base, catalog, metrics,
+                                 [catalog.dimension(k).column().alias(n) for k, n in own.items()])
+    else:
+        rows = base.withColumns({n: catalog.dimension(k).column() for k, n in own.items()})
+        figures = [*[catalog.column(k).alias(k) for k in metrics],
+                   F.count(F.lit(1)).alias("n_lines")]
+    ids = {name: sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in by)
+           for name, by in sets.items()}
+    if len(set(ids.values())) < len(ids):
+        raise ValueError("two frames group by the same dimensions")
+    out = rows.groupingSets([[F.col(own[d]) for d in by] for by in sets.values()],
+                            *[F.col(n) for n in own.values()]).agg(
+        *figures, F.grouping_id().alias("_set"))
+    frame = F.lit(None).cast("string")
+    for name, at in ids.items():
+        frame = F.when(F.col("_set") == at, name).otherwise(frame)
+    return out.select(frame.alias("frame"), *[F.col(n).alias(k) for k, n in own.items()],
+                      *metrics, "n_lines")
+
+
 def canonical_values(df: DataFrame, catalog: Catalog, key: str,
                      values: Sequence[str], near: int = 3) -> DataFrame:
     """Each asked value with its stored spelling, or the nearest spellings.

@@ -2,15 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.operators import funnel as FN
 from plumbline.operators import insights as I
 from plumbline.operators import versions as VE
-from plumbline.operators.semantic import Catalog, Filters, aggregate, timeseries, totals
+from plumbline.operators.semantic import Catalog, Filters, aggregate, group_sets, timeseries, totals
 
 Bundle = dict[str, DataFrame]
 
+#: What the grouped frames of each bundle show: metrics, and the dimensions they are by.
+FRAMES: dict[str, dict[str, tuple[Sequence[str], Sequence[str]]]] = {
+    "overview": {
+        "totals": (("revenue", "profit", "margin_pct", "orders", "aov"), ()),
+        "trend": (("revenue", "profit"), ("month",)),
+        "by_market": (("revenue",), ("market",)),
+        "by_department": (("revenue",), ("department",)),
+    },
+    "delivery": {
+        "totals": (("shipped_lines", "on_time_pct", "late_pct", "avg_delay_days"), ()),
+        "by_mode": (("late_pct", "shipped_lines"), ("shipping_mode",)),
+        "delays": (("shipped_lines",), ("delay_days",)),
+        "trend": (("late_pct",), ("month",)),
+        "grid": (("late_pct",), ("market", "shipping_mode")),
+    },
+    "profitability": {
+        "by_category": (("profit", "margin_pct", "discount_pct"), ("category",)),
+        "by_department": (("profit", "revenue"), ("department",)),
+        "products": (("profit", "revenue", "margin_pct", "units"), ("product",)),
+        "benchmark": (("margin_pct",), ("department", "category")),
+    },
+    "geography": {
+        "market": (("revenue", "margin_pct", "orders"), ("market",)),
+        "country": (("revenue", "margin_pct", "orders"), ("country",)),
+        "trend": (("revenue",), ("month", "market")),
+        "segments": (("revenue", "margin_pct"), ("segment",)),
+    },
+}
+
+
+def frames(df: DataFrame, catalog: Catalog, bundle: str, filters: Filters | None = None) -> DataFrame:
+    """All grouped frames of a bundle from one scan of the facts, as rows named by ``frame``.
+
+    A metric that a frame does not show is null there.
+    """
+    own = FRAMES[bundle]
+    metrics = list(dict.fromkeys(m for shown, _ in own.values() for m in shown))
+    out = group_sets(df, catalog, metrics, {name: by for name, (_, by) in own.items()}, filters)
+    return out.withColumns({m: F.when(F.col("frame").isin(
+        [name for name, (shown, _) in own.items() if m in shown]), F.col(m)) for m in metrics})
+
+
+def frame(rows: DataFrame, bundle: str, name: str) -> DataFrame:
+    """One frame of ``frames`` with its own columns."""
+    shown, by = FRAMES[bundle][name]
+    return rows.where(F.col("frame") == name).select(*by, *shown, "n_lines")
+
 
 def overview(df: DataFrame, catalog: Catalog, filters: Filters | None = None) -> Bundle:
     keys = ["revenue", "profit", "margin_pct", "orders", "aov"]

@@ -13,7 +13,7 @@ from plumbline.operators import validation as V
 from plumbline.operators import versions as VE
 from plumbline.operators.semantic import aggregate
 from plumbline.plans import dashboards, publish, spec, stage
-from plumbline.plans.queries import query
+from plumbline.plans.queries import SQL, query
 from plumbline.plans.queries.cleaning import POLICY, WITH as MESSY_WITH, messy
 from plumbline.plans.queries.common import WITH_BOTH, WITH_ITEMS, rounded
 from plumbline.plans.queries.metrics import G, MARGIN, REVENUE, _funnel_sql
@@ -504,3 +504,61 @@ SELECT country, {REVENUE} AS revenue, {MARGIN} AS margin_pct,
   count(DISTINCT order_id) {G} AS orders, count(*) AS n_lines FROM items GROUP BY 1""")
 def brw_07g(spark, sf):
     return rounded(dashboards.geography(stage.items(spark, sf, "geo", "product"), C)["country"])
+
+
+def _frames_sql(bundle: str) -> str:
+    """UNION ALL of plain groupings, one for each frame."""
+    own = dashboards.FRAMES[bundle]
+    metrics = list(dict.fromkeys(m for shown, _ in own.values() for m in shown))
+    dims = list(dict.fromkeys(d for _, by in own.values() for d in by))
+    parts = [
+        "SELECT '" + name + "' AS frame, "
+        + ", ".join([*[f"{FRAME_DIMS[d] if d in by else 'NULL'} AS {d}" for d in dims],
+                     *[f"{FRAME_METRICS[m] if m in shown else 'NULL'} AS {m}" for m in metrics]])
+        + ", count(*) AS n_lines FROM items"
+        + (" GROUP BY " + ", ".join(FRAME_DIMS[d] for d in by) if by else "")
+        for name, (shown, by) in own.items()]
+    return WITH_ITEMS + " UNION ALL ".join(parts)
+
+
+FRAME_DIMS = {"month": "CAST(date_trunc('month', order_date) AS TIMESTAMP)", "market": "market",
+              "country": "country", "segment": "segment", "department": "department_name",
+              "category": "category_name", "product": "product_name",
+              "shipping_mode": "shipping_mode", "delay_days": "shipping_delay_days"}
+_R, _S = "FILTER (WHERE is_revenue_recognised)", "FILTER (WHERE is_shipment_valid)"
+_LATE, _TIMELY = (f"FILTER (WHERE is_shipment_valid AND shipping_delay_days {op} 0)" for op in (">", "<="))
+FRAME_METRICS = {
+    "revenue": f"round(sum(sales) {_R}, 4)", "profit": f"round(sum(profit) {_R}, 4)",
+    "margin_pct": f"round(100.0 * (sum(profit) {_R}) / nullif(sum(sales) {_R}, 0), 4)",
+    "discount_pct": f"round(100.0 * (sum(discount) {_R}) / nullif(sum(sales) {_R}, 0), 4)",
+    "orders": f"count(DISTINCT order_id) {_R}", "units": f"CAST(sum(quantity) {_R} AS BIGINT)",
+    "aov": f"round((sum(sales) {_R}) / nullif(count(DISTINCT order_id) {_R}, 0), 4)",
+    "shipped_lines": f"count(*) {_S}",
+    "late_pct": f"round(100.0 * (count(*) {_LATE}) / nullif(count(*) {_S}, 0), 4)",
+    "on_time_pct": f"round(100.0 * (count(*) {_TIMELY}) / nullif(count(*) {_S}, 0), 4)",
+    "avg_delay_days": f"round(avg(shipping_delay_days) {_S}, 4)",
+}
+
+
+def _frames_query(bundle: str) -> None:
+    @query(f"brw_07_{bundle}_frames", _frames_sql(bundle))
+    def run(spark, sf):
+        return rounded(dashboards.frames(stage.items(spark, sf), C, bundle))
+
+
+for _bundle in dashboards.FRAMES:
+    _frames_query(_bundle)
+
+
+_NEVER = "SELECT '{0}' AS frame, product_key, views, orders FROM f WHERE {1}"
+
+
+@query("brw_07_funnel_frames", "WITH f AS (" + SQL["jn_04_funnel_product"] + ") "
+       + _NEVER.format("groups", "TRUE") + " UNION ALL "
+       + _NEVER.format("viewed_never_ordered", "views > 0 AND orders = 0") + " UNION ALL "
+       + _NEVER.format("ordered_never_viewed", "orders > 0 AND views = 0"))
+def brw_07f(spark, sf):
+    shown = dashboards.funnel(stage.items(spark, sf, "product"), stage.page_views(spark, sf))
+    names = ("groups", "viewed_never_ordered", "ordered_never_viewed")
+    out = [shown[n].select(F.lit(n).alias("frame"), "product_key", "views", "orders") for n in names]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -23,6 +23,49 @@ def _written(spark, sf) -> str:
     return work
 
 
+@query("src_01_read_folder", """
+SELECT CAST(p_partkey AS VARCHAR) AS k,
+  CASE p_partkey % 3 WHEN 0 THEN p_name || chr(10) || '"' || p_brand || '", é' WHEN 1 THEN 'é ' || p_name
+    ELSE p_name END AS n,
+  CASE p_partkey % 3 WHEN 2 THEN '' ELSE p_brand END AS b, '' AS note
+FROM part""")
+def src_01(spark, sf):
+    """Three shapes in one folder: cells over lines, another header order in another
+    encoding, and another delimiter with fewer columns."""
+    work, part = _work(spark) + "/folder", stage.table(spark, sf, "part")
+    own = part.select(F.col("p_partkey").cast("string").alias("k"), F.col("p_name").alias("n"),
+                      F.col("p_brand").alias("b"), F.lit("").alias("note"))
+    at = F.col("k").cast("long") % 3
+    lines = F.concat("n", F.lit('\n"'), "b", F.lit('", é'))
+    for number, rows, options in (
+            (0, own.withColumn("n", lines), {}),
+            (1, own.select("b", F.concat(F.lit("é "), "n").alias("n"), "note", "k"),
+             {"encoding": "ISO-8859-1"}),
+            (2, own.select("n", "k"), {"sep": ";"})):
+        rows.where(at == number).write.mode("append").option("header", "true").option(
+            "escape", '"').options(**options).csv(work)
+    return FI.read_delimited(spark, work).select("k", "n", "b", "note")
+
+
+@query("src_09_dedupe_headers", """
+SELECT p_name AS "name", CAST(p_partkey AS VARCHAR) AS name__dup1, p_brand AS name__dup2 FROM part""")
+def src_09(spark, sf):
+    work = _work(spark)
+    rows = stage.table(spark, sf, "part").select(F.concat_ws(",", "p_name", "p_partkey", "p_brand"))
+    head = spark.range(1, numPartitions=1).select(F.lit("name,name,name"))
+    head.union(rows).coalesce(1).write.text(work + "/repeated")
+    return FI.read_delimited(spark, work + "/repeated", sep=",")
+
+
+@query("src_15_sanitize_table_name", """
+SELECT 'q1_r_sum' AS "view", count(*) AS n_rows FROM part
+UNION ALL SELECT 'q1_r_sum_2', count(*) FROM region UNION ALL SELECT 'dataset', count(*) FROM nation""")
+def src_15(spark, sf):
+    named = {"Q1 Ér-sum.csv": "part", "q1 (r) sum.tsv": "region", "???.json": "nation"}
+    return FI.register_tables({n: stage.table(spark, sf, t) for n, t in named.items()}).select(
+        "view", "n_rows")
+
+
 @query("src_02_detect_encoding", """
 SELECT DISTINCT 'utf-8' AS encoding FROM part""")
 def src_02(spark, sf):

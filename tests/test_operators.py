@@ -425,3 +425,11 @@ def test_registry_prefers_longer_phrases(spark):
     keys = {"late_pct": "Late rate", "segment": "Customer segment", "orders": "Orders", "rate": "Rate"}
     got = rows(CM.match_registry(texts, "id", "t", keys).orderBy("position"))
     assert [r["key"] for r in got] == ["late_pct", "segment", "orders"]
+
+
+def test_surrogate_key_with_one_value_in_most_rows(spark):
+    df = spark.createDataFrame([(1 if i % 10 else i, "same" if i % 3 else str(i)) for i in range(3000)],
+                               "k long, v string").repartition(4)
+    rows = CL.surrogate_key(df, "id", ["k"]).collect()
+    assert sorted(r.id for r in rows) == list(range(1, 3001))
+    assert [r.k for r in sorted(rows, key=lambda r: r.id)] == sorted(r.k for r in rows)
