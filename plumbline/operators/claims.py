@@ -63,12 +63,45 @@ def tag_scope(df: DataFrame, text: str, name: str = "scope") -> DataFrame:
     return df.withColumn("_text", F.col(text)).withColumn(name, tag).drop("_text")
 
 
-def extract_claims(df: DataFrame, key: str, text: str) -> DataFrame:
+def blank_labels(df: DataFrame, key: str, text: str, labels: DataFrame, label: str) -> DataFrame:
+    """(id, t): the texts with every whole occurrence of a label taken out, in any case.
+
+    Only labels with a digit can be read as a number.  Texts and labels meet on the
+    first word of the label that has one, so neither side is listed against the other.
+    Where labels overlap, the longer one is taken.
+    """
+    def numbered(c: Column) -> Column:
+        return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w.rlike("[0-9]"))
+
+    names = (labels.select(F.col(label).cast("string").alias("label")).distinct()
+             .select("label", F.get(numbered(F.col("label")), F.lit(0)).alias("word"))
+             .where("word IS NOT NULL"))
+    texts = df.select(F.col(key).alias("id"), F.col(text).alias("t"))
+    near = (texts.select("id", F.explode(F.array_distinct(numbered(F.col("t")))).alias("word"))
+            .join(names, "word").groupBy(F.col("id").alias("_id"))
+            .agg(F.collect_set("label").alias("found")))
+    quoted = F.transform(
+        F.array_sort("found", lambda a, b: F.length(b) - F.length(a)),
+        lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")),
+                           F.lit("\\E")))
+    pattern = F.concat(F.lit("(?iu)(?<![\\p{L}\\p{N}])(?:"), F.array_join(quoted, "|"),
+                       F.lit(")(?![\\p{L}\\p{N}])"))
+    known = near.select("_id", pattern.alias("pattern"))
+    return texts.join(known, F.col("id").eqNullSafe(F.col("_id")), "left").select(
+        "id", F.when(F.col("pattern").isNull(), F.col("t"))
+        .otherwise(F.regexp_replace("t", F.col("pattern"), F.lit(" "))).alias("t"))
+
+
+def extract_claims(df: DataFrame, key: str, text: str, labels: DataFrame | None = None,
+                   label: str = "label") -> DataFrame:
     """Every numeric literal with its value, tolerance and kind.
 
-    The tolerance is half a unit in the last printed place.
+    The tolerance is half a unit in the last printed place.  Names in ``labels`` are
+    blanked first, so that "Brand#12" claims nothing.
     """
-    scanned = df.select(F.col(key).alias("id"), F.regexp_replace(text, PERIOD, " ").alias("t"))
+    texts = (df.select(F.col(key).alias("id"), F.col(text).alias("t")) if labels is None
+             else blank_labels(df, key, text, labels, label))
+    scanned = texts.select("id", F.regexp_replace("t", PERIOD, " ").alias("t"))
     found = scanned.select("id", F.posexplode(F.regexp_extract_all("t", F.lit(NUMBER), F.lit(0)))
                            .alias("claim_no", "literal"))
 

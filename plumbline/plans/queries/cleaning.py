@@ -332,6 +332,12 @@ def cln_22(spark, sf):
     return out.agg(F.lit(",".join(out.columns)).alias("names"), F.count(F.lit(1)).alias("n_rows"))
 
 
+CHECKED_STEPS = (
+    ("reject_cell", "quantity"), ("reject_cell", "is_promo"), ("deduplicate", "<table>"),
+    ("nulls:drop_row", "price"), ("nulls:impute_constant", "city"), ("transform:zero_pad", "zip_code"),
+    ("row_fix:shifted", "city, region, area"), ("value_map:west", "region"), ("type", "shipped_on"))
+
+
 @query("cln_23_cleaning_actions", DEDUPED_SQL + """,
 acts AS (
 SELECT 'reject_cell' AS step, 'quantity' AS "column",
@@ -350,11 +356,7 @@ UNION ALL SELECT 'type', 'shipped_on', count(shipped_on) FROM typed)
 SELECT * FROM acts""")
 def cln_23(spark, sf):
     acts = CL.cleaning_actions(messy(spark, sf), POLICY)
-    shown = [("reject_cell", "quantity"), ("reject_cell", "is_promo"), ("deduplicate", "<table>"),
-             ("nulls:drop_row", "price"), ("nulls:impute_constant", "city"),
-             ("transform:zero_pad", "zip_code"), ("row_fix:shifted", "city, region, area"),
-             ("value_map:west", "region"), ("type", "shipped_on")]
-    keep = F.concat_ws("@", "step", "column").isin(*["@".join(s) for s in shown])
+    keep = F.concat_ws("@", "step", "column").isin(*["@".join(s) for s in CHECKED_STEPS])
     return acts.filter(keep).select("step", "column", "n")
 
 

@@ -14,7 +14,7 @@ from plumbline.operators import versions as VE
 from plumbline.operators.semantic import aggregate
 from plumbline.plans import dashboards, publish, spec, stage
 from plumbline.plans.queries import SQL, query
-from plumbline.plans.queries.cleaning import POLICY, WITH as MESSY_WITH, messy
+from plumbline.plans.queries.cleaning import CHECKED_STEPS, POLICY, WITH as MESSY_WITH, messy
 from plumbline.plans.queries.common import WITH_BOTH, WITH_ITEMS, rounded
 from plumbline.plans.queries.metrics import G, MARGIN, REVENUE, _funnel_sql
 from plumbline.plans.queries.validation import SUITE_SQL, suite
@@ -430,6 +430,17 @@ def pip_01(spark, sf):
     return done.alerts.select("id", "severity")
 
 
+@query("pip_01_written_reports", SQL["cln_23_cleaning_actions"])
+def pip_01_written(spark, sf):
+    """The actions that a run has written beside its data."""
+    work = _work(spark)
+    done = publish.publish(spark, {"lines": messy(spark, sf)}, {"lines": POLICY}, RULES,
+                           work + "/clean", work + "/snapshots")
+    actions = publish.read_report(spark, work + "/snapshots", "actions", done.run)
+    keep = F.concat_ws("@", "step", "column").isin(*["@".join(s) for s in CHECKED_STEPS])
+    return actions.filter(keep).select("step", "column", "n")
+
+
 @query("src_12_read_snapshot", """
 SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def src_12(spark, sf):

@@ -33,6 +33,16 @@ def txt_02(spark, sf):
     return CM.extract_claims(stage.table(spark, sf, "documents"), "doc_id", "text")
 
 
+@query("txt_02_claims_beside_labels", """
+SELECT p_partkey AS id, 0 AS claim_no, CAST(p_size AS VARCHAR) AS literal, CAST(p_size AS DOUBLE) AS value
+FROM part""")
+def txt_02l(spark, sf):
+    part = stage.table(spark, sf, "part")
+    said = part.selectExpr("p_partkey", "p_brand || ' sold ' || p_size || ' units, ' || upper(p_brand) AS said")
+    return CM.extract_claims(said, "p_partkey", "said", part, "p_brand").select(
+        "id", "claim_no", "literal", "value")
+
+
 RESULT_SQL = WITH_ITEMS + f""",
 r AS (SELECT market, country, sum(sales) {G} AS revenue, {ORDERS} AS orders FROM items GROUP BY 1, 2)"""
 

@@ -392,7 +392,7 @@ def write_clean(result: Cleaned, directory: str, mode: str = "overwrite") -> dic
     """The clean table, and its rejects beside it when there are any.
 
     Both are read from one written copy of the typed rows, so the source is
-    cleaned once.
+    cleaned once; the copy is deleted afterwards.
     """
     spark = result.source.sparkSession
     name = result.policy.table
@@ -405,9 +405,16 @@ def write_clean(result: Cleaned, directory: str, mode: str = "overwrite") -> dic
     if not rejects.isEmpty():
         paths["rejects"] = posixpath.join(directory, name + "__rejects")
         rejects.write.mode(mode).parquet(paths["rejects"])
+    _remove(spark, staging)
     return paths
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a written folder, on whatever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 

@@ -115,6 +115,15 @@ def test_publish_refuse_force_and_drift(spark, tmp_path):
     assert FI.read_snapshot(spark, snaps)["sales"].count() == 1
     assert FI.read_snapshot(spark, snaps, "20240101T000000")["sales"].count() == 3
     assert forced.dictionary.count() == 2
+    runs = {r["run"]: (r["version"], r["forced"]) for r in PB.list_runs(spark, snaps).collect()}
+    assert runs == {"20240101T000000": ("20240101T000000", False), "20240102T000000": (None, False),
+                    "20240103T000000": ("20240103T000000", True)}
+    kept = PB.read_report(spark, snaps, "alerts", "20240102T000000")
+    assert {r["id"] for r in kept.collect()} == {r["id"] for r in refused.alerts.collect()}
+    assert PB.read_report(spark, snaps, "actions", "20240102T000000").count() > 0
+    with pytest.raises(FileNotFoundError):
+        PB.read_report(spark, snaps, "alerts", "20240109T000000")
+    assert not [p for p in tmp_path.rglob("_staging_*")]
 
 
 def test_missing_snapshot_is_an_error(spark, tmp_path):

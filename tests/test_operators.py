@@ -433,3 +433,15 @@ def test_surrogate_key_with_one_value_in_most_rows(spark):
     rows = CL.surrogate_key(df, "id", ["k"]).collect()
     assert sorted(r.id for r in rows) == list(range(1, 3001))
     assert [r.k for r in sorted(rows, key=lambda r: r.id)] == sorted(r.k for r in rows)
+
+
+def test_labels_claim_nothing(spark):
+    texts = spark.createDataFrame([
+        (1, "Brand#12 sold 12"), (2, "brand#123 sold 4 and BRAND#12, Brand#12."), (3, "no label 7"),
+        (4, None), (5, "Brand#12 deluxe 3 of 9")], "id long, t string")
+    names = spark.createDataFrame([("Brand#12",), ("Brand#12 deluxe 3",), (None,), ("plain",),
+                                   ("12",)], "label string").where("label <> '12'")
+    got = {}
+    for r in CM.extract_claims(texts, "id", "t", names).collect():
+        got.setdefault(r["id"], []).append(r["value"])
+    assert {k: sorted(v) for k, v in got.items()} == {1: [12.0], 2: [4.0, 123.0], 3: [7.0], 5: [9.0]}
