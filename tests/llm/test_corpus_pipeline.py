@@ -28,7 +28,7 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "exact_dedup", "jaccard_join", "mixing", "pieces"]
 
