@@ -2,9 +2,9 @@
 
 Values are first counted, then placed in value buckets.  A small histogram
 says which buckets hold the wanted ranks; these are cut into cells between their
-own least and greatest value, by the same histogram, twice over.  A bucket spans
-less than 2**47 doubles and each cut parts it by 2**16, so what is ordered in the
-end holds some ten thousand distinct values at most, wherever the values lie.
+own least and greatest value, and a second histogram says which cells hold the
+ranks.  Only those are ordered: a millionth of what a bucket spans.  More cuts
+(``REFINEMENTS``) part values that lie closer together still, at one more pass each.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ _LOG_BUCKET = ("CASE WHEN _v = 0 THEN 0 ELSE CAST(signum(_v) * (floor(ln(least(a
 _LINEAR_BUCKET = ("CAST(CASE WHEN abs(_lo) < 1e300D AND abs(_hi) < 1e300D AND _hi > _lo"
                   " THEN floor(try_divide(_v - _lo, _hi - _lo) * 4096) ELSE 0 END AS BIGINT) AS _b2")
 # How often, and into how many cells, the buckets that hold a rank are cut.
-REFINEMENTS, CELLS = 2, 65536
+REFINEMENTS, CELLS = 1, 1 << 20
 
 
 def _q(name: str) -> str:
