@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.quantiles import median
+from plumbline.operators.running import split_medians
 from plumbline.operators.semantic import (
     Catalog, Filters, Measure, Ratio, aggregate, group_sets, ordered,
 )
@@ -216,35 +217,23 @@ def movers(df: DataFrame, catalog: Catalog, metric: str, by: str, filters: Filte
 
 def composition_shift(df: DataFrame, catalog: Catalog, metric: str = "lines_per_order",
                       grain: str = "month", threshold: float = 0.25, min_side: int = 3,
-                      filters: Filters | None = None) -> DataFrame:
+                      filters: Filters | None = None, by: Sequence[str] = ()) -> DataFrame:
     """The split of a series whose two medians differ most, if far enough.
 
-    The series has one row per period, so it is held as one array; every
-    split is a slice of it.
+    With ``by`` every group has its own series and at most one row.  The
+    earliest of equal splits wins; a series shorter than both sides has none.
     """
-    series = aggregate(df, catalog, [metric], [grain], filters)
-    packed = series.agg(F.sort_array(F.collect_list(F.struct(
-        F.col(grain).alias("p"), F.col(metric).cast("double").alias("v")))).alias("s"))
-    split = (packed.select("s", F.size("s").alias("n")).filter(F.col("n") >= 2 * min_side)
-             .select("s", "n", F.explode(
-                 F.sequence(F.lit(min_side), F.col("n") - min_side)).alias("i")))
-
-    def middle(part: Column) -> Column:
-        v = F.array_sort(F.filter(F.transform(part, lambda e: e["v"]), lambda e: e.isNotNull()))
-        k = F.size(v)
-        return F.when(k > 0, (F.get(v, F.floor((k - 1) / 2).cast("int"))
-                              + F.get(v, F.floor(k / 2).cast("int"))) / 2)
-
-    scored = split.select(
-        "n", "i", F.get("s", F.col("i"))["p"].alias("at"),
-        middle(F.slice("s", F.lit(1), F.col("i"))).alias("before"),
-        middle(F.slice("s", F.col("i") + 1, F.col("n") - F.col("i"))).alias("after"))
+    series = aggregate(df, catalog, [metric], [grain, *by], filters)
+    left = F.col("place") - 1
     ratio = F.try_divide(F.col("after"), F.col("before"))
-    return (scored.withColumn("score", F.abs(ratio - 1.0)).filter(F.col("score").isNotNull())
-            .orderBy(F.desc("score"), F.asc("i")).limit(1)
-            .filter(F.col("score") >= threshold)
-            .select("at", "before", "after", F.col("i").alias("n_before"),
-                    (F.col("n") - F.col("i")).alias("n_after"), ratio.alias("ratio")))
+    scored = (split_medians(series, grain, metric, by)
+              .filter((left >= min_side) & (F.col("n") - left >= min_side))
+              .withColumn("score", F.abs(ratio - 1.0)).filter(F.col("score").isNotNull()))
+    shown = F.struct("at", "before", "after", left.alias("n_before"),
+                     (F.col("n") - left).alias("n_after"), ratio.alias("ratio"))
+    return (scored.groupBy(*by).agg(F.max("score").alias("score"), F.max_by(
+                shown, F.struct("score", -F.col("place"))).alias("s"))
+            .filter(F.col("score") >= threshold).select(*by, "s.*"))
 
 
 def confounding(df: DataFrame, catalog: Catalog, dim: str, grain: str = "month",

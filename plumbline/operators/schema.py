@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,7 @@ STRUCTURAL = ("spaced", "kebab-case", "SCREAMING_CASE", "snake_case", "Mixed_Pas
               "PascalCase", "camelCase")
 NAME_MATCH = 0.5
 # --- end of fixed values ----------------------------------------------------
+PAIR = ["left_table", "left_column", "right_table", "right_column"]
 
 
 def _q(name: str) -> Column:
@@ -151,37 +152,67 @@ def build_catalog(df: DataFrame, name: str = "dataset") -> Catalog:
 
 # --- matching columns of several tables -------------------------------------
 
-def folded_values(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Distinct folded labels per (table, column), with one stored spelling."""
+def folded_values(tables: Mapping[str, DataFrame],
+                  wanted: Mapping[str, Sequence[str]] | None = None,
+                  fold: Callable[[Column], Column] = X.normalise_category,
+                  blank: bool = False) -> DataFrame:
+    """Distinct folded labels per (table, column), with one stored spelling.
+
+    Only the ``wanted`` columns of a table are read (all, when not given), and
+    empty values are no label unless ``blank``.
+    Labels are reduced to distinct values before they are folded and moved,
+    and lie by label, so that columns are compared without a further shuffle.
+    """
     parts = []
     for name, df in tables.items():
-        wide = df.select(*[_q(c).cast("string").alias(c) for c in df.columns])
+        columns = df.columns if wanted is None else wanted.get(name, ())
+        if not columns:
+            continue
+        wide = df.select(*[_q(c).cast("string").alias(c) for c in columns])
         parts.append(wide.unpivot([], [_q(c) for c in wide.columns], "column", "value")
-                     .filter("value IS NOT NULL AND value <> ''")
-                     .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+                     .filter("value IS NOT NULL" + ("" if blank else " AND value <> ''")).distinct()
                      .withColumn("table", F.lit(name)))
     every = reduce(DataFrame.unionByName, parts)
-    return (every.groupBy("table", "column", X.normalise_category(F.col("value")).alias("folded"))
-            .agg(F.min("value").alias("value")))
+    return (every.withColumn("folded", fold(F.col("value"))).repartition("folded")
+            .groupBy("table", "column", "folded").agg(F.min("value").alias("value")))
 
 
 def _split_ref(prefix: str) -> list[Column]:
     return [F.col(prefix + "_table").alias("table"), F.col(prefix + "_column").alias("column")]
 
 
+def paired_columns(pairs: Sequence[Row]) -> dict[str, list[str]]:
+    """The columns that some pair names, per table."""
+    found: dict[str, list[str]] = {}
+    for p in pairs:
+        for side in ("left", "right"):
+            held = found.setdefault(p[side + "_table"], [])
+            if p[side + "_column"] not in held:
+                held.append(p[side + "_column"])
+    return found
+
+
+def _pair_frame(spark: SparkSession, pairs: Sequence[Row]) -> DataFrame:
+    """Known pairs of columns as rows of the plan itself."""
+    if not pairs:
+        return spark.createDataFrame([], ", ".join(f"{i} string" for i in PAIR) + ", is_exact boolean")
+    return spark.range(1).select(F.explode(F.array(*[F.struct(
+        *[F.lit(v).alias(k) for k, v in p.asDict().items()]) for p in pairs])).alias("p")).select("p.*")
+
+
 def overlap_of_pairs(values: DataFrame, pairs: DataFrame, examples: int = 8) -> DataFrame:
     """Shared share of the smaller vocabulary for each pair of columns.
 
     A pair collects its two columns' labels side by side, grouped by label, so
-    no label of one column is paired with every label of the other.
+    no label of one column is paired with every label of the other.  ``pairs``
+    grows with the number of columns alone, and is broadcast: labels that lie
+    by label stay where they are.
     """
-    ids = ["left_table", "left_column", "right_table", "right_column"]
-    sides = []
-    for side in ("left", "right"):
-        wanted = pairs.select(*ids, *_split_ref(side))
-        sides.append(wanted.join(values, ["table", "column"]).select(
-            *ids, "folded", "value", F.lit(side).alias("side")))
-    return _overlap(sides[0].unionByName(sides[1]), ids, examples)
+    sides = F.explode(F.array(*[F.struct(*_split_ref(s), F.lit(s).alias("side"))
+                                for s in ("left", "right")]))
+    uses = pairs.select(*PAIR, sides.alias("u")).select(*PAIR, "u.*")
+    met = values.join(F.broadcast(uses), ["table", "column"])
+    return _overlap(met.select(*PAIR, "folded", "value", "side"), PAIR, examples)
 
 
 def _overlap(sides: DataFrame, ids: Sequence[str], examples: int) -> DataFrame:
@@ -249,12 +280,25 @@ def name_pairs(names: DataFrame) -> DataFrame:
 def match_columns(tables: Mapping[str, DataFrame], types: DataFrame) -> DataFrame:
     """Column pairs by name, with type agreement, value overlap and a verdict.
 
-    ``types`` holds (table, column, inferred_type) from the profiles.
+    ``types`` holds (table, column, inferred_type) from the profiles.  The pairs
+    are settled first, by a job over the column names alone, so that only
+    columns in some pair are read.  Without pairs the result is empty.
     """
     spark = types.sparkSession
-    pairs = name_pairs(column_names({t: df.columns for t, df in tables.items()}, spark))
-    overlaps = overlap_of_pairs(folded_values(tables), pairs)
-    ids = ["left_table", "left_column", "right_table", "right_column"]
+    met = name_pairs(column_names({t: df.columns for t, df in tables.items()}, spark)).collect()
+    if not met:
+        return _matched(spark.createDataFrame(
+            [], ", ".join(f"{i} string" for i in PAIR)
+            + ", left_tokens int, right_tokens int, name_score double"), None, types)
+    pairs = _pair_frame(spark, met)
+    return _matched(pairs, overlap_of_pairs(folded_values(tables, paired_columns(met)), pairs), types)
+
+
+def _matched(pairs: DataFrame, overlaps: DataFrame | None, types: DataFrame) -> DataFrame:
+    ids = PAIR
+    if overlaps is None:
+        overlaps = pairs.select(*ids, F.lit(None).cast("double").alias("overlap"),
+                                F.lit("").alias("only_left"), F.lit("").alias("only_right"))
     family = F.create_map(*[F.lit(x) for kv in TYPE_FAMILY.items() for x in kv])
     out = pairs.join(overlaps, ids, "left")
     for side in ("left", "right"):
@@ -310,43 +354,44 @@ def proposed_schema(matches: DataFrame) -> DataFrame:
         .alias("proposed_type"))
 
 
+def key_pairs(tables: Mapping[str, Sequence[str]]) -> list[Row]:
+    """Columns of different tables that are named like two ends of one key.
+
+    Names meet on what is left without ``_id``; any ``x_id`` also meets ``id``.
+    """
+    by_stem: dict[str, list[tuple[int, str, str, str]]] = {}
+    keyed, plain = [], []
+    for at, (table, columns) in enumerate(tables.items()):
+        for column in columns:
+            name = column.lower().strip()
+            ref = (at, table, column, name)
+            by_stem.setdefault(name.replace("_id", ""), []).append(ref)
+            if name == "id":
+                plain.append(ref)
+            elif name.endswith("_id"):
+                keyed.append(ref)
+    alike = [(a, b) for held in by_stem.values() for a in held for b in held
+             if a[0] < b[0] and (a[3] == b[3] or "id" in a[3])]
+    ends = [tuple(sorted((a, b))) for a in keyed for b in plain if a[0] != b[0]]
+    return [Row(left_table=a[1], left_column=a[2], right_table=b[1], right_column=b[2],
+                is_exact=a[3] == b[3]) for a, b in dict.fromkeys([*alike, *ends])]
+
+
 def candidate_joins(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Column pairs that look like a join key, by name and by exact overlap of
-    their distinct values."""
+    their distinct values.  Only columns in some pair are read."""
     spark = next(iter(tables.values())).sparkSession
-    refs = [(i, t, c, c.lower().strip()) for i, (t, df) in enumerate(tables.items())
-            for c in df.columns]
-    pairs = []
-    for i, ta, a, x in refs:
-        for j, tb, b, y in refs:
-            if i >= j:
-                continue
-            exact = x == y
-            keyed = ((x.endswith("_id") and y == "id") or (y.endswith("_id") and x == "id")
-                     or (x.replace("_id", "") == y.replace("_id", "") and "id" in x))
-            if exact or keyed:
-                pairs.append((ta, a, tb, b, exact))
-    schema = ("left_table string, left_column string, right_table string, right_column string, "
-              "is_exact boolean")
-    if not pairs:
-        return spark.createDataFrame([], schema + ", overlap double, confidence double")
-    frame = spark.range(1).select(F.explode(F.array(*[F.struct(
-        *[F.lit(v).alias(n.split()[0]) for n, v in zip(schema.split(", "), p)])
-        for p in pairs])).alias("p")).select("p.*")
-    parts = []
-    for name in {p[0] for p in pairs} | {p[2] for p in pairs}:
-        cols = sorted({p[1] for p in pairs if p[0] == name} | {p[3] for p in pairs if p[2] == name})
-        wide = tables[name].select(*[F.lower(X.strip(_q(c).cast("string"))).alias(c) for c in cols])
-        parts.append(wide.unpivot([], [_q(c) for c in cols], "column", "folded")
-                     .filter(F.col("folded").isNotNull()).distinct()
-                     .select(F.lit(name).alias("table"), "column", "folded",
-                             F.col("folded").alias("value")))
-    ids = ["left_table", "left_column", "right_table", "right_column"]
-    overlaps = overlap_of_pairs(reduce(DataFrame.unionByName, parts), frame)
+    met = key_pairs({t: df.columns for t, df in tables.items()})
+    pairs = _pair_frame(spark, met)
+    if not met:
+        return pairs.select("*", F.lit(None).cast("double").alias("overlap"),
+                            F.lit(None).cast("double").alias("confidence"))
+    overlaps = overlap_of_pairs(folded_values(tables, paired_columns(met),
+                                              lambda c: F.lower(X.strip(c)), blank=True), pairs)
     share = F.coalesce(F.try_divide(F.col("n_shared").cast("double"),
                                     F.least("n_left", "n_right")), F.lit(0.0))
     base = F.when(F.col("is_exact") & (share > 0.3), 0.95).when(F.col("is_exact"), 0.8).otherwise(0.7)
-    return frame.join(overlaps, ids, "left").select(
-        *ids, "is_exact", F.round(share, 2).alias("overlap"),
+    return pairs.join(overlaps, PAIR, "left").select(
+        *PAIR, "is_exact", F.round(share, 2).alias("overlap"),
         F.round(F.least(F.lit(1.0), base + F.when(share > 0.5, 0.1).otherwise(0.0)), 2)
         .alias("confidence"))

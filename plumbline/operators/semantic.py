@@ -7,6 +7,7 @@ rows of the query, so gated and ungated figures share one scan.
 from __future__ import annotations
 
 import difflib
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
@@ -369,13 +370,24 @@ def group_sets(df: DataFrame, catalog: Catalog, metrics: Iterable[str],
                       *metrics, "n_lines")
 
 
+def _pairs_of_letters(text: Column) -> Column:
+    """The neighbouring letters of a text with marked ends, each with its turn among equals."""
+    marked = F.concat(F.lit("\u0002"), text, F.lit("\u0003"))
+    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text) + 1),
+                                     lambda i: F.substring(marked, i, F.lit(2))))
+    return F.transform(grams, lambda g, i: F.struct(
+        g.alias("gram"), (i - F.array_position(grams, g)).alias("turn")))
+
+
 def canonical_values(df: DataFrame, catalog: Catalog, key: str,
                      values: Sequence[str], near: int = 3) -> DataFrame:
     """Each asked value with its stored spelling, or the nearest spellings.
 
     Values meet on their lower case first.  Only those that no stored value
-    equals are compared by edit distance, and only with stored values whose
-    length that distance allows.
+    equals are compared by edit distance, with stored values that share enough
+    letter pairs: an edit changes at most two, so texts of m letters (the
+    longer) at distance d keep m + 1 - 2d of them in common, which is over zero
+    for the distances allowed (0.4 m).  Null stored values are left out.
     """
     spark = df.sparkSession
     asked = list(dict.fromkeys(str(v) for v in values))
@@ -387,13 +399,21 @@ def canonical_values(df: DataFrame, catalog: Catalog, key: str,
     folded = questions.withColumn("folded", F.lower("asked"))
     exact = (folded.join(stored, "folded").groupBy("asked")
              .agg(F.max_by("stored", F.struct("n", "stored")).alias("canonical")))
-    size = F.length("asked")
+    size, other = F.length("asked"), F.length("stored")
+    longest = F.greatest(other, size)
     open_ = folded.join(exact, "asked", "left_anti").withColumnRenamed("folded", "low").select(
-        "asked", "low", F.explode(F.sequence(F.ceil(size * 0.6 - 1e-9),
-                                             F.floor(size / 0.6 + 1e-9))).alias("size"))
-    close = (open_.join(stored.withColumn("size", F.length("stored").cast("bigint")), "size")
+        "asked", "low", F.explode(_pairs_of_letters(F.col("low"))).alias("pair"))
+    shortest, widest = (f(len(a) for a in asked) for f in (min, max)) if asked else (0, 0)
+    in_reach = other.between(math.ceil(shortest * 0.6 - 1e-9), math.floor(widest / 0.6 + 1e-9))
+    offered = stored.filter(in_reach).select(
+        "stored", "folded", F.explode(_pairs_of_letters(F.col("folded"))).alias("pair"))
+    alike = (open_.join(offered, "pair").groupBy("asked", "low", "stored", "folded")
+             .agg(F.count(F.lit(1)).alias("shared"))
+             .filter(F.col("shared") >= F.greatest(F.length("low"), F.length("folded")) + 1
+                     - 2 * F.floor(0.4 * longest + 1e-9)))
+    close = (alike.filter(other.between(F.ceil(size * 0.6 - 1e-9), F.floor(size / 0.6 + 1e-9)))
              .withColumn("distance", F.levenshtein("folded", "low"))
-             .filter(F.col("distance") <= 0.4 * F.greatest(F.length("stored"), size)))
+             .filter(F.col("distance") <= 0.4 * longest))
     rank = F.row_number().over(
         Window.partitionBy("asked").orderBy(F.asc("distance"), F.asc("stored")))
     nearest = (close.withColumn("r", rank).filter(F.col("r") <= near).groupBy("asked")

@@ -68,16 +68,22 @@ def top_n_with_other(df: DataFrame, dim: str, metric: str, n: int = 5) -> DataFr
 def dense_trend(df: DataFrame, period: Column, group: str, value: str) -> DataFrame:
     """Sum per period and group, with zero for combinations without rows.
 
-    The periods are one short calendar array that every group is expanded
-    with; no rows are paired.
+    The periods are a table numbered 1..n.  Every group is expanded over that
+    range of numbers and meets its periods by number, so no row holds the
+    calendar and no rows are paired.  Null periods are left out; a null group
+    is a group.
     """
     cells = df.groupBy(period.alias("period"), F.col(group).alias("group")).agg(
         F.sum(value).alias("value"))
-    calendar = cells.agg(F.array_sort(F.collect_set("period"))).scalar()
-    every = cells.select("group").distinct().select("group", F.explode(calendar).alias("period"))
-    filled = every.select(F.col("group").alias("g"), F.col("period").alias("p"))
-    return (filled.join(cells, filled["g"].eqNullSafe(cells["group"])
-                        & (filled["p"] == cells["period"]), "left")
+    axis = cells.select("period").filter(F.col("period").isNotNull()).distinct().withColumn(
+        "place", F.row_number().over(Window.orderBy("period")))
+    last = axis.agg(F.coalesce(F.max("place"), F.lit(0)).alias("n")).scalar()
+    grid = (cells.groupBy(F.col("group").alias("g")).agg(last.alias("last"))
+            .filter(F.col("last") > 0)
+            .select("g", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("place"))
+            .join(axis.withColumnRenamed("period", "p"), "place"))
+    return (grid.join(cells, grid["g"].eqNullSafe(cells["group"])
+                      & (grid["p"] == cells["period"]), "left")
             .select(F.col("p").alias("period"), F.col("g").alias("group"),
                     F.coalesce("value", F.lit(0.0)).alias("value")))
 

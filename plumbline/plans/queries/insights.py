@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import format as X
@@ -165,6 +167,23 @@ def ins_10(spark, sf):
                                        threshold=0.0))
 
 
+@query("ins_10_shift_by_day", WITH_ITEMS + f""",
+s AS (SELECT market, date_trunc('day', order_date) AS p, sum(sales) {G} AS v FROM items GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY p) AS i,
+      count(*) OVER (PARTITION BY market) AS n FROM s),
+k AS (SELECT x.market, x.i - 1 AS i, x.n, x.p AS t,
+      quantile_cont(y.v, 0.5) FILTER (y.i < x.i) AS lo, quantile_cont(y.v, 0.5) FILTER (y.i >= x.i) AS hi
+      FROM r x JOIN r y USING (market) WHERE x.i > 3 AND x.i <= x.n - 2 GROUP BY 1, 2, 3, 4)
+SELECT market, CAST(t AS TIMESTAMP) AS "at", round(lo, 4) AS "before", round(hi, 4) AS "after",
+       i AS n_before, n - i AS n_after, round(hi / lo, 4) AS ratio
+FROM k WHERE lo <> 0 AND hi IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY market ORDER BY abs(hi / lo - 1.0) DESC, i) = 1""")
+def ins_10_by_day(spark, sf):
+    daily = replace(C, dimensions={**C.dimensions, "day": S.Dimension("day", "Day", "order_date", "day")})
+    return rounded(I.composition_shift(stage.items(spark, sf, "lines", "geo"), daily, "revenue", "day",
+                                       threshold=0.0, by=["market"]))
+
+
 @query("ins_11_confounding", WITH_ITEMS + """,
 c AS (SELECT date_trunc('quarter', order_date) AS q, market, count(*) AS n FROM items GROUP BY 1, 2),
 p AS (SELECT q, 100.0 * max(n) / sum(n) AS share, count(*) AS vals FROM c GROUP BY 1)

@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import statistics
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,6 +330,102 @@ def test_composition_shift_finds_the_step(spark):
     assert not I.composition_shift(df.filter("oid < 9"), CAT, "per_order").collect()
 
 
+@pytest.mark.parametrize("bucket", [3, 256])
+def test_split_medians_equal_plain_medians(spark, monkeypatch, bucket):
+    from plumbline.operators import running
+    monkeypatch.setattr(running, "BUCKET", bucket)
+    draw = random.Random(5)
+    rows = [(g, t, draw.choice([None, float("nan"), 1.0, 1.0, draw.uniform(-9, 9)]), "x")
+            for g in ("a", None) for t in range(40)] + [("b", 0, None, "x")]
+    frame = spark.createDataFrame(rows, "g string, t int, v double, place string")
+    got = {(r["g"], r["at"]): r for r in running.split_medians(frame, "t", "v", ["g"]).collect()}
+    assert len(got) == len(rows)
+    for g, t, *_ in rows:
+        held = [(u, v) for h, u, v, _ in rows if h == g and v is not None and v == v]
+        sides = [[v for u, v in held if u < t], [v for u, v in held if u >= t]]
+        want = [statistics.median(s) if s else None for s in sides]
+        r = got[g, t]
+        assert (r["place"], r["n"]) == (t + 1, 1 if g == "b" else 40)
+        assert [r["before"], r["after"]] == pytest.approx(want)
+    whole = running.split_medians(frame.filter("g = 'a'"), "t", "v")
+    assert whole.columns == ["at", "place", "n", "before", "after"] and whole.count() == 40
+    assert not running.split_medians(frame.limit(0), "t", "v").collect()
+
+
+def test_shift_per_group(spark):
+    df = spark.createDataFrame([(m, f"2017-{m:02d}-01", True, g) for g in ("a", None) for m in range(1, 13)
+                                for k in range(3 if (m < 9) == (g is None) else 1)],
+                               "oid int, day string, ok boolean, g string")
+    df = df.withColumn("day", F.col("day").cast("timestamp_ntz"))
+    cat = replace(CAT, dimensions={**CAT.dimensions, "g": S.Dimension("g", "G", "g")})
+    got = {r["g"]: (r["before"], r["after"]) for r in
+           I.composition_shift(df, cat, "per_order", by=["g"]).collect()}
+    assert got == {"a": (1.0, 3.0), None: (3.0, 1.0)}
+
+
+def test_dense_trend_fills_every_group(spark):
+    df = spark.createDataFrame([("2020-01-01", "a", 1.0), ("2020-03-01", None, 2.0), (None, "a", 9.0),
+                                ("2020-03-01", None, 3.0), (None, "only null", 4.0)],
+                               "d string, g string, v double")
+    got = sorted(SH.dense_trend(df, F.col("d"), "g", "v").collect(), key=str)
+    assert {(r["period"], r["group"], r["value"]) for r in got} == {
+        ("2020-01-01", "a", 1.0), ("2020-01-01", None, 0.0), ("2020-01-01", "only null", 0.0),
+        ("2020-03-01", "a", 0.0), ("2020-03-01", None, 5.0), ("2020-03-01", "only null", 0.0)}
+    assert len(got) == 6
+    assert not SH.dense_trend(df.filter("d IS NULL"), F.col("d"), "g", "v").collect()
+    assert not SH.dense_trend(df.limit(0), F.col("d"), "g", "v").collect()
+
+
+def test_near_spellings_equal_plain_edit_distance(spark):
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choice("abAB\u00e9 ") for _ in range(n))
+    stored = sorted({word(draw.randint(0, 9)) for _ in range(150)} | {"\u0130stanbul", "aaaa", "abab"})
+    asked = [word(draw.randint(0, 9)) for _ in range(25)] + ["istanbul", "aaaaa", ""]
+    asked = list(dict.fromkeys(asked))
+    frame = spark.createDataFrame([(s,) for s in stored] + [(None,)], "g string")
+    cat = replace(CAT, dimensions={"g": S.Dimension("g", "G", "g")})
+    got = {r["asked"]: r for r in S.canonical_values(frame, cat, "g", asked, 500).collect()}
+    lower = {r["s"]: r["l"] for r in spark.createDataFrame(
+        [(s,) for s in {*stored, *asked}], "s string").select("s", F.lower("s").alias("l")).collect()}
+    for a in asked:
+        same = [s for s in stored if lower[s] == lower[a]]
+        assert got[a]["known"] == bool(same)
+        near = sorted((edits(lower[s], lower[a]), s) for s in stored
+                      if 0.6 * len(a) - 1e-9 <= len(s) <= len(a) / 0.6 + 1e-9
+                      and edits(lower[s], lower[a]) <= 0.4 * max(len(s), len(a)))
+        want = [] if same else [s for _, s in near]
+        assert sorted((got[a]["nearest"] or "").split(", ")) == sorted(want or [""]), a
+
+
+def edits(a: str, b: str) -> int:
+    line = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        held, line[0] = line[0], i
+        for j, y in enumerate(b, 1):
+            held, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, held + (x != y))
+    return line[-1]
+
+
+def test_only_paired_columns_are_read(spark, tmp_path):
+    for name, cols in (("left", "id AS customer_id, id AS zone, 'x' AS memo"),
+                       ("right", "id * 2 AS customer_id, id AS height")):
+        spark.range(10).selectExpr(*cols.split(", ")).write.parquet(f"{tmp_path}/{name}")
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in ("left", "right")}
+    types = spark.createDataFrame([("left", "customer_id", "integer")],
+                                  "table string, column string, inferred_type string")
+    for made in (SC.match_columns(tables, types), SC.candidate_joins(tables)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        scans = [line for line in plan.splitlines() if "Relation" in line]
+        assert scans
+        read = made._jdf.queryExecution().executedPlan().toString()
+        assert "customer_id" in read and not any(c in read for c in ("zone", "memo", "height"))
+        (row,) = made.collect()
+        assert row["overlap"] == 0.5
+    apart = {"a": tables["left"].select("zone"), "b": tables["right"].select("height")}
+    assert not SC.match_columns(apart, types).collect()
+    assert not SC.candidate_joins(apart).collect()
+
+
 def test_other_and_paging(spark):
     df = spark.range(10).selectExpr("concat('g', id) AS g", "cast(id AS double) AS v")
     got = rows(SH.top_n_with_other(df, "g", "v", 3))
