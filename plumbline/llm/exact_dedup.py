@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,17 +25,21 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          name: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row: id, keep_id, group_size, kept, text_sha256, n_chunks.
 
     Texts are equal when they agree after white space is deleted; null counts
-    as empty.  Chunks are reduced to identifiers (hash and length, verified
-    against a second digest over the whole table; a chunk whose hash is shared
-    by different contents keeps its digest in the identifier).  Documents with
-    one ordered identifier list form a group; a digest of the whole text then
-    confirms it.  The row with most code points stays, then the least id (null
-    ids last); of rows that tie in both, one stays.  Empty texts form one
-    group.  Extra columns are ignored; an empty table gives no rows.
+    as empty.  A chunk's identifier is its ``name`` (a hash) and length.  Over
+    the whole table, every identifier is verified against a second digest of
+    its chunks: where one stands for different contents, the chunk that has it
+    keeps that digest beside it.  Documents with the same ordered list of
+    verified identifiers are one group; nothing else decides, and the text's
+    own digest is output only.  The row with most code points stays, then the
+    least id (null ids last); of rows that tie in both, one stays.  Empty texts
+    form one group.  A very long text is one list of some thousand identifiers
+    a million characters.  Extra columns are ignored, whatever their names; an
+    empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("chars"),
@@ -41,39 +47,45 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     digested = materialise(rows.select(
         "doc_id", "chars", F.sha2("norm", 256).alias("text_sha256"),
         F.transform(chunks(F.col("norm")), lambda c: F.struct(
-            F.xxhash64(c).alias("h"), F.length(c).alias("n"),
+            name(c).alias("h"), F.length(c).alias("n"),
             F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long").alias("d"),
         )).alias("parts"))).withColumn("row", F.monotonically_increasing_id())
 
-    placed = digested.select("text_sha256", F.posexplode("parts").alias("pos", "p")).select(
-        "text_sha256", "pos", "p.h", "p.n", "p.d")
+    placed = digested.select("row", F.posexplode("parts").alias("pos", "p")).select(
+        "row", "pos", "p.h", "p.n", "p.d")
     clashes = (placed.groupBy("h", "n").agg(F.min("d").alias("low"), F.max("d").alias("high"))
                .where("low <> high").select("h", "n"))
-    told_apart = (placed.join(clashes, ["h", "n"]).groupBy("text_sha256")
-                  .agg(F.array_sort(F.collect_set(F.struct("pos", "d"))).alias("apart")))
-    recipes = digested.join(told_apart, "text_sha256", "left").select(
-        "doc_id", "chars", "row", "text_sha256", "apart",
-        F.transform("parts", lambda p: F.struct(p["h"], p["n"])).alias("recipe"))
+    told_apart = (placed.join(clashes, ["h", "n"]).groupBy("row")
+                  .agg(F.array_sort(F.collect_list(F.struct("pos", "d"))).alias("apart")))
+    keyed = digested.join(told_apart, "row", "left").select(
+        "doc_id", "chars", "row", "text_sha256",
+        F.transform("parts", lambda p: F.struct(p["h"], p["n"])).alias("recipe"),
+        F.coalesce("apart", F.array()).alias("apart"))
 
     best = F.struct(F.col("chars"), F.col("doc_id").isNotNull().alias("named"),
                     (-F.col("doc_id")).alias("early"), (-F.col("row")).alias("turn"))
-    key = ["recipe", "text_sha256", F.coalesce("apart", F.array()).alias("apart")]
-    keyed = recipes.select("doc_id", "chars", "row", *key)
-    groups = keyed.groupBy("recipe", "text_sha256", "apart").agg(
+    groups = keyed.groupBy("recipe", "apart").agg(
         F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    return keyed.join(groups, ["recipe", "text_sha256", "apart"]).select(
+    return keyed.join(groups, ["recipe", "apart"]).select(
         "doc_id", (-F.col("best.early")).alias("keep_id"), "group_size",
         (F.col("row") == -F.col("best.turn")).alias("kept"), "text_sha256",
         F.size("recipe").cast("long").alias("n_chunks"))
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
+    """The rows of ``docs`` that stay, with their columns, one for every group of ``dedup``.
+
+    Null, empty and white-space texts are one group.  Rows that share an id are
+    told apart by their text, and of equal rows one stays.  The columns travel
+    as one value, so none can clash with a name used here; an empty table stays
+    empty.
+    """
     stay = dedup(docs, id_col, text_col).where("kept").select(
         F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_text")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    same = F.sha2(F.regexp_replace(text, SPACE, ""), 256)
-    turn = Window.partitionBy(id_col, "stay_text").orderBy(F.length(text).desc())
-    met = docs.join(stay, F.col(id_col).eqNullSafe(F.col("stay_id")) & (same == F.col("stay_text")))
-    return met.withColumn("turn_of_id", F.row_number().over(turn)).where(
-        "turn_of_id = 1").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"),
+                       F.length(text).alias("chars"),
+                       F.sha2(F.regexp_replace(text, SPACE, ""), 256).alias("same"))
+    turn = Window.partitionBy("stay_id", "stay_text").orderBy(F.desc("chars"))
+    met = rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("same") == F.col("stay_text")))
+    return met.withColumn("turn", F.row_number().over(turn)).where("turn = 1").select("whole.*")

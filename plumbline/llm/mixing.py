@@ -178,32 +178,42 @@ def _drawn(at: str) -> Column:
     return F.expr(f"({before} * shard_size + {part} * {here}) div blocks")
 
 
-def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
-    """The mixed rows, with the columns of ``docs`` (``doc_id, text, source, n_chars`` among them).
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              source_col: str = "source", count_col: str = "n_chars", **options: object) -> DataFrame:
+    """The mixed rows, with the columns of ``docs``.
 
     A row comes out once for every whole pass, unchanged, and once more with
     the words of the blocks drawn besides, if any (the text itself when all
-    are drawn, else those words joined by one space, with ``n_chars``
-    counted anew).  Decisions meet rows on doc_id; rows that share an id take
-    theirs in the order of source and size.
+    are drawn, else those words joined by one space, with ``count_col``, where
+    there is one, counted anew).  Decisions meet rows on the id; rows that
+    share an id take theirs in the order of source and size.
+
+    Null texts and those without words have no words to take, but come out
+    unchanged with each whole pass of their shard; null ids and sources are
+    values like others; repeated rows come out as often as each is drawn; a
+    very long text is one array of words in the task that spells it.
+    The columns travel as one value, so none can clash with a name used here;
+    an empty table stays empty.
     """
-    columns = docs.columns
-    made = mix(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(
-        "source", "size", "draw"))).alias("draws")).withColumnRenamed("doc_id", "drawn_id")
-    turn = Window.partitionBy("doc_id").orderBy(
+    made = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy(
+        F.col("doc_id").alias("drawn_id")).agg(F.array_sort(F.collect_list(F.struct(
+            "source", "size", "draw"))).alias("draws"))
+    rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("id"),
+                       F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    turn = Window.partitionBy("id").orderBy(
         F.col("source").asc_nulls_first(), F.regexp_count(
             F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)))
-    met = docs.join(made, F.col("doc_id").eqNullSafe(F.col("drawn_id"))).withColumn(
-        "draw", F.element_at("draws", F.row_number().over(turn))["draw"])
+    met = rows.join(made, F.col("id").eqNullSafe(F.col("drawn_id"))).select(
+        "whole", "text", F.element_at("draws", F.row_number().over(turn))["draw"].alias("draw"))
     rest = met.withColumn("part", drawn_text(F.col("text"), F.col("draw")))
     copies = F.concat(
         F.when(F.col("draw.passes") > 0, F.array_repeat("text", F.col("draw.passes").cast("int")))
         .otherwise(F.array().cast("array<string>")),
         F.when(F.length("part") > 0, F.array("part")).otherwise(F.array().cast("array<string>")))
-    return rest.withColumn("copy", F.explode(copies)).select(*[
-        F.col("copy").alias("text") if c == "text"
-        else F.length("copy").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-        else F.col(c) for c in columns])
+    return rest.select("whole", F.explode(copies).alias("copy")).select(*[
+        F.col("copy").alias(c) if c == text_col
+        else F.coalesce(F.length("copy"), F.col("whole")[c]).cast(docs.schema[c].dataType).alias(c) if c == count_col
+        else F.col("whole")[c].alias(c) for c in docs.columns])
 
 
 def drawn_text(text: Column, draw: Column) -> Column:

@@ -111,7 +111,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
     """Cut a task's rows into blocks of about ``limit`` text bytes.
 
     Yields the block, places of all segments, segments per row, the other
-    columns, and a digest of every marked text.
+    columns, and a digest of every text as it was given, behind a space.
     """
     hashes: list[np.ndarray] = []
     counts: list[np.ndarray] = []
@@ -146,8 +146,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
             words.append((every, [raw[a:b] for a, b in zip(w.start[at], w.end[at], strict=True)]))
             hashes.append(h)
             counts.append(w.counts())
-            digests += [hashlib.blake2b(raw[a:b], digest_size=8).digest()
-                        for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
+            own, off = texts_of(part.column("text"))
+            own = own.tobytes()
+            digests += [hashlib.blake2b(b" " + own[a:b] if b > a else b"", digest_size=8).digest()
+                        for a, b in zip(off[:-1], off[1:], strict=True)]
             for c in columns:
                 kept[c].append(part.column(c))
             size += len(w.data)
@@ -333,7 +335,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
 
     Null and empty texts have no ids.  Segments longer than a 64-bit state
     are merged by a queue, with the same result.  A text that holds the space
-    mark itself decodes to spaces there.  Repeated rows get repeated results;
+    mark itself decodes to spaces there, and its ``round_trip`` is false.  Repeated rows get repeated results;
     extra columns are ignored; an empty table gives no rows.  Block names are
     digests of their content: if the input were read in other pieces the
     second time, ids would be missing and the job fails instead of guessing.

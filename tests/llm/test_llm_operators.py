@@ -83,6 +83,49 @@ def test_exact_dedup(docs, none, rows):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_exact_dedup_tells_clashing_chunks_apart(spark, rows):
+    from pyspark.sql import functions as F
+    texts = [*rows, (100, "abcd"), (101, "abce"), (102, "a bcd"), (103, "wxyz" * 2000), (104, "wxzy" * 2000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    one_name = exact_dedup.dedup(docs, name=lambda c: F.lit(7).cast("long"))  # every chunk clashes
+    want = exact_dedup.dedup(docs).collect()
+    got = one_name.collect()
+    assert collections.Counter(map(str, got)) == collections.Counter(map(str, want))
+    sizes = {r.doc_id: r.group_size for r in got}
+    assert [sizes[k] for k in range(100, 105)] == [2, 1, 2, 1, 1]
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    names = ["stay_id", "stay_text", "turn_of_id", "turn", "same", "id", "chars", "whole", "draw", "draws",
+             "part", "copy", "drawn_id", "component_id", "row", "recipe", "passes", "size", "0", "1"]
+    docs = spark.createDataFrame(
+        [(i, t, "s", len(t or ""), *[f"{c}{i}" for c in names])
+         for i, t in [(1, "a b c d e f g"), (2, "ab cdefg"), (3, None), (None, "h i j"), (3, "k l " * 9)]],
+        "doc_id bigint, text string, source string, n_chars bigint, "
+        + ", ".join(f"`{c}` string" for c in names))
+    kept = exact_dedup.keep(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.stay_id) for r in kept.collect()) == [
+        (0, "stay_idNone"), (1, "stay_id1"), (3, "stay_id3"), (3, "stay_id3")]
+    mixed = mixing.apply_mix(docs, block=2, shard_rows=2)
+    assert mixed.columns == docs.columns
+    for r in mixed.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names)
+        assert r.n_chars == len(r.text or "")
+    assert not mixing.apply_mix(docs.limit(0)).collect() and not exact_dedup.keep(docs.limit(0)).collect()
+    import corpus_pipeline
+    near = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert near.columns == docs.columns and near.count() == 5
+
+
+def test_round_trip_is_judged_on_the_text_itself(spark):
+    vocab = pieces.vocabulary()
+    df = spark.createDataFrame([(1, "a\u2581b"), (2, "a b"), (3, None), (4, " \u2581")],
+                               "doc_id bigint, text string")
+    assert {r.doc_id: r.round_trip for r in pieces.encode(df, vocab).collect()} == {
+        1: False, 2: True, 3: True, 4: False}
+
+
 def test_exact_dedup_chunks_give_the_text_back(spark):
     from pyspark.sql import functions as F
     text = "".join(random.Random(1).choice("abcdeinrsthg09") for _ in range(50_000))
