@@ -26,10 +26,15 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group linked by five-word shingles, 0.8 or more."""
+    """The document with the least id of every group linked by five-word shingles, 0.8 or more.
+
+    Texts without words are linked with nothing and stay, as do null ids and
+    rows that share an id that stays.  The columns travel as one value.
+    """
     found, _ = jaccard_join.join(docs, size=5, percent=80)
     stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay_id")), "left_semi")
+    rows = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("id"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("stay_id")), "left_semi").select("whole.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
