@@ -166,12 +166,22 @@ def sch_08(spark, sf):
 
 
 @query("sch_09_naming_conventions", """
-SELECT * FROM (VALUES ('places', 'Mixed_Pascal_Snake', 1, TRUE), ('places', 'snake_case', 1, TRUE),
-  ('people', 'single-word', 3, FALSE)) AS t("table", convention, n, is_mixed)
-WHERE (SELECT count(*) FROM nation) > 0""")
+WITH n AS (SELECT p_brand AS "table", ['spaced', 'snake_case', 'kebab-case', 'SCREAMING_CASE', 'PascalCase',
+             'camelCase', 'Mixed_Pascal_Snake', 'single-word'][1 + p_partkey % 8] AS convention FROM part),
+c AS (SELECT "table", convention, count(*) AS n FROM n GROUP BY 1, 2)
+SELECT c.*, count(*) FILTER (convention <> 'single-word') OVER (PARTITION BY "table") > 1 AS is_mixed FROM c""")
 def sch_09(spark, sf):
-    names = SC.column_names({t: d.columns for t, d in _two(spark, sf).items()}, spark)
-    return SC.naming_conventions(names)
+    # the parts' names in eight spellings, as columns of one table per brand
+    name, at = F.col("p_name"), F.pmod("p_partkey", F.lit(8))
+    joined = F.replace(name, F.lit(" "), F.lit("_"))
+    title = F.initcap(name)
+    pascal = F.replace(title, F.lit(" "), F.lit(""))
+    spelt = [name, joined, F.replace(name, F.lit(" "), F.lit("-")), F.upper(joined), pascal,
+             F.concat(F.lower(F.substring(pascal, 1, 1)), F.substring(pascal, 2, 1000)),
+             F.replace(title, F.lit(" "), F.lit("_")), F.substring_index(name, " ", 1)]
+    column = F.element_at(F.array(*spelt), (at + 1).cast("int"))
+    return SC.naming_conventions(stage.table(spark, sf, "part").select(
+        F.col("p_brand").alias("table"), column.alias("column")))
 
 
 @query("sch_10_candidate_joins", """

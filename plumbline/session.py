@@ -42,6 +42,12 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of written tables in whatever store holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a frame to the cluster's checkpoint folder and read it back.
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from plumbline.operators.cleaning import Cleaned, Policy, finish, rejected_cells
 from plumbline.operators.versions import describe
+from plumbline.session import drop_folder
 from plumbline.sources.records import records, text_lines
 
 # --- fixed values -----------------------------------------------------------
@@ -405,16 +406,10 @@ def write_clean(result: Cleaned, directory: str, mode: str = "overwrite") -> dic
     if not rejects.isEmpty():
         paths["rejects"] = posixpath.join(directory, name + "__rejects")
         rejects.write.mode(mode).parquet(paths["rejects"])
-    _remove(spark, staging)
+    drop_folder(spark, staging)
     return paths
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    """Delete a written folder, on whatever file system it is."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", "true").csv(path)
 
