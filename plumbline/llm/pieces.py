@@ -402,7 +402,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         return _spelled(left, right, ids_of.value[2])
 
-    used = texts.mapInArrow(uses, "seg string, block bigint").repartition("seg")
+    # the join on seg asks this of one branch; asked of both, they read one exchange
+    used = texts.mapInArrow(uses, "seg string, block bigint").where("seg is not null").repartition("seg")
     table = spark.createDataFrame(vocab.pieces, "piece string, id int, rank int")
     # counting uses keeps both columns, so that words and uses read one exchange
     words = used.groupBy("seg").agg(F.count("block").alias("uses"))
