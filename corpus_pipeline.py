@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import exact_dedup, jaccard_join, mixing, pieces, toxicity
-from plumbline.session import shared_folder
+from plumbline.session import drop_folder, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,11 +60,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet for the next."""
+    """All stages over ``documents``; each result is written as Parquet for the next.
+
+    A stage's table goes once the next is written; the last one stays, since
+    the result reads it.
+    """
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for place, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{place}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if read is not None:
+            drop_folder(spark, read)
+        docs, read = spark.read.parquet(path), path
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import os
 import re
 
 import pytest
@@ -65,5 +66,7 @@ def test_stages(spark, sf_dir):
 
 def test_run_writes_every_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
+    (path,) = {os.path.dirname(f.removeprefix("file:")) for f in out.inputFiles()}
+    assert os.listdir(os.path.dirname(path)) == ["4-pieces"]
     assert out.columns == ["doc_id", "n_tokens", "n_fallback", "ids", "ids_sha256", "round_trip"]
     assert out.where("not round_trip").count() == 0 and out.count() > 0
