@@ -406,6 +406,19 @@ def edits(a: str, b: str) -> int:
     return line[-1]
 
 
+def test_key_pairs_equal_all_pairs_of_names():
+    draw = random.Random(3)
+    pool = ["id", "ID ", "_id", "id_id", "user_id", "User", "user", "idle", "order_id", "order", "x", "a_id_b", "a_b"]
+    for _ in range(50):
+        tables = {t: draw.sample(pool, draw.randint(0, 6)) for t in "abc"}
+        refs = [(i, t, c, c.lower().strip()) for i, (t, cols) in enumerate(tables.items()) for c in cols]
+        want = {(s, a, t, b, x == y) for i, s, a, x in refs for j, t, b, y in refs if i < j and (
+            x == y or (x.endswith("_id") and y == "id") or (y.endswith("_id") and x == "id")
+            or ("id" in x and x.replace("_id", "") == y.replace("_id", "")))}
+        got = [tuple(r) for r in SC.key_pairs(tables)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_only_paired_columns_are_read(spark, tmp_path):
     for name, cols in (("left", "id AS customer_id, id AS zone, 'x' AS memo"),
                        ("right", "id * 2 AS customer_id, id AS height")):
