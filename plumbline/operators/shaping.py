@@ -150,6 +150,29 @@ def page_rows(df: DataFrame, sort: str | None = None, descending: bool = False,
         "*", total.alias("total_rows"), F.ceil(total / size).alias("total_pages"))
 
 
+def page_after(df: DataFrame, keys: Sequence[str], last: Sequence | None = None,
+               size: int = 50) -> DataFrame:
+    """The page behind the row whose ``keys`` are ``last``; the first page without it.
+
+    ``-key`` sorts downwards, nulls come last either way, and the keys together
+    should tell rows apart.  The page is a filter and a limited sort, so a late
+    page costs what the first does, where an offset sorts all pages before it.
+    """
+    if not keys or (last is not None and len(last) != len(keys)):
+        raise ValueError("pages need keys, and a last value for each of them")
+    names = [k.removeprefix("-") for k in keys]
+    behind, same = F.lit(last is None), F.lit(True)
+    for key, name, value in zip(keys, names, last or (), strict=False):
+        if value is not None:
+            c = F.col(name)
+            further = (c < F.lit(value)) if key.startswith("-") else (c > F.lit(value))
+            behind = behind | (same & (further | c.isNull()))
+        same = same & F.col(name).eqNullSafe(F.lit(value))
+    order = [F.desc_nulls_last(n) if k.startswith("-") else F.asc_nulls_last(n)
+             for k, n in zip(keys, names, strict=True)]
+    return df.filter(behind).orderBy(*order).limit(max(size, 1))
+
+
 def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

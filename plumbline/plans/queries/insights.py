@@ -400,6 +400,16 @@ def brw_01(spark, sf):
     return SH.search_rows(stage.table(spark, sf, "part"), "WIDGET")
 
 
+@query("brw_02_page_after", """
+SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+WHERE o_orderstatus < 'O' OR (o_orderstatus = 'O' AND (o_totalprice > 9000
+  OR (o_totalprice = 9000 AND o_orderkey > 10)))
+ORDER BY o_orderstatus DESC, o_totalprice, o_orderkey LIMIT 40""")
+def brw_02_after(spark, sf):
+    orders = stage.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return SH.page_after(orders, ["-o_orderstatus", "o_totalprice", "o_orderkey"], ["O", 9000.0, 10], 40)
+
+
 @query("brw_02_page_rows", """
 SELECT *, (SELECT count(*) FROM part) AS total_rows,
        CAST(ceil((SELECT count(*) FROM part) / 40.0) AS BIGINT) AS total_pages

@@ -406,6 +406,21 @@ def edits(a: str, b: str) -> int:
     return line[-1]
 
 
+def test_pages_by_key_give_every_row_once(spark):
+    draw = random.Random(9)
+    frame = spark.createDataFrame([(i, draw.choice(["a", "b", None]), draw.choice([None, 1.0, 2.0]))
+                                   for i in range(37)], "i int, g string, v double")
+    for keys in (["g", "-v", "i"], ["-g", "v", "-i"]):
+        seen, last = [], None
+        while page := SH.page_after(frame, keys, last, 8).collect():
+            seen += page
+            last = [page[-1][k.removeprefix("-")] for k in keys]
+        whole = SH.page_after(frame, keys, size=100).collect()
+        assert seen == whole and len(seen) == 37 and {r["i"] for r in seen} == set(range(37))
+    with pytest.raises(ValueError):
+        SH.page_after(frame, ["g", "i"], ["a"])
+
+
 def test_key_pairs_equal_all_pairs_of_names():
     draw = random.Random(3)
     pool = ["id", "ID ", "_id", "id_id", "user_id", "User", "user", "idle", "order_id", "order", "x", "a_id_b", "a_b"]
