@@ -195,7 +195,7 @@ def _regions(w: Words, h: np.ndarray, doc_id: np.ndarray, shared: pa.Array,
     return removed, at[~out[at]]
 
 
-def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96,
+def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96, splits: int = 8,
           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept_text`` for every row.
 
@@ -205,7 +205,10 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
     a partial minimum, so a passage in a third of all documents costs its
     occurrences and no pairs.  Names seen in one document rule windows out,
     long names settle the inside of repeats, and the windows left, mostly at
-    the borders of repeats, are compared by a 128-bit digest.
+    the borders of repeats, are compared by a 128-bit digest.  Those windows
+    are found once and dealt by digest and one of ``splits`` turns of the
+    document, so a window of very many documents is several tasks' work, and
+    count and look-up read the same exchange.
 
     Null and empty texts have no words; rows with one id never remove from
     each other; rows with a null id neither lose nor take words; texts shorter
@@ -271,11 +274,15 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
     shared = named.select("name", "doc_id").join(common, "name").groupBy("doc_id").agg(
         F.collect_list(F.struct("name", "least", "times")).alias("shared"))
     marked = texts.join(shared, "doc_id", "left")
-    open_ = marked.mapInArrow(
-        windows, "a bigint, b bigint, doc_id bigint")
+    # what the join would ask of one branch is asked of both, so that they read one exchange
+    open_ = marked.mapInArrow(windows, "a bigint, b bigint, doc_id bigint").withColumn(
+        "turn", F.pmod(F.xxhash64("doc_id"), F.lit(splits))).where(
+        "a is not null and b is not null and doc_id is not null and turn is not null").repartition(
+        "a", "b", "turn")
     again = open_.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("m")) \
-        .where("least < m").select("a", "b", "least")
-    repeats = open_.join(again, ["a", "b"]).where("doc_id > least").groupBy("doc_id").agg(
+        .where("least < m").select("a", "b", "least", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.lit(splits - 1).cast("bigint"))).alias("turn"))
+    repeats = open_.join(again, ["a", "b", "turn"]).where("doc_id > least").groupBy("doc_id").agg(
         F.collect_set(F.struct("a", "b")).alias("repeats"))
     return marked.join(repeats, "doc_id", "left").mapInArrow(
         cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, "
