@@ -86,6 +86,8 @@ def test_fmt_keeps_the_sign_of_a_negative_zero(spark):
     for unit, shown in (("percent", "-0.0%"), ("days", "-0.00 days"), ("ratio", "-0.00"),
                         ("money", "$0.00"), ("count", "0")):
         assert column(spark, [-0.0], lambda c, u=unit: X.fmt(c, u), "double") == [shown]
+    assert column(spark, [-0.0], lambda c: X.fmt_change(c, "percent"), "double") == ["-0.0 pp"]
+    assert column(spark, [-0.0], lambda c: X.fmt_delta(c, "money"), "double") == ["+$0.00"]
 
 
 def test_short_label(spark):
