@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from plumbline.functions import format as X
 from plumbline.operators.quantiles import median
 from plumbline.operators.semantic import Catalog, Filters, aggregate, ordered
+from plumbline.session import materialise
 
 
 def top_groups_series(df: DataFrame, time: str, group: str, metric: str, k: int = 6) -> DataFrame:
@@ -42,7 +43,12 @@ def ranked_bars(df: DataFrame, catalog: Catalog, dim: str, metric: str, limit: i
 
 
 def median_quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Each point's quadrant by the exact medians of both measures."""
+    """Each point's quadrant by the exact medians of both measures.
+
+    The points are computed once: a sum of doubles taken again may differ in its last
+    digit, and the middle point would then miss the median that is its own value.
+    """
+    df = materialise(df)
     mx = median(df, x).select("median").scalar()
     my = median(df, y).select("median").scalar()
     right, high = F.col(x) >= mx, F.col(y) >= my

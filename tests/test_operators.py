@@ -541,6 +541,14 @@ def test_every_file_is_loaded_or_reported(spark, tmp_path):
         ("empty one.csv", "empty file")]
 
 
+def test_quadrants_compare_points_with_their_own_medians(spark):
+    other = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
+    df = spark.range(25).select("id", other("id").alias("x"), (-F.col("id")).alias("y"))
+    got = rows(SH.median_quadrants(df, "x", "y"))
+    assert sorted(r["x"] for r in got)[12] == got[0]["x_median"]
+    assert sum(r["quadrant"].endswith("high x") for r in got) == 13
+
+
 def test_foreign_labels_allow_names_inside_own_names(spark):
     texts = spark.createDataFrame([(1, "Women's Apparel leads; Africa trails")], "id int, t string")
     own = spark.createDataFrame([(1, "Women's Apparel")], "id int, label string")
