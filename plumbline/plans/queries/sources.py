@@ -13,13 +13,17 @@ from plumbline.sources import files as FI
 
 
 def _written(spark, sf) -> str:
-    """Parts as semicolon text and events as JSON lines in a new folder."""
+    """Parts as semicolon text and events as JSON lines in a new folder.
+
+    A first task without rows would write an empty file, which is a problem to the
+    readers; the first of key ranges has rows if the table has any.
+    """
     work = _work(spark)
-    stage.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand").write.option(
-        "header", "true").option("sep", ";").csv(work + "/parts.csv")
+    stage.table(spark, sf, "part").select("p_partkey", "p_name", "p_brand").repartitionByRange(
+        "p_partkey").write.option("header", "true").option("sep", ";").csv(work + "/parts.csv")
     stage.table(spark, sf, "events").select(
         "event_id", F.struct("event_type", F.struct("value").alias("inner")).alias("body")
-    ).write.json(work + "/events.jsonl")
+    ).repartitionByRange("event_id").write.json(work + "/events.jsonl")
     return work
 
 

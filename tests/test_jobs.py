@@ -80,6 +80,22 @@ def test_configured_sources_have_three_problem_kinds(spark, raw_dir):
         ("unconfigured", "lines.jsonl"), ("unconfigured", "wrapped.json")}
 
 
+def test_loading_what_tasks_without_rows_wrote(spark):
+    from conftest import TESTDATA
+    from plumbline.plans.queries.sources import src_07
+    if not (TESTDATA / "sf0.001").exists():
+        pytest.skip("no test tables")
+    split = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in split}
+    try:
+        for k, v in split.items():
+            spark.conf.set(k, v)
+        assert src_07(spark, str(TESTDATA / "sf0.001")).first()["n_problems"] == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_names():
     assert FI.sanitise_table_name("My Sales (2024).csv") == "my_sales_2024"
     assert FI.sanitise_table_name("???.csv") == "dataset"
