@@ -102,17 +102,21 @@ def parse_first(c: Column, formats: list[str] | tuple[str, ...]) -> Column:
 
 
 def could_be_date(v: Column) -> Column:
-    """Cheap pre-check that keeps non-dates away from the parsers."""
-    return (v != "") & (v.rlike(r"[-/. ]") | v.rlike(r"\A\d{8}\z"))
+    """One test for the shapes of all formats, which keeps other text away from the parsers."""
+    shapes = dict.fromkeys(compile_format(f)[1][2:-2] for f, _ in DATE_FORMATS)
+    return v.rlike(r"\A(?:" + "|".join(shapes) + r")\z")
 
 
 def matching_formats(c: Column) -> Column:
     """Array of every recognised format that parses the trimmed value."""
-    v = collapse(strip(c))
-    hits = F.filter(
-        F.array(*[F.when(parse_exact(v, f).isNotNull(), F.lit(f)) for f, _ in DATE_FORMATS]),
-        lambda f: f.isNotNull())
-    return F.when(could_be_date(v), hits).otherwise(F.array().cast("array<string>"))
+    return formats_of(collapse(strip(c)))
+
+
+def formats_of(v: Column) -> Column:
+    """The same for text that is trimmed and has single spaces already."""
+    hits = F.array(*[F.when(parse_exact(v, f).isNotNull(), f).otherwise("") for f, _ in DATE_FORMATS])
+    return F.when(could_be_date(v), F.array_remove(hits, "")).otherwise(
+        F.array().cast("array<string>"))
 
 
 def is_date(c: Column) -> Column:

@@ -68,12 +68,13 @@ def to_number(c: Column) -> Column:
     return F.when(negative, -number).otherwise(number)
 
 
-def classify_value(c: Column, date_test: Column | None = None) -> Column:
+def classify_value(c: Column, date_test: Column | None = None, trimmed: bool = False) -> Column:
     """One type tag per text value; the first pattern that fits wins.
 
-    ``date_test`` lets a caller that has already parsed dates pass the answer.
+    ``date_test`` lets a caller that has already parsed dates pass the answer,
+    ``trimmed`` one whose text is trimmed already spare every pattern a second trim.
     """
-    v = strip(c)
+    v = c if trimmed else strip(c)
     is_date = dates.is_date(v) if date_test is None else date_test
     return (
         F.when(v == "", "blank")

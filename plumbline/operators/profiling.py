@@ -2,7 +2,8 @@
 
 Cells are counted per (column, value) once; everything else reads that frame,
 so a value is classified once however often it occurs, and a hot value is one
-partial count per task.
+partial count per task.  Frames of one row per column are broadcast to the values:
+a shuffle by column would bring all values of a column to one task.
 """
 
 from __future__ import annotations
@@ -73,9 +74,13 @@ def value_counts(counted: DataFrame) -> DataFrame:
 
 
 def classified(vc: DataFrame) -> DataFrame:
-    """Each distinct value with its date formats, type tag and number."""
-    return (vc.withColumn("formats", D.matching_formats(F.col("value")))
-            .withColumn("tag", N.classify_value(F.col("value"), F.size("formats") > 0)))
+    """Each distinct value, trimmed already, with its date formats and type tag.
+
+    The single-spaced text is a column of its own, so that no format computes it again.
+    """
+    return (vc.withColumn("_even", X.collapse(F.col("value")))
+            .withColumn("formats", D.formats_of(F.col("_even"))).drop("_even")
+            .withColumn("tag", N.classify_value(F.col("value"), F.size("formats") > 0, trimmed=True)))
 
 
 def missing_profile(counted: DataFrame) -> DataFrame:
@@ -137,7 +142,7 @@ def top_values(vc: DataFrame, k: int = 10) -> DataFrame:
 def distinct_sample(vc: DataFrame, most: int) -> DataFrame:
     """The whole sorted vocabulary of columns with at most ``most`` values."""
     small = vc.groupBy("column").agg(F.count(F.lit(1)).alias("d")).filter(F.col("d") <= most)
-    return (vc.join(small.select("column"), "column", "left_semi").groupBy("column")
+    return (vc.join(F.broadcast(small.select("column")), "column", "left_semi").groupBy("column")
             .agg(F.sort_array(F.collect_set("value")).alias("distinct_sample")))
 
 
@@ -173,7 +178,7 @@ def type_mismatches(tagged: DataFrame, types: DataFrame, examples: int = 8) -> D
     for t, allowed in COMPATIBLE.items():
         fits = fits | ((F.col("base_type") == t) & F.col("tag").isin(*allowed))
     fits = fits | (~F.col("base_type").isin(*COMPATIBLE) & (F.col("tag") == F.col("base_type")))
-    bad = tagged.join(types.select("column", "base_type"), "column").filter(~fits)
+    bad = tagged.join(F.broadcast(types.select("column", "base_type")), "column").filter(~fits)
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     first = (bad.withColumn("r", rank).filter(F.col("r") <= examples).groupBy("column")
              .agg(F.sort_array(F.collect_list("value")).alias("mismatch_examples")))
@@ -183,7 +188,7 @@ def type_mismatches(tagged: DataFrame, types: DataFrame, examples: int = 8) -> D
 def currency_notations(tagged: DataFrame, types: DataFrame) -> DataFrame:
     """Cells per currency symbol or code in money columns."""
     money = types.filter("base_type = 'currency'").select("column")
-    return (tagged.join(money, "column", "left_semi")
+    return (tagged.join(F.broadcast(money), "column", "left_semi")
             .withColumn("notation", N.currency_marker(F.col("value")))
             .filter(F.col("notation").isNotNull())
             .groupBy("column", "notation").agg(F.sum("n").alias("n")))
@@ -199,7 +204,7 @@ def percent_scale_mixed(types: DataFrame) -> DataFrame:
 def numbers(tagged: DataFrame, types: DataFrame) -> DataFrame:
     """(column, x, n) for every numeric value of a numeric column."""
     numeric = types.filter(F.col("base_type").isin(*NUMERIC_TYPES)).select("column")
-    return (tagged.join(numeric, "column", "left_semi")
+    return (tagged.join(F.broadcast(numeric), "column", "left_semi")
             .select("column", "value", N.to_number(F.col("value")).alias("x"), "n")
             .filter(F.col("x").isNotNull()))
 
@@ -213,7 +218,7 @@ def numeric_summary(nums: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0)).alias("n_zero"),
         F.coalesce(F.sum(F.when(x < 0, n)), F.lit(0)).alias("n_negative"))
     off = x - F.col("_mean")
-    spread = (nums.join(base.select("column", F.col("mean").alias("_mean")), "column")
+    spread = (nums.join(F.broadcast(base.select("column", F.col("mean").alias("_mean"))), "column")
               .groupBy("column").agg(F.sqrt(F.sum(off * off * n) / F.sum(n)).alias("std")))
     q = quantiles(nums, "x", [0.01, 0.25, 0.5, 0.75, 0.99], ["column"], freq="n").select(
         "column", F.col("q0").alias("p01"), F.col("q1").alias("q1"), F.col("q2").alias("median"),
@@ -230,7 +235,7 @@ def iqr_outliers(nums: DataFrame, summary: DataFrame, examples: int = 5) -> Data
     bounds = summary.filter(F.col("n_numbers") >= MIN_VALUES_FOR_OUTLIERS).select(
         "column", "n_numbers", (F.col("q1") - 1.5 * iqr).alias("lower_bound"),
         (F.col("q3") + 1.5 * iqr).alias("upper_bound"))
-    placed = nums.join(bounds, "column").withColumn("outside", F.expr(
+    placed = nums.join(F.broadcast(bounds), "column").withColumn("outside", F.expr(
         "x < lower_bound OR x > upper_bound"))
     counts = placed.groupBy("column").agg(
         *[F.max(c).alias(c) for c in ("n_numbers", "lower_bound", "upper_bound")],
@@ -243,12 +248,19 @@ def iqr_outliers(nums: DataFrame, summary: DataFrame, examples: int = 5) -> Data
 
 
 def label_variants(vc: DataFrame, types: DataFrame) -> DataFrame:
-    """Spellings that share one folded label."""
+    """Spellings that share one folded label.
+
+    Labels of one spelling, most of a column of free text, are counted out before
+    the others are brought together.
+    """
     cols = types.filter(F.col("inferred_type").isin("categorical", "text")).select("column")
-    return (vc.join(cols, "column", "left_semi")
-            .groupBy("column", X.normalise_category(F.col("value")).alias("folded"))
-            .agg(F.sort_array(F.collect_set("value")).alias("variants"))
-            .filter(F.size("variants") > 1))
+    folded = vc.join(F.broadcast(cols), "column", "left_semi").select(
+        "column", X.normalise_category(F.col("value")).alias("folded"), "value")
+    shared = (folded.groupBy("column", "folded")
+              .agg(F.min("value").alias("least"), F.max("value").alias("most"))
+              .filter("least <> most").select("column", "folded"))
+    return (folded.join(shared, ["column", "folded"], "left_semi").groupBy("column", "folded")
+            .agg(F.sort_array(F.collect_set("value")).alias("variants")))
 
 
 def _has(formats: Sequence[str]) -> Column:
@@ -278,7 +290,7 @@ def date_order_profile(tagged: DataFrame) -> DataFrame:
     both = F.col("us") & F.col("eu")
     read = (F.when(both & (F.col("resolved") == "us"), keep(D.MONTH_FIRST))
             .when(both & (F.col("resolved") == "eu"), keep(D.DAY_FIRST)).otherwise(F.col("formats")))
-    named = dated.join(counts.select("column", "resolved"), "column").withColumn(
+    named = dated.join(F.broadcast(counts.select("column", "resolved")), "column").withColumn(
         "label", F.when(both & F.col("resolved").isNull(), D.AMBIGUOUS_ORDER)
         .otherwise(label[F.get(read, F.lit(0))]))
     # At most one entry per known format.

@@ -220,7 +220,7 @@ def prf_12(spark, sf):
     p = profiled(spark, sf)
     t, numeric = p.values, p.types.filter(F.col("base_type").isin(*P.NUMERIC_TYPES)).select("column")
     x = N.to_number(F.col("value"))
-    return rounded(t.join(numeric, "column", "left_semi").groupBy("column").agg(
+    return rounded(t.join(F.broadcast(numeric), "column", "left_semi").groupBy("column").agg(
         F.count(F.lit(1)).alias("n_values"), F.count(x).alias("n_numbers"),
         F.sum(x * F.col("n")).alias("total")), 2)
 

@@ -82,6 +82,16 @@ def test_formatting(spark):
     assert column(spark, [-0.4, 3.0], lambda c: X.fmt_delta(c, "percent"), "double") == ["-0.4%", "+3.0%"]
 
 
+def test_only_shapes_of_formats_reach_the_date_parsers(spark):
+    at = datetime(2021, 3, 4, 5, 6, 7, 800)
+    dates = [at.strftime(f) for f, _ in D.DATE_FORMATS]
+    assert column(spark, dates, D.could_be_date) == [True] * len(dates)
+    others = ["K-123", "12.50", "$1,234.50", "a b", "1234567", "2021-03-04x"]
+    assert column(spark, others, D.could_be_date) == [False] * len(others)
+    assert column(spark, ["04/03/2021", " 4  Mar 2021 ", "K-1"], D.matching_formats) == [
+        ["%m/%d/%Y", "%d/%m/%Y"], ["%d %b %Y"], []]
+
+
 def test_fmt_keeps_the_sign_of_a_negative_zero(spark):
     for unit, shown in (("percent", "-0.0%"), ("days", "-0.00 days"), ("ratio", "-0.00"),
                         ("money", "$0.00"), ("count", "0")):
