@@ -21,6 +21,16 @@ NOTATIONS = {
 SHARE = 0.8
 
 
+def _bare_pattern(skip: str) -> str:
+    """What ``numbers.CLEAN_NUMBER`` matches once the characters of class ``skip`` are gone."""
+    gap, digits = skip + "*", rf"\d[\d{skip[1:]}*"
+    return (rf"\A{gap}[+-]?{gap}(?:{digits}(?:\.[\d{skip[1:]}*)?|\.{gap}{digits})"
+            rf"(?:[eE]{gap}[+-]?{gap}{digits})?\z")
+
+
+PARSES = {name: _bare_pattern(skip) for name, (_, skip) in NOTATIONS.items()}
+
+
 def _texts(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
@@ -73,7 +83,8 @@ def bare_number(c: Column, notation: str) -> Column:
 
 def notation_rates(df: DataFrame) -> DataFrame:
     """Per text column: rows, present cells, and cells matching and parsing
-    under each number notation.  One aggregation whatever the width."""
+    under each number notation.  One aggregation whatever the width; a cell is
+    only matched, so none is rewritten or converted for the decision."""
     rows = []
     for c in _texts(df):
         col = _q(c)
@@ -81,7 +92,7 @@ def notation_rates(df: DataFrame) -> DataFrame:
                   F.count(col).alias("n_present")]
         for name, (pattern, _) in NOTATIONS.items():
             fields += [F.count_if(col.rlike(pattern)).alias(name),
-                       F.count_if(bare_number(col, name).isNotNull()).alias(name + "_parsed")]
+                       F.count_if(col.rlike(PARSES[name])).alias(name + "_parsed")]
         rows.append(F.struct(*fields))
     if not rows:
         return df.sparkSession.createDataFrame([], "column string, notation string")
@@ -132,19 +143,30 @@ def clean_upload(df: DataFrame) -> DataFrame:
     return coerce_numbers(null_sentinels(trim_cells(named)))
 
 
+def _values(df: DataFrame) -> DataFrame:
+    """(column, value, n) over every cell, nulls too."""
+    wide = df.select(*[_q(c).cast("string").alias(c) for c in df.columns])
+    return (wide.unpivot([], [_q(c) for c in wide.columns], "column", "value")
+            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _sizes(vc: DataFrame) -> DataFrame:
+    out = vc.groupBy("column").agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+        F.count("value").alias("unique_count"))
+    return out.withColumn("candidate_key", (F.col("missing_count") == 0)
+                          & (F.col("unique_count") == F.col("n_rows")) & (F.col("n_rows") > 1))
+
+
 def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
     """Missing and distinct counts and the smallest sample values per column.
 
     Cells are counted per (column, value) first, so each value is shuffled
     once and a hot value as one partial count per task.
     """
-    wide = df.select(*[_q(c).cast("string").alias(c) for c in df.columns])
-    vc = (wide.unpivot([], [_q(c) for c in wide.columns], "column", "value")
-          .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
-    base = vc.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
-        F.count("value").alias("unique_count"))
+    vc = _values(df)
+    base = _sizes(vc)
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     first = (vc.filter(F.col("value").isNotNull()).withColumn("r", rank)
              .filter(F.col("r") <= samples).groupBy("column")
@@ -153,15 +175,14 @@ def column_profile(df: DataFrame, samples: int = 3) -> DataFrame:
         "column", "n_rows", "missing_count",
         F.round(100.0 * F.col("missing_count") / F.col("n_rows"), 2).alias("missing_pct"),
         "unique_count", F.coalesce("sample_values", F.lit("")).alias("sample_values"),
-        ((F.col("missing_count") == 0) & (F.col("unique_count") == F.col("n_rows"))
-         & (F.col("n_rows") > 1)).alias("candidate_key"))
+        "candidate_key")
 
 
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Size, missing share and quality score of a whole table."""
     cells = F.sum("n_rows")
     pct = F.round(F.coalesce(F.try_divide(100.0 * F.sum("missing_count"), cells), F.lit(0.0)), 2)
-    return column_profile(df).agg(
+    return _sizes(_values(df)).agg(
         F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_cols"), cells.alias("n_cells"),
         F.sum("missing_count").alias("n_missing_cells"), pct.alias("missing_pct"),
         F.round(F.greatest(F.lit(0.0), 100.0 - pct), 1).alias("quality_score"),

@@ -541,6 +541,29 @@ def test_every_file_is_loaded_or_reported(spark, tmp_path):
         ("empty one.csv", "empty file")]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_notation_rates_only_match_cells(spark):
+    cells = ["$1,200.5", "1,2e3", "5 %", "x", ".", "$ -.5", "1 2", None]
+    df = spark.createDataFrame([(c,) for c in cells], "v string")
+    got = rows(U.notation_rates(df))[0]
+    for name in U.NOTATIONS:
+        assert got[name + "_parsed"] == df.where(U.bare_number(F.col("v"), name).isNotNull()).count()
+    assert "regexp_replace" not in plan_of(U.notation_rates(df))
+
+
+def test_columns_of_a_profile_are_never_gathered(spark):
+    df = spark.createDataFrame([(f"w {i}", "A b" if i % 2 else "a B") for i in range(9)], "k string, v string")
+    p = P.profile_table(df)
+    assert rows(P.label_variants(p.values, p.types)) == [
+        {"column": "v", "folded": "ab", "variants": ["A b", "a B"]}]
+    for frame in (P.type_mismatches(p.values, p.types), P.label_variants(p.values, p.types)):
+        assert "strategy=broadcast" in plan_of(frame)
+    p.unpersist()
+
+
 def test_quadrants_compare_points_with_their_own_medians(spark):
     other = F.udf(lambda i: i + random.random(), "double").asNondeterministic()
     df = spark.range(25).select("id", other("id").alias("x"), (-F.col("id")).alias("y"))
