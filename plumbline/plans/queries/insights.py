@@ -486,9 +486,11 @@ def fn_06(spark, sf):
 
 
 @query("fn_07_fmt_delta", """
-SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || '$'
-         || format('{:,.2f}', abs(c_acctbal)) AS delta,
-       format('{:,.1f} pp', c_acctbal) AS change FROM customer""")
+SELECT c_custkey, CASE WHEN c_acctbal IS NULL OR isnan(c_acctbal) THEN 'n/a' ELSE
+         CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || '$'
+         || format('{:,.2f}', abs(c_acctbal)) END AS delta,
+       CASE WHEN c_acctbal IS NULL OR isnan(c_acctbal) THEN 'n/a'
+            ELSE format('{:,.1f} pp', c_acctbal) END AS change FROM customer""")
 def fn_07(spark, sf):
     v = F.col("c_acctbal")
     return stage.table(spark, sf, "customer").select(

@@ -39,6 +39,16 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
     assert compare(Q.QUERIES[name](spark, sf_dir), connect(sf_dir), Q.SQL[name]) is None
 
 
+def test_changes_agree_with_sql_on_odd_balances(spark, sf_dir, tmp_path):
+    odd = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, -0.04, -0.05, 0.25, 1e6]
+    spark.createDataFrame(list(enumerate(odd)), "c_custkey bigint, c_acctbal double").coalesce(
+        1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = connect(sf_dir)
+    con.sql(f"CREATE OR REPLACE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+    name = "fn_07_fmt_delta"
+    assert compare(Q.QUERIES[name](spark, str(tmp_path)), con, Q.SQL[name]) is None
+
+
 def test_every_sql_has_a_query():
     assert set(Q.SQL) <= set(Q.QUERIES)
     assert all(sql.strip() for sql in Q.SQL.values())
