@@ -220,6 +220,51 @@ def _counter(step: str, column: str, n: Column) -> Column:
                     n.cast("bigint").alias("n"))
 
 
+class _Marks:
+    """What the steps did to each row, as flags packed into whole numbers.
+
+    Rows are counted by pattern of flags, so that no row passes through one sum
+    for every step and column; the sums are taken over the patterns.
+    """
+
+    FLAGS, ENTRIES = 4, 15
+
+    def __init__(self) -> None:
+        self.entries: list[list[tuple[str, str]]] = []
+
+    def add(self, df: DataFrame, flags: Column, *steps: tuple[str, str]) -> DataFrame:
+        """Keep ``flags``, whose lowest bit stands for the first of ``steps``."""
+        self.entries.append(list(steps))
+        return df.withColumn(f"_f_{len(self.entries) - 1}", flags.cast("bigint"))
+
+    def packed(self) -> list[Column]:
+        at = range(len(self.entries))
+        return [reduce(lambda a, b: a.bitwiseOR(b), [
+            F.shiftleft(F.col(f"_f_{i}"), self.FLAGS * (i - k)) for i in at[k:k + self.ENTRIES]])
+            .alias(f"_k_{k // self.ENTRIES}") for k in at[::self.ENTRIES]]
+
+    def counted(self, packed: DataFrame, total: str, *more: Column) -> DataFrame:
+        """step, column, n from the columns of ``packed()``; ``total`` counts all rows."""
+        names = [c for c in packed.columns if c.startswith("_k_")]
+        n = F.count(F.lit(1)).alias("_n")
+        patterns = packed.groupBy(*names).agg(n) if names else packed.agg(n).filter("_n > 0")
+
+        def rows(i: int, bit: int) -> Column:
+            word, place = f"_k_{i // self.ENTRIES}", i % self.ENTRIES * self.FLAGS + bit
+            return F.sum(F.when(F.col(word).bitwiseAND(F.lit(1 << place)) != 0, F.col("_n")))
+
+        zero = F.lit(0)
+        return _unroll(patterns, [
+            _counter(total, "<table>", F.coalesce(F.sum("_n"), zero)),
+            *[_counter(step, column, F.coalesce(rows(i, bit), zero))
+              for i, steps in enumerate(self.entries) for bit, (step, column) in enumerate(steps)],
+            *more])
+
+
+def _flags(*tests: Column) -> Column:
+    return reduce(lambda a, b: a + b, [F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)])
+
+
 def _unroll(df: DataFrame, counters: Sequence[Column]) -> DataFrame:
     return df.agg(F.array(*counters).alias("a")).selectExpr("inline(a)")
 
@@ -410,9 +455,12 @@ def _rejected(r: ColumnRule) -> Column:
     return _q(r.source).isNotNull() & _q("_v_" + r.clean).isNull()
 
 
-def quarantine_cells(df: DataFrame, policy: Policy) -> DataFrame:
-    """Typed columns beside ``_rejects``, the array of cells that did not fit."""
+def quarantine_cells(df: DataFrame, policy: Policy, marks: _Marks | None = None) -> DataFrame:
+    """Typed columns beside ``_rejects``, the array of cells that did not fit;
+    with ``marks`` also the packed flags of what typing did."""
     staged, rules = _typed_stage(df, policy)
+    if marks is not None:
+        staged = _type_marks(staged, rules, marks)
     keys = [r.source for r in rules if r.clean in policy.key_columns]
     row_key = (_q(keys[0]) if keys else _q(policy.order[0]) if policy.order
                else F.lit(None)).cast("string")
@@ -427,7 +475,7 @@ def quarantine_cells(df: DataFrame, policy: Policy) -> DataFrame:
                               + ">>"))
     return staged.select(*[_q("_x_" + r.clean).alias(r.clean) for r in rules],
                          *[_q(c).alias("_o_" + c) for c in policy.order],
-                         rejects.alias("_rejects"))
+                         rejects.alias("_rejects"), *(marks.packed() if marks else []))
 
 
 def rejected_cells(quarantined: DataFrame) -> DataFrame:
@@ -536,7 +584,7 @@ class Cleaned:
 
     @cached_property
     def quarantined(self) -> DataFrame:
-        return quarantined_table(self.source, self.policy)
+        return quarantine_cells(_prepared(self.source, self.policy), self.policy, _Marks())
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -579,32 +627,29 @@ def check_source(df: DataFrame, policy: Policy, encoding: str | None = None) ->
 
 
 def _prepare(df: DataFrame, policy: Policy,
-             audit: bool = True) -> tuple[DataFrame, list[Column], list[str]]:
-    """The row-wise steps before de-duplication, the columns they leave, and
-    with ``audit`` the counters of what they changed."""
+             marks: _Marks | None = None) -> tuple[DataFrame, list[str]]:
+    """The row-wise steps before de-duplication and the columns they leave;
+    ``marks`` takes what they changed."""
     columns = df.columns
     resolve = lambda n: policy.source_of(n, columns)
     texts = [c for c in _texts(df) if c not in policy.order]
     out = _normal_stages(df, texts, policy.setting("trim_whitespace"),
                          policy.setting("collapse_internal_spaces"),
                          policy.setting("sentinel_nulls_to_null"))
-    counters = []
-    if audit:
+    if marks is not None:
         # Taken here, before any later step replaces the column.
-        out = out.withColumns({"_z_" + c: _q("_t_" + c).isNotNull() & _q(c).isNull()
-                               for c in texts})
-        counters.append(_counter("rows_in", "<table>", F.count(F.lit(1))))
         for c in texts:
-            trim, collapse, _ = _normal_counters(c)
-            counters += [trim, collapse,
-                         _counter("sentinel_null", c, F.count_if(_q("_z_" + c)))]
+            raw, text = _q("_r_" + c), _q("_t_" + c)
+            # in the branch, so that only changed cells are trimmed again
+            trimmed = X.strip(raw) if policy.setting("trim_whitespace") else raw
+            changed = _flags(trimmed != raw, text != trimmed, _q(c).isNull())
+            out = marks.add(out, F.when(raw.isNull() | (raw == _q(c)), 0).otherwise(changed),
+                            ("trim_whitespace", c), ("collapse_spaces", c), ("sentinel_null", c))
 
     def mark(step: str, target: str, test: Column) -> None:
         nonlocal out
-        if audit:
-            name = f"_m_{len(counters)}"
-            out = out.withColumn(name, F.coalesce(test, F.lit(False)))
-            counters.append(_counter(step, target, F.count_if(_q(name))))
+        if marks is not None:
+            out = marks.add(out, _flags(test), (step, target))
 
     for i, fix in enumerate(policy.row_fixes):
         if fix.do != "shift_right":
@@ -628,14 +673,11 @@ def _prepare(df: DataFrame, policy: Policy,
                 mark("value_map:" + str(old), c, _q(c).isin(*hits) if hits else F.lit(False))
                 reached |= {k: str(new) for k in hits}
             out = map_values(out, c, mapping)
-    if audit:
-        counters += [_counter("drop_column", c, F.max(F.lit(1)))
-                     for c in policy.drop if c in columns]
-    return out, counters, [c for c in columns if c not in policy.drop]
+    return out, [c for c in columns if c not in policy.drop]
 
 
 def _prepared(df: DataFrame, policy: Policy) -> DataFrame:
-    out, _, kept = _prepare(df, policy, audit=False)
+    out, kept = _prepare(df, policy)
     return _dedupe(out.select(*[_q(c) for c in kept]), policy)
 
 
@@ -648,29 +690,31 @@ def _dedupe(df: DataFrame, policy: Policy) -> DataFrame:
     return df
 
 
-def _type_counters(rules: Sequence[ColumnRule]) -> list[Column]:
-    out = [_counter("rows_kept", "<table>", F.count(F.lit(1)))]
+def _type_marks(df: DataFrame, rules: Sequence[ColumnRule], marks: _Marks) -> DataFrame:
     gone = F.lit(False)
     for r in rules:
         value, shown = _q("_v_" + r.clean), _q("_x_" + r.clean)
-        out.append(_counter("reject_cell", r.clean, F.count_if(_rejected(r))))
+        tests = {"reject_cell": _rejected(r), "type": value.isNotNull(),
+                 "nulls:" + r.nulls: ~gone & value.isNull()}
         if r.transform:
-            out.append(_counter("transform:" + r.transform, r.clean,
-                                F.count_if(shown != value.cast("string"))))
-        out.append(_counter("type", r.clean, F.count(value)))
-        out.append(_counter("nulls:" + r.nulls, r.clean, F.count_if(~gone & value.isNull())))
+            tests["transform:" + r.transform] = shown != value.cast("string")
+        df = marks.add(df, _flags(*tests.values()), *[(step, r.clean) for step in tests])
         if r.nulls == "drop_row":
             gone = gone | value.isNull()
-    return out
+    return df
 
 
-def cleaning_actions(df: DataFrame, policy: Policy) -> DataFrame:
-    """What each step did to each column: one aggregation before and one
-    after de-duplication."""
-    prepared, before, kept = _prepare(df, policy)
-    staged, rules = _typed_stage(
-        _dedupe(prepared.select(*[_q(c) for c in kept]), policy), policy)
-    counted = _unroll(prepared, before).unionByName(_unroll(staged, _type_counters(rules)))
+def cleaning_actions(df: DataFrame, policy: Policy, typed: DataFrame | None = None) -> DataFrame:
+    """What each step did to each column: one count of patterns before and one
+    after de-duplication.  ``typed`` is a written ``Cleaned.quarantined``, whose
+    flags spare the second cleaning of the source."""
+    before, after = _Marks(), _Marks()
+    prepared, _ = _prepare(df, policy, before)
+    dropped = [_counter("drop_column", c, F.max(F.lit(1))) for c in policy.drop if c in df.columns]
+    # the labels follow from the rules, whichever frame holds the flags
+    marked = quarantine_cells(_prepared(df, policy), policy, after)
+    counted = before.counted(prepared.select(*before.packed()), "rows_in", *dropped).unionByName(
+        after.counted(marked if typed is None else typed, "rows_kept"))
     both = F.col("step").isin("rows_in", "rows_kept")
     # One row per step and column: a handful whatever the data size.
     step = F.when(both, "deduplicate").otherwise(F.col("step"))
@@ -690,7 +734,8 @@ def quarantined_table(df: DataFrame, policy: Policy) -> DataFrame:
 
 def finish(quarantined: DataFrame, policy: Policy) -> DataFrame:
     """Null policy, derived columns and column order."""
-    out = null_policy(quarantined.drop("_rejects"), policy.columns)
+    inner = [c for c in quarantined.columns if c == "_rejects" or re.fullmatch(r"_k_\d+", c)]
+    out = null_policy(quarantined.drop(*inner), policy.columns)
     for d in policy.derived:
         if isinstance(d.expr, str) and d.expr.strip() == "row_number":
             if not policy.order:

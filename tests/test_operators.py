@@ -205,6 +205,26 @@ def test_mini_policy_end_to_end(mini):
     assert not out.warnings.collect()
 
 
+def test_actions_from_written_flags(spark, tmp_path):
+    """More than one packed word of flags; typed rows are not cleaned again for the counts."""
+    names = [f"c{k}" for k in range(20)]
+    cells = [[f" {k}" if k % 3 else "n/a" for k in range(20)], ["x"] * 20, ["x"] * 20]
+    df = spark.createDataFrame([tuple(c) for c in cells], ", ".join(f"{n} string" for n in names))
+    policy = CL.Policy("t", tuple(CL.ColumnRule(n, n, "integer") for n in names),
+                       deduplicate="exact_rows")
+    out = CL.clean_table(df, policy)
+    out.quarantined.write.parquet(f"{tmp_path}/typed")
+    typed = spark.read.parquet(f"{tmp_path}/typed")
+    got = {(r["step"], r["column"]): r["n"] for r in rows(CL.cleaning_actions(df, policy, typed))}
+    assert got == {(r["step"], r["column"]): r["n"] for r in rows(out.actions)}
+    assert got["deduplicate", "<table>"] == 1
+    for k, n in enumerate(names):
+        assert got["trim_whitespace", n] == (k % 3 > 0) and got["sentinel_null", n] == (k % 3 == 0)
+        assert got["reject_cell", n] == 1 and got["type", n] == (k % 3 > 0)
+        assert got["collapse_spaces", n] == 0 and got["nulls:keep_null", n] == 1 + (k % 3 == 0)
+    assert CL.finish(typed, policy).columns == names
+
+
 def test_zero_pad_never_truncates(spark):
     df = spark.createDataFrame([("12345",)], "v string")
     with pytest.raises(Exception, match="longer than zero_pad"):
