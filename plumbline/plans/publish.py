@@ -53,10 +53,10 @@ def publish(spark: SparkSession, raw: Mapping[str, DataFrame], policies: Mapping
     for name, df in raw.items():
         policy = policies[name]
         result = CL.clean_table(df, policy)
-        paths = FI.write_clean(result, work_dir)
+        paths = FI.write_clean(result, work_dir, actions=True)
         clean[policy.table] = spark.read.parquet(paths["clean"])
         warnings.append(result.warnings)
-        actions.append(CL.cleaning_actions(df, policy))
+        actions.append(spark.read.parquet(paths["actions"]))
         if "rejects" in paths:
             rejects.append(spark.read.parquet(paths["rejects"]))
 

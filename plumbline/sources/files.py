@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.cleaning import Cleaned, Policy, finish, rejected_cells
+from plumbline.operators.cleaning import Cleaned, Policy, cleaning_actions, finish, rejected_cells
 from plumbline.operators.versions import describe
 from plumbline.session import drop_folder
 from plumbline.sources.records import records, text_lines
@@ -389,11 +389,14 @@ def register_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 # --- sinks ------------------------------------------------------------------
 
-def write_clean(result: Cleaned, directory: str, mode: str = "overwrite") -> dict[str, str]:
-    """The clean table, and its rejects beside it when there are any.
+def write_clean(result: Cleaned, directory: str, mode: str = "overwrite",
+                actions: bool = False) -> dict[str, str]:
+    """The clean table, its rejects beside it when there are any, and with
+    ``actions`` the counts of what cleaning did.
 
-    Both are read from one written copy of the typed rows, so the source is
-    cleaned once; the copy is deleted afterwards.
+    All are read from one written copy of the typed rows, so the source is
+    cleaned once; the copy is deleted afterwards.  The counts before
+    de-duplication take one more pass over the source.
     """
     spark = result.source.sparkSession
     name = result.policy.table
@@ -406,6 +409,9 @@ def write_clean(result: Cleaned, directory: str, mode: str = "overwrite") -> dic
     if not rejects.isEmpty():
         paths["rejects"] = posixpath.join(directory, name + "__rejects")
         rejects.write.mode(mode).parquet(paths["rejects"])
+    if actions:
+        paths["actions"] = posixpath.join(directory, name + "__actions")
+        cleaning_actions(result.source, result.policy, typed).write.mode(mode).parquet(paths["actions"])
     drop_folder(spark, staging)
     return paths
 
