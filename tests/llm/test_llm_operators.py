@@ -338,6 +338,23 @@ def test_toxicity(spark):
     assert {r.doc_id for r in clean.collect()} == {k for k, r in got.items() if not r.rejected}
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """The marks of toxic rows are of one kind in the first 3,000 rows and of another in the rest."""
+    from pyspark.sql import functions as F
+    by_hash = [r.id for r in spark.range(10_000).where("pmod(crc32(cast(id as string)), 3) <> 1").orderBy(
+        F.xxhash64("id"), "id").collect()]
+    rows = [(k, f"calm words {k % 7} " + ("vile" if place < 6000 else "nasty") * (place % 2), "en")
+            for place, k in enumerate(by_hash)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    known = spark.createDataFrame([(k, place % 2) for place, k in enumerate(by_hash)],
+                                  "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, known)
+    probe = spark.createDataFrame([(1, "calm words 3 nasty", "en"), (2, "calm words 3 vile", "en"),
+                                   (3, "calm words 3", "en")], docs.schema)
+    got = {r.doc_id: r.rejected for r in toxicity.score(probe, model).collect()}
+    assert got == {1: True, 2: True, 3: False}
+
+
 def test_toxicity_without_rows_or_labels(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
