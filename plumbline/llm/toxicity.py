@@ -22,6 +22,8 @@ BUCKETS, WIDTH_OF_WORD, FILTERS, SPANS = 1 << 15, 8, 8, (1, 2, 3)
 PAD = 2 * BUCKETS
 #: Models that each leave out a fold, least batches of a training, counted steps of a score.
 FOLDS, LEAST_STEPS, STEPS_OF_SCORE = 3, 800, 10_000
+#: Rows of a training batch, and text bytes that are worked on at once.
+BATCH, SLICE = 32, 1 << 18
 _EDGE = np.zeros(256, bool)
 _EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -128,7 +130,7 @@ class Model:
 Row = tuple[np.ndarray, int]
 
 
-def train(model: Model, chunks: Iterable[list[Row]], passes: int, batch: int = 32,
+def train(model: Model, chunks: Iterable[list[Row]], passes: int, batch: int = BATCH,
           rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
     """Adam on the logistic loss; only the winning position of a filter gets a gradient.
 
@@ -199,6 +201,16 @@ def best_cut(scores: np.ndarray, hits: np.ndarray, rows: np.ndarray, least: floa
     return float(np.clip((scores[order[k]] + below) / 2, least, 0.95))
 
 
+def shares(n: int, rounds: int, cores: int) -> tuple[int, int]:
+    """Tasks that train on ``n`` rows, and passes of each round over its rows.
+
+    A task gets the rows that make the least steps in one pass a round, so
+    that tables of more rows are read no more often than once a round.
+    """
+    tasks = int(np.clip(n * rounds // (BATCH * LEAST_STEPS), 1, max(1, cores)))
+    return tasks, math.ceil(LEAST_STEPS / (rounds * math.ceil(max(n, 1) / (BATCH * tasks))))
+
+
 def fit(docs: DataFrame, labels: DataFrame, least_cut: float = 0.6,
         fewest_per_language: int = 50, rounds: int = 2) -> Model:
     """Train on all labelled rows and calibrate one threshold per language on all of them.
@@ -221,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, least_cut: float = 0.6,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 ids, first = buckets(part.column("text"))
                 row = np.repeat(np.arange(part.num_rows), np.diff(first))
                 yield pa.RecordBatch.from_arrays(
@@ -233,16 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, least_cut: float = 0.6,
 
     spark = docs.sparkSession
     ship(spark)
-    # about 8,192 rows at least in a task, and no more tasks than cores
-    tasks = int(np.clip(known.count() // 8192, 1, max(1, spark.sparkContext.defaultParallelism)))
+    tasks, _ = shares(known.count(), rounds, spark.sparkContext.defaultParallelism)
+    # a session may deal rows to more partitions; each would send every weight of every model
     lessons = materialise(chosen.mapInArrow(
         run, "place bigint, ids array<smallint>, heads array<smallint>, group string, y int").withColumn(
-        "fold", F.pmod("place", F.lit(FOLDS)).cast("int")).repartition(tasks, "place")
+        "fold", F.pmod("place", F.lit(FOLDS)).cast("int")).repartition(tasks, "place").coalesce(tasks)
         .sortWithinPartitions("place"))
     n = lessons.count()
     models = [Model.start() for _ in range(FOLDS + 1)]
     if n:
-        passes = math.ceil(LEAST_STEPS / (rounds * math.ceil(n / (32 * tasks))))
+        passes = math.ceil(LEAST_STEPS / (rounds * math.ceil(n / (BATCH * tasks))))
         for _ in range(rounds):
             models = _averaged(models, lessons, passes)
     model = models[FOLDS]
@@ -302,7 +314,7 @@ def _averaged(models: list[Model], lessons: DataFrame, passes: int) -> list[Mode
 def _fold_scores(lessons: DataFrame, models: list[Model]) -> DataFrame:
     """group, bin, hits, n: how many rows have a score, from the model of the other folds."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [m.tables() for m in models]
+        tables = [m.tables() for m in models[:FOLDS]]
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -336,7 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 s = model.scores(*buckets(part.column("text")), tables)
                 cut = np.array([model.cuts.get(g, model.cuts[None])
                                 for g in part.column("group").to_pylist()])
@@ -358,7 +370,7 @@ def clean(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             named = pa.RecordBatch.from_arrays([*batch.columns, batch.column(text)], names=[
                 *(str(k) for k in range(batch.num_columns)), "text"])
-            for part in slices(named):
+            for part in slices(named, limit=SLICE):
                 s = model.scores(*buckets(part.column("text")), tables)
                 cut = np.array([model.cuts.get(g, model.cuts[None])
                                 for g in part.column(lang).to_pylist()])

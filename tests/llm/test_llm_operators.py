@@ -355,6 +355,26 @@ def test_toxicity_learns_from_all_rows(spark):
     assert got == {1: True, 2: True, 3: False}
 
 
+def test_toxicity_reads_large_tables_once_a_round():
+    for n in (13_000, 25_600, 68_000, 4_000_000):
+        for cores in (1, 6, 48):
+            tasks, passes = toxicity.shares(n, 2, cores)
+            assert passes == 1 and 1 <= tasks <= cores and n >= tasks * 12_800
+    assert toxicity.shares(300, 2, 6) == (1, 40)
+
+
+def test_toxicity_trains_in_few_tasks_where_rows_are_dealt_to_many(spark, monkeypatch):
+    frame, made = type(spark.range(0)), []
+    deal = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols: deal(self, max(n, 40), *cols))
+    keep = toxicity.materialise
+    monkeypatch.setattr(toxicity, "materialise", lambda df: made.append(keep(df)) or made[-1])
+    rows, labels = toxic_rows()
+    toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"),
+                 spark.createDataFrame(labels, "doc_id bigint, toxic int"), rounds=1)
+    assert [df.rdd.getNumPartitions() for df in made] == [1]
+
+
 def test_toxicity_without_rows_or_labels(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([], "doc_id bigint, toxic int")
