@@ -1,24 +1,24 @@
-"""SentencePiece encoding and decoding by a relational lattice of pieces."""
+"""SentencePiece encoding and decoding by lattices of pieces."""
 
 from __future__ import annotations
 
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import ship
-from plumbline.llm.words import Words, slices, texts_of
+from plumbline.llm.words import Words, lists_by_row, slices, texts_of
 
 #: The mark of a space, and the longest stretch a 64-bit state can hold.
 SPACE_MARK, LONGEST_STATE = "▁", 60
-BLOCK_BYTES, SLICE = 8 << 20, 1 << 19
+SLICE = 1 << 19
 
 
 @dataclass
@@ -67,15 +67,6 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 # ---------------------------------------------------------------- segments of texts
 
-@dataclass
-class Block:
-    """Distinct segments of a run of rows, most frequent first, and the run's name."""
-
-    hashes: np.ndarray
-    segments: list[bytes]
-    name: int
-
-
 def _marked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of the texts with a space before each that is not empty."""
     column = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), SPACE_MARK, " ")
@@ -105,116 +96,138 @@ def segments(column: pa.Array) -> Words:
                  np.repeat(np.arange(len(off) - 1), np.diff(first)), first)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], limit: int,
-            columns: list[str]) -> Iterator[tuple[Block, np.ndarray, np.ndarray, list[pa.Array],
-                                                  list[bytes]]]:
-    """Cut a task's rows into blocks of about ``limit`` text bytes.
+# ---------------------------------------------------------------- the lattice
 
-    Yields the block, places of all segments, segments per row, the other
-    columns, and a digest of every text as it was given, behind a space.
+@dataclass
+class Lattice:
+    """All pieces by their beginnings, as sorted steps from one beginning to the next.
+
+    A step's key is the number of a beginning times ``alphabet``, and the
+    number of the character that follows; both are small next to a text.
     """
-    hashes: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-    kept: dict[str, list[pa.Array]] = {c: [] for c in columns}
-    words: list[tuple[np.ndarray, list[bytes]]] = []
-    digests: list[bytes] = []
-    size = 0
-
-    def block():
-        known = np.concatenate([a for a, _ in words])
-        names = [s for _, b in words for s in b]
-        every, at = np.unique(known, return_index=True)
-        places = [np.searchsorted(every, h).astype(np.uint32) for h in hashes]
-        often = np.zeros(len(every), np.int64)
-        for p in places:
-            often += np.bincount(p, minlength=len(every))
-        order = np.argsort(-often, kind="stable")   # frequent segments get small places
-        rank = np.empty(len(order), np.uint32)
-        rank[order] = np.arange(len(order), dtype=np.uint32)
-        name = int.from_bytes(hashlib.blake2b(
-            every.tobytes() + b"".join(digests), digest_size=8).digest(), "big", signed=True)
-        return (Block(every[order], [names[k] for k in at[order]], name),
-                rank[np.concatenate(places)] if places else rank, np.concatenate(counts),
-                [pa.concat_arrays(kept[c]) for c in columns], digests)
-
-    for batch in batches:
-        for part in slices(batch, limit=SLICE):
-            w = segments(part.column("text"))
-            h = w.hashes()
-            every, at = np.unique(h, return_index=True)
-            raw = w.data.tobytes()
-            words.append((every, [raw[a:b] for a, b in zip(w.start[at], w.end[at], strict=True)]))
-            hashes.append(h)
-            counts.append(w.counts())
-            own, off = texts_of(part.column("text"))
-            own = own.tobytes()
-            digests += [hashlib.blake2b(b" " + own[a:b] if b > a else b"", digest_size=8).digest()
-                        for a, b in zip(off[:-1], off[1:], strict=True)]
-            for c in columns:
-                kept[c].append(part.column(c))
-            size += len(w.data)
-            if size >= limit:
-                yield block()
-                hashes, counts, words, digests, size = [], [], [], [], 0
-                kept = {c: [] for c in columns}
-                pa.default_memory_pool().release_unused()
-    if counts:
-        yield block()
 
+    points: np.ndarray      # characters of all pieces, in order; the first has number 1
+    alphabet: int
+    keys: np.ndarray
+    to: np.ndarray
+    ids: np.ndarray         # of each beginning that is a piece, else -1
+    ranks: np.ndarray
+
+    @staticmethod
+    def of(pieces: Iterable[tuple[str, int, int]]) -> Lattice:
+        table = list(pieces)
+        points = np.array(sorted({ord(c) for p, _, _ in table for c in p}), np.int64)
+        number = {chr(c): k + 1 for k, c in enumerate(points.tolist())}
+        alphabet, steps, found = len(number) + 1, {}, {}
+        for piece, k, rank in table:
+            node = 0
+            for c in piece:
+                node = steps.setdefault(node * alphabet + number[c], len(steps) + 1)
+            found[node] = (k, rank)
+        keys = np.array(sorted(steps), np.int64)
+        ids, ranks = np.full((2, len(steps) + 1), -1, np.int64)
+        for node, (ids[node], ranks[node]) in found.items():
+            pass
+        return Lattice(points, alphabet, keys, np.array([steps[k] for k in keys.tolist()], np.int64),
+                       ids, ranks)
+
+    def numbers(self, points: np.ndarray) -> np.ndarray:
+        """The number of every character, 0 for those of no piece."""
+        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        return np.where(self.points[at] == points, at + 1, 0)
+
+    def step(self, node: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The longer beginning, -1 if no piece begins so."""
+        key = node * self.alphabet + number
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
+    def edges(self, number: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Segment, start, length and id of every piece of two characters or more in segments.
+
+        They come by segment, then by score, then by start.  Segments longer
+        than a 64-bit state have none.
+        """
+        size = np.diff(off)
+        row = np.repeat(np.arange(len(size)), np.where(size > LONGEST_STATE, 0, size))
+        at = _ranges(off[:-1], np.where(size > LONGEST_STATE, 0, size))
+        node = self.step(np.zeros(len(at), np.int64), number[at])
+        found, n = [], 1
+        while len(at):
+            on = np.flatnonzero((node >= 0) & (at + n < off[row + 1]))
+            at, row, node = at[on], row[on], node[on]
+            node = self.step(node, number[at + n])
+            n += 1
+            hit = np.flatnonzero((node >= 0) & (self.ids[node] >= 0))
+            found.append((row[hit], at[hit] - off[row[hit]], np.full(len(hit), n), node[hit]))
+        row, start, n, node = (np.concatenate(x) if x else np.zeros(0, np.int64)
+                               for x in (zip(*found, strict=True) if found else [()] * 4))
+        by = np.lexsort((start, self.ranks[node], row))
+        return row[by], start[by], n[by], self.ids[node[by]]
+
+    def tokens(self, number: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Segment, start, length and id of the tokens that merging in score order leaves.
+
+        The state of a segment has a bit for every boundary still standing.
+        An edge can be taken when both its ends and just one boundary inside
+        it stand; the best such edge of every segment is taken, until none is
+        left.
+        """
+        row, start, n, ids = self.edges(number, off)
+        one = np.uint64(1)
+        s, k = start.astype(np.uint64), n.astype(np.uint64)
+        ends = (one << s) | (one << (s + k))
+        inner = ((one << (k - one)) - one) << (s + one)
+        state = (one << np.minimum(np.diff(off) + 1, 63).astype(np.uint64)) - one
+        left = np.arange(len(row))
+        while len(left):
+            now = state[row[left]]
+            inside = np.bitwise_count(now & inner[left])
+            stands = (now & ends[left]) == ends[left]
+            can = left[stands & (inside == 1)]
+            best = can[np.append(True, row[can[1:]] != row[can[:-1]])] if len(can) else can
+            state[row[best]] &= ~inner[best]
+            moved = np.zeros(len(state), bool)
+            moved[row[best]] = True
+            left = left[stands & (inside > 0) & moved[row[left]]]
+        now = state[row]
+        keep = ((now & inner) == 0) & ((now & ends) == ends)
+        return row[keep], start[keep], n[keep], ids[keep]
+
+
+def _points(segs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all strings and where each string's begin; their bytes and where each point's begin."""
+    raw, ends = texts_of(segs)
+    begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+    points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4").astype(np.int64)
+    return points, np.searchsorted(begins, ends), raw, begins
 
-# ---------------------------------------------------------------- the lattice
 
 def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """``seg, tokens, uses``: the tokens of two characters or more of every distinct segment.
 
-    Every place of a segment meets, by its first two and three characters, the
-    lengths that pieces with that beginning have; the substrings of those
-    lengths meet the piece table.  Both tables have at most as many rows as
-    the vocabulary, a fixed bound, and are broadcast.  The edges of a segment
-    come together without a shuffle, since segments are already dealt by
-    name, and are ordered by score and place.  A token is
-    id * 4096 + start * 64 + length.
+    Tasks meet their segments with the pieces, as many as the vocabulary has
+    (a fixed bound).  Segments of one character, or longer than a 64-bit
+    state, are left out.  A token is id * 4096 + start * 64 + length, where
+    the first start is 1.
     """
-    long = pieces.where(F.length("piece") > 1)
-    heads = long.select(F.substring("piece", 1, 3).alias("head"), F.length("piece").alias("n")) \
-        .groupBy("head").agg(F.sort_array(F.collect_set("n")).alias("lengths"))
-    text, size = F.col("seg"), F.length("seg")
-    starts = F.flatten(F.transform(F.sequence(F.lit(1), size - 1), lambda s: F.transform(
-        F.sequence(F.lit(2), F.least(F.lit(3), size - s + 1)),
-        lambda n: F.struct(s.alias("s"), F.substring(text, s, n).alias("head")))))
-    # a condition on the count stays above the exchange, which then serves words and uses
-    short = words.where(F.when(F.col("uses") > 0, size.between(2, LONGEST_STATE)))
-    places = short.select("seg", "uses", F.explode(starts).alias("x")).select(
-        "seg", "uses", "x.s", "x.head")
-    spans = places.join(F.broadcast(heads), "head").select(
-        "seg", "uses", "s", F.explode("lengths").alias("n")).where(
-        "s + n - 1 <= length(seg)").select(
-        "seg", "uses", "s", F.expr("substring(seg, s, n)").alias("piece"))
-    met = spans.join(F.broadcast(long), "piece")
-    inner = F.expr("shiftleft(shiftleft(1L, length(piece) - 1) - 1L, s)")
-    ends = F.expr("shiftleft(1L, s - 1) | shiftleft(1L, s - 1 + length(piece))")
-    code = F.expr("id * 4096L + s * 64 + length(piece)")
-    grouped = met.groupBy("seg").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", "s", ends.alias("ends"), inner.alias("inner"), code.alias("code")))).alias("e"),
-        F.max("uses").alias("uses"))
-    return grouped.select("seg", fold("seg", "e").alias("tokens"), "uses")
-
-
-def fold(seg: str, edges: str) -> Column:
-    """The tokens that merging in score order leaves, as a fold over the lattice.
-
-    The state has a bit for every boundary still standing.  An edge can be
-    taken when both its ends and just one boundary inside it stand; the best
-    such edge is taken, as often as there are characters to merge.
-    """
-    steps = f"sequence(1, length({seg}) - 1)"
-    start = f"shiftleft(1L, length({seg}) + 1) - 1L"
-    best = f"filter({edges}, e -> bit_count(st & e.inner) = 1 and (st & e.ends) = e.ends)"
-    state = (f"aggregate({steps}, {start}, (st, k) -> coalesce("
-             f"get(transform(slice({best}, 1, 1), e -> st & ~e.inner), 0), st))")
-    return F.expr(
-        f"transform(array({state}), st -> transform(filter({edges}, "
-        f"e -> (st & e.inner) = 0 and (st & e.ends) = e.ends), e -> e.code))[0]")
+    spark = words.sparkSession
+    ship(spark)
+    table = spark.sparkContext.broadcast(Lattice.of(pieces.select("piece", "id", "rank").collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "seg", SLICE):
+                points, off, *_ = _points(part.column("seg"))
+                row, start, n, ids = table.value.tokens(table.value.numbers(points), off)
+                by = np.lexsort((start, row))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("seg"), lists_by_row(
+                        (ids * 4096 + (start + 1) * 64 + n)[by], row[by], part.num_rows, pa.int64()),
+                     part.column("uses")], names=["seg", "tokens", "uses"])
+
+    return words.where(F.length("seg").between(2, LONGEST_STATE)).select("seg", "uses").mapInArrow(
+        run, f"seg string, tokens array<bigint>, uses {words.schema['uses'].dataType.simpleString()}")
 
 
 def merge_long(text: str, known: dict[str, tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -250,171 +263,84 @@ def merge_long(text: str, known: dict[str, tuple[int, int]]) -> list[tuple[int,
 class Speller:
     """All ids of segments: their tokens, and single characters or bytes between them."""
 
+    table: Lattice
     known: dict[str, tuple[int, int]]
-    bytes_at: list[int]
-
-    def __post_init__(self) -> None:
-        single = sorted((ord(p), k) for p, (_, k) in self.known.items() if len(p) == 1)
-        self.points = np.array([c for c, _ in single], np.uint32)
-        self.ids = np.array([k for _, k in single], np.int64)
-
-    def slow(self, seg: str, tokens: list[int]) -> list[int]:
-        """One segment: of any length, and with characters the model does not know."""
-        if len(seg) > LONGEST_STATE:
-            at = {s - 1: (n, k) for s, n, k in merge_long(seg, self.known)}
-        else:
-            at = {(t >> 6 & 63) - 1: (t & 63, t >> 12) for t in tokens}
-        out, k = [], 0
-        while k < len(seg):
-            if k in at:
-                out.append(at[k][1])
-                k += at[k][0]
-            else:
-                hit = self.known.get(seg[k])
-                out += [hit[1]] if hit else [self.bytes_at[b] for b in seg[k].encode()]
-                k += 1
+    bytes_at: np.ndarray
+
+    def slow(self, seg: str) -> list[int]:
+        """One segment of any length."""
+        out, done = [], 0
+        for s, n, k in [*merge_long(seg, self.known), (len(seg) + 1, 0, -1)]:
+            for c in seg[done:s - 1]:
+                hit = self.known.get(c)
+                out += [hit[1]] if hit else self.bytes_at[list(c.encode())].tolist()
+            out += [k] * (n > 0)
+            done = s - 1 + n
         return out
 
-    def codes(self, segs: list[str], tokens: pa.Array) -> list[bytes]:
-        """The ids of every segment as two-byte numbers."""
-        size = np.array([len(s) for s in segs], np.int64)
-        off = np.concatenate([[0], np.cumsum(size)])
-        points = np.frombuffer("".join(segs).encode("utf-32-le"), "<u4")
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        ids = np.where(self.points[at] == points, self.ids[at], -1)
-        flat = np.asarray(tokens.flatten())
-        row = np.repeat(np.arange(len(segs)), np.asarray(tokens.value_lengths().fill_null(0)))
-        start, n = off[row] + (flat >> 6 & 63) - 1, flat & 63
-        ids[start] = flat >> 12
+    def codes(self, segs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of every segment, one after another, and how many each has."""
+        points, off, raw, begins = _points(segs)
+        number = self.table.numbers(points)
+        row, start, n, ids = self.table.tokens(number, off)
+        at = off[row] + start
+        code = np.append(self.table.ids, -1)[self.table.step(np.zeros(len(number), np.int64), number)]
+        code[at] = ids
         edge = np.zeros(len(points) + 1, np.int64)
-        np.add.at(edge, start + 1, 1)
-        np.add.at(edge, start + n, -1)
-        keep = np.cumsum(edge[:-1]) == 0
-        odd = np.flatnonzero(np.logical_or.reduceat(keep & (ids < 0), off[:-1])
-                             | (size > LONGEST_STATE))
-        raw = ids[keep].astype("<u2").tobytes()
-        ends = 2 * np.concatenate([[0], np.cumsum(keep)])[off]
-        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        for k in odd:
-            mine = tokens[int(k)].as_py() or []
-            out[k] = np.array(self.slow(segs[k], mine), "<u2").tobytes()
-        return out
-
-
-def squeeze(values: np.ndarray | bytes) -> bytes:
-    """Compressed bytes behind their length."""
-    raw = values if isinstance(values, bytes) else values.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
-
-
-def unsqueeze(code: bytes) -> bytes:
-    return pa.Codec("zstd").decompress(code[8:], int.from_bytes(code[:8], "little"), asbytes=True)
-
-
-def planes(values: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first, which compress better."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unplanes(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint8).reshape(4, len(raw) // 4).T.copy().view("<u4").ravel().astype(np.int64)
+        np.add.at(edge, at + 1, 1)
+        np.add.at(edge, at + n, -1)
+        long = np.diff(off) > LONGEST_STATE
+        keep = np.flatnonzero((np.cumsum(edge[:-1]) == 0) & ~np.repeat(long, np.diff(off)))
+        code = code[keep]
+        width = np.where(code < 0, np.diff(begins)[keep], 1)    # a character of no piece is its bytes
+        out = np.repeat(code, width)
+        out[out < 0] = self.bytes_at[raw[_ranges(begins[keep[code < 0]], width[code < 0])]]
+        size = np.diff(np.concatenate([[0], np.cumsum(width)])[np.searchsorted(keep, off)])
+        if not long.any():
+            return out, size
+        slow = {int(k): np.array(self.slow(segs[int(k)].as_py()), np.int64) for k in np.flatnonzero(long)}
+        ends = np.cumsum(size)
+        done = [slow.get(k, out[e - m:e]) for k, (e, m) in enumerate(zip(ends, size, strict=True))]
+        return np.concatenate(done), np.array([len(x) for x in done], np.int64)
 
 
 # ---------------------------------------------------------------- whole documents
 
 def encode(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id",
-           text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+           text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, n_fallback, ids, ids_sha256, round_trip`` for every row.
 
-    Tasks cut their rows into blocks and name each block's distinct segments;
-    a shuffle of (segment, block) brings the uses of a segment together, at
-    most one row for each block, so no segment is hot.  The lattice encodes
-    every distinct segment once.  The ids go back to the blocks, and there
-    the rows, which travelled as places among the block's segments, are
-    spelled out.  ``round_trip`` says whether decoding gives the text again.
+    A task takes slices of whole texts.  The distinct segments of a slice meet
+    the piece table; their lattices are folded together, each segment once,
+    and the texts are spelled out from the segments' ids.  Nothing is
+    shuffled, and a task holds one slice.  ``round_trip`` says whether
+    decoding gives the text again.
 
     Null and empty texts have no ids.  Segments longer than a 64-bit state
     are merged by a queue, with the same result.  A text that holds the space
     mark itself decodes to spaces there, and its ``round_trip`` is false.  Repeated rows get repeated results;
-    extra columns are ignored; an empty table gives no rows.  Block names are
-    digests of their content: if the input were read in other pieces the
-    second time, ids would be missing and the job fails instead of guessing.
+    extra columns are ignored; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
-                        F.col(text_col).alias("text"))
-    known = {p: (r, k) for p, k, r in vocab.pieces}
-    ids_of = spark.sparkContext.broadcast((known, vocab.bytes_at, vocab.outputs))
-
-    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, *_ in _blocks(batches, block_bytes, []):
-            text = pa.array([s.replace(b" ", b"\xe2\x96\x81") for s in sorted(block.segments)],
-                            pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [text, pa.array(np.full(len(text), block.name))], names=["seg", "block"])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, places, counts, (doc_id,), digests in _blocks(batches, block_bytes, ["doc_id"]):
-            whole = [squeeze(x) for x in (planes(places), planes(counts), block.hashes)]
-            ids = pa.RecordBatch.from_arrays([doc_id], names=["doc_id"])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, ids.schema) as out:
-                out.write_batch(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block.name]), *(pa.array([x], pa.binary()) for x in (
-                    *whole, sink.getvalue().to_pybytes(), b"".join(digests)))],
-                names=["block", "places", "counts", "hashes", "ids", "digests"])
+    ids_of = spark.sparkContext.broadcast((Speller(
+        Lattice.of(vocab.pieces), {p: (r, k) for p, k, r in vocab.pieces},
+        np.array(vocab.bytes_at, np.int64)), vocab.outputs))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller(*ids_of.value[:2])
-        blocks, hashes, sizes, starts, codes, done = [], [], [], [], [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller, outputs = ids_of.value
+        width = np.array([len(x) for x in outputs], np.int64)
+        flat = np.frombuffer(b"".join(outputs), np.uint8)
+        begin = np.cumsum(width) - width
+        is_byte = np.zeros(len(outputs), bool)
+        is_byte[speller.bytes_at] = True
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            raw, off = texts_of(pc.replace_substring(batch.column("seg"), SPACE_MARK, " "))
-            h = Words(len(off) - 1, raw, off, off[:-1], off[1:], off, off).hashes()
-            new = np.append(True, h[1:] != h[:-1])      # uses of a segment are neighbours
-            once = pa.array(np.flatnonzero(new))
-            spelt = speller.codes(batch.column("seg").take(once).to_pylist(),
-                                  batch.column("tokens").take(once))
-            size = np.array([len(x) for x in spelt], np.int64)
-            which = np.cumsum(new) - 1
-            blocks.append(np.asarray(batch.column("block")))
-            hashes.append(h)
-            sizes.append(size[which])
-            starts.append(done + (np.cumsum(size) - size)[which])
-            codes += spelt
-            done += int(size.sum())
-        if not blocks:
-            return
-        block, h, size, start = (np.concatenate(x) for x in (blocks, hashes, sizes, starts))
-        code = np.frombuffer(b"".join(codes), np.uint8)
-        order = np.lexsort((h, block))
-        block, h, size, start = block[order], h[order], size[order], start[order]
-        edges = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-        for a, b in zip(edges, np.append(edges[1:], len(block)), strict=True):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[a:a + 1]), *(pa.array([squeeze(x)], pa.binary()) for x in (
-                    h[a:b], size[a:b].astype(np.uint32), code[_ranges(start[a:b], size[a:b])]))],
-                names=["block", "h", "size", "code"])
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _spelled(left, right, ids_of.value[2])
-
-    # the join on seg asks this of one branch; asked of both, they read one exchange
-    used = texts.mapInArrow(uses, "seg string, block bigint").where("seg is not null").repartition("seg")
-    table = spark.createDataFrame(vocab.pieces, "piece string, id int, rank int")
-    # counting uses keeps both columns, so that words and uses read one exchange
-    words = used.groupBy("seg").agg(F.count("block").alias("uses"))
-    packed = used.join(lattice(words, table), "seg", "left").select(
-        "seg", "block", "tokens", "uses").mapInArrow(
-        pack, "block bigint, h binary, size binary, code binary")
-    lines = texts.mapInArrow(rows, "block bigint, places binary, counts binary, hashes binary, "
-                                   "ids binary, digests binary")
-    return lines.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(
-        finish, "doc_id bigint, n_tokens bigint, n_fallback bigint, ids array<int>, "
-                "ids_sha256 string, round_trip boolean")
+            for part in slices(batch, limit=SLICE):
+                yield _spelled(part, speller, flat, begin, width, is_byte)
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id bigint, n_tokens bigint, n_fallback bigint, ids array<int>, "
+             "ids_sha256 string, round_trip boolean")
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -424,58 +350,35 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
-def _spelled(left: pa.Table, right: pa.Table, outputs: list[bytes]) -> pa.Table:
-    """Rows of one block with their ids, from its places and its segments' codes."""
-    def unpacked(table: pa.Table, name: str, kind: str) -> np.ndarray:
-        parts = [np.frombuffer(unsqueeze(x), kind) for x in table[name].to_pylist()]
-        return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-    h, size = unpacked(right, "h", "<u8"), unpacked(right, "size", "<u4").astype(np.int64) // 2
-    code = unpacked(right, "code", "<u2")
-    start = np.cumsum(size) - size
-    by = np.argsort(h)
-    h, size, start = h[by], size[by], start[by]
-    texts = np.array(outputs, dtype=object)
-    width = np.array([len(x) for x in outputs], np.int64)
-    flat = np.frombuffer(b"".join(outputs), np.uint8)
-    at = np.cumsum(width) - width
-    is_byte = np.zeros(len(outputs), bool)
-    is_byte[[k for k, x in enumerate(texts) if len(x) == 1 and k < 259 and k > 2]] = True
-    done = []
-    for k in range(left.num_rows):
-        row = left.slice(k, 1)
-        want = unpacked(row, "hashes", "<u8")
-        place = np.searchsorted(h, want)
-        if len(want) and (len(h) == 0 or (h[np.minimum(place, len(h) - 1)] != want).any()):
-            raise RuntimeError("a block's segments changed between two reads of the input")
-        places, counts = (unplanes(unsqueeze(row[c][0].as_py())) for c in ("places", "counts"))
-        doc_id = pa.ipc.open_stream(row["ids"][0].as_py()).read_all()["doc_id"]
-        digests = row["digests"][0].as_py()
-        first = np.concatenate([[0], np.cumsum(counts)])
-        step = 128
-        for a in range(0, len(counts), step):
-            b = min(a + step, len(counts))
-            mine = place[places[first[a]:first[b]]]
-            ids = code[_ranges(start[mine], size[mine])]
-            owner = np.repeat(np.arange(b - a), np.diff(first[a:b + 1]))
-            n = np.bincount(owner, size[mine], b - a).astype(np.int64)
-            off = np.concatenate([[0], np.cumsum(n)])
-            decoded = flat[_ranges(at[ids], width[ids])].tobytes()
-            edge = np.concatenate([[0], np.cumsum(width[ids])])[off]
-            wide = ids.astype("<i4")
-            fallback = np.concatenate([[0], np.cumsum(is_byte[ids])])[off]
-            done.append(pa.RecordBatch.from_arrays([
-                doc_id.slice(a, b - a).combine_chunks(), pa.array(n), pa.array(np.diff(fallback)),
-                pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(wide)),
-                pa.array([hashlib.sha256(wide[off[i]:off[i + 1]].tobytes()).hexdigest()
-                          for i in range(b - a)], pa.string()),
-                pa.array([hashlib.blake2b(decoded[edge[i]:edge[i + 1]], digest_size=8).digest()
-                          == digests[8 * (a + i):8 * (a + i) + 8] for i in range(b - a)])],
-                names=["doc_id", "n_tokens", "n_fallback", "ids", "ids_sha256", "round_trip"]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()),
-                        ("n_fallback", pa.int64()), ("ids", pa.list_(pa.int32())),
-                        ("ids_sha256", pa.string()), ("round_trip", pa.bool_())])
-    return pa.Table.from_batches([d.cast(schema) for d in done], schema)
+def _spelled(part: pa.RecordBatch, speller: Speller, flat: np.ndarray, begin: np.ndarray,
+             width: np.ndarray, is_byte: np.ndarray) -> pa.RecordBatch:
+    """Rows with their ids; ``flat`` holds what each id decodes to, from ``begin``."""
+    w = segments(part.column("text"))
+    every, at, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    length = w.end[at] - w.start[at]
+    off = np.concatenate([[0], np.cumsum(length)])
+    segs = pc.replace_substring(pa.LargeStringArray.from_buffers(
+        len(every), pa.py_buffer(off.astype(np.int64)),
+        pa.py_buffer(w.data[_ranges(w.start[at], length)])), " ", SPACE_MARK)
+    code, size = speller.codes(segs) if len(every) else (off[:0], off[:0])
+    ids = code[_ranges((np.cumsum(size) - size)[which], size[which])]
+    n = np.bincount(w.doc, size[which], w.rows).astype(np.int64)
+    off = np.concatenate([[0], np.cumsum(n)])
+    decoded = flat[_ranges(begin[ids], width[ids])].tobytes()
+    edge = np.concatenate([[0], np.cumsum(width[ids])])[off]
+    fallback = np.diff(np.concatenate([[0], np.cumsum(is_byte[ids])])[off])
+    wide = ids.astype("<i4")
+    own, text = texts_of(part.column("text"))
+    own = own.tobytes()
+    same = [decoded[a:b] == (b" " + own[c:d] if d > c else b"") for a, b, c, d in zip(
+        edge[:-1], edge[1:], text[:-1], text[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([
+        part.column("doc_id"), pa.array(n), pa.array(fallback),
+        pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(wide)),
+        pa.array([hashlib.sha256(wide[a:b].tobytes()).hexdigest()
+                  for a, b in zip(off[:-1], off[1:], strict=True)], pa.string()),
+        pa.array(same, pa.bool_())],
+        names=["doc_id", "n_tokens", "n_fallback", "ids", "ids_sha256", "round_trip"])
 
 
 def decode(encoded: DataFrame, vocab: Vocabulary, ids_col: str = "ids") -> DataFrame:

@@ -566,6 +566,24 @@ def test_pieces_agree_with_the_library(spark, none, docs, rows):
     assert pieces.encode(none, vocab).count() == 0
 
 
+def test_pieces_cross_no_shuffle(spark, docs):
+    plan = pieces.encode(docs, pieces.vocabulary())._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("InMemoryTableScan")[0]
+    assert above.count("MapInArrow") == 1 and "Exchange" not in above
+
+
+def test_pieces_of_mixed_scripts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    spm = pytest.importorskip("sentencepiece").SentencePieceProcessor(
+        model_file=public.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab é🙂日\n\tetaoin ") for _ in range(rng.randint(0, 300)))
+             for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pieces.encode(df, pieces.vocabulary()).collect():
+        assert list(r.ids) == spm.encode(texts[r.doc_id]) and r.round_trip
+
+
 def test_long_merges_agree_with_the_fold(spark):
     vocab = pieces.vocabulary()
     known = {p: (r, k) for p, k, r in vocab.pieces}
