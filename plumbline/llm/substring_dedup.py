@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import ship
@@ -201,9 +201,9 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
 
     A word goes when a window of ``size`` words that covers it also starts in
     a document with a smaller id.  Rounds name runs and pairs of words, then
-    of symbols, until a text is one symbol; the names go through one shuffle with
-    a partial minimum, so a passage in a third of all documents costs its
-    occurrences and no pairs.  Names seen in one document rule windows out,
+    of symbols, until a text is one symbol; the names go through one shuffle, once a
+    document, so a passage in a third of all documents costs its occurrences
+    and no pairs.  Names seen in one document rule windows out,
     long names settle the inside of repeats, and the windows left, mostly at
     the borders of repeats, are compared by a 128-bit digest.  Those windows
     are found once and dealt by digest and one of ``splits`` turns of the
@@ -268,10 +268,12 @@ def dedup(docs: DataFrame, size: int = 50, low_rounds: int = 7, rounds: int = 96
 
     named = texts.where("doc_id is not null").mapInArrow(
         name_all, "name bigint, doc_id bigint, times int")
-    common = named.groupBy("name").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("m"), F.sum("times").alias("times")
-    ).where("least < m").select("name", "least", "times")
-    shared = named.select("name", "doc_id").join(common, "name").groupBy("doc_id").agg(
+    # every name crosses one exchange: its figures go to its own rows there, without a join
+    by_name = Window.partitionBy("name")
+    shared = named.select(
+        "doc_id", "name", F.min("doc_id").over(by_name).alias("least"),
+        F.max("doc_id").over(by_name).alias("m"), F.sum("times").over(by_name).alias("times")
+    ).where("least < m").groupBy("doc_id").agg(
         F.collect_list(F.struct("name", "least", "times")).alias("shared"))
     marked = texts.join(shared, "doc_id", "left")
     # what the join would ask of one branch is asked of both, so that they read one exchange

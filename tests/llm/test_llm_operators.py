@@ -229,6 +229,12 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.dedup(none).count() == 0
 
 
+def test_substring_dedup_sends_names_once(docs):
+    plan = substring_dedup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    by_name = [line for line in plan.split("\n") if "hashpartitioning(name" in line]
+    assert len(by_name) == plan.count("name_all(") > 0 and plan.count("name_all(") == plan.count("windows(") + 1
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_substring_dedup_on_periodic_and_shared_text(spark, seed):
     rng = random.Random(seed)
