@@ -14,76 +14,150 @@ from plumbline.llm import ship
 from plumbline.llm.words import lists_by_row, slices, split_words
 from plumbline.session import materialise
 
-#: Fixed values of the network: hidden units, classes, words of a class.
-UNITS, CLASSES, MEMBERS = 16, 32, 64
-VOCABULARY = CLASSES * MEMBERS
+#: Fixed values of the network: hidden units, words of each class.  The unknown token
+#: and the end are classes of their own, so that half of all words need no inner softmax.
+UNITS, SIZES = 16, (1, 1, 2, 4, 8, 16, 32, 64, *[160] * 12)
+CLASSES, VOCABULARY = len(SIZES), sum(SIZES)
+EDGES = np.cumsum([0, *SIZES])
+CLASS_OF = np.repeat(np.arange(CLASSES), SIZES)
 UNKNOWN, END = 0, 1
+#: Least and most streams of a training, between them so many that it has the steps; steps in
+#: which the rate rises.
+STREAMS, LEAST_STEPS, WARM_STEPS = (16, 256), 500, 50
 END_HASH = np.int64(1)  # counts keep the end of a text under this value
 
 
 @dataclass
 class Net:
-    """Weights, flat in ``PARTS`` order; the first input of a text is ``END``."""
+    """Weights, flat in ``PARTS`` order; the first input of a text is ``END``.
+
+    One more input than there are units, always 1, carries the biases.
+    """
 
     w: dict[str, np.ndarray]
 
-    PARTS = (("embed", (VOCABULARY, UNITS)), ("wx", (UNITS, 3 * UNITS)), ("bx", (3 * UNITS,)),
-             ("wh", (UNITS, 3 * UNITS)), ("bh", (3 * UNITS,)), ("wc", (UNITS, CLASSES)),
-             ("bc", (CLASSES,)), ("wo", (CLASSES, UNITS, MEMBERS)), ("bo", (CLASSES, MEMBERS)))
+    PARTS = (("embed", (VOCABULARY, UNITS)), ("wx", (UNITS + 1, 3 * UNITS)), ("wh", (UNITS + 1, 3 * UNITS)),
+             ("wc", (CLASSES, UNITS + 1)), ("wo", (VOCABULARY, UNITS + 1)))
 
     @classmethod
     def start(cls, counts: np.ndarray, seed: int = 3) -> Net:
         """Random recurrent weights over output biases that give the unigram model."""
         rng = np.random.default_rng(seed)
-        w = {k: (rng.normal(0, 0.2, s) if len(s) > 1 else np.zeros(s)).astype(np.float32)
-             for k, s in cls.PARTS}
-        by_class = np.log(counts.reshape(CLASSES, MEMBERS) + 0.5)
-        w["bo"] = by_class.astype(np.float32)
-        w["bc"] = np.log(np.exp(by_class).sum(1)).astype(np.float32)
+        w = {k: rng.normal(0, 0.2, s).astype(np.float32) for k, s in cls.PARTS}
+        w["wx"][-1], w["wh"][-1] = 0, 0
         w["wc"] *= 0.1
         w["wo"] *= 0.1
+        w["wo"][:, -1] = np.log(counts + 0.5)
+        w["wc"][:, -1] = np.log(np.add.reduceat(counts + 0.5, EDGES[:-1]))
         return cls(w)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k, _ in self.PARTS])
 
     @classmethod
-    def of(cls, flat: np.ndarray) -> Net:
+    def views(cls, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of flat weights, without a copy."""
         w, at = {}, 0
         for k, s in cls.PARTS:
             size = int(np.prod(s))
-            w[k] = flat[at:at + size].reshape(s).astype(np.float32)
+            w[k] = flat[at:at + size].reshape(s)
             at += size
-        return cls(w)
+        return w
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Net:
+        return cls(cls.views(flat.astype(np.float32)))
+
+
+def _inputs(w: dict[str, np.ndarray], e: np.ndarray) -> np.ndarray:
+    """What every word gives the gates and the candidate, a column for each; see ``_cell``."""
+    table = w["wx"][:-1].T @ e.T
+    table += w["wx"][-1][:, None]
+    table[:2 * UNITS] *= -1
+    return table
+
+
+def _recurrent(w: dict[str, np.ndarray]) -> np.ndarray:
+    wh = w["wh"].T.copy()
+    wh[:2 * UNITS] *= -1
+    return wh
+
+
+def _cell(wh: np.ndarray, a: np.ndarray, before: np.ndarray, u: np.ndarray, gates: np.ndarray,
+          new: np.ndarray, after: np.ndarray) -> None:
+    """One step of all sequences, a column for each; fills the last four.
+
+    The inputs of the gates come with their sign turned: a gate is
+    1 / (1 + exp(input)), and 0 where that is beyond the numbers.
+    """
+    np.matmul(wh, before, out=u)
+    np.add(a[:2 * UNITS], u[:2 * UNITS], out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    np.multiply(gates[UNITS:], u[2 * UNITS:], out=new)
+    new += a[2 * UNITS:]
+    np.tanh(new, out=new)
+    np.subtract(before[:UNITS], new, out=after)
+    after *= gates[:UNITS]
+    after += new
+
 
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by class, and where each class begins and ends in it."""
+    order = np.argsort(y, kind="stable")
+    return order, np.searchsorted(y[order], EDGES)
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
+def _logits(weight: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Inputs of a softmax, at most 0, a column for each row of ``s``."""
+    x = weight @ s.T
+    x -= x.max(0)
+    return x
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
 
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of row ``at`` in every column; ``x`` is used up."""
+    own = x[at, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(0))
 
-def likelihoods(net: Net, ids: np.ndarray, first: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+
+def _errors(x: np.ndarray, at: np.ndarray, part: np.float32) -> np.ndarray:
+    """Gradient of a softmax's inputs, in place, whose target is row ``at``."""
+    np.exp(x, out=x)
+    x *= part / x.sum(0)
+    x.reshape(-1)[at * x.shape[1] + np.arange(x.shape[1])] -= part
+    return x
+
+
+def likelihoods(net: Net, ids: np.ndarray, first: np.ndarray, block: int = 1 << 14,
+                together: int = 1024) -> np.ndarray:
     """Natural-log probability of every sequence, each word given all before it.
 
-    All sequences step together, longest first, and the state of a sequence
-    is carried from its first word to its last.  States wait in a buffer, in
-    which the words of one class share a product.
+    Sequences step together, those of like length at a time, longest first,
+    and the state of a sequence is carried from its first word to its last.
+    States wait in a buffer, in which the words of one class share a product.
     """
-    w = net.w
     n = np.diff(first)
     order = np.argsort(-n, kind="stable")
-    size, start = n[order], first[:-1][order]
     total = np.zeros(len(n))
-    if not len(n):
-        return total
-    table = w["embed"] @ w["wx"] + w["bx"]
-    h = np.zeros((len(n), UNITS), np.float32)
-    longest = int(size[0])
-    active = np.searchsorted(-size, -np.arange(longest), "left")
+    for at in range(0, len(n), together):
+        some = order[at:at + together]
+        total[some] = _stepped(net.w, ids, first[:-1][some], n[some], block)
+    return total
+
+
+def _stepped(w: dict[str, np.ndarray], ids: np.ndarray, start: np.ndarray, n: np.ndarray,
+             block: int) -> np.ndarray:
+    """The same for sequences that begin at ``start``, longest first."""
+    total = np.zeros(len(n))
+    table, wh = _inputs(w, w["embed"]), _recurrent(w)
+    h = np.zeros((UNITS + 1, len(n)), np.float32)
+    h[UNITS] = 1
+    room = np.empty((6 * UNITS, len(n)), np.float32)
+    longest = int(n[0])
+    active = np.searchsorted(-n, -np.arange(longest), "left")
     last = np.full(len(n), END)
     states, targets, owners, held = [], [], [], 0
 
@@ -91,137 +165,164 @@ def likelihoods(net: Net, ids: np.ndarray, first: np.ndarray, block: int = 1 <<
         nonlocal states, targets, owners, held
         if not held:
             return
-        s, y, o = np.concatenate(states), np.concatenate(targets), np.concatenate(owners)
-        group = y // MEMBERS
-        by = np.argsort(group, kind="stable")
-        s, y, o, group = s[by], y[by], o[by], group[by]
-        out = _log_softmax(s @ w["wc"] + w["bc"])[np.arange(len(y)), group]
-        edges = np.searchsorted(group, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            a, b = edges[c], edges[c + 1]
-            if b > a:
-                inner = _log_softmax(s[a:b] @ w["wo"][c] + w["bo"][c])
-                out[a:b] += inner[np.arange(b - a), y[a:b] % MEMBERS]
+        s, y, o = np.concatenate(states, 1).T, np.concatenate(targets), np.concatenate(owners)
+        by, edges = _by_class(y)
+        s, y, o = s[by], y[by], o[by]
+        out = _log_of(_logits(w["wc"], s), CLASS_OF[y])
+        for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(EDGES) > 1)):
+            (a, b), (low, high) = edges[c:c + 2], EDGES[c:c + 2]
+            out[a:b] += _log_of(_logits(w["wo"][low:high], s[a:b]), y[a:b] - low)
         total[:] += np.bincount(o, out, len(total))
         states, targets, owners, held = [], [], [], 0
 
-    for t in range(longest):
-        k = int(active[t])
-        x = table[last[:k]]
-        u = h[:k] @ w["wh"] + w["bh"]
-        gates = _sigmoid(x[:, :2 * UNITS] + u[:, :2 * UNITS])
-        z, r = gates[:, :UNITS], gates[:, UNITS:]
-        new = np.tanh(x[:, 2 * UNITS:] + r * u[:, 2 * UNITS:])
-        h = new + z * (h[:k] - new)
-        y = ids[start[:k] + t]
-        states.append(h)
-        targets.append(y)
-        owners.append(order[:k])
-        last, held = y, held + k
-        if held >= block:
-            flush()
-    flush()
+    with np.errstate(over="ignore"):
+        for t in range(longest):
+            k = int(active[t])
+            before, h = h[:, :k], np.ones((UNITS + 1, k), np.float32)
+            u, gates, new = np.split(room[:, :k], [3 * UNITS, 5 * UNITS])
+            _cell(wh, np.take(table, last[:k], 1), before, u, gates, new, h[:UNITS])
+            y = ids[start[:k] + t]
+            states.append(h)
+            targets.append(y)
+            owners.append(np.arange(k))
+            last, held = y, held + k
+            if held >= block:
+                flush()
+        flush()
     return total
 
 
-def train(net: Net, texts: list[np.ndarray], streams: int = 64, window: int = 16,
-          rate: float = 0.005, share: int = 1) -> int:
-    """Adam over windows of parallel streams; returns the words seen.
+def lanes(texts: list[np.ndarray], streams: int, window: int, seed: int = 5) -> np.ndarray:
+    """Texts in lanes of nearly one length, whole windows, -1 behind them.
 
-    Texts follow each other in a stream; the state is carried from window to
-    window and is cleared where a text starts, and gradients stop at the
-    window's edge.
+    A lane's texts come in a drawn order, so that no training ends on short texts only.
     """
-    lanes: list[list[np.ndarray]] = [[] for _ in range(streams)]
-    load = np.zeros(streams)
+    rng = np.random.default_rng(seed)
+    dealt: list[list[np.ndarray]] = [[] for _ in range(streams)]
+    load = np.zeros(streams, np.int64)
     for t in sorted(texts, key=len, reverse=True):
         lane = int(load.argmin())
-        lanes[lane].append(t)
+        dealt[lane].append(t)
         load[lane] += len(t)
-    length = int(load.max()) if len(texts) else 0
-    length = -(-length // window) * window
-    y_all = np.full((length, streams), -1)
-    x_all = np.full((length, streams), END)
-    go_on = np.zeros((length, streams), np.float32)
-    for k, lane in enumerate(lanes):
-        at = 0
-        for t in lane:
-            y_all[at:at + len(t), k] = t
-            x_all[at + 1:at + len(t), k] = t[:-1]
-            go_on[at + 1:at + len(t), k] = 1
-            at += len(t)
-    w = net.w
-    m = {k: np.zeros_like(v) for k, v in w.items()}
-    v2 = {k: np.zeros_like(v) for k, v in w.items()}
-    h, step = np.zeros((streams, UNITS), np.float32), 0
-    for at in range(0, length, window):
-        x, y, keep = (a[at:at + window] for a in (x_all, y_all, go_on))
-        h, grads = _window(w, x, y, keep, h)
-        if grads is None:
-            continue
-        step += 1
-        for k, g in grads.items():
-            m[k] += 0.1 * (g - m[k])
-            v2[k] += 0.001 * (g * g - v2[k])
-            w[k] -= rate * (m[k] / (1 - 0.9 ** step)) / (
-                np.sqrt(v2[k] / (1 - 0.999 ** step)) + 1e-5)
-    return int((y_all >= 0).sum())
-
-
-def _window(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, keep: np.ndarray,
-            h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray] | None]:
-    steps, lanes = x.shape
-    e = w["embed"][x]
-    a = e @ w["wx"] + w["bx"]
-    saved, hs = [], np.empty((steps, lanes, UNITS), np.float32)
+    out = np.full((streams, -(-int(load.max()) // window) * window), -1, np.int16)
+    for own, lane in zip(out, dealt, strict=True):
+        if lane:
+            row = np.concatenate([lane[k] for k in rng.permutation(len(lane))])
+            own[:len(row)] = row
+    return out
+
+
+def train(net: Net, texts: list[np.ndarray], window: int = 16, rate: float = 0.005) -> int:
+    """Adam over windows of parallel streams; returns the words seen.
+
+    Texts, each closed by ``END`` and without it before, follow each other in
+    a stream; the state is carried from window to window and is cleared where
+    a text starts, and gradients stop at the window's edge.  More words are
+    dealt to more streams, so that the steps are dense and still many.  The
+    rate rises over the first steps and falls to a tenth.
+    """
+    words = sum(map(len, texts))
+    if not words:
+        return 0
+    streams = int(np.clip(words // (LEAST_STEPS * window), *STREAMS))
+    rate *= max(1, streams / 64) ** 0.5
+    y_all = lanes(texts, streams, window)
+    x_all = np.full_like(y_all, END)
+    x_all[:, 1:] = np.where(y_all[:, :-1] < 0, END, y_all[:, :-1])
+    flat = net.flat()
+    w, grads, step = Net.views(flat), np.zeros_like(flat), 0
+    into = Net.views(grads)
+    m, v, way, scale = (np.zeros_like(flat) for _ in range(4))
+    h = np.zeros((UNITS, streams), np.float32)
+    with np.errstate(over="ignore"):
+        for at in range(0, y_all.shape[1], window):
+            x, y = (np.ascontiguousarray(k[:, at:at + window].T) for k in (x_all, y_all))
+            h, real = _window(w, into, x, y, h)
+            if not real:
+                continue
+            step += 1
+            np.subtract(grads, m, out=way)
+            way *= 0.1
+            m += way
+            np.multiply(grads, grads, out=way)
+            way -= v
+            way *= 0.001
+            v += way
+            np.sqrt(v, out=scale)
+            scale *= (1 - 0.999 ** step) ** -0.5
+            scale += 1e-5
+            np.divide(m, scale, out=way)
+            done = at / y_all.shape[1]
+            rising, falling = min(max(step / WARM_STEPS, 10 * done), 1), 1 - 0.9 * done
+            way *= rate * rising * falling / (1 - 0.9 ** step)
+            flat -= way
+    net.w = w
+    return words
+
+
+def _window(w: dict[str, np.ndarray], grads: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray,
+            h: np.ndarray) -> tuple[np.ndarray, int]:
+    """States after a window of steps (rows) and lanes, and its words; fills ``grads``."""
+    steps, streams = x.shape
+    keep = (x != END).astype(np.float32)
+    used, place = np.unique(x, return_inverse=True)
+    place = place.reshape(steps, streams)
+    e = w["embed"][used]
+    table, wh = _inputs(w, e), _recurrent(w)
+    # a step's columns lie side by side: rows a whole window apart would share cache lines
+    u, gates, new, hs = (np.empty((steps, k * UNITS, streams), np.float32) for k in (3, 2, 1, 1))
+    before = np.ones((steps, UNITS + 1, streams), np.float32)
     for t in range(steps):
-        before = h * keep[t][:, None]
-        u = before @ w["wh"] + w["bh"]
-        gates = _sigmoid(a[t, :, :2 * UNITS] + u[:, :2 * UNITS])
-        z, r = gates[:, :UNITS], gates[:, UNITS:]
-        new = np.tanh(a[t, :, 2 * UNITS:] + r * u[:, 2 * UNITS:])
-        h = new + z * (before - new)
-        hs[t] = h
-        saved.append((before, u[:, 2 * UNITS:], z, r, new))
+        np.multiply(h, keep[t], out=before[t, :UNITS])
+        h = hs[t]
+        _cell(wh, np.take(table, place[t], 1), before[t], u[t], gates[t], new[t], h)
     real = np.flatnonzero(y.ravel() >= 0)
     if not len(real):
-        return h, None
-    s, target = hs.reshape(-1, UNITS)[real], y.ravel()[real]
-    n = np.float32(len(real))
-    grads = {k: np.zeros_like(v) for k, v in w.items()}
-    group = target // MEMBERS
-    p = np.exp(_log_softmax(s @ w["wc"] + w["bc"]))
-    p[np.arange(len(s)), group] -= 1
-    p /= n
-    grads["wc"], grads["bc"] = s.T @ p, p.sum(0)
-    ds = p @ w["wc"].T
-    for c in np.unique(group):
-        i = np.flatnonzero(group == c)
-        q = np.exp(_log_softmax(s[i] @ w["wo"][c] + w["bo"][c]))
-        q[np.arange(len(i)), target[i] % MEMBERS] -= 1
-        q /= n
-        grads["wo"][c], grads["bo"][c] = s[i].T @ q, q.sum(0)
-        ds[i] += q @ w["wo"][c].T
-    out = np.zeros((steps * lanes, UNITS), np.float32)
+        return h.copy(), 0
+    target = y.ravel()[real].astype(np.int64)
+    by, edges = _by_class(target)
+    real, target = real[by], target[by]
+    s = np.ones((len(real), UNITS + 1), np.float32)
+    s[:, :UNITS] = hs.transpose(0, 2, 1).reshape(-1, UNITS)[real]
+    part = np.float32(1 / len(real))
+    p = _errors(_logits(w["wc"], s), CLASS_OF[target], part)
+    np.matmul(p, s, out=grads["wc"])
+    ds = p.T @ w["wc"][:, :UNITS]
+    grads["wo"][:] = 0
+    for c in np.flatnonzero((np.diff(edges) > 0) & (np.diff(EDGES) > 1)):
+        (i, j), (low, high) = edges[c:c + 2], EDGES[c:c + 2]
+        q = _errors(_logits(w["wo"][low:high], s[i:j]), target[i:j] - low, part)
+        np.matmul(q, s[i:j], out=grads["wo"][low:high])
+        ds[i:j] += q.T @ w["wo"][low:high, :UNITS]
+    out = np.zeros((steps * streams, UNITS), np.float32)
     out[real] = ds
-    out = out.reshape(steps, lanes, UNITS)
-    da = np.empty_like(a)
-    dh = np.zeros_like(h)
+    out = np.ascontiguousarray(out.reshape(steps, streams, UNITS).transpose(0, 2, 1))
+
+    # a state's gradient times these: both gates, the candidate's recurrent part, the candidate
+    z, r = gates[:, :UNITS], gates[:, UNITS:]
+    d = np.empty((steps, 4, UNITS, streams), np.float32)
+    np.multiply(before[:, :UNITS] - new, z * (1 - z), out=d[:, 0])
+    np.multiply(1 - z, 1 - new * new, out=d[:, 3])
+    np.multiply(d[:, 3], r, out=d[:, 2])
+    np.multiply(d[:, 2] * (1 - r), u[:, 2 * UNITS:], out=d[:, 1])
+    dh = np.zeros((UNITS, streams), np.float32)
+    back = np.ascontiguousarray(w["wh"][:UNITS])
     for t in range(steps - 1, -1, -1):
-        before, un, z, r, new = saved[t]
-        dh = dh + out[t]
-        dz = dh * (before - new) * z * (1 - z)
-        dn = dh * (1 - z) * (1 - new * new)
-        dr = dn * un * r * (1 - r)
-        da[t] = np.concatenate([dz, dr, dn], 1)
-        du = np.concatenate([dz, dr, dn * r], 1)
-        grads["wh"] += before.T @ du
-        grads["bh"] += du.sum(0)
-        dh = (dh * z + du @ w["wh"].T) * keep[t][:, None]
-    flat = da.reshape(-1, 3 * UNITS)
-    grads["wx"], grads["bx"] = e.reshape(-1, UNITS).T @ flat, flat.sum(0)
-    np.add.at(grads["embed"], x.ravel(), flat @ w["wx"].T)
-    return h, grads
+        dh += out[t]
+        d[t] *= dh
+        dh *= z[t]
+        dh += back @ d[t, :3].reshape(3 * UNITS, streams)
+        dh *= keep[t]
+    d = d.reshape(steps, 4 * UNITS, streams).transpose(0, 2, 1).reshape(-1, 4 * UNITS)
+    place = place.ravel()
+    np.matmul(before.transpose(1, 0, 2).reshape(UNITS + 1, -1), d[:, :3 * UNITS], out=grads["wh"])
+    d = np.delete(d, np.s_[2 * UNITS:3 * UNITS], 1)
+    np.matmul(e[place].T, d, out=grads["wx"][:UNITS])
+    d.sum(0, out=grads["wx"][UNITS])
+    cells = (place[:, None] * UNITS + np.arange(UNITS)).ravel()
+    grads["embed"][:] = 0
+    grads["embed"][used] = np.bincount(cells, (d @ w["wx"][:UNITS].T).ravel()).reshape(-1, UNITS)
+    return h.copy(), len(real)
 
 
 @dataclass
@@ -239,14 +340,19 @@ class Frequent:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return at, self.hashes[at] == h
 
-    def sequences(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary places of the words of each text, with the end behind them."""
-        at, hit = self.find(h)
+    def known(self) -> Frequent:
+        """The words that the network knows."""
+        its = self.places != UNKNOWN
+        return Frequent(self.hashes[its], self.counts[its], self.places[its])
+
+    def sequences(self, at: np.ndarray, hit: np.ndarray,
+                  first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vocabulary places of the found words of each text, with the end behind them."""
         place = np.where(hit, self.places[at], UNKNOWN) if len(self.hashes) else np.zeros(
-            len(h), np.int64)
+            len(at), np.int64)
         rows = len(first) - 1
-        out = np.full(len(h) + rows, END, np.int64)
-        out[np.arange(len(h)) + np.repeat(np.arange(rows), np.diff(first))] = place
+        out = np.full(len(at) + rows, END, np.int16)
+        out[np.arange(len(at)) + np.repeat(np.arange(rows), np.diff(first))] = place
         return out, first + np.arange(rows + 1)
 
 
@@ -353,15 +459,15 @@ def score(docs: DataFrame, frequent: int = 300_000, one_in: int = 1, rounds: int
 
 def _averaged(net: Net, lessons: DataFrame, table: Frequent) -> Net:
     """One round of training in every task, weighed by the words it saw."""
-    begin = net.flat()
+    begin, table = net.flat(), table.known()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = []
         for batch in batches:
             for part in slices(batch):
-                ids, first = table.sequences(*_lower_words(part))
-                texts += [ids[a:b].astype(np.int16)
-                          for a, b in zip(first[:-1], first[1:], strict=True)]
+                h, first = _lower_words(part)
+                ids, first = table.sequences(*table.find(h), first)
+                texts += [ids[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         if texts:
             own = Net.of(begin.copy())
             seen = train(own, texts)
@@ -402,8 +508,8 @@ def _scored(texts: DataFrame, net: Net, table: Frequent) -> DataFrame:
                     pa.array(np.bincount(row, np.where(strange, log, 0.0), rows)),
                     lists_by_row(word[heads], owner[heads], rows, pa.int64()),
                     lists_by_row(times, owner[heads], rows, pa.int64())])
-                ids, ends = table.sequences(h, first)
-                seqs.append(ids.astype(np.int16))
+                ids, ends = table.sequences(place, hit, first)
+                seqs.append(ids)
                 firsts.append(ends[1:] + at)
                 at += len(ids)
             if not parts:

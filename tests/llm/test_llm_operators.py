@@ -551,6 +551,49 @@ def test_states_are_carried_through_blocks():
         assert abs(one[0] - whole[k]) < 1e-3 * (1 + abs(whole[k]))
 
 
+def test_gradients_agree_with_differences_of_the_likelihood():
+    import numpy as np
+    lm, rng = recurrent_lm, np.random.default_rng(2)
+    flat = lm.Net.start(np.arange(lm.VOCABULARY) + 1.0).flat().astype(np.float64)
+    texts = [np.append(rng.integers(2, 200, k), lm.END) for k in (3, 9, 5, 15, 0)]
+    y = lm.lanes(texts, 4, 16).T.copy()
+    x = np.full_like(y, lm.END)
+    x[1:] = np.where(y[:-1] < 0, lm.END, y[:-1])
+    grads = np.zeros(len(flat), np.float32)
+    _, n = lm._window(lm.Net.views(flat.astype(np.float32)), lm.Net.views(grads), x, y,
+                      np.zeros((lm.UNITS, 4), np.float32))
+    ids, first = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    assert n == len(ids)
+
+    def loss(flat):
+        return -lm.likelihoods(lm.Net(lm.Net.views(flat)), ids, first).sum() / n
+
+    at = 0
+    for part, shape in lm.Net.PARTS:
+        size = int(np.prod(shape))
+        for k in at + np.argsort(-abs(grads[at:at + size]))[:4]:
+            step = np.zeros(len(flat))
+            step[k] = 1e-3
+            slope = (loss(flat + step) - loss(flat - step)) / 2e-3
+            assert abs(slope - grads[k]) < 1e-4 * abs(slope) + 1e-7, (part, k)
+        at += size
+
+
+def test_unknown_words_and_ends_need_no_inner_softmax_and_many_streams_learn():
+    import numpy as np
+    lm, rng = recurrent_lm, np.random.default_rng(3)
+    assert lm.SIZES[:2] == (1, 1) and sum(lm.SIZES) == lm.VOCABULARY == 2048
+    texts = [np.append((np.arange(k) + rng.integers(50)) % 50 + 2, lm.END).astype(np.int16)
+             for k in rng.integers(20, 60, 26_000)]
+    counts = np.bincount(np.concatenate(texts), minlength=lm.VOCABULARY).astype(float)
+    net = lm.Net.start(counts)
+    words = lm.train(net, texts)
+    assert words == sum(map(len, texts)) > 100 * lm.LEAST_STEPS * 16
+    ids, first = np.concatenate(texts[:99]), np.cumsum([0, *map(len, texts[:99])])
+    assert lm.likelihoods(net, ids, first).sum() > 0.3 * lm.likelihoods(
+        lm.Net.start(counts), ids, first).sum()
+
+
 def test_pieces_agree_with_the_library(spark, none, docs, rows):
     public = pytest.importorskip("public_tokenizers")
     spm = pytest.importorskip("sentencepiece").SentencePieceProcessor(
