@@ -87,8 +87,9 @@ def compile_format(fmt: str) -> tuple[str, str]:
 def parse_exact(c: Column, fmt: str) -> Column:
     """Timestamp (no zone) if the text matches the format exactly, else null."""
     pattern, guard = compile_format(fmt)
-    parsed = F.when(c.rlike(guard),
-                    F.try_to_timestamp(c, F.lit(pattern))).cast("timestamp_ntz")
+    # the cast reads this one format as exactly, in a fraction of the time
+    value = c.try_cast("date") if fmt == "%Y-%m-%d" else F.try_to_timestamp(c, F.lit(pattern))
+    parsed = F.when(c.rlike(guard), value).cast("timestamp_ntz")
     if "%y" in fmt and "%Y" not in fmt:
         # strptime pivots two-digit years at 69.
         parsed = F.when(F.year(parsed) >= 2069,

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 # Every character a Unicode-aware strip removes.
 WHITESPACE = "".join(chr(i) for i in range(0x10000) if chr(i).isspace())
+# What trimming changes, what collapsing changes after it, and what collapsing changes alone.
+SPACE_AT_ENDS = rf"\A[{WHITESPACE}]|[{WHITESPACE}]\z"
+WIDE_SPACE = rf"[{WHITESPACE}]{{2}}|[{WHITESPACE}&&[^ ]]"
+INNER_SPACES = rf"[^{WHITESPACE}](?:[{WHITESPACE}]{{2,}}|[{WHITESPACE}&&[^ ]])[^{WHITESPACE}]"
 
 # --- fixed values -----------------------------------------------------------
 # Three vocabularies of "missing, stored as text".  They differ on purpose:
@@ -67,9 +71,11 @@ def collapse(c: Column) -> Column:
 
 def tidy(c: Column) -> Column:
     """``collapse(strip(c))`` behind one test; text without any whitespace or
-    non-ASCII character is returned as it is."""
-    return F.when(c.rlike("[^!-~]"), F.regexp_replace(
-        F.btrim(c, F.lit(WHITESPACE)), "[" + WHITESPACE + "]+", " ")).otherwise(c)
+    non-ASCII character is returned as it is, and plain spaces need no wide class."""
+    plain = F.trim(c)
+    plain = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
+    wide = F.regexp_replace(F.btrim(c, F.lit(WHITESPACE)), "[" + WHITESPACE + "]+", " ")
+    return F.when(c.rlike("[^!-~]"), F.when(c.rlike("[^ -~]"), wide).otherwise(plain)).otherwise(c)
 
 
 def is_sentinel(c: Column, vocabulary: str = "profile") -> Column:

@@ -45,6 +45,8 @@ REJECT_FIELDS = ("table", "row_key", "column", "source_column", "declared_type",
 
 # Larger mappings are joined instead of inlined.
 INLINE_MAP = 64
+# More hashes of repeated rows are not sent to every task.
+FEW_HASHES = 500_000
 
 
 @dataclass(frozen=True)
@@ -229,7 +231,8 @@ class _Marks:
 
     FLAGS, ENTRIES = 4, 15
 
-    def __init__(self) -> None:
+    def __init__(self, prefix: str = "_k_") -> None:
+        self.prefix = prefix
         self.entries: list[list[tuple[str, str]]] = []
 
     def add(self, df: DataFrame, flags: Column, *steps: tuple[str, str]) -> DataFrame:
@@ -241,16 +244,20 @@ class _Marks:
         at = range(len(self.entries))
         return [reduce(lambda a, b: a.bitwiseOR(b), [
             F.shiftleft(F.col(f"_f_{i}"), self.FLAGS * (i - k)) for i in at[k:k + self.ENTRIES]])
-            .alias(f"_k_{k // self.ENTRIES}") for k in at[::self.ENTRIES]]
+            .alias(name) for k, name in zip(at[::self.ENTRIES], self.names)]
+
+    @property
+    def names(self) -> list[str]:
+        return [f"{self.prefix}{k}" for k in range(-(-len(self.entries) // self.ENTRIES))]
 
     def counted(self, packed: DataFrame, total: str, *more: Column) -> DataFrame:
         """step, column, n from the columns of ``packed()``; ``total`` counts all rows."""
-        names = [c for c in packed.columns if c.startswith("_k_")]
+        names = self.names
         n = F.count(F.lit(1)).alias("_n")
         patterns = packed.groupBy(*names).agg(n) if names else packed.agg(n).filter("_n > 0")
 
         def rows(i: int, bit: int) -> Column:
-            word, place = f"_k_{i // self.ENTRIES}", i % self.ENTRIES * self.FLAGS + bit
+            word, place = names[i // self.ENTRIES], i % self.ENTRIES * self.FLAGS + bit
             return F.sum(F.when(F.col(word).bitwiseAND(F.lit(1 << place)) != 0, F.col("_n")))
 
         zero = F.lit(0)
@@ -398,7 +405,14 @@ def coerce_integer(c: Column) -> Column:
 
 def coerce_number(c: Column, places: int | None = None) -> Column:
     v = N.parse_double(c)
-    return v if places is None else F.bround(v, places)
+    if places is None:
+        return v
+    # With 15 digits at most and no more places than are kept, the double is rounded already;
+    # adding zero takes the sign off a zero, as rounding does.
+    short = r"\A[+-]?\d{1,%d}(?:\.\d{1,%d})?\z" % (15 - places, places)
+    if not 0 < places < 15:
+        return F.bround(v, places)
+    return F.when(c.rlike(short), c.try_cast("double") + F.lit(0.0)).otherwise(F.bround(v, places))
 
 
 def coerce_boolean(c: Column) -> Column:
@@ -426,11 +440,12 @@ def coerced(c: Column, rule: ColumnRule, policy: Policy) -> Column:
 def zero_pad(c: Column, width: int) -> Column:
     """Left-pad with zeros after any sign; a longer value is an error."""
     text = c.cast("string")
-    sign = F.regexp_extract(text, r"^[+-]", 0)
-    body = F.substring(text, F.length(sign) + 1, F.length(text))
-    padded = F.concat(sign, F.lpad(body, F.lit(width) - F.length(sign), F.lit("0")))
+    signed = text.startswith("+") | text.startswith("-")
+    padded = F.concat(F.substring(text, 1, 1), F.lpad(
+        F.substring(text, F.lit(2), F.length(text)), width - 1, "0"))
     return F.when(F.length(text) > width, F.raise_error(F.concat(
-        F.lit("value longer than zero_pad width: "), text))).otherwise(padded)
+        F.lit("value longer than zero_pad width: "), text))).when(signed, padded).otherwise(
+        F.lpad(text, width, "0"))
 
 
 def transformed(c: Column, rule: ColumnRule) -> Column:
@@ -455,7 +470,8 @@ def _rejected(r: ColumnRule) -> Column:
     return _q(r.source).isNotNull() & _q("_v_" + r.clean).isNull()
 
 
-def quarantine_cells(df: DataFrame, policy: Policy, marks: _Marks | None = None) -> DataFrame:
+def quarantine_cells(df: DataFrame, policy: Policy, marks: _Marks | None = None,
+                     carried: Sequence[str] = ()) -> DataFrame:
     """Typed columns beside ``_rejects``, the array of cells that did not fit;
     with ``marks`` also the packed flags of what typing did."""
     staged, rules = _typed_stage(df, policy)
@@ -470,12 +486,16 @@ def quarantine_cells(df: DataFrame, policy: Policy, marks: _Marks | None = None)
         F.lit(r.type).alias("declared_type"), _q(r.source).cast("string").alias("raw_value"),
         F.lit("does not match declared type " + r.type).alias("reason")))
         for r in rules if r.type in ("integer", "datetime", "boolean", *NUMBER_TYPES)]
-    rejects = (F.filter(F.array(*bad), lambda s: s.isNotNull()) if bad else
-               F.array().cast("array<struct<" + ",".join(f"`{f}`:string" for f in REJECT_FIELDS)
-                              + ">>"))
+    rejects = F.array().cast("array<struct<" + ",".join(f"`{f}`:string" for f in REJECT_FIELDS)
+                             + ">>")
+    if bad:
+        # the filter is not compiled, so rows without a bad cell pass by it
+        rejects = F.when(F.coalesce(*bad).isNotNull(), F.filter(
+            F.array(*bad), lambda s: s.isNotNull())).otherwise(rejects)
     return staged.select(*[_q("_x_" + r.clean).alias(r.clean) for r in rules],
                          *[_q(c).alias("_o_" + c) for c in policy.order],
-                         rejects.alias("_rejects"), *(marks.packed() if marks else []))
+                         rejects.alias("_rejects"), *(marks.packed() if marks else []),
+                         *[_q(c) for c in carried])
 
 
 def rejected_cells(quarantined: DataFrame) -> DataFrame:
@@ -586,6 +606,25 @@ class Cleaned:
     def quarantined(self) -> DataFrame:
         return quarantine_cells(_prepared(self.source, self.policy), self.policy, _Marks())
 
+    @cached_property
+    def marked(self) -> DataFrame | None:
+        return _marked(self.source, self.policy)
+
+    def without_duplicates(self, marked: DataFrame, repeated: DataFrame, n: int) -> DataFrame:
+        """``quarantined`` from a written ``marked`` and its ``n`` repeated hashes.
+
+        Rows whose hash is their own are kept as they are.  The others are cleaned
+        from the source again and compared cell by cell; where their hashes are too
+        many to send to every task, all rows are.
+        """
+        if n > FEW_HASHES:
+            return self.quarantined
+        few = F.broadcast(repeated)
+        prepared, keys = _prepared_rows(self.source, self.policy)
+        again = prepared.withColumn("_h", F.xxhash64(*keys)).join(few, "_h", "left_semi").drop("_h")
+        checked = quarantine_cells(_dedupe(again, self.policy), self.policy, _Marks())
+        return marked.join(few, "_h", "left_anti").select(*checked.columns).unionByName(checked)
+
     @cached_property
     def clean(self) -> DataFrame:
         return finish(self.quarantined, self.policy)
@@ -637,12 +676,15 @@ def _prepare(df: DataFrame, policy: Policy,
                          policy.setting("collapse_internal_spaces"),
                          policy.setting("sentinel_nulls_to_null"))
     if marks is not None:
-        # Taken here, before any later step replaces the column.
+        # Taken here, before any later step replaces the column, and told from the raw text
+        # alone: written out as texts to be compared, the steps were too large to be compiled.
+        trim, collapse = (policy.setting("trim_whitespace"),
+                          policy.setting("collapse_internal_spaces"))
         for c in texts:
-            raw, text = _q("_r_" + c), _q("_t_" + c)
-            # in the branch, so that only changed cells are trimmed again
-            trimmed = X.strip(raw) if policy.setting("trim_whitespace") else raw
-            changed = _flags(trimmed != raw, text != trimmed, _q(c).isNull())
+            raw = _q("_r_" + c)
+            changed = _flags(raw.rlike(X.SPACE_AT_ENDS) if trim else F.lit(False),
+                             raw.rlike(X.INNER_SPACES if trim else X.WIDE_SPACE)
+                             if collapse else F.lit(False), _q(c).isNull())
             out = marks.add(out, F.when(raw.isNull() | (raw == _q(c)), 0).otherwise(changed),
                             ("trim_whitespace", c), ("collapse_spaces", c), ("sentinel_null", c))
 
@@ -677,8 +719,44 @@ def _prepare(df: DataFrame, policy: Policy,
 
 
 def _prepared(df: DataFrame, policy: Policy) -> DataFrame:
+    return _dedupe(_prepared_rows(df, policy)[0], policy)
+
+
+def _prepared_rows(df: DataFrame, policy: Policy) -> tuple[DataFrame, list[Column]]:
+    """Rows before de-duplication, and the columns that duplicates share."""
     out, kept = _prepare(df, policy)
-    return _dedupe(out.select(*[_q(c) for c in kept]), policy)
+    return out.select(*[_q(c) for c in kept]), _shared(kept, policy)
+
+
+def _shared(columns: Sequence[str], policy: Policy) -> list[Column]:
+    if policy.deduplicate == "subset":
+        return [_q(policy.source_of(c, columns)) for c in policy.dedupe_columns]
+    return [_q(c) for c in columns if c not in policy.order]
+
+
+def _marked(df: DataFrame, policy: Policy) -> DataFrame | None:
+    """Every row typed, before de-duplication, with the flags of all steps; ``_h`` is a
+    hash that duplicates share, and null where the policy leaves duplicates alone.
+
+    None where equal cells may have unequal hashes: collations and nested types.
+    """
+    if policy.deduplicate and not all(
+            isinstance(f.dataType, T.AtomicType) and (
+                not isinstance(f.dataType, T.StringType) or f.dataType == T.StringType())
+            for f in df.schema):
+        return None
+    before = _Marks("_b_")
+    out, kept = _prepare(df, policy, before)
+    keys = _shared(kept, policy)
+    h = F.xxhash64(*keys) if policy.deduplicate and keys else F.lit(None).cast("bigint")
+    rows = out.select(*[_q(c) for c in kept], *before.packed(), h.alias("_h"))
+    return quarantine_cells(rows, policy, _Marks(), [*before.names, "_h"])
+
+
+def repeated_hashes(marked: DataFrame) -> DataFrame:
+    """Hashes that more than one row of ``Cleaned.marked`` has."""
+    return (marked.filter(F.col("_h").isNotNull()).groupBy("_h")
+            .agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"))
 
 
 def _dedupe(df: DataFrame, policy: Policy) -> DataFrame:
@@ -704,17 +782,19 @@ def _type_marks(df: DataFrame, rules: Sequence[ColumnRule], marks: _Marks) -> Da
     return df
 
 
-def cleaning_actions(df: DataFrame, policy: Policy, typed: DataFrame | None = None) -> DataFrame:
+def cleaning_actions(df: DataFrame, policy: Policy, typed: DataFrame | None = None,
+                     marked: DataFrame | None = None) -> DataFrame:
     """What each step did to each column: one count of patterns before and one
-    after de-duplication.  ``typed`` is a written ``Cleaned.quarantined``, whose
-    flags spare the second cleaning of the source."""
-    before, after = _Marks(), _Marks()
+    after de-duplication.  ``typed`` and ``marked`` are a written ``Cleaned.quarantined``
+    and ``Cleaned.marked``, whose flags spare cleaning the source again."""
+    before, after = _Marks("_b_"), _Marks()
     prepared, _ = _prepare(df, policy, before)
     dropped = [_counter("drop_column", c, F.max(F.lit(1))) for c in policy.drop if c in df.columns]
     # the labels follow from the rules, whichever frame holds the flags
-    marked = quarantine_cells(_prepared(df, policy), policy, after)
-    counted = before.counted(prepared.select(*before.packed()), "rows_in", *dropped).unionByName(
-        after.counted(marked if typed is None else typed, "rows_kept"))
+    cleaned = quarantine_cells(_prepared(df, policy), policy, after)
+    counted = before.counted(prepared.select(*before.packed()) if marked is None else marked,
+                             "rows_in", *dropped).unionByName(
+        after.counted(cleaned if typed is None else typed, "rows_kept"))
     both = F.col("step").isin("rows_in", "rows_kept")
     # One row per step and column: a handful whatever the data size.
     step = F.when(both, "deduplicate").otherwise(F.col("step"))
@@ -734,7 +814,8 @@ def quarantined_table(df: DataFrame, policy: Policy) -> DataFrame:
 
 def finish(quarantined: DataFrame, policy: Policy) -> DataFrame:
     """Null policy, derived columns and column order."""
-    inner = [c for c in quarantined.columns if c == "_rejects" or re.fullmatch(r"_k_\d+", c)]
+    inner = [c for c in quarantined.columns
+             if c in ("_rejects", "_h") or re.fullmatch(r"_[bk]_\d+", c)]
     out = null_policy(quarantined.drop(*inner), policy.columns)
     for d in policy.derived:
         if isinstance(d.expr, str) and d.expr.strip() == "row_number":

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators.cleaning import Cleaned, Policy, cleaning_actions, finish, rejected_cells
+from plumbline.operators.cleaning import (Cleaned, Policy, cleaning_actions, finish, rejected_cells,
+                                          repeated_hashes)
 from plumbline.operators.versions import describe
 from plumbline.session import drop_folder
 from plumbline.sources.records import records, text_lines
@@ -395,14 +396,27 @@ def write_clean(result: Cleaned, directory: str, mode: str = "overwrite",
     ``actions`` the counts of what cleaning did.
 
     All are read from one written copy of the typed rows, so the source is
-    cleaned once; the copy is deleted afterwards.  The counts before
-    de-duplication take one more pass over the source.
+    cleaned once; the copy is deleted afterwards.  Rows are compared for
+    duplicates only where their hashes are equal, and cleaned again for that.
     """
     spark = result.source.sparkSession
     name = result.policy.table
     staging = posixpath.join(directory, f"_staging_{name}")
-    result.quarantined.write.mode("overwrite").parquet(staging)
-    typed = spark.read.parquet(staging)
+
+    def staged(df: DataFrame, part: str) -> DataFrame:
+        path = posixpath.join(staging, part)
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    marked = typed = None
+    if result.marked is not None:
+        marked = typed = staged(result.marked, "marked")
+        repeated = staged(repeated_hashes(marked), "repeated") if result.policy.deduplicate else None
+        n = repeated.count() if repeated is not None else 0
+        if n:
+            typed = staged(result.without_duplicates(marked, repeated, n), "typed")
+    else:
+        typed = staged(result.quarantined, "typed")
     paths = {"clean": posixpath.join(directory, name)}
     finish(typed, result.policy).write.mode(mode).parquet(paths["clean"])
     rejects = rejected_cells(typed)
@@ -411,7 +425,8 @@ def write_clean(result: Cleaned, directory: str, mode: str = "overwrite",
         rejects.write.mode(mode).parquet(paths["rejects"])
     if actions:
         paths["actions"] = posixpath.join(directory, name + "__actions")
-        cleaning_actions(result.source, result.policy, typed).write.mode(mode).parquet(paths["actions"])
+        cleaning_actions(result.source, result.policy, typed, marked).write.mode(mode).parquet(
+            paths["actions"])
     drop_folder(spark, staging)
     return paths
 

@@ -163,3 +163,64 @@ def test_stream_quarantines_cells(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(out + "/sales").count() == 3
     assert [r["raw_value"] for r in spark.read.parquet(out + "/sales__rejects").collect()] == ["x"]
+
+
+def counted(spark, rows, schema):
+    """A frame and the number of its rows that were read so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def see(row):
+        seen.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(see), schema), seen
+
+
+def test_a_table_is_cleaned_once_for_all_it_writes(spark, tmp_path):
+    rows = [(str(i), f" {i}.5 " if i % 3 else "x") for i in range(30)]
+    df, seen = counted(spark, rows, "id string, amount string")
+    policy = CL.Policy("sales", POLICY.columns, deduplicate="exact_rows")
+    paths = FI.write_clean(CL.clean_table(df, policy), str(tmp_path), actions=True)
+    assert seen.value == 30
+    acts = {(r["step"], r["column"]): r["n"] for r in spark.read.parquet(paths["actions"]).collect()}
+    assert acts["deduplicate", "<table>"] == 0 and acts["trim_whitespace", "amount"] == 20
+    assert acts["reject_cell", "amount"] == 10
+    assert spark.read.parquet(paths["clean"]).count() == 30
+
+
+@pytest.mark.parametrize("strategy", ["exact_rows", "subset", None])
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_duplicates_among_written_rows(spark, tmp_path, monkeypatch, strategy, few):
+    """Rows that are one after trimming, rows that only type alike, nulls, an order column."""
+    cells = [("1", "5", "a"), (" 1", "5 ", "a"), ("1", "05", "a"), ("1", "many", "a"),
+             ("1 ", "many", "a"), ("2", None, "a  b"), ("2", "n/a", "a b"), ("3", "7", "c"),
+             ("3", "7", "c"), ("3", "7", "c"), ("4", "8", "-")]
+    df = spark.createDataFrame([(*c, i) for i, c in enumerate(cells)],
+                               "id string, qty string, name string, place int")
+    policy = CL.Policy("t", (CL.ColumnRule("id", "id", "integer"), CL.ColumnRule("name", "name"),
+                             CL.ColumnRule("qty", "qty", "integer", nulls="impute_zero")),
+                       deduplicate=strategy, order=("place",),
+                       dedupe_columns=("id",) if strategy == "subset" else ())
+    monkeypatch.setattr(CL, "FEW_HASHES", few)
+    out = CL.clean_table(df, policy)
+    paths = FI.write_clean(out, str(tmp_path), actions=True)
+
+    def rows(frame):
+        return sorted(map(str, (r.asDict() for r in frame.collect())))
+
+    kept = {"exact_rows": 6, "subset": 4, None: 11}[strategy]
+    clean = spark.read.parquet(paths["clean"])
+    assert clean.count() == kept and rows(clean) == rows(out.clean)
+    assert rows(spark.read.parquet(paths["actions"])) == rows(out.actions)
+    assert ("rejects" in paths) == (strategy != "subset")
+    if "rejects" in paths:
+        assert rows(spark.read.parquet(paths["rejects"])) == rows(out.rejects)
+    assert not [p for p in tmp_path.rglob("_staging_*")]
+
+
+def test_duplicates_under_a_collation(spark, tmp_path):
+    df = spark.createDataFrame([("a",), ("A",), ("b",)], "k string").selectExpr(
+        "k COLLATE UTF8_LCASE AS k")
+    out = CL.clean_table(df, CL.Policy("t", (CL.ColumnRule("k", "k"),), deduplicate="exact_rows"))
+    paths = FI.write_clean(out, str(tmp_path), actions=True)
+    assert spark.read.parquet(paths["clean"]).count() == out.clean.count() == 2

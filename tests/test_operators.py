@@ -1,14 +1,19 @@
 from __future__ import annotations
 
 import random
+import re
 import statistics
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import dates as D
+from plumbline.functions import numbers as N
+from plumbline.functions import text as X
 from plumbline.operators import claims as CM
 from plumbline.operators import cleaning as CL
+from plumbline.operators import dictionary as DI
 from plumbline.operators import funnel as FN
 from plumbline.operators import insights as I
 from plumbline.operators import profiling as P
@@ -624,3 +629,36 @@ def test_labels_claim_nothing(spark):
     for r in CM.extract_claims(texts, "id", "t", names).collect():
         got.setdefault(r["id"], []).append(r["value"])
     assert {k: sorted(v) for k, v in got.items()} == {1: [12.0], 2: [4.0, 123.0], 3: [7.0], 5: [9.0]}
+
+
+def test_marks_and_short_forms_agree_with_the_long_ones(spark):
+    draw = random.Random(5)
+    spaces = " \t\n\u2003\xa0\x1c"
+    word = lambda: "".join(draw.choice("ab-" + spaces + "   ") for _ in range(draw.randint(0, 7)))
+    texts = sorted({word() for _ in range(400)} | {"n/a", " NA ", "a  b", "a b", ""})
+    df = spark.createDataFrame([(s,) for s in texts], "v string")
+    for trim, collapse in ((True, True), (True, False), (False, True), (False, False)):
+        policy = CL.Policy("t", (CL.ColumnRule("v", "v"),), defaults={
+            "trim_whitespace": trim, "collapse_internal_spaces": collapse})
+        acts = {r["step"]: r["n"] for r in rows(CL.cleaning_actions(df, policy))}
+        cut = [s.strip() if trim else s for s in texts]
+        one = [re.sub(r"\s+", " ", s) if collapse else s for s in cut]
+        gone = [s.lower() in X.POLICY_SENTINELS for s in one]
+        touched = [g or s != t for g, s, t in zip(gone, texts, one)]
+        assert acts["trim_whitespace"] == sum(a != b for a, b in zip(texts, cut))
+        assert acts["collapse_spaces"] == sum(a != b for a, b in zip(cut, one))
+        assert acts["sentinel_null"] == sum(gone) and sum(touched) < len(texts)
+    tidy = {r["v"]: r["t"] for r in rows(df.withColumn("t", X.tidy(F.col("v"))))}
+    assert tidy == {s: re.sub(r"\s+", " ", s.strip()) for s in texts}
+
+    numbers = ["-0", "-0.00", "+1.5", "1.005", "2.675", "1e2", ".5", "5.", "x", "999999999999.99",
+               "9999999999999.99", "123456789012345678.125", "-7.125", "0.015"]
+    n = spark.createDataFrame([(s,) for s in numbers], "v string").select(
+        "v", CL.coerce_number(F.col("v"), 2).cast("string").alias("got"),
+        F.bround(N.parse_double(F.col("v")), 2).cast("string").alias("want"))
+    assert [r["got"] for r in rows(n)] == [r["want"] for r in rows(n)]
+    days = ["2020-02-29", "2021-02-29", "2020-2-9", "20200-01-01", "2020-01-01 ", "0000-01-01", "2020-13-01"]
+    d = spark.createDataFrame([(s,) for s in days], "v string").select(
+        D.parse_exact(F.col("v"), "%Y-%m-%d").cast("string").alias("d"))
+    assert [r["d"] for r in rows(d)] == ["2020-02-29 00:00:00", None, "2020-02-09 00:00:00", None, None,
+                                         "0000-01-01 00:00:00", None]
