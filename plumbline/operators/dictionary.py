@@ -21,6 +21,38 @@ def _q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _counted_values(df: DataFrame) -> DataFrame:
+    """column, value as text, n: every distinct value of every column.
+
+    Columns of one type are counted together as they are, and only distinct values
+    become text, where a type has one text per value; other columns are texts first.
+    """
+    groups: dict[T.DataType, list[str]] = {}
+    for f in df.schema:
+        whole = isinstance(f.dataType, T.IntegralType)
+        own = isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType, T.DateType,
+                                      T.TimestampNTZType))
+        kind = T.LongType() if whole else f.dataType if own else T.StringType()
+        groups.setdefault(kind, []).append(f.name)
+    parts = []
+    for kind, names in groups.items():
+        at = [str(i) for i in range(len(names))]
+        cells = df.select(*[_q(c).cast(kind).alias(i) for i, c in zip(at, names)]).unpivot(
+            [], at, "_i", "_v")
+        keys = [F.col("_i"), F.col("_v")]
+        text = F.col("_v").cast("string")
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            # grouping makes one of 0.0 and -0.0, texts do not
+            keys.append(F.when(F.col("_v") == 0, text).alias("_zero"))
+            text = F.coalesce("_zero", text)
+        # never null, or a filter for it would set the second reader's plan apart
+        label = F.coalesce(F.get(F.array(*[F.lit(c) for c in names]), F.col("_i").cast("int")),
+                           F.lit(""))
+        parts.append(cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
+            label.alias("column"), text.alias("value"), "n"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def measure_columns(df: DataFrame, table: str, personal: Iterable[str] = ()) -> DataFrame:
     """Nulls, distinct values, range of ordered columns, the commonest values
     (never of personal columns) and small vocabularies."""
@@ -28,24 +60,29 @@ def measure_columns(df: DataFrame, table: str, personal: Iterable[str] = ()) ->
     ordered = [f.name for f in df.schema if isinstance(
         f.dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))]
     floats = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    wide = df.select(*[_q(c).cast("string").alias(c) for c in df.columns])
-    vc = (wide.unpivot([], [_q(c) for c in wide.columns], "column", "value")
-          .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    vc = _counted_values(df)
     here = F.col("value").isNotNull()
     base = vc.groupBy("column").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~here, F.col("n"))), F.lit(0)).alias("n_nulls"),
         F.count("value").alias("n_distinct"))
-    shown = vc.filter(here & ~F.col("column").isin(*personal)) if personal else vc.filter(here)
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value")))
-    top = (shown.withColumn("r", rank).filter(F.col("r") <= EXAMPLES).groupBy("column").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "value"))),
-                                 lambda s: s["value"]), "|").alias("examples")))
-    few = base.filter((F.col("n_distinct") <= SMALL_VOCABULARY) & ~F.col("column").isin(*floats)
-                      if floats else F.col("n_distinct") <= SMALL_VOCABULARY).select("column")
-    words = (vc.filter(here).join(few, "column", "left_semi").groupBy("column").agg(
-        F.array_join(F.sort_array(F.collect_list("value")), "|").alias("vocabulary")))
-    out = base.join(top, "column", "left").join(words, "column", "left")
+    # The first ranks hold the examples, and all values of a small vocabulary; a null comes last.
+    # Both figures read the same counts, so that these are made once.
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(
+        F.asc(~here), F.desc("n"), F.asc("value")))
+    ranked = F.sort_array(F.collect_list(F.when(here, F.struct("r", "value"))))
+    first = (vc.withColumn("r", rank).filter(F.col("r") <= max(EXAMPLES, SMALL_VOCABULARY))
+             .groupBy("column").agg(F.transform(ranked, lambda s: s["value"]).alias("_first"))
+             .filter(F.size("_first") > 0))
+    few = F.col("n_distinct").between(1, SMALL_VOCABULARY)
+    shown = F.lit(True)
+    if floats:
+        few = few & ~F.col("column").isin(*floats)
+    if personal:
+        shown = ~F.col("column").isin(*personal)
+    out = base.join(first, "column", "left").withColumns({
+        "examples": F.when(shown, F.array_join(F.slice("_first", 1, EXAMPLES), "|")),
+        "vocabulary": F.when(few, F.array_join(F.sort_array("_first"), "|"))}).drop("_first")
     if ordered:
         ends = F.array(*[F.struct(F.lit(c).alias("column"), F.min(_q(c)).cast("string").alias("minimum"),
                                   F.max(_q(c)).cast("string").alias("maximum")) for c in ordered])

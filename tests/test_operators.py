@@ -662,3 +662,19 @@ def test_marks_and_short_forms_agree_with_the_long_ones(spark):
         D.parse_exact(F.col("v"), "%Y-%m-%d").cast("string").alias("d"))
     assert [r["d"] for r in rows(d)] == ["2020-02-29 00:00:00", None, "2020-02-09 00:00:00", None, None,
                                          "0000-01-01 00:00:00", None]
+
+
+def test_dictionary_counts_values_once(spark):
+    from test_jobs import counted
+    df, seen = counted(spark, [(i, i % 20, i % 12, None) for i in range(60)],
+                       "a bigint, b bigint, c bigint, d bigint")
+    got = {r["column"]: r for r in rows(DI.measure_columns(df, "t", ["b"]))}
+    assert seen.value == 2 * 60  # the counts, and the ends of ordered columns
+    assert [got[c]["n_distinct"] for c in "abcd"] == [60, 20, 12, 0]
+    assert [got[c]["examples"] for c in "abcd"] == ["0|1|10", None, "0|1|10", None]
+    assert [got[c]["vocabulary"] for c in "abcd"] == [
+        None, None, "|".join(sorted(map(str, range(12)))), None]
+    assert got["d"]["n_nulls"] == got["d"]["n_rows"] == 60 and got["a"]["maximum"] == "59"
+    zeros = spark.createDataFrame([(0.0,), (-0.0,), (-0.0,)], "z double")
+    assert (rows(DI.measure_columns(zeros, "t"))[0]["n_distinct"],
+            rows(DI.measure_columns(zeros, "t"))[0]["examples"]) == (2, "-0.0|0.0")
