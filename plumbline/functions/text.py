@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -54,6 +55,12 @@ NOISE_TOKENS = (
 # --- end of fixed values ----------------------------------------------------
 
 
+def seldom(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(c)`` as a lambda, which is run but not compiled.  For branches that few cells
+    take: written out for every column they make a method too large to be compiled at all."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode whitespace at both ends.
 
@@ -72,10 +79,24 @@ def collapse(c: Column) -> Column:
 def tidy(c: Column) -> Column:
     """``collapse(strip(c))`` behind one test; text without any whitespace or
     non-ASCII character is returned as it is, and plain spaces need no wide class."""
-    plain = F.trim(c)
-    plain = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, "  +", " ")).otherwise(plain)
-    wide = F.regexp_replace(F.btrim(c, F.lit(WHITESPACE)), "[" + WHITESPACE + "]+", " ")
-    return F.when(c.rlike("[^!-~]"), F.when(c.rlike("[^ -~]"), wide).otherwise(plain)).otherwise(c)
+    def cut(t: Column) -> Column:
+        wide = F.regexp_replace(F.btrim(t, F.lit(WHITESPACE)), "[" + WHITESPACE + "]+", " ")
+        return F.when(t.rlike("[^ -~]"), wide).otherwise(F.regexp_replace(F.trim(t), "  +", " "))
+
+    return F.when(c.rlike("[^!-~]"), seldom(c, cut)).otherwise(c)
+
+
+def trims(c: Column) -> Column:
+    """Whether ``strip`` changes the text.  The class of all whitespace is tested character
+    by character, so that text of plain spaces and printable ASCII is kept away from it."""
+    return F.when(c.rlike("[^ -~]"), c.rlike(SPACE_AT_ENDS)).otherwise(
+        c.startswith(" ") | c.endswith(" "))
+
+
+def collapses(c: Column, trimmed: bool = True) -> Column:
+    """Whether ``collapse`` changes the text, after ``strip`` if ``trimmed``."""
+    return F.when(c.rlike("[^ -~]"), c.rlike(INNER_SPACES if trimmed else WIDE_SPACE)).otherwise(
+        F.contains(F.trim(c) if trimmed else c, F.lit("  ")))
 
 
 def is_sentinel(c: Column, vocabulary: str = "profile") -> Column:

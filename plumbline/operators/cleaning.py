@@ -677,16 +677,19 @@ def _prepare(df: DataFrame, policy: Policy,
                          policy.setting("sentinel_nulls_to_null"))
     if marks is not None:
         # Taken here, before any later step replaces the column, and told from the raw text
-        # alone: written out as texts to be compared, the steps were too large to be compiled.
+        # alone, which is cheaper than trimming changed cells again to compare them.
         trim, collapse = (policy.setting("trim_whitespace"),
                           policy.setting("collapse_internal_spaces"))
+        def change(raw: Column) -> Column:
+            return _flags(X.trims(raw) if trim else F.lit(False),
+                          X.collapses(raw, trim) if collapse else F.lit(False))
+
         for c in texts:
-            raw = _q("_r_" + c)
-            changed = _flags(raw.rlike(X.SPACE_AT_ENDS) if trim else F.lit(False),
-                             raw.rlike(X.INNER_SPACES if trim else X.WIDE_SPACE)
-                             if collapse else F.lit(False), _q(c).isNull())
-            out = marks.add(out, F.when(raw.isNull() | (raw == _q(c)), 0).otherwise(changed),
-                            ("trim_whitespace", c), ("collapse_spaces", c), ("sentinel_null", c))
+            raw, value = _q("_r_" + c), _q(c)
+            gone = F.when(value.isNull(), 4).otherwise(0)
+            out = marks.add(out, F.when(raw.isNull() | (raw == value), 0).otherwise(
+                X.seldom(raw, change) + gone),
+                ("trim_whitespace", c), ("collapse_spaces", c), ("sentinel_null", c))
 
     def mark(step: str, target: str, test: Column) -> None:
         nonlocal out
